@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.llm import mixing, quality
+
 
 def _path(name: str) -> str:
     import public_tokenizers
@@ -23,6 +25,24 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack_documents(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op2_near_duplicates(spark, sf_dir):
+    from leafmill.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words_each=5, threshold=75)
+
+
+def op6_source_mix(spark, sf_dir):
+    from leafmill.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark, sf_dir):
+    from leafmill.llm.quality import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_orc(spark, sf_dir):
     from leafmill.llm.tokenorc import token_orc_round_trip
 
@@ -37,8 +57,11 @@ def op9_token_counts(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op6_source_mix": op6_source_mix,
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_orc": op8_token_orc,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_source_mix": mixing.oracle(), "op7_quality_rules": quality.oracle()}
