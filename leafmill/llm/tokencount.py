@@ -46,7 +46,7 @@ class PrefixCounter:
         if any(SPACE in p.lstrip(SPACE) for p in self.priority):
             raise ValueError("pieces that go on after a space can't be counted word by word")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo = Memo(lambda words: [self.table(w) for w in words])
+        self.memo = Memo(self.tables)
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text by its definition: the best pair first, the left one of equals."""
@@ -73,20 +73,38 @@ class PrefixCounter:
             known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
-    def table(self, word: str) -> np.ndarray:
-        """Counts at the prefixes of ``word`` of 1, 2, ... characters."""
-        n = len(word)
-        last, count = [""] * (n + 1), [0] * (n + 1)
-        known, longest, fits = self.priority, self.longest, self.fits
-        for i in range(1, n + 1):
-            for size in range(min(i, longest), 0, -1):
-                token = word[i - size : i]
-                if (size == 1 or token in known) and fits(last[i - size], token):
-                    last[i] = token
-                    # a character outside of the vocabulary is written as its bytes
-                    count[i] = count[i - size] + (1 if token in known else len(token.encode("utf-8", "surrogatepass")))
-                    break
-        return np.array(count[1:], np.int32)
+    def tables(self, words: list[str]) -> list[np.ndarray]:
+        """For each word, the counts at its prefixes of 1, 2, ... characters.
+
+        In sorted order a word goes on from the prefix that it shares with the one before."""
+        out: list = [None] * len(words)
+        last, count, before = [""], [0], ""
+        known, longest, pairs, fits = self.priority, self.longest, self.pairs, self.fits
+        for at in sorted(range(len(words)), key=words.__getitem__):
+            word = words[at]
+            n, i = len(word), 0
+            shared = min(n, len(before))
+            if word[:shared] == before[:shared]:
+                i = shared
+            else:
+                while word[i] == before[i]:
+                    i += 1
+            del last[i + 1 :], count[i + 1 :]
+            for i in range(i + 1, n + 1):
+                for start in range(max(i - longest, 0), i):
+                    token = word[start:i]
+                    if token in known:
+                        ok = pairs.get((last[start], token))
+                        if ok or ok is None and fits(last[start], token):
+                            last.append(token)
+                            count.append(count[start] + 1)
+                            break
+                else:  # a character outside of the vocabulary is written as its bytes
+                    last.append(word[i - 1])
+                    count.append(count[i - 1] + len(word[i - 1].encode("utf-8", "surrogatepass")))
+            out[at] = np.array(count[1:], np.int32)
+            before = word
+        return out
 
     def words(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct words, the word number of each place, and the texts' borders among places."""
@@ -146,7 +164,7 @@ class PrefixCounter:
         if not text:
             return np.zeros(1, np.int64)
         names, index, _ = self.words(pa.array([text]))
-        tables = [self.table(w) for w in names]
+        tables = self.tables(names)
         sizes = np.array([len(x) for x in tables])
         flat = np.concatenate(tables)
         ends = np.cumsum(sizes)
