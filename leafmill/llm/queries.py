@@ -55,6 +55,12 @@ def op9_token_counts(spark, sf_dir):
     return token_counts(_table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"), budget=4096)
 
 
+def op10_repeated_substrings(spark, sf_dir):
+    from leafmill.llm.substring import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_duplicates": op2_near_duplicates,
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_token_orc": op8_token_orc,
     "op9_token_counts": op9_token_counts,
+    "op10_repeated_substrings": op10_repeated_substrings,
 }
 
 ORACLES: dict[str, str] = {"op6_source_mix": mixing.oracle(), "op7_quality_rules": quality.oracle()}
