@@ -125,6 +125,18 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: in
     return whole.select("doc_id", "size", "source_size", "target", "taken", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("one")).drop("one")
 
 
+def apply_mix(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with all its columns as the mix takes them: a document once for each round that
+    reaches it (a round that ends inside of it takes it whole), not at all if none does.
+
+    Rows that share an id share what is taken of it."""
+    taken = mix_sources(docs, **how).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    times = written(taken.select(F.col("doc_id").alias("taken_id"), times.alias("times")).where("times > 0"), "taken")
+    met = docs.join(times, docs["doc_id"].eqNullSafe(times["taken_id"]))
+    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_round")).drop("_round")
+
+
 def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: str = "mix") -> str:
     """The same result as DuckDB SQL, in closed form: whole rounds, then the first words of one more."""
     return f"""

@@ -258,3 +258,12 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, threshold: int = 75
     found = F.coalesce("component", "rep", "doc_id")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), found).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one_each(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with all its columns, one document of each group of near-duplicates: the smallest id.
+
+    Rows that share an id are one document. Rows with a null id all stay."""
+    kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))

@@ -106,11 +106,25 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
     A null or empty text has no words, so it fails the base rule. Null ids and repeated rows are
     judged each for itself; other columns are left out."""
-    found = docs.select(F.col("doc_id").cast("long"), measures(F.col("text").cast("string")).alias("m"))
-    flat = found.select("doc_id", "m.w.*", "m.n_symbols", "m.n_capitals", F.col("m.l.n").alias("n_lines"), F.col("m.l.dup").alias("n_dup_lines"))
+    return _judged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rules).select("doc_id", *VERDICT)
+
+
+VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def _judged(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The columns of ``docs``, then all counts and the verdict."""
+    flat = docs.withColumn("m", measures(F.col("text")))
+    flat = flat.select(*docs.columns, "m.w.*", "m.n_symbols", "m.n_capitals", F.col("m.l.n").alias("n_lines"), F.col("m.l.dup").alias("n_dup_lines"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     failed = F.array_compact(F.array(*[F.when(_broken(r), F.lit(r.name)) for r in rules]))
-    return flat.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), failed.alias("failed"))
+    return flat.withColumn("base_failed", base).withColumn("failed", failed).withColumn("kept", ~base & (F.size(failed) == 0))
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns; one narrow pass."""
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col("text").cast("string").alias("text"))
+    return _judged(whole, rules).where("kept").select("whole.*")
 
 
 def _broken(rule: Rule) -> Column:

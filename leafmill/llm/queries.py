@@ -31,6 +31,12 @@ def op2_near_duplicates(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"), words_each=5, threshold=75)
 
 
+def op3_html_text(spark, sf_dir):
+    from leafmill.llm.htmltext import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_source_mix(spark, sf_dir):
     from leafmill.llm.mixing import mix_sources
 
@@ -64,6 +70,7 @@ def op10_repeated_substrings(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_html_text": op3_html_text,
     "op6_source_mix": op6_source_mix,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_orc": op8_token_orc,
