@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmill.llm import mixing, quality
 
@@ -37,6 +38,12 @@ def op3_html_text(spark, sf_dir):
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op5_nearest_neighbours(spark, sf_dir):
+    from leafmill.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_source_mix(spark, sf_dir):
     from leafmill.llm.mixing import mix_sources
 
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_html_text": op3_html_text,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_source_mix": op6_source_mix,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_orc": op8_token_orc,
