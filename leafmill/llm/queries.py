@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import mixing, quality
+from leafmill.llm import licenses, mixing, quality
 
 
 def _path(name: str) -> str:
@@ -38,6 +38,12 @@ def op3_html_text(spark, sf_dir):
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op4_license_scan(spark, sf_dir):
+    from leafmill.llm.licenses import document_licenses
+
+    return document_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark, sf_dir):
     from leafmill.llm.ann import nearest_neighbours
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_html_text": op3_html_text,
+    "op4_license_scan": op4_license_scan,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_source_mix": op6_source_mix,
     "op7_quality_rules": op7_quality_rules,
@@ -86,4 +93,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeated_substrings": op10_repeated_substrings,
 }
 
-ORACLES: dict[str, str] = {"op6_source_mix": mixing.oracle(), "op7_quality_rules": quality.oracle()}
+ORACLES: dict[str, str] = {"op4_license_scan": licenses.oracle(), "op6_source_mix": mixing.oracle(), "op7_quality_rules": quality.oracle()}
