@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,6 +47,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps removed: Spark does that once their plans are
+    collected as garbage, here and in the JVM, which takes more than one round."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def delete_written(spark: SparkSession, df: DataFrame) -> None:
     """Remove a table made by ``written`` that nothing reads any more."""
     for uri in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -15,7 +15,6 @@ So the memory of a task is that of its bucket, and long copies cost nothing beyo
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -23,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import slices, utf8_bytes, written
+from leafmill.llm.common import release, slices, utf8_bytes, written
 
 GRAM = 20
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Text bytes for each bucket; a bucket has a sample for about every 16 of them.
 BUCKET_BYTES = 48_000_000
-STEP_BYTES = 2_000_000
+STEP_BYTES = 700_000
 RECORD = np.dtype([("gram", "<u8"), ("around", "<u4"), ("doc", "<i8"), ("at", "<i4")])
 #: A gram with more different surroundings than this is compared run by run, over all tasks.
 HOT = 20_000
@@ -352,12 +351,6 @@ def _text_left(batches):
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string()), *part.columns[3:]], ["doc_id", "text", *part.schema.names[3:]])
 
 
-def release(spark) -> None:
-    """Let the JVM drop what is unreachable, and with it shuffle files that nothing reads any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame, *, length: int = 50, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, lo, hi): byte spans of ``docs`` (doc_id, text) covered by runs of ``length`` bytes
     that also start in a document with a smaller id."""
@@ -367,6 +360,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, bucket_bytes: int = BUC
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     dealt = rows.mapInArrow(_samples(length, buckets), "bucket int, told boolean, records binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = written(dealt.mapInArrow(_sort_buckets, FOUND), "found")
+    del dealt
     release(spark)
     before = length - GRAM
     whole = found.where("whole").select("doc_id", (F.col("at") - before).cast("long").alias("lo"), (F.col("at") + length).cast("long").alias("hi"))
@@ -392,6 +386,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, bucket_bytes: int = BUC
 def _marked(docs: DataFrame, length: int, *more: str) -> DataFrame:
     spans = repeated_spans(docs, length=length)
     own = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    del spans
     release(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
     empty = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
