@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from leafmill.plans import geometry, texts  # noqa: F401
+from leafmill.plans import geometry, records, texts  # noqa: F401
 from leafmill.plans.registry import ORACLES, QUERIES  # noqa: F401
