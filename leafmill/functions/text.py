@@ -173,3 +173,44 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)")))
+
+
+def persona_line(text: Column, exact: Column, rules: list[tuple[str, str]], loud: bool = False) -> Column:
+    """A line in a character's voice: a known line as it is (by its text, then by its key), else the
+    phrase rules in order; a loud voice ends on an exclamation mark."""
+    known = F.coalesce(F.try_element_at(exact, F.trim(text)), F.try_element_at(exact, line_key(text)))
+    out = text
+    for pattern, plain in rules:
+        out = F.regexp_replace(out, pattern, plain)
+    return F.coalesce(known, F.regexp_replace(out, "\\.\\s*$", "!") if loud else out)
+
+
+def facts(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """The facts whose patterns a text matches, in the order of the rules."""
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(fact)) for p, fact in rules]))
+
+
+def json_strings(text: Column, key: str) -> Column:
+    """The string values of ``key`` in a broken JSON text, in order."""
+    return F.regexp_extract_all(text, F.lit(f'"{key}"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)"'))
+
+
+def numbered(texts: Column) -> Column:
+    """An array as numbered lines."""
+    return F.array_join(F.transform(texts, lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t)), "\n")
+
+
+def agreement(own: Column, other: Column, source: Column, negative_source: str, negative: str) -> Column:
+    """Whether two translations say the same: not of opposite polarity where the other strays from
+    the source, and with a seventh of the smaller vocabulary shared."""
+    no_s, no_a, no_b = source.rlike(negative_source), own.rlike(negative), other.rlike(negative)
+    a, b = tokens(own), tokens(other)
+    shared = 100 * F.size(F.array_intersect(a, b)) >= 15 * F.greatest(F.lit(1), F.least(F.size(a), F.size(b)))
+    return (F.size(a) > 0) & (F.size(b) > 0) & ~((no_a != no_b) & (no_b != no_s)) & shared
+
+
+def plain_entities(text: Column) -> Column:
+    """The usual character references as characters, ampersands last."""
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text

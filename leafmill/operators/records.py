@@ -114,3 +114,16 @@ def rule_hits(texts: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
     """How many texts each rule matches: one scan, one row a rule."""
     hits = texts.agg(*[F.count_if(F.col("text").rlike(p)).alias(n) for n, p in patterns], F.count("*").alias("all_texts"))
     return hits.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("hits"), F.col("all_texts")) for n, _ in patterns])).alias("r")).select("r.*")
+
+
+def neck(profile: Column, most: float) -> Column:
+    """(at, ratio): the narrowest place in the middle half of a width profile, if it is at most
+    ``most`` of the smaller peak of the outer quarters; else null. Ratio in thousandths."""
+    n = F.size(profile)
+    q = F.floor(n / 4).cast("int")
+    left, right = F.array_max(F.slice(profile, F.lit(1), q)), F.array_max(F.slice(profile, n - q + 1, q))
+    middle = F.slice(profile, q + 1, n - 2 * q)
+    low = F.array_min(middle)
+    at = q + F.array_position(middle, low).cast("int")
+    ratio = F.floor(1000 * low / F.greatest(F.lit(1), F.least(left, right))).cast("long")
+    return F.when((q > 0) & (ratio <= int(1000 * most)), F.struct(at.alias("at"), ratio.alias("ratio")))
