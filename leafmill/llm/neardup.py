@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import delete_written, slices, written
 
 PLACES = 128
+#: Bits of a set's parity sketch: two sketches differ in at most as many bits as the sets in items.
+ODD_BITS = 1024
 SMALL = 8
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -114,7 +116,12 @@ def _sets(words_each: int):
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
                 column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), column], ["doc_id", "items"])
+                odd = np.zeros((len(sets), ODD_BITS), np.uint8)
+                for i, s in enumerate(sets):
+                    odd[i] = np.bincount((s % np.uint64(ODD_BITS)).astype(np.int64), minlength=ODD_BITS) & 1
+                words = np.ascontiguousarray(np.packbits(odd, axis=1)).view(np.int64).ravel()
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, ODD_BITS // 64, dtype=np.int32)), pa.array(words))
+                yield pa.RecordBatch.from_arrays([part.column(0), column, parity], ["doc_id", "items", "odd"])
 
     return run
 
@@ -148,7 +155,7 @@ def _level(rows: DataFrame, threshold: int) -> DataFrame:
         other = F.lag(F.struct(*names), k).over(order)
         x = x.withColumn(f"p{k}", other)
         them = {c: F.col(f"p{k}.{c}") for c in names}
-        partners.append(F.when(F.col(f"p{k}").isNotNull() & _alike(threshold, me, them), them["doc_id"]))
+        partners.append(F.when((F.col("count") <= SMALL) & F.col(f"p{k}").isNotNull() & _alike(threshold, me, them), them["doc_id"]))
     head = {c: F.col(f"head.{c}") for c in names}
     partners.append(F.when((F.col("count") > SMALL) & (head["doc_id"] != F.col("doc_id")) & _alike(threshold, me, head), head["doc_id"]))
     x = x.where("count > 1").select("node", "doc_id", (F.col("count") > SMALL).alias("large"), F.array_distinct(F.array_compact(F.array(*partners))).alias("partners"))
@@ -206,30 +213,45 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _rest(links: DataFrame, large: DataFrame, sets: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
-    """Links after comparing what the large nodes hold, exactly.
-
-    In each turn, up to SMALL sets of a node that are outside of the node's first component and
-    have not led yet are compared with the whole node. It ends when no node has any: then of two
-    unlinked sets of a node, one has been compared with all others."""
+    """Components after comparing what the large nodes hold, exactly.
+
+    A node whose sets are one component already needs nothing. In the others, each set outside of
+    the node's largest component still looks for partners. Two sets that reach the threshold share
+    one of their rarest shingles: all but ``threshold`` percent of a set, and one more, taken from
+    the rare end of a common order. Sets that nothing links are mostly told apart by shingles of
+    their own, so few candidates are left, whatever the size of the node."""
+    labels = components(links)
+    if large.isEmpty():
+        return labels
     node = Window.partitionBy("node")
-    led = None
-    while True:
-        labels = components(links)
-        x = large.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        x = x.withColumn("main", F.min("c").over(node)).where("c != main").select("node", "doc_id")
-        if led is not None:
-            x = x.join(led, ["node", "doc_id"], "left_anti")
-        x = x.withColumn("r", F.row_number().over(node.orderBy("doc_id"))).where(F.col("r") <= SMALL).select("node", F.col("doc_id").alias("leader"))
-        leaders = written(x, "leaders")
-        if leaders.isEmpty():
-            return labels
-        mine = sets.select(F.col("doc_id").alias("leader"), *[F.col(c).alias(f"l_{c}") for c in ("n", "s1", "s2")])
-        met = large.join(leaders.join(mine, "leader"), "node").where("doc_id != leader").join(sets.select("doc_id", "n", "s1", "s2"), "doc_id")
-        met = met.where(_alike(threshold, {c: F.col(c) for c in ("n", "s1", "s2")}, {c: F.col(f"l_{c}") for c in ("n", "s1", "s2")}))
-        new = met.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-        links = written(links.unionByName(confirmed(new, items, threshold)).distinct(), "found")
-        own = leaders.select("node", F.col("leader").alias("doc_id"))
-        led = own if led is None else written(led.unionByName(own), "led")
+    x = large.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    kinds = x.groupBy("node", "c").agg(F.count("*").alias("n"))
+    kinds = kinds.withColumn("main", F.max(F.struct("n", (-F.col("c")).alias("neg"))).over(node)).where("-c != main.neg")
+    x = written(x.join(kinds.select("node", "c"), ["node", "c"], "left_semi").select("node", "doc_id"), "outside")
+    if x.isEmpty():
+        return labels
+    members = large.join(x.select("node").distinct(), "node", "left_semi").select("doc_id").distinct()
+    outside = x.select("doc_id").distinct().withColumn("looks", F.lit(True))
+    rows = items.join(members, "doc_id", "left_semi").join(sets.select("doc_id", "n", "s1", "s2"), "doc_id").join(outside, "doc_id", "left")
+    rows = rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    tokens = rows.select("doc_id", "n", "s1", "s2", "c", "looks", F.explode("items").alias("item"))
+    tokens = tokens.withColumn("holding", F.count("*").over(Window.partitionBy("item")))
+    tokens = tokens.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("holding", "item")))
+    rare = tokens.where((F.col("holding") > 1) & (F.col("place") <= F.col("n") - F.expr(f"({threshold} * n + 99) div 100") + 1))
+    rare = rare.select("doc_id", "n", "s1", "s2", "c", "looks", "item", "place").join(items.select("doc_id", "odd"), "doc_id")
+    rare = written(rare, "rare")
+    names = ("n", "s1", "s2", "c", "place", "odd")
+    mine, theirs = {c: F.col(c) for c in names}, {c: F.col(f"l_{c}") for c in names}
+    left = rare.where("looks").select("item", F.col("doc_id").alias("leader"), *[F.col(c).alias(f"l_{c}") for c in names])
+    # sets of one component need no link; what can still be shared from here on must reach the threshold
+    most = F.least(mine["place"], theirs["place"]) + F.least(mine["n"] - mine["place"], theirs["n"] - theirs["place"])
+    enough = (100 + threshold) * most >= threshold * (mine["n"] + theirs["n"])
+    differ = sum((F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("l_odd", F.lit(i)))) for i in range(ODD_BITS // 64)), F.lit(0))
+    close = (100 + threshold) * differ <= (100 - threshold) * (mine["n"] + theirs["n"])
+    met = left.join(rare, "item").where("c <> l_c").where(enough & _alike(threshold, mine, theirs)).where(close)
+    new = written(met.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct(), "pairs")
+    found = written(confirmed(new, items, threshold), "confirmed")
+    return labels if found.isEmpty() else components(links.unionByName(found))
 
 
 def near_duplicates(docs: DataFrame, *, words_each: int = 5, threshold: int = 75, trees: int = 8, depth: int = 5) -> DataFrame:
@@ -251,7 +273,7 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, threshold: int = 75
     pairs, large = chosen_path_pairs(sets, threshold, trees, depth)
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select("doc_id")).distinct()
-    items = written(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words_each), "doc_id long, items array<long>"), "items")
+    items = written(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words_each), "doc_id long, items array<long>, odd array<long>"), "items")
     links = written(confirmed(pairs, items, threshold), "confirmed")
     labels = _rest(links, large, sets, items, threshold)
     out = features.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
