@@ -25,6 +25,8 @@ from leafmill.llm.common import written
 FIT_VECTORS, PROBE_QUERIES, MOST_CENTROIDS = 20_000, 64, 512
 #: Vectors of a cell that one task holds together; a larger cell is dealt to several.
 CELL_ROWS = 20_000
+#: Vectors in a part of the index, on average.
+PART_ROWS = 4_000
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
@@ -241,7 +243,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 5, recall: floa
         need += upto[mine["cell"].to_numpy(np.int64)].tolist()
     enough = max(int(np.quantile(need, recall, method="higher")) if need else 0, 64 * k)
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // CELL_ROWS))
+    parts = max(1, -(-n // PART_ROWS))  # by the vectors alone: a query gets k + 1 rows from each part it visits
     left = queries.repartition(parts).mapInArrow(_asked(books, counts, width, enough, parts), "part int, uid long, v array<double>, cells array<long>")
     right = index.mapInArrow(_dealt(counts, parts), f"part int, {schema}").select("part", "uid", "v", "cell")
     met = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(_rerank(k + 1), "query long, uid long, score double")
