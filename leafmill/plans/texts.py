@@ -35,7 +35,7 @@ def dictionary_hash(spark, sf):
 SELECT text, priority, id FROM a QUALIFY row_number() OVER (PARTITION BY text ORDER BY priority, id, turn) = 1""")
 def distinct_corpus(spark, sf):
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "turn", "text", F.lit(1).alias("priority"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), F.substring("text", 1, 80).alias("text"), F.lit(2).alias("priority"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text", F.lit(2).alias("priority"))
     best = c.unionByName(d).groupBy("text").agg(F.min(F.struct("priority", "id", "turn")).alias("m"))
     return best.select("text", "m.priority", "m.id")
 
