@@ -172,7 +172,7 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)")))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{M}\\p{N}]+)")))
 
 
 def persona_line(text: Column, exact: Column, rules: list[tuple[str, str]], loud: bool = False) -> Column:

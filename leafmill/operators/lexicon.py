@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,6 +136,43 @@ def sound_matches(words: DataFrame, sounds: DataFrame) -> DataFrame:
     return best.select("id", "word", F.col("m.kind").alias("kind"), F.when(F.col("m.exact") == 1, 99).otherwise(95).alias("confidence"))
 
 
+def token_overlaps(docs: DataFrame, items: DataFrame, step: int = 256) -> DataFrame:
+    """(doc_id, item_id, shared, together) of each document (doc_id, ts) and item (item_id, bs) with a common token.
+
+    ``ts`` and ``bs`` hold distinct tokens. The items are a small table: every task has them as an
+    inverted index, and the common tokens of a pair are counted over its postings."""
+    held = items.select("item_id", "bs").collect()
+    n = len(held)
+    postings: dict[str, list[int]] = {}
+    for i, row in enumerate(held):
+        for token in row["bs"]:
+            postings.setdefault(token, []).append(i)
+    vocabulary = pa.array(list(postings), pa.string())
+    sizes = np.array([len(row["bs"]) for row in held], np.int64)
+    item_ids = np.array([row["item_id"] for row in held], np.int64)
+    many = np.array([len(x) for x in postings.values()], np.int64)
+    item = np.array([i for x in postings.values() for i in x], np.int64)
+    start = np.cumsum(many) - many
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows if n else 0, step):
+                part = batch.slice(a, step)
+                ts = part.column(1)
+                own = pc.list_value_length(ts).to_numpy().astype(np.int64)
+                place = pc.index_in(ts.flatten(), value_set=vocabulary).fill_null(-1).to_numpy()
+                row = np.repeat(np.arange(part.num_rows), own)[place >= 0]
+                place = place[place >= 0]
+                count = many[place]
+                at = np.repeat(start[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                shared = np.bincount(np.repeat(row, count) * n + item[at], minlength=part.num_rows * n)
+                met = np.flatnonzero(shared)
+                shared, doc, other = shared[met], met // n, met % n
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(item_ids[other]), pa.array(shared), pa.array(own[doc] + sizes[other] - shared)], ["doc_id", "item_id", "shared", "together"])
+
+    return docs.select(F.col("doc_id").cast("long"), "ts").mapInArrow(run, "doc_id long, item_id long, shared long, together long")
+
+
 def entities(text: Column) -> Column:
     """Runs of two or more capitalised words."""
     return F.regexp_extract_all(text, F.lit("\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b"))

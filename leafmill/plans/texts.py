@@ -130,11 +130,9 @@ def entity_extract(spark, sf):
 b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS bs FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))
 SELECT doc_id, item_id, len(list_intersect(ts, bs)) AS shared, len(ts) + len(bs) - len(list_intersect(ts, bs)) AS together FROM t JOIN b ON b.item_id = t.doc_id % 40""")
 def token_jaccard(spark, sf):
-    ascii_only = ~F.col("text").rlike("[^\\x00-\\x7F]")
-    d = table(spark, sf, "documents").where(ascii_only).select("doc_id", tx.tokens(F.col("text")).alias("ts"), (F.col("doc_id") % 40).alias("item_id"))
-    b = table(spark, sf, "benchmark").where(ascii_only).select("item_id", tx.tokens(F.col("text")).alias("bs"))
-    x = d.join(b, "item_id")
-    return x.select("doc_id", "item_id", F.size(F.array_intersect("ts", "bs")).cast("long").alias("shared"), F.size(F.array_union("ts", "bs")).cast("long").alias("together"))
+    d = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", tx.tokens(F.col("text")).alias("ts"))
+    b = table(spark, sf, "benchmark").where(F.col("text").isNotNull()).select("item_id", tx.tokens(F.col("text")).alias("bs"))
+    return lx.token_overlaps(d, b)
 
 
 @register("""SELECT doc_id, length(text) > 0 AS has_text, source FROM documents WHERE regexp_matches(lower(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g')), '^(the|it|on)')""")

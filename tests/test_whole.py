@@ -1,5 +1,7 @@
 """Queries over small tables whose rows used to be cut, against plain restatements."""
 
+import re
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -30,3 +32,14 @@ def test_distinct_corpus_keeps_whole_texts(spark, put):
     sf = put(documents=documents(long + "one", long + "two", long + "one", "short"), conversations=turns("short"))
     got = {(r.text, r.priority, r.id) for r in QUERIES["distinct_corpus"](spark, sf).collect()}
     assert got == {(long + "one", 2, 1), (long + "two", 2, 2), ("short", 1, 1)}
+
+
+def test_token_jaccard_meets_every_item(spark, put):
+    texts = ["the red fox ran", "nothing here", "das grüne Haus über dem Fluß", "", "ran ran far über"]
+    items = ["a fox ran", "red red the", "Über alles", "zzz"]
+    rows = [{"item_id": i, "text": t} for i, t in enumerate(items, 100)]
+    cut = lambda t: set(re.findall(r"[^\W_]+", t.lower()))
+    pairs = [(d, i, cut(a), cut(b)) for d, a in enumerate(texts, 1) for i, b in enumerate(items, 100)]
+    sf = put(documents=documents(*texts), benchmark=rows)
+    got = [(r.doc_id, r.item_id, r.shared, r.together) for r in QUERIES["token_jaccard"](spark, sf).collect()]
+    assert sorted(got) == sorted((d, i, len(a & b), len(a | b)) for d, i, a, b in pairs if a & b)
