@@ -41,7 +41,7 @@ def untranslated(source: Column, target: Column) -> Column:
 
 def plausible_word(word: Column) -> Column:
     """Could be a word: two different letters, a vowel, at most four consonants in a row."""
-    w = F.regexp_replace(word, "[^A-Za-z]+", "")
+    w = F.regexp_replace(F.upper(word), "[^A-Z]+", "")
     vowels = F.length(F.regexp_replace(w, "[^AEIOUYaeiouy]+", ""))
     one = F.length(F.replace(F.lower(w), F.substring(F.lower(w), 1, 1), F.lit(""))) == 0
     return (F.length(w) >= 2) & ~one & (vowels > 0) & ~((F.length(w) > 6) & (100 * vowels < 12 * F.length(w))) & ~w.rlike("[B-DF-HJ-NP-TV-XZb-df-hj-np-tv-xz]{5,}")

@@ -127,7 +127,7 @@ def sound_matches(words: DataFrame, sounds: DataFrame) -> DataFrame:
     """Words that are sound effects, as they are or with drawn-out letters: (id, word, kind, confidence).
 
     ``sounds`` (name, kind) is a dictionary of fixed size."""
-    key = F.upper(F.regexp_replace("word", "[^A-Za-z]+", ""))
+    key = F.regexp_replace(F.upper("word"), "[^A-Z]+", "")
     x = words.withColumn("key", key).where("key <> ''")
     forms = F.array_distinct(F.array("key", F.regexp_replace("key", "([A-Z])\\1{2,}", "$1$1"), F.regexp_replace("key", "([A-Z])\\1{2,}", "$1")))
     met = x.withColumn("form", F.explode(forms)).join(F.broadcast(sounds), F.col("form") == F.col("name"))
@@ -175,7 +175,7 @@ def token_overlaps(docs: DataFrame, items: DataFrame, step: int = 256) -> DataFr
 
 def entities(text: Column) -> Column:
     """Runs of two or more capitalised words."""
-    return F.regexp_extract_all(text, F.lit("\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b"))
+    return F.regexp_extract_all(text, F.lit("(?U)\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b"))
 
 
 def new_terms(candidates: DataFrame, known: DataFrame) -> DataFrame:

@@ -59,8 +59,7 @@ SELECT conv_id, turn, i, CASE WHEN t = '' THEN 'empty' WHEN len(ws) > 0 AND len(
   WHEN contains(upper(t), '{WATERMARKS[0].upper()}') OR contains(upper(t), '{WATERMARKS[1].upper()}') THEN 'watermark' WHEN letters < 2 THEN 'too few letters' WHEN alnum = 0 OR 5 * symbols > 6 * alnum THEN 'abnormal symbol ratio'
   WHEN len(tok) >= 3 AND 5 * single >= 3 * len(tok) THEN 'fragmented tokens' WHEN len(known) = 0 THEN 'no valid word' ELSE 'valid' END AS reason FROM c WHERE NOT regexp_matches(body, '[^\\x00-\\x7F]')""")
 def junk_reason(spark, sf):
-    x = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", tx.SENTENCE_END)).alias("i", "body"))
-    x = x.withColumn("i", (F.col("i") + 1).cast("long")).where(~F.col("body").rlike("[^\\x00-\\x7F]"))
+    x = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", tx.SENTENCE_END)).alias("i", "body")).withColumn("i", (F.col("i") + 1).cast("long"))
     conf = (10 + (F.col("turn") * 7 + F.col("i") * 13) % 90) / 100
     return x.select("conv_id", "turn", "i", tx.junk_reason(F.col("body"), conf, SOUND_WORDS, WATERMARKS, VOCABULARY).alias("reason"))
 
@@ -70,8 +69,7 @@ def junk_reason(spark, sf):
   AND NOT regexp_matches(regexp_replace(w, '[^A-Za-z]+', '', 'g'), '[B-DF-HJ-NP-TV-XZb-df-hj-np-tv-xz]{5,}') AS plausible, n FROM
   (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(trim(text), '\\s+')) AS w FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY w)""")
 def phonotactic_words(spark, sf):
-    d = table(spark, sf, "documents").where(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    words = d.select(F.explode(F.split(F.trim("text"), "\\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = table(spark, sf, "documents").select(F.explode(F.split(F.trim("text"), "\\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     return words.select("w", tx.plausible_word(F.col("w")).alias("plausible"), "n")
 
 
@@ -122,8 +120,7 @@ def naturalness_score(spark, sf):
 
 @register("""SELECT e AS entity, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b')) AS e FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY e""")
 def entity_extract(spark, sf):
-    d = table(spark, sf, "documents").where(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return d.select(F.explode(lx.entities(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
+    return table(spark, sf, "documents").select(F.explode(lx.entities(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
 
 
 @register("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ts FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
@@ -148,9 +145,8 @@ DEMO_SOUNDS = [("THE", "web_speed"), ("ER", "creature_vocal"), ("THING", "impact
 @register(f"""WITH w AS (SELECT doc_id AS id, unnest(list_distinct(regexp_split_to_array(trim(text), '\\s+'))) AS word FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))
 SELECT id, word, kind, 99 AS confidence FROM w JOIN (VALUES {', '.join(str(r) for r in DEMO_SOUNDS)}) s(name, kind) ON upper(regexp_replace(word, '[^A-Za-z]+', '', 'g')) = name""")
 def sfx_dictionary_join(spark, sf):
-    d = table(spark, sf, "documents").where(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    words = d.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.split(F.trim("text"), "\\s+"))).alias("word"))
-    return lx.sound_matches(words, spark.createDataFrame(DEMO_SOUNDS, "name string, kind string")).where("confidence = 99")
+    words = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.split(F.trim("text"), "\\s+"))).alias("word"))
+    return lx.sound_matches(words, spark.createDataFrame(SOUND_ROWS + DEMO_SOUNDS, "name string, kind string"))
 
 
 @register("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

@@ -1,6 +1,7 @@
 """Queries over small tables whose rows used to be cut, against plain restatements."""
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -43,3 +44,32 @@ def test_token_jaccard_meets_every_item(spark, put):
     sf = put(documents=documents(*texts), benchmark=rows)
     got = [(r.doc_id, r.item_id, r.shared, r.together) for r in QUERIES["token_jaccard"](spark, sf).collect()]
     assert sorted(got) == sorted((d, i, len(a & b), len(a | b)) for d, i, a, b in pairs if a & b)
+
+
+MIXED = ["The Große Haus über BOOOM thüing Red Maß Fluß", "Anna Maria Maßlos saw the Green Fox", "plain the the zzxkp BOOM thrrr'ed", "été à Paris Nord"]
+
+
+def plausible(word):
+    w = re.sub("[^A-Z]", "", word.upper())
+    vowels = re.sub("[^AEIOUY]", "", w)
+    return len(w) >= 2 and len(set(w)) > 1 and len(vowels) > 0 and not (len(w) > 6 and len(vowels) / len(w) < 0.12) and not re.search("[B-DF-HJ-NP-TV-XZ]{5}", w)
+
+
+def test_words_of_all_languages(spark, put):
+    sf = put(documents=documents(*MIXED))
+    words = Counter(w for t in MIXED for w in t.split())
+    assert {(r.w, r.plausible, r.n) for r in QUERIES["phonotactic_words"](spark, sf).collect()} == {(w, plausible(w), n) for w, n in words.items()}
+    entities = Counter(e for t in MIXED for e in re.findall(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b", t))
+    assert {(r.entity, r.n) for r in QUERIES["entity_extract"](spark, sf).collect()} == set(entities.items())
+
+
+def test_sounds_of_all_languages_and_confidences(spark, put):
+    got = {(r.id, r.word, r.kind, r.confidence) for r in QUERIES["sfx_dictionary_join"](spark, put(documents=documents(*MIXED))).collect()}
+    assert got == {(1, "The", "web_speed", 99), (1, "BOOOM", "impact_explosion", 95), (1, "thüing", "impact_explosion", 99), (2, "the", "web_speed", 99), (3, "the", "web_speed", 99), (3, "BOOM", "impact_explosion", 99)}
+
+
+def test_turns_of_all_languages(spark, put):
+    sf = put(conversations=turns("Das grüne Haus. Größe über alles!", "grüne Größe", "été", "hiver"))
+    got = {(r.turn, r.i): r.reason for r in QUERIES["junk_reason"](spark, sf).collect()}
+    assert sorted(got) == [(0, 1), (0, 2), (0, 3), (1, 1), (2, 1), (3, 1)] and got[0, 2] == got[1, 1] == "valid" and got[0, 3] == "empty"
+    assert {(r.bubble_id, r.agree) for r in QUERIES["translation_agreement"](spark, sf).collect()} == {(0, True), (1, False), (2, False)}
