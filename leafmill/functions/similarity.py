@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import difflib
 import re
+from array import array
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -25,6 +27,77 @@ def similarity(a: str | None, b: str | None) -> float:
     return min(1.0, max(seq, 0.4 * seq + 0.6 * both / len(x | y), 0.7 * both / min(len(x), len(y)) + 0.3 * seq))
 
 
+def at_least(a: str, b: str, threshold: float) -> bool:
+    """``ratio(a, b) >= threshold``; cheap upper bounds of the ratio come first."""
+    m = difflib.SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+
+
+class Known:
+    """Lines by their source, and whether a new line is ``threshold`` similar to one of them.
+
+    ``similarity`` is only taken where upper bounds allow it: a ratio is at most that of the common
+    letters, and (as u unmatched letters part the others in u + 1 blocks at most) that of the common
+    pairs of letters; common tokens are counted by an inverted index. Letters and pairs are hashed,
+    which can only raise a bound."""
+
+    LETTERS, PAIRS, SLACK = 64, 256, 1e-9
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.place: dict[str, int] = {}
+        self.lines: list[str | None] = []  # a line that was replaced is null
+        self.postings: dict[str, array] = {}
+        self.length, self.n_tokens = np.zeros(16, np.int64), np.zeros(16, np.int64)
+        self.letters, self.pairs = np.zeros((16, self.LETTERS), np.int32), np.zeros((16, self.PAIRS), np.int32)
+
+    def __contains__(self, source: str) -> bool:
+        return source in self.place
+
+    def __getitem__(self, source: str) -> str:
+        return self.lines[self.place[source]]
+
+    def _parts(self, line: str):
+        text = line.lower().strip()
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        letters = np.bincount(codes % self.LETTERS, minlength=self.LETTERS)
+        pairs = np.bincount((codes[:-1] * 31 + codes[1:]) % self.PAIRS, minlength=self.PAIRS)
+        return len(text), letters, pairs, set(re.findall(r"\w+", text))
+
+    def __setitem__(self, source: str, line: str) -> None:
+        if source in self.place:
+            self.lines[self.place[source]] = None
+            self.length[self.place[source]] = -1
+        i = self.place[source] = len(self.lines)
+        self.lines.append(line)
+        if i == len(self.length):
+            for c in ("length", "n_tokens", "letters", "pairs"):
+                x = getattr(self, c)
+                setattr(self, c, np.concatenate([x, np.zeros_like(x)]))
+        self.length[i], self.letters[i], self.pairs[i], tokens = self._parts(line)
+        self.n_tokens[i] = len(tokens)
+        for t in tokens:
+            self.postings.setdefault(t, array("q")).append(i)
+
+    def similar(self, line: str) -> bool:
+        length, letters, pairs, tokens = self._parts(line)
+        t = self.threshold - self.SLACK
+        # under this ratio not even equal tokens make a line similar
+        least = min(t, (t - 0.6) / 0.4, (t - 0.7) / 0.3)
+        other = self.length[: len(self.lines)]
+        near = np.flatnonzero((other >= 0) & (2 * np.minimum(length, other) >= least * (length + other)))
+        total = np.maximum(length + other[near], 1)
+        bound = np.where(length + other[near] == 0, 1.0, 2 * np.minimum(self.letters[near], letters).sum(1) / total)
+        met = [np.frombuffer(self.postings[x], np.int64) for x in tokens if x in self.postings]
+        both = np.bincount(np.concatenate([np.zeros(0, np.int64), *met]), minlength=len(self.lines))[near]
+        either, fewer = len(tokens) + self.n_tokens[near] - both, np.minimum(len(tokens), self.n_tokens[near])
+        best = lambda s, own: np.maximum(s, np.where(fewer[own] > 0, np.maximum(0.4 * s + 0.6 * both[own] / np.maximum(either[own], 1), 0.7 * both[own] / np.maximum(fewer[own], 1) + 0.3 * s), 0.0))
+        own = np.flatnonzero(best(bound, slice(None)) >= t)
+        common = np.minimum(self.pairs[near[own]], pairs).sum(1)
+        closer = np.minimum(bound[own], 2 * (common + total[own] + 1) / (3 * total[own]))
+        return any(similarity(line, self.lines[i]) >= self.threshold for i in near[own[best(closer, own) >= t]])
+
+
 @pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.similarity import fuzzy_unique, ratio, similarity
+from leafmill.functions.similarity import Known, at_least, fuzzy_unique
 from leafmill.operators.grouped import Rows, grouped
 
 
@@ -102,17 +102,17 @@ def captured_edits(edits: DataFrame) -> DataFrame:
     duplicate (a known line is as good as equal), added."""
 
     def fold(rows: Rows) -> Rows:
-        known, out = {}, []
+        known, out = Known(0.94), []
         bare = lambda t: "".join(ch for ch in (t or "").lower() if ch.isalnum())
         for source, before, after in zip(rows["source"], rows["before"], rows["after"]):
             a, b = bare(before), bare(after)
-            if not b or a == b or (min(len(a), len(b)) >= 10 and ratio(a, b) >= 0.94):
+            if not b or a == b or (min(len(a), len(b)) >= 10 and at_least(a, b, 0.94)):
                 out.append("trivial")
             elif bare(source) in known:
                 same = bare(known[bare(source)]) == b
                 out.append("duplicate" if same else "updated")
                 known[bare(source)] = after
-            elif any(similarity(after, k) >= 0.94 for k in known.values()):
+            elif known.similar(after):
                 out.append("duplicate")
             else:
                 out.append("added")

@@ -315,7 +315,7 @@ def fuzzy_unique(spark, sf):
 @register()
 def edit_capture(spark, sf):
     x = view(spark, sf, "turn_pairs_v")
-    return st.captured_edits(x.select(F.col("speaker").alias("key"), (F.col("page_id") * 100 + F.col("bubble_id")).alias("seq"), F.substring("source_text", 1, 12).alias("source"), F.substring("source_text", 1, 200).alias("before"), F.substring("target_text", 1, 200).alias("after")))
+    return st.captured_edits(x.select(F.col("speaker").alias("key"), (F.col("page_id") * 100 + F.col("bubble_id")).alias("seq"), F.col("source_text").alias("source"), F.col("source_text").alias("before"), F.col("target_text").alias("after")))
 
 
 @register()

@@ -1,5 +1,6 @@
 """Queries over small tables whose rows used to be cut, against plain restatements."""
 
+import random
 import re
 from collections import Counter
 
@@ -7,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from leafmill.functions.similarity import Known, similarity
 from leafmill.plans.catalog import QUERIES
 
 
@@ -73,3 +75,32 @@ def test_turns_of_all_languages(spark, put):
     got = {(r.turn, r.i): r.reason for r in QUERIES["junk_reason"](spark, sf).collect()}
     assert sorted(got) == [(0, 1), (0, 2), (0, 3), (1, 1), (2, 1), (3, 1)] and got[0, 2] == got[1, 1] == "valid" and got[0, 3] == "empty"
     assert {(r.bubble_id, r.agree) for r in QUERIES["translation_agreement"](spark, sf).collect()} == {(0, True), (1, False), (2, False)}
+
+
+def test_edits_are_compared_whole(spark, put):
+    head = "many words that stand at the start of each line " * 6
+    texts = [head + "one two", "Answer number one is given", head + "one two", head + "and now a quite different end of the line, with " * 3, head + "three four " * 15, "So is the second answer, in other words"]
+    sf = put(conversations=turns(*texts))
+    got = {r.seq % 100: r.outcome for r in QUERIES["edit_capture"](spark, sf).collect()}
+    # 3: like the line of 1 up to character 200 only; 4: another source than 0, though it starts the same
+    assert got == {0: "added", 1: "added", 2: "updated", 3: "added", 4: "added"}
+
+
+def test_known_lines_are_found_as_by_full_comparison():
+    rng = random.Random(5)
+    words = ["abc", "of", "the", "Haus", "grün", "line", "two", "ß", "running", "x"]
+    known, plain, seen = Known(0.94), {}, set()
+    for i in range(400):
+        line = " ".join(rng.choices(words, k=rng.randint(0, 60)))
+        if plain and rng.random() < 0.7:
+            line = list(rng.choice(list(plain.values())))
+            for _ in range(rng.randint(0, max(1, len(line) // 12))):
+                line.insert(rng.randrange(len(line) + 1), rng.choice("abc dß")) if rng.random() < 0.5 or not line else line.pop(rng.randrange(len(line)))
+            line = "".join(line)
+        want = any(similarity(line, k) >= 0.94 for k in plain.values())
+        assert known.similar(line) == want
+        seen.add(want)
+        source = str(rng.randrange(120))
+        known[source] = plain[source] = line
+        assert source in known and known[source] == line
+    assert seen == {True, False}
