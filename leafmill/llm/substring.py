@@ -7,7 +7,7 @@ samples that occur in two documents can tie to that depth, and no other suffix i
 (A positional difference cover has this property too, but samples three times as many places.)
 
 Samples are dealt to buckets by their leading gram and one bucket is sorted at a time. Ties in
-the gram are resolved by the rank (a hash) of the sample's whole surroundings: samples with
+the gram are resolved by the rank (a 64-bit hash) of the sample's whole surroundings: samples with
 equal surroundings need no further comparison, the smallest document has them first. Only one
 sample for each different surrounding is then compared byte by byte with those of its gram.
 So the memory of a task is that of its bucket, and long copies cost nothing beyond the sort.
@@ -29,7 +29,7 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 #: Text bytes for each bucket; a bucket has a sample for about every 16 of them.
 BUCKET_BYTES = 48_000_000
 STEP_BYTES = 700_000
-RECORD = np.dtype([("gram", "<u8"), ("around", "<u4"), ("doc", "<i8"), ("at", "<i4")])
+RECORD = np.dtype([("gram", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("at", "<i4")])
 #: A gram with more different surroundings than this is compared run by run, over all tasks.
 HOT = 20_000
 
@@ -123,7 +123,7 @@ def _rank(rows: np.ndarray, first: np.ndarray, last: np.ndarray, places: np.ndar
         x = _M3 + ((last - first) * 256 + places - first).astype(np.uint64)
         for j in range(words.shape[1]):
             x = _stir(x * _M1 + words[:, j])
-    return (x >> np.uint64(32)).astype(np.uint32)
+    return x
 
 
 def _samples(length: int, buckets: int):
@@ -163,8 +163,9 @@ def _copies(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         key = x["gram"] * _M3 + x["around"]
     order = np.argsort(key, kind="stable")
-    key, doc = key[order], x["doc"][order]
-    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    key, doc, gram = key[order], x["doc"][order], x["gram"][order]
+    # equal keys and grams have equal surroundings too, 64 bits each
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (gram[1:] != gram[:-1]))) if len(key) else np.zeros(0, np.int64)
     low = np.repeat(np.minimum.reduceat(doc, new), np.diff(np.append(new, len(key)))) if len(key) else doc
     out = np.zeros(len(x), bool)
     out[order] = doc > low

@@ -4,11 +4,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from leafmill.functions.similarity import Known, similarity
+from leafmill.llm import substring
 from leafmill.plans.catalog import QUERIES
 
 
@@ -104,3 +106,20 @@ def test_known_lines_are_found_as_by_full_comparison():
         known[source] = plain[source] = line
         assert source in known and known[source] == line
     assert seen == {True, False}
+
+
+def test_surroundings_with_32_equal_bits_are_no_copies(spark):
+    rng = np.random.default_rng(3)
+    letters = rng.integers(97, 123, (200_000, 80), dtype=np.uint8)
+    grams = substring.gram_hashes(letters[:, :20].reshape(-1))[::20] >> np.uint64(32)
+    letters[:, 30:50] = letters[int(np.argmin(grams)), :20]  # a sample in each text
+    n = len(letters)
+    rank = substring._rank(letters, np.zeros(n, np.int64), np.full(n, 80), np.full(n, 30))
+    half = rank.astype(np.uint64) >> np.uint64(32 if rank.itemsize == 8 else 0)
+    order = np.argsort(half, kind="stable")
+    same = np.flatnonzero(half[order][1:] == half[order][:-1])
+    assert len(same)
+    pairs = [(order[i], order[i + 1]) for i in same]
+    rows = [(2 * k + j, letters[i].tobytes().decode()) for k, pair in enumerate(pairs) for j, i in enumerate(pair)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.n_removed == 0 for r in got)
