@@ -1,15 +1,15 @@
-"""Repeated substrings across documents, by blockwise sorting of suffix buckets.
+"""Repeated substrings across documents, by content-sampled fingerprints; no suffix is sorted.
 
-Removing what repeats needs the suffixes ordered to the depth of ``length`` bytes only. A cover
-sample of positions is taken by content: of each run of ``length`` bytes, the place of its
-smallest gram hash. Equal runs hold the same sample at the same place, so only suffixes around
-samples that occur in two documents can tie to that depth, and no other suffix is sorted.
+A sample of positions is taken by content: of each run of ``length`` bytes, the place of its
+smallest gram hash. Equal runs hold the same sample at the same place, so only runs around
+samples that occur in two documents can be equal, and no other run is compared.
 (A positional difference cover has this property too, but samples three times as many places.)
 
-Samples are dealt to buckets by their leading gram and one bucket is sorted at a time. Ties in
-the gram are resolved by the rank (a 64-bit hash) of the sample's whole surroundings: samples with
+Samples are dealt to buckets by their gram and one bucket is sorted by gram hash at a time. Ties
+in the gram are resolved by the rank (a 64-bit hash) of the sample's whole surroundings: samples with
 equal surroundings need no further comparison, the smallest document has them first. Only one
-sample for each different surrounding is then compared byte by byte with those of its gram.
+sample for each different surrounding is then compared with those of its gram, by two 64-bit
+hashes of each run.
 So the memory of a task is that of its bucket, and long copies cost nothing beyond the sort.
 """
 
