@@ -35,7 +35,8 @@ def grouped(df: DataFrame, key: list[str], order: list[str], each: Callable[[Row
                     continue
                 part = [c[start:i] for c in columns]
                 if held is not None and keys[start] == now:
-                    held = [a + b for a, b in zip(held, part)]
+                    for a, b in zip(held, part):
+                        a.extend(b)
                 else:
                     if held is not None:
                         out(dict(zip(names, held)))

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.geometry import Box, colour_distance
 from leafmill.operators.grouped import Rows, grouped
 
 
-def _beside(lines: DataFrame, rects: DataFrame) -> DataFrame:
+BAND = 64
+
+
+def _in_bands(items: DataFrame, top: Column, bottom: Column) -> DataFrame:
+    return items.withColumn("band", F.explode(F.sequence(F.floor(top / BAND), F.floor(F.greatest(top, bottom) / BAND))))
+
+
+def _beside(lines: DataFrame, rects: DataFrame, reach: int = 0) -> DataFrame:
+    """Lines and rectangles (r_...) of a page that overlap in height, or lie at most ``reach`` apart.
+
+    Both are dealt to horizontal bands of their page, so that a crowded page is not met all with
+    all; a pair is kept in its first common band."""
     r = rects.select("page_id", "rect_idx", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
-    return lines.join(r, "page_id")
+    r, top = _in_bands(r, F.col("r_y0"), F.col("r_y1")), F.floor((F.col("y0") - reach) / BAND)
+    met = _in_bands(lines, F.col("y0") - reach, F.col("y1") + reach).join(r, ["page_id", "band"])
+    return met.where(F.col("band") == F.greatest(top, F.floor(F.col("r_y0") / BAND))).drop("band")
 
 
 def claim_lines(lines: DataFrame, rects: DataFrame, least: float = 0.5) -> DataFrame:
@@ -26,7 +39,7 @@ def nearest_rect(lines: DataFrame, rects: DataFrame, band: int = 40) -> DataFram
     free = lines.join(claim_lines(lines, rects), ["page_id", "seq"], "left_anti")
     line, rect = Box.of(), Box.of("r_")
     square = F.pow(line.gap_x(rect), 2) + F.pow(line.gap_y(rect), 2)
-    near = _beside(free, rects).withColumn("square", square.cast("long")).where(F.col("square") <= band * band)
+    near = _beside(free, rects, band).withColumn("square", square.cast("long")).where(F.col("square") <= band * band)
     return near.groupBy("page_id", "seq").agg(F.min(F.struct("square", "rect_idx")).alias("m")).select("page_id", "seq", F.col("m.rect_idx").alias("rect_idx"), F.col("m.square").alias("square_distance"))
 
 
@@ -44,9 +57,9 @@ def adjacent(lines: DataFrame, gap: int = 35, overlap: float = 0.35) -> DataFram
     part = lambda lo, hi, size, other: F.greatest(F.lit(0), hi - lo) >= overlap * F.greatest(F.lit(1), F.least(size, other))
     h = part(F.greatest(a.x0, o.x0), F.least(a.x1, o.x1), a.width, o.width)
     v = part(F.greatest(a.y0, o.y0), F.least(a.y1, o.y1), a.height, o.height)
-    left, right = lines.alias("l"), b.alias("r")
-    cond = (F.col("l.page_id") == F.col("r.page_id")) & (F.col("l.seq") != F.col("b_seq")) & (((a.gap_y(o) <= gap) & h) | ((a.gap_x(o) <= gap) & v))
-    return left.join(right, cond, "left_semi").select("page_id", "seq")
+    near = ((a.gap_y(o) <= gap) & h) | ((a.gap_x(o) <= gap) & v)
+    met = _in_bands(lines, a.y0 - gap, a.y1 + gap).join(_in_bands(b, o.y0, o.y1), ["page_id", "band"])
+    return met.where((F.col("seq") != F.col("b_seq")) & near).select("page_id", "seq").distinct()
 
 
 def best_match(boxes: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -55,7 +68,7 @@ def best_match(boxes: DataFrame, candidates: DataFrame) -> DataFrame:
     Scores are whole numbers (millionths), so that they do not depend on rounding; ties go to the
     smaller seq. ``phase`` tells which rule matched."""
     c, g = Box.of(), Box.of("r_")
-    met = _beside(candidates, boxes)
+    met = _beside(candidates, boxes, 100)  # the farthest gap that proximity allows
     inter = c.intersection(g)
     ca, ga = F.greatest(F.lit(1), c.area), F.greatest(F.lit(1), g.area)
     milli = lambda top, bottom: F.floor(1_000_000 * top.cast("long") / bottom).cast("long")
@@ -76,9 +89,13 @@ def best_match(boxes: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def seam_dedupe(first: DataFrame, second: DataFrame, dx: int = 25, dy: int = 18) -> DataFrame:
     """Both tiles' items, without those of the second whose centre is near one of the first."""
-    a = first.select("page_id", *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")]).alias("a")
+    a = first.select("page_id", *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
+    middle = F.floor((F.col("a_y0") + F.col("a_y1")) / 2)
+    a = _in_bands(a, middle - dy, middle + dy).alias("a")  # where the centre of a copy may lie
+    b = second.withColumn("band", F.floor(F.floor((F.col("y0") + F.col("y1")) / 2) / BAND)).alias("b")
     close = (F.abs(F.col("a_x0") + F.col("a_x1") - F.col("b.x0") - F.col("b.x1")) < 2 * dx) & (F.abs(F.col("a_y0") + F.col("a_y1") - F.col("b.y0") - F.col("b.y1")) < 2 * dy)
-    return first.unionByName(second.alias("b").join(a, (F.col("b.page_id") == F.col("a.page_id")) & close, "left_anti"))
+    same = (F.col("b.page_id") == F.col("a.page_id")) & (F.col("b.band") == F.col("a.band"))
+    return first.unionByName(b.join(a, same & close, "left_anti").drop("band"))
 
 
 def nearest_signature(queries: DataFrame, signatures: DataFrame, most: float = 160.0, least: float = 0.5) -> DataFrame:

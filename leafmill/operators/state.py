@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions.similarity import Known, at_least, fuzzy_unique
 from leafmill.operators.grouped import Rows, grouped
@@ -17,18 +19,22 @@ def admit(requests: DataFrame, cap: int) -> DataFrame:
     """Requests (key, period, seq, amount) with ``admitted``: what fits under ``cap`` in its period, in order.
 
     A large request that does not fit does not block a later small one, so a running sum does not
-    do: the amounts of a period are folded in order. A key's period is one bounded group."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "amount")))
-    grouped = requests.groupBy("key", "period").agg(ordered.alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("ok"))
+    do. A task walks over its sorted rows and keeps one number, however many rows a period has."""
 
-    def step(s: Column, x: Column) -> Column:
-        fits = s["used"] + x["amount"] <= cap
-        return F.struct((s["used"] + F.when(fits, x["amount"]).otherwise(0)).alias("used"), F.concat(s["ok"], F.array(fits)).alias("ok"))
+    def run(batches):
+        used, now = 0, None
+        for batch in batches:
+            fits = []
+            for key, period, amount in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                if (key, period) != now:
+                    used, now = 0, (key, period)
+                fits.append(used + (amount or 0) <= cap)
+                used += (amount or 0) * fits[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fits, pa.bool_())], [*batch.schema.names, "admitted"])
 
-    done = grouped.withColumn("ok", F.aggregate("xs", start, step)["ok"])
-    flat = done.select("key", "period", F.explode(F.arrays_zip("xs", "ok")).alias("z"))
-    return flat.select("key", "period", F.col("z.xs.seq").alias("seq"), F.col("z.xs.amount").alias("amount"), F.col("z.ok").alias("admitted"))
+    rows = requests.select("key", "period", "seq", "amount")
+    schema = T.StructType([*rows.schema.fields, T.StructField("admitted", T.BooleanType())])
+    return rows.repartition("key", "period").sortWithinPartitions("key", "period", "seq").mapInArrow(run, schema)
 
 
 def quota_status(usage: DataFrame, config: DataFrame, period: str) -> DataFrame:
@@ -64,26 +70,43 @@ def merged_signatures(samples: DataFrame, near: float = 30.0) -> DataFrame:
     """Running colour signatures of each key from samples (key, seq, colours, weights) in order.
 
     A new colour near a known one is blended into it by 1 / (samples + 1), else added with that
-    share of its weight; weights are then normalised. Order decides; a key is one group."""
-
-    def fold(rows: Rows) -> Rows:
-        colours, weights = [], []
-        for n, (new, share) in enumerate(zip(rows["colours"], rows["weights"])):
-            a = 1 / (n + 1)
-            for c, w in zip(new, share):
-                far = [sum((x - y) ** 2 for x, y in zip(c, k)) ** 0.5 for k in colours]
-                if far and min(far) < near:
-                    i = far.index(min(far))
-                    colours[i] = [int(k * (1 - a) + x * a) for k, x in zip(colours[i], c)]
-                    weights[i] = weights[i] * (1 - a) + w * a
-                else:
-                    colours.append(list(c))
-                    weights.append(w * a)
-            total = sum(weights) or 1.0
-            weights = [round(w / total, 3) for w in weights]
-        return {"key": rows["key"][:1], "colours": [colours], "weights": [weights], "samples": [len(rows["key"])]}
-
-    return grouped(samples.select("key", "seq", "colours", "weights"), ["key"], ["seq"], fold, "key long, colours array<array<int>>, weights array<double>, samples int")
+    share of its weight; weights are then normalised. Order decides: a task walks over its sorted
+    rows and keeps the signature of one key, not its samples."""
+
+    def merge(colours: list, weights: list, n: int, new: list, share: list) -> list:
+        a = 1 / (n + 1)
+        for c, w in zip(new, share):
+            far = [sum((x - y) ** 2 for x, y in zip(c, k)) ** 0.5 for k in colours]
+            if far and min(far) < near:
+                i = far.index(min(far))
+                colours[i] = [int(k * (1 - a) + x * a) for k, x in zip(colours[i], c)]
+                weights[i] = weights[i] * (1 - a) + w * a
+            else:
+                colours.append(list(c))
+                weights.append(w * a)
+        total = sum(weights) or 1.0
+        return [round(w / total, 3) for w in weights]
+
+    names = ["key", "colours", "weights", "samples"]
+    kinds = [pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.float64()), pa.int32()]
+
+    def run(batches):
+        now, colours, weights, n = None, [], [], 0
+        done: list[tuple] = []
+        for batch in batches:
+            for key, new, share in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if n and key != now:
+                    done.append((now, colours, weights, n))
+                    colours, weights, n = [], [], 0
+                now, weights = key, merge(colours, weights, n, new, share)
+                n += 1
+        if n:
+            done.append((now, colours, weights, n))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names)
+
+    rows = samples.select("key", "seq", "colours", "weights")
+    return rows.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, "key long, colours array<array<int>>, weights array<double>, samples int")
 
 
 def unique_facts(facts: DataFrame, threshold: float = 0.65) -> DataFrame:
