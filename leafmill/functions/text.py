@@ -88,7 +88,11 @@ def review_reason(source: Column, target: Column, failed: Column | None = None,
     return out.when(drops_sentence(s, t), "sentence_drop")
 
 
-def naturalness(text: Column, stiff: list[str], endings: list[str], idioms: list[str], pronouns: str | None = None) -> Column:
+#: Borders of a word, as any regular-expression engine reads them.
+WORD_START, WORD_END = "(^|[^\\p{L}\\p{N}_])", "([^\\p{L}\\p{N}_]|$)"
+
+
+def naturalness(text: Column, stiff: list[str], endings: list[str], idioms: list[str], pronouns: list[str] | None = None) -> Column:
     """A score in hundredths: 100, less 25 for each stiff pattern and 20 for a repeated pronoun, and
     15 more for each natural ending, 10 for each idiom. A blank text scores 0."""
     low = F.lower(F.trim(text))
@@ -97,7 +101,8 @@ def naturalness(text: Column, stiff: list[str], endings: list[str], idioms: list
         for p in patterns:
             score = score + F.when(low.rlike(p), points).otherwise(0)
     if pronouns:
-        score = score - F.when(low.rlike(f"\\b({pronouns})\\b.*\\b\\1\\b"), 20).otherwise(0)
+        twice = [low.rlike(f"(?s){WORD_START}{p}[^\\p{{L}}\\p{{N}}_](.*[^\\p{{L}}\\p{{N}}_])?{p}{WORD_END}") for p in pronouns]
+        score = score - F.when(_any(*twice), 20).otherwise(0)
     return F.when(F.coalesce(low, F.lit("")) == "", 0).otherwise(score)
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from leafmill.functions import sounds as sound
+
 # Kinds of entries, methods, and which methods a kind may use.
 ENTRY_TYPES = ("title", "character_name", "real_person", "term")
 METHODS = ("meaning", "transliteration", "transliteration_override", "fixed")
@@ -124,16 +126,18 @@ def masking(terms: list[tuple[str, str]]):
 
 
 def sound_matches(words: DataFrame, sounds: DataFrame) -> DataFrame:
-    """Words that are sound effects, as they are or with drawn-out letters: (id, word, kind, confidence).
-
-    ``sounds`` (name, kind) is a dictionary of fixed size."""
-    key = F.regexp_replace(F.upper("word"), "[^A-Z]+", "")
-    x = words.withColumn("key", key).where("key <> ''")
-    forms = F.array_distinct(F.array("key", F.regexp_replace("key", "([A-Z])\\1{2,}", "$1$1"), F.regexp_replace("key", "([A-Z])\\1{2,}", "$1")))
-    met = x.withColumn("form", F.explode(forms)).join(F.broadcast(sounds), F.col("form") == F.col("name"))
-    exact = (F.col("form") == F.col("key")).cast("int")
-    best = met.groupBy("id", "word").agg(F.max(F.struct(exact.alias("exact"), "kind")).alias("m"))
-    return best.select("id", "word", F.col("m.kind").alias("kind"), F.when(F.col("m.exact") == 1, 99).otherwise(95).alias("confidence"))
+    """Words that are sound effects, as they are or with drawn-out letters: (id, word, kind, confidence in percent).
+
+    ``sounds`` (name, kind, rank, sure) is a dictionary of fixed size; of several kinds the lowest
+    rank counts. A drawn-out match has 95 at most, and is only tried with entries that have a kind
+    (sure of 0.99). Words are looked up once each, however often they occur."""
+    once = words.select("word").distinct().withColumn("core", sound.core_of(F.col("word"))).withColumn("key", sound.letters_of(F.col("core")))
+    once = once.where((F.col("key") != "") & ~F.col("key").isin(*sound.SPOKEN))
+    met = once.withColumn("form", F.explode(sound.forms(F.col("core")))).join(F.broadcast(sounds), F.col("form") == F.col("name"))
+    exact, sure = (F.col("form") == F.col("key")) | (F.col("form") == F.col("core")), F.round(100 * F.col("sure")).cast("int")
+    met = met.where(exact | (sure >= 99)).withColumn("confidence", F.when(exact, sure).otherwise(F.least(sure, F.lit(95))))
+    best = met.groupBy("word").agg(F.min(F.struct("rank", (-F.col("confidence")).alias("neg"), "kind")).alias("m"))
+    return words.join(best, "word").select("id", "word", F.col("m.kind").alias("kind"), (-F.col("m.neg")).alias("confidence"))
 
 
 def token_overlaps(docs: DataFrame, items: DataFrame, step: int = 256) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from leafmill.functions import emphasis as em
 from leafmill.functions import lettering, similarity
+from leafmill.functions import sounds as sd
 from leafmill.functions import text as tx
 from leafmill.operators import lexicon as lx
 from leafmill.operators import quality as qa
@@ -31,7 +33,7 @@ def dictionary_hash(spark, sf):
     return lx.term_hash(table(spark, sf, "part").select(F.col("p_brand").alias("kind"), F.col("p_name").alias("k"), F.col("p_type").alias("v")))
 
 
-@register("""WITH a AS (SELECT conv_id AS id, turn, text, 1 AS priority FROM conversations UNION ALL SELECT doc_id, 0, left(text, 80), 2 FROM documents)
+@register("""WITH a AS (SELECT conv_id AS id, turn, text, 1 AS priority FROM conversations UNION ALL SELECT doc_id, 0, text, 2 FROM documents)
 SELECT text, priority, id FROM a QUALIFY row_number() OVER (PARTITION BY text ORDER BY priority, id, turn) = 1""")
 def distinct_corpus(spark, sf):
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "turn", "text", F.lit(1).alias("priority"))
@@ -42,7 +44,7 @@ def distinct_corpus(spark, sf):
 
 # ---- predicates over text ----
 
-SOUND_WORDS = sorted({w for ws in lettering.SOUND_KINDS.values() for w in ws})
+SOUND_WORDS = sorted({w for ws in sd.KINDS.values() for w in ws})
 WATERMARKS = ["readallcomics", "licensed under"]
 VOCABULARY = "THE AND OF TO IN IT IS THAT WITH".split()
 _list = lambda words: ", ".join(f"'{w}'" for w in words)
@@ -51,23 +53,22 @@ SENTENCES_SQL = "s AS (SELECT conv_id, turn, i, list_extract(ps, i) AS body FROM
 
 @register(f"""WITH {SENTENCES_SQL},
 b AS (SELECT *, trim(body) AS t, 10 + (turn * 7 + i * 13) % 90 AS conf FROM s),
-w AS (SELECT *, list_filter(list_transform(regexp_extract_all(upper(t), '[A-Z'']+'), lambda x: replace(x, '''', '')), lambda x: x <> '') AS ws, length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS letters,
+w AS (SELECT *, list_filter(list_transform(regexp_extract_all(upper(replace(t, 'ß', 'SS')), '[A-Z'']+'), lambda x: replace(x, '''', '')), lambda x: x <> '') AS ws, length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS letters,
   length(regexp_replace(t, '[^A-Za-z0-9]+', '', 'g')) AS alnum, length(regexp_replace(t, '[A-Za-z0-9\\s]+', '', 'g')) AS symbols, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS tok FROM b),
 c AS (SELECT *, len(list_filter(tok, lambda x: length(x) = 1)) AS single, list_filter(ws, lambda x: x IN ({_list(VOCABULARY)}, 'A', 'I') OR (conf >= 25 AND length(x) >= 2 AND length(replace(x, x[1], '')) > 0
   AND regexp_matches(x, '[AEIOUY]') AND NOT (length(x) > 6 AND 100 * length(regexp_replace(x, '[^AEIOUY]+', '', 'g')) < 12 * length(x)) AND NOT regexp_matches(x, '[B-DF-HJ-NP-TV-XZ]{{5,}}'))) AS known FROM w)
 SELECT conv_id, turn, i, CASE WHEN t = '' THEN 'empty' WHEN len(ws) > 0 AND len(list_filter(ws, lambda x: x NOT IN ({_list(SOUND_WORDS)}))) = 0 THEN 'sfx' WHEN conf < 12 THEN 'low_conf'
   WHEN contains(upper(t), '{WATERMARKS[0].upper()}') OR contains(upper(t), '{WATERMARKS[1].upper()}') THEN 'watermark' WHEN letters < 2 THEN 'too few letters' WHEN alnum = 0 OR 5 * symbols > 6 * alnum THEN 'abnormal symbol ratio'
-  WHEN len(tok) >= 3 AND 5 * single >= 3 * len(tok) THEN 'fragmented tokens' WHEN len(known) = 0 THEN 'no valid word' ELSE 'valid' END AS reason FROM c WHERE NOT regexp_matches(body, '[^\\x00-\\x7F]')""")
+  WHEN len(tok) >= 3 AND 5 * single >= 3 * len(tok) THEN 'fragmented tokens' WHEN len(known) = 0 THEN 'no valid word' ELSE 'valid' END AS reason FROM c""")
 def junk_reason(spark, sf):
     x = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", tx.SENTENCE_END)).alias("i", "body")).withColumn("i", (F.col("i") + 1).cast("long"))
     conf = (10 + (F.col("turn") * 7 + F.col("i") * 13) % 90) / 100
     return x.select("conv_id", "turn", "i", tx.junk_reason(F.col("body"), conf, SOUND_WORDS, WATERMARKS, VOCABULARY).alias("reason"))
 
 
-@register("""SELECT w, regexp_matches(lower(w), '[aeiouy]') AND length(regexp_replace(w, '[^A-Za-z]+', '', 'g')) >= 2 AND length(replace(lower(regexp_replace(w, '[^A-Za-z]+', '', 'g')), lower(left(regexp_replace(w, '[^A-Za-z]+', '', 'g'), 1)), '')) > 0
-  AND NOT (length(regexp_replace(w, '[^A-Za-z]+', '', 'g')) > 6 AND 100 * length(regexp_replace(w, '[^AEIOUYaeiouy]+', '', 'g')) < 12 * length(regexp_replace(w, '[^A-Za-z]+', '', 'g')))
-  AND NOT regexp_matches(regexp_replace(w, '[^A-Za-z]+', '', 'g'), '[B-DF-HJ-NP-TV-XZb-df-hj-np-tv-xz]{5,}') AS plausible, n FROM
-  (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(trim(text), '\\s+')) AS w FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY w)""")
+@register("""SELECT w, length(x) >= 2 AND length(replace(x, x[1], '')) > 0 AND regexp_matches(x, '[AEIOUY]') AND NOT (length(x) > 6 AND 100 * length(regexp_replace(x, '[^AEIOUY]+', '', 'g')) < 12 * length(x))
+  AND NOT regexp_matches(x, '[B-DF-HJ-NP-TV-XZ]{5,}') AS plausible, n FROM
+  (SELECT w, regexp_replace(upper(replace(w, 'ß', 'SS')), '[^A-Z]+', '', 'g') AS x, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(trim(text), '\\s+')) AS w FROM documents) GROUP BY w)""")
 def phonotactic_words(spark, sf):
     words = table(spark, sf, "documents").select(F.explode(F.split(F.trim("text"), "\\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     return words.select("w", tx.plausible_word(F.col("w")).alias("plausible"), "n")
@@ -108,24 +109,26 @@ def archetype_class(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.first_group(F.col("text"), GROUPS).alias("archetype"))
 
 
-STIFF, ENDINGS, IDIOMS = ["the the", "of of"], ["[a-z]+tion[ .,]", "[a-z]+ing[ .,]"], ["in the", "of the"]
+STIFF, ENDINGS, IDIOMS, PRONOUNS = ["the the", "of of"], ["[a-z]+tion[ .,]", "[a-z]+ing[ .,]"], ["in the", "of the"], ["it", "on", "es", "il"]
 
 
 @register(f"""SELECT doc_id, 100 - {' - '.join(f"CASE WHEN regexp_matches(t, '{p}') THEN 25 ELSE 0 END" for p in STIFF)} + {' + '.join(f"CASE WHEN regexp_matches(t, '{p}') THEN 15 ELSE 0 END" for p in ENDINGS)}
-  + {' + '.join(f"CASE WHEN regexp_matches(t, '{p}') THEN 10 ELSE 0 END" for p in IDIOMS)} AS score FROM (SELECT doc_id, lower(trim(text)) AS t FROM documents) WHERE t <> ''""")
+  + {' + '.join(f"CASE WHEN regexp_matches(t, '{p}') THEN 10 ELSE 0 END" for p in IDIOMS)} - CASE WHEN {' OR '.join(f"regexp_matches(t, '(?s){tx.WORD_START}{p}[^\\p{{L}}\\p{{N}}_](.*[^\\p{{L}}\\p{{N}}_])?{p}{tx.WORD_END}')" for p in PRONOUNS)} THEN 20 ELSE 0 END AS score FROM (SELECT doc_id, lower(trim(text)) AS t FROM documents) WHERE t <> ''""")
 def naturalness_score(spark, sf):
     d = table(spark, sf, "documents").where(F.trim("text") != "")
-    return d.select("doc_id", tx.naturalness(F.col("text"), STIFF, ENDINGS, IDIOMS).alias("score"))
+    return d.select("doc_id", tx.naturalness(F.col("text"), STIFF, ENDINGS, IDIOMS, PRONOUNS).alias("score"))
 
 
-@register("""SELECT e AS entity, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b')) AS e FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY e""")
+@register("""WITH t AS (SELECT regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_]+') AS xs FROM documents),
+m AS (SELECT array_to_string(list_transform(xs, lambda x: CASE WHEN regexp_matches(x, '^[\\p{L}\\p{M}\\p{N}_]') AND NOT regexp_matches(x, '^[A-Z][a-z]+$') THEN '|' ELSE x END), '') AS t FROM t)
+SELECT e AS entity, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+')) AS e FROM m) GROUP BY e""")
 def entity_extract(spark, sf):
     return table(spark, sf, "documents").select(F.explode(lx.entities(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
 
 
-@register("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ts FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
-b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS bs FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))
-SELECT doc_id, item_id, len(list_intersect(ts, bs)) AS shared, len(ts) + len(bs) - len(list_intersect(ts, bs)) AS together FROM t JOIN b ON b.item_id = t.doc_id % 40""")
+@register("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+')) AS ts FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+')) AS bs FROM benchmark),
+x AS (SELECT doc_id, item_id, count(*) AS shared FROM (SELECT doc_id, unnest(ts) AS w FROM t) JOIN (SELECT item_id, unnest(bs) AS w FROM b) USING (w) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared, len(ts) + len(bs) - shared AS together FROM x JOIN t USING (doc_id) JOIN b USING (item_id)""")
 def token_jaccard(spark, sf):
     d = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", tx.tokens(F.col("text")).alias("ts"))
     b = table(spark, sf, "benchmark").where(F.col("text").isNotNull()).select("item_id", tx.tokens(F.col("text")).alias("bs"))
@@ -138,15 +141,21 @@ def leak_candidates(spark, sf):
     return d.where(tx.letters_key(F.col("text")).rlike("^(the|it|on)")).select("doc_id", (F.length("text") > 0).alias("has_text"), "source")
 
 
-SOUND_ROWS = [(w, k) for k, ws in lettering.SOUND_KINDS.items() for w in ws]
-DEMO_SOUNDS = [("THE", "web_speed"), ("ER", "creature_vocal"), ("THING", "impact_explosion"), ("ED", "mechanical_tech")]
+#: Words of the corpus' own language that count as sounds, next to the dictionary: (name, kind, rank, confidence).
+HOUSE_SOUNDS = [("THE", "web_speed", 1, 0.99), ("ER", "creature_vocal", 4, 0.99), ("THING", "impact_explosion", 0, 0.99), ("ED", "mechanical_tech", 2, 0.99)]
+SOUND_ROWS = sd.dictionary() + HOUSE_SOUNDS
 
 
-@register(f"""WITH w AS (SELECT doc_id AS id, unnest(list_distinct(regexp_split_to_array(trim(text), '\\s+'))) AS word FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))
-SELECT id, word, kind, 99 AS confidence FROM w JOIN (VALUES {', '.join(str(r) for r in DEMO_SOUNDS)}) s(name, kind) ON upper(regexp_replace(word, '[^A-Za-z]+', '', 'g')) = name""")
+@register(f"""WITH s(name, kind, rank, sure) AS (VALUES {', '.join(f"('{n.replace("'", "''")}', '{k}', {r}, {round(c * 100)})" for n, k, r, c in SOUND_ROWS)}),
+w AS (SELECT doc_id AS id, unnest(list_distinct(regexp_split_to_array(trim(text), '\\s+'))) AS word FROM documents),
+d AS (SELECT word, {sd.sql_core('word')} AS core FROM (SELECT DISTINCT word FROM w)), k AS (SELECT word, core, {sd.sql_letters('core')} AS key FROM d),
+f AS (SELECT word, core, key, unnest(list_distinct([core, key, {sd.sql_shortened('key', 2)}, {sd.sql_shortened('key', 1)}])) AS form FROM k WHERE key <> '' AND key NOT IN ({_list(sd.SPOKEN)})),
+m AS (SELECT word, kind, rank, CASE WHEN form IN (core, key) THEN sure ELSE least(sure, 95) END AS confidence FROM f JOIN s ON form = name WHERE sure >= 99 OR form IN (core, key)),
+b AS (SELECT word, kind, confidence FROM m QUALIFY row_number() OVER (PARTITION BY word ORDER BY rank, confidence DESC) = 1)
+SELECT id, word, kind, confidence FROM w JOIN b USING (word)""")
 def sfx_dictionary_join(spark, sf):
     words = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.split(F.trim("text"), "\\s+"))).alias("word"))
-    return lx.sound_matches(words, spark.createDataFrame(SOUND_ROWS + DEMO_SOUNDS, "name string, kind string"))
+    return lx.sound_matches(words, spark.createDataFrame(SOUND_ROWS, "name string, kind string, rank int, sure double"))
 
 
 @register("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -273,10 +282,15 @@ def event_window_counts(spark, sf):
 # ---- the rule engine over derived records ----
 
 
-@register(f"""SELECT page_id, bubble_id, 'translation_sentence_drop' AS pattern_name, 'translation_validation' AS stage, 'flag_for_review' AS severity, 'resolved' AS action_taken FROM turn_pairs_v WHERE {DROP}
-UNION ALL SELECT page_id, bubble_id, 'translation_cross_check_mismatch', 'translation_validation', 'flag_for_review', 'resolved' FROM turn_pairs_v WHERE (page_id + bubble_id) % 5 = 0""")
+@register(f"SELECT page_id, bubble_id, 'translation_sentence_drop' AS pattern_name, 'translation_validation' AS stage, 'flag_for_review' AS severity, 'resolved' AS action_taken FROM turn_pairs_v WHERE {DROP}")
+def gate_sentence_drops(spark, sf):
+    x = view(spark, sf, "turn_pairs_v").withColumn("cross_check_mismatch", F.lit(False))
+    return qa.event_log(qa.apply_stage(x, "translation_validation"), "page_id", "bubble_id")
+
+
+@register()
 def gate_translation_events(spark, sf):
-    x = view(spark, sf, "turn_pairs_v").withColumn("cross_check_mismatch", (F.col("page_id") + F.col("bubble_id")) % 5 == 0)
+    x = view(spark, sf, "turn_pairs_v").withColumn("cross_check_mismatch", similarity.cross_check_mismatch("source_text", "target_text"))
     return qa.event_log(qa.apply_stage(x, "translation_validation"), "page_id", "bubble_id")
 
 
@@ -315,7 +329,7 @@ def fuzzy_unique(spark, sf):
 @register()
 def edit_capture(spark, sf):
     x = view(spark, sf, "turn_pairs_v")
-    return st.captured_edits(x.select(F.col("speaker").alias("key"), (F.col("page_id") * 100 + F.col("bubble_id")).alias("seq"), F.col("source_text").alias("source"), F.col("source_text").alias("before"), F.col("target_text").alias("after")))
+    return st.captured_edits(x.select(F.concat_ws("/", "page_id", "speaker").alias("key"), (F.col("page_id") * 100 + F.col("bubble_id")).alias("seq"), F.col("source_text").alias("source"), F.col("source_text").alias("before"), F.col("target_text").alias("after")))
 
 
 @register()
@@ -325,18 +339,34 @@ def ema_signature(spark, sf):
     return st.merged_signatures(e.select(F.col("label").cast("long").alias("key"), F.col("vec_id").alias("seq"), F.array(colour(0), colour(3)).alias("colours"), F.array(F.lit(0.6), F.lit(0.4)).alias("weights")))
 
 
-@register()
+TOKENS = "regexp_extract_all({}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
+_cased = lambda seen, w: f"CASE WHEN {seen} = upper({seen}) THEN '{w.upper()}' WHEN {seen} = lower({seen}) THEN '{w}' WHEN {seen}[1] = upper({seen}[1]) THEN '{w.capitalize()}' ELSE '{w}' END"
+
+
+@register(f"""WITH t AS (SELECT doc_id, {TOKENS.format('text')} AS xs FROM documents), p AS (SELECT doc_id, xs, list_transform(xs, lambda x, i: lower(x) = 'of' AND xs[i + 1] = ' ' AND lower(xs[i + 2]) = 'the') AS hit FROM t)
+SELECT doc_id, array_to_string(list_transform(xs, lambda x, i: CASE WHEN hit[i] THEN {_cased("(x || ' ' || xs[i + 2])", 'uning')} WHEN coalesce(hit[i - 1], FALSE) OR coalesce(hit[i - 2], FALSE) THEN ''
+  WHEN lower(x) = 'thing' THEN {_cased('x', 'narsa')} WHEN lower(x) = 'the' THEN {_cased('x', 'ul')} ELSE x END), '') AS text FROM p""")
 def glossary_case_enforce(spark, sf):
     return table(spark, sf, "documents").select("doc_id", lx.enforcement({"the": "ul", "thing": "narsa", "of the": "uning"})("text").alias("text"))
 
 
-@register()
+FOLDS = [("the the ", "the "), ("[ \\t]{2,}", " "), ("(?i)of of ", "of ")]
+
+
+def _folded_sql(flags: str) -> str:
+    out = "text"
+    for pattern, plain in FOLDS:
+        out = f"regexp_replace({out}, '{pattern}', '{plain}', '{flags}')"
+    return out
+
+
+@register(f"SELECT doc_id, {_folded_sql('g')} AS native, {_folded_sql('gi')} AS compiled FROM documents")
 def rule_fold(spark, sf):
-    rules = [("\\bthe the\\b", "the"), ("\\s{2,}", " "), ("(?i)\\bof of\\b", "of")]
-    return table(spark, sf, "documents").select("doc_id", lx.folded(F.col("text"), rules).alias("native"), lx.rule_function(rules)("text").alias("compiled"))
+    return table(spark, sf, "documents").select("doc_id", lx.folded(F.col("text"), FOLDS).alias("native"), lx.rule_function(FOLDS)("text").alias("compiled"))
 
 
-@register()
+@register(f"""WITH m AS (SELECT conv_id, turn, array_to_string(list_transform({TOKENS.format('text')}, lambda x: CASE lower(x) WHEN 'the' THEN 'XNAME_THE_X' WHEN 'thing' THEN 'XNAME_THING_X' ELSE x END), '') AS masked FROM conversations)
+SELECT conv_id, turn, masked, replace(replace(masked, 'XNAME_THE_X', 'the'), 'XNAME_THING_X', 'thing') AS unmasked FROM m""")
 def mask_round_trip(spark, sf):
     mask, unmask = lx.masking([("the", "XNAME_THE_X"), ("thing", "XNAME_THING_X")])
     back = F.create_map(*[F.lit(v) for kv in (("XNAME_THE_X", "the"), ("XNAME_THING_X", "thing")) for v in kv])
@@ -344,9 +374,49 @@ def mask_round_trip(spark, sf):
     return x.select("conv_id", "turn", "masked", unmask("masked", back).alias("unmasked"))
 
 
-@register()
+EMPHASIS_SQL = f"""x AS (SELECT id, t0, t0[1:2] = '**' AND t0[-2:] = '**' AND NOT contains(regexp_replace(t0[3:length(t0) - 2], '^\\s+|\\s+$', '', 'g'), '**') AS around, regexp_split_to_array(t0, '\\s+') AS w0 FROM t),
+y AS (SELECT id, CASE WHEN around OR (len(w0) > 1 AND 10 * len(list_filter(w0, lambda w: contains(w, '**'))) >= 8 * len(w0)) THEN regexp_replace(replace(t0, '**', ''), '^\\s+|\\s+$', '', 'g') ELSE t0 END AS t FROM x),
+z AS (SELECT id, t, regexp_matches(t, '{em.BOLD}') AND list_sum(list_transform(regexp_extract_all(t, '{em.BOLD_INSIDE}', 1), lambda i: len(list_filter(regexp_split_to_array(i, '\\s+'), lambda w: w <> '')))) BETWEEN 1 AND least(3, 0.4 * len(regexp_split_to_array(t, '\\s+'))) AS stays FROM y),
+l AS (SELECT id, t, ln, unnest(string_split(t, chr(10))[ln:ln]) AS line FROM (SELECT id, t, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS ln FROM z WHERE NOT coalesce(stays, FALSE) AND t <> '')),
+s AS (SELECT id, ln, si, ss[si] AS sentence, ' ' || array_to_string(list_transform(regexp_split_to_array(ss[si], '\\s+'), lambda w: lower(regexp_replace(w, '[^{em.LETTER}''-]+', '', 'g'))), ' ') || ' ' AS joined,
+  len(regexp_split_to_array(ss[si], '\\s+')) AS n FROM (SELECT id, ln, ss, unnest(range(1, len(ss) + 1)) AS si FROM
+  (SELECT id, ln, list_filter(list_transform(string_split(regexp_replace(line, '([.!?…])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda q: regexp_replace(q, '^\\s+|\\s+$', '', 'g')), lambda q: q <> '') AS ss FROM l))),
+p AS (SELECT *, CASE {' '.join(f"WHEN n > 2 AND contains(joined, ' {q.replace(chr(39), chr(39) * 2)} ') THEN length(joined[1:instr(joined, ' {q.replace(chr(39), chr(39) * 2)} ')]) - length(replace(joined[1:instr(joined, ' {q.replace(chr(39), chr(39) * 2)} ')], ' ', '')) - 1" for q in em.PHRASES)} ELSE -1 END AS phrase FROM s),
+w AS (SELECT *, regexp_split_to_array(sentence, '\\s+')[i + 1] AS word, string_split(joined, ' ')[i + 2] AS bare FROM (SELECT *, unnest(range(0, n)) AS i FROM p)),
+v AS (SELECT *, CASE WHEN bare = '' OR bare IN ({_list(w.replace("'", "''") for w in em.UNSTRESSED)}) THEN NULL
+  {' '.join(f"WHEN bare IN ({_list(w.replace(chr(39), chr(39) * 2) for w in words)}) THEN {n}" for n, words in em.TIERS.items() if n >= 25)}
+  WHEN regexp_matches(bare, '({'|'.join(em.STRESSED_ENDINGS)})$') THEN 25 WHEN bare IN ({_list(w.replace("'", "''") for w in em.TIERS[20])}) THEN 20 WHEN contains(word, '!') AND length(bare) >= 3 THEN 15 END AS score,
+  CASE WHEN length(bare) >= 3 AND bare NOT IN ({_list(w.replace("'", "''") for w in em.UNSTRESSED)}) THEN i END AS weighty, CASE WHEN bare IN ({_list(w.replace("'", "''") for w in em.URGENT)}) AND contains(word, '!') THEN i END AS call FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, ln, si ORDER BY score DESC NULLS LAST, i) AS place, max(weighty) OVER (PARTITION BY id, ln, si) AS heavy, min(call) OVER (PARTITION BY id, ln, si) AS called FROM v),
+g AS (SELECT id, ln, si, max(CASE WHEN place = 1 AND score IS NOT NULL THEN i END) AS best, max(CASE WHEN place = 2 AND score >= 25 THEN i END) AS next_one FROM r GROUP BY id, ln, si),
+h AS (SELECT r.*, regexp_matches(sentence, '{em.BOLD}') AS marked, CASE WHEN n <= 2 THEN called WHEN phrase >= 0 THEN NULL ELSE coalesce(best, CASE WHEN contains(sentence, '!') THEN heavy END) END AS one,
+  CASE WHEN n >= 8 AND phrase < 0 AND abs(next_one - best) >= 2 THEN next_one END AS two FROM r JOIN g USING (id, ln, si)),
+o AS (SELECT id, ln, si, any_value(sentence) AS sentence, bool_or(marked) AS marked, any_value(n) AS n, any_value(called) AS called, string_agg(CASE
+  WHEN i = one OR i = two THEN CASE WHEN word[1:2] = '**' AND word[-2:] = '**' THEN word WHEN regexp_matches(word, '{em.WORD.replace(chr(39), chr(39) * 2)}') THEN regexp_replace(word, '{em.WORD.replace(chr(39), chr(39) * 2)}', '\\1**\\2**\\3') ELSE '**' || word || '**' END
+  WHEN phrase >= 0 AND i = phrase THEN regexp_replace(word, '{em.OPENERS.replace(chr(39), chr(39) * 2)}', '\\1**') WHEN phrase >= 0 AND i = phrase + 1 THEN regexp_replace(word, '{em.CLOSERS.replace(chr(39), chr(39) * 2)}', '**\\1') ELSE word END, ' ' ORDER BY i) AS told FROM h GROUP BY id, ln, si),
+e AS (SELECT id, ln, string_agg(CASE WHEN marked OR (n <= 2 AND called IS NULL) THEN sentence ELSE told END, ' ' ORDER BY si) AS line FROM o GROUP BY id, ln),
+u AS (SELECT l.id, string_agg(coalesce(e.line, ''), chr(10) ORDER BY l.ln) AS told FROM l LEFT JOIN e USING (id, ln) GROUP BY l.id)
+SELECT z.id, CASE WHEN z.t = '' THEN '' WHEN coalesce(stays, FALSE) THEN z.t ELSE u.told END AS text FROM z LEFT JOIN u USING (id)"""
+
+
+@register(f"WITH t AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t0 FROM conversations), {EMPHASIS_SQL}")
 def emphasis(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", lettering.emphasis_of("text").alias("text"))
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), em.emphasis(F.col("text")).alias("text"))
+
+
+STRESSED_SQL = f"""list_concat(list_filter(list_transform(regexp_extract_all(s, '{em.BOLD_INSIDE}', 1), lambda w: lower(regexp_replace(w, '[^{em.LETTER}''-]+', '', 'g'))), lambda w: w <> '' AND w NOT IN ({_list(w.replace("'", "''") for w in em.UNSTRESSED)})),
+  CASE WHEN regexp_matches(s, '\\p{{Ll}}') THEN list_filter(list_transform(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: upper(replace(w, 'ß', 'SS')) = w AND lower(w) <> w), lambda w: lower(regexp_replace(w, '[^{em.LETTER}''-]+', '', 'g'))), lambda w: length(w) >= 2 AND w NOT IN ({_list(em.GLUE)})) ELSE [] END)"""
+
+
+@register(f"SELECT page_id, bubble_id, {STRESSED_SQL} AS stressed FROM (SELECT page_id, bubble_id, coalesce(source_text, '') AS s FROM turn_pairs_v)")
+def stressed_source_words(spark, sf):
+    return view(spark, sf, "turn_pairs_v").select("page_id", "bubble_id", em.stressed_words(F.col("source_text")).alias("stressed"))
+
+
+@register()
+def emphasis_projection(spark, sf):
+    x = view(spark, sf, "turn_pairs_v")
+    return x.select("page_id", "bubble_id", em.projected(F.col("source_text"), F.col("target_text")).alias("projected"))
 
 
 @register()
@@ -355,7 +425,12 @@ def syllables(spark, sf):
     return words.select("word", lettering.syllables_of("word").alias("syllables"))
 
 
-@register()
+PARTED_SQL = f"array_to_string(list_transform(string_split(core, '-'), lambda x: coalesce({sd.sql_known(sd.sql_core('x'), 'm')}, {sd.sql_by_letters(sd.sql_core('x'))}) || regexp_extract(x, '({sd.TAIL})', 1)), '-')"
+
+
+@register(f"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM documents), d AS (SELECT {sd.sql_map()} AS m),
+c AS (SELECT word, m, regexp_extract(word, '({sd.TAIL})', 1) AS tail, {sd.sql_core('word')} AS core FROM w, d)
+SELECT word, coalesce({sd.sql_known('core', 'm')}, CASE WHEN contains(core, '-') THEN {PARTED_SQL} END, {sd.sql_by_letters('core')}) || tail AS written FROM c""")
 def transliterate(spark, sf):
     words = table(spark, sf, "documents").select(F.explode(F.split("text", "\\s+")).alias("word")).distinct()
-    return words.select("word", lettering.transliteration_of("word").alias("written"))
+    return words.select("word", sd.spelling(F.col("word")).alias("written"))

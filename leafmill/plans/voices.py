@@ -32,8 +32,7 @@ def numbered_prompts(spark, sf):
 NOT_A, NOT_B = "(^| )(not|no|the|nicht)( |$)", "(^| )(of|and|und)( |$)"
 
 
-@register(f"""WITH t AS (SELECT page_id, bubble_id, source_text AS s, target_text AS b, list_distinct(regexp_extract_all(lower(source_text), '[a-z0-9]+')) AS ta, list_distinct(regexp_extract_all(lower(target_text), '[a-z0-9]+')) AS tb FROM turn_pairs_v
-  WHERE NOT regexp_matches(source_text || target_text, '[^\\x00-\\x7F]'))
+@register(f"""WITH t AS (SELECT page_id, bubble_id, source_text AS s, target_text AS b, list_distinct(regexp_extract_all(lower(source_text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS ta, list_distinct(regexp_extract_all(lower(target_text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS tb FROM turn_pairs_v)
 SELECT page_id, bubble_id, len(ta) > 0 AND len(tb) > 0 AND NOT (regexp_matches(s, '{NOT_B}') <> regexp_matches(b, '{NOT_B}') AND regexp_matches(b, '{NOT_B}') <> regexp_matches(s, '{NOT_A}'))
   AND 100 * len(list_intersect(ta, tb)) >= 15 * greatest(1, least(len(ta), len(tb))) AS agree FROM t""")
 def translation_agreement(spark, sf):
@@ -55,7 +54,7 @@ def neck_search(spark, sf):
     return x.where("n is not null").select("vec_id", "n.at", "n.ratio")
 
 
-@register()
+@register("""SELECT conv_id, turn, regexp_extract_all('[{"id": 1, "text": "' || regexp_replace(text, '["\\\\\n]', ' ', 'g') || '"}, {"text": "cut', '"text"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)"', 1) AS found FROM conversations""")
 def broken_json_strings(spark, sf):
     x = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit('[{"id": 1, "text": "'), F.regexp_replace("text", '["\\\\\\\\\n]', " "), F.lit('"}, {"text": "cut')).alias("j"))
     return x.select("conv_id", "turn", tx.json_strings(F.col("j"), "text").alias("found"))

@@ -1,13 +1,18 @@
 """Text rules, lexicon, lettering, the rule engine and keyed state on cases with known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill.functions import emphasis as em
 from leafmill.functions import lettering as lt
+from leafmill.functions import sounds as sd
 from leafmill.functions import text as tx
 from leafmill.functions.similarity import fuzzy_unique, similarity
 from leafmill.operators import lexicon as lx
 from leafmill.operators import quality as qa
+from leafmill.operators import records as rc
 from leafmill.operators import state as st
 
 
@@ -28,14 +33,75 @@ def test_hyphens():
     assert lt.balanced("a bb ccc dddd".split(), [6, 8]) is not None and lt.balanced(["toolongword"], [4]) is None
 
 
-@pytest.mark.parametrize("text, part", [("MEN HECH QACHON TASLIM BO'LMAYMAN!", "**HECH QACHON**"), ("BU JUDA XAVFLI BO'LIB QOLDI.", "**JUDA**"), ("TO'XTA, NIMA QILYAPSAN?!", "**TO'XTA**"), ("**BU BUTUNLAY NOTO'G'RI BO'LGAN ISH**", "BU **BUTUNLAY** NOTO'G'RI")])
-def test_emphasis(text, part):
-    assert part in lt.emphasise(text)
-    assert lt.emphasise("Katta rahmat.") == "Katta rahmat."
-
-
-def test_sounds():
-    assert [lt.transliterated(x) for x in ("BOOM!", "BOOOOM", "KA-BOOM", "THWACK")] == ["BUM!", "BUUUUM", "KA-BUM", "TVAK"]
+def told(spark, text, source=None):
+    given = None if source is None else F.lit(source)
+    return spark.range(1).select(em.emphasis(F.lit(text), given)).first()[0]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("MEN HECH QACHON TASLIM BO'LMAYMAN!", "MEN **HECH QACHON** TASLIM BO'LMAYMAN!"),
+        ("BU JUDA XAVFLI BO'LIB QOLDI.", "BU **JUDA** XAVFLI BO'LIB QOLDI."),
+        ("TO'XTA, NIMA QILYAPSAN?!", "**TO'XTA**, NIMA QILYAPSAN?!"),
+        ("UNI TO'XTATISHIMIZ SHART!", "UNI TO'XTATISHIMIZ **SHART**!"),
+        ("**BU BUTUNLAY NOTO'G'RI BO'LGAN ISH**", "BU **BUTUNLAY** NOTO'G'RI BO'LGAN ISH"),
+        ("U **AYNAN** O'SHA ODAM EDI.", "U **AYNAN** O'SHA ODAM EDI."),
+        ("Katta rahmat.", "Katta rahmat."),
+        ("Qoch!", "**Qoch**!"),
+        ("Bu kun juda uzoq edi va endi yordam kerak.", "Bu kun **juda** uzoq edi va endi **yordam** kerak."),
+        ("Eng yaxshi kun shu edi, keyin kerak.", "**Eng** yaxshi kun shu edi, keyin kerak."),
+        ("Men uni ko'rdim, o'sha daraxtni!", "Men uni ko'rdim, o'sha **daraxtni**!"),
+        ("Biz keldik. \nU (juda) yaxshi.\n\nHa.", "Biz keldik.\nU (**juda**) yaxshi.\n\nHa."),
+        ("", ""),
+        (None, ""),
+    ],
+)
+def test_emphasis(spark, text, want):
+    assert told(spark, text) == want
+
+
+def test_emphasis_of_the_source(spark):
+    assert told(spark, "MEN HECH QACHON TASLIM BO'LMAYMAN!", "I will NEVER surrender!") == "MEN **HECH QACHON** TASLIM BO'LMAYMAN!"
+    assert told(spark, "Unga yordam bering, tez.", "I need **help** now") == "Unga **yordam** bering, tez."
+    assert one(spark, em.stressed_words(F.col("a")), a="He said **not you** and RUN to THE door I") == ["notyou", "run"]
+    assert one(spark, em.projected(F.col("a"), F.col("b")), a="nothing here", b="bu yer") is None
+
+
+SOUNDS = [("BOOM!", "BUM!"), ("BOOOOM", "BUUUUM"), ("KA-BOOM", "KA-BUM"), ("THWACK", "TVAK"), ("  whoosh... ", "VUSH..."), ("CRAAASH", "CRAAASH"), ("ROAAAR", "NAAA'RAAA"), ("KRA-KOOM?", "KRA-KUM?"), ("x-BAM!-quee", "KS-BEM!-QUI"), ("", ""), (None, "")]
+
+
+def test_sounds(spark, duck):
+    assert [one(spark, sd.spelling(F.col("a").cast("string")), a=x) for x, _ in SOUNDS[:5]] == [y for _, y in SOUNDS[:5]]
+    core, known = sd.sql_core("w"), sd.sql_known("core", "m")
+    sql = f"SELECT coalesce({known}, {sd.sql_by_letters('core')}) FROM (SELECT {core} AS core, {sd.sql_map()} AS m FROM (SELECT ? AS w))"
+    for word, _ in SOUNDS[:2]:
+        assert duck.execute(sql, [word]).fetchone()[0] == one(spark, sd.spelling(F.col("a")), a=word).rstrip("!")
+    rows = spark.createDataFrame([(1, "BOOOOM!"), (1, "boom"), (2, "stop"), (2, "KA-POU"), (3, "SHHH"), (3, "12"), (4, None)], "id int, word string")
+    names = spark.createDataFrame(sd.dictionary(), "name string, kind string, rank int, sure double")
+    got = {(r.word, r.kind, r.confidence) for r in lx.sound_matches(rows, names).collect()}
+    assert got == {("BOOOOM!", "impact_explosion", 95), ("boom", "impact_explosion", 99), ("KA-POU", "impact_explosion", 99), ("SHHH", "human_vocal_bodily", 95)}
+
+
+def test_lettering(spark):
+    rows = spark.createDataFrame([("bu qahramonimiz keldi",), (None,)], "t string")
+    assert [r[0] for r in rows.select(lt.wrapped("t", F.lit(9))).collect()] == [["bu qahra-", "monimiz", "keldi"], []]
+    rng = random.Random(1)
+    for _ in range(30):
+        mask = [[rng.random() < 0.7 for _ in range(6)] for _ in range(5)]
+        x, y, w, h = lt.inscribed(mask)
+        best = max((c - a) * (d - b) for a in range(7) for c in range(a, 7) for b in range(6) for d in range(b, 6) if all(mask[j][i] for j in range(b, d) for i in range(a, c)))
+        assert w * h == best and all(mask[j][i] for j in range(y, y + h) for i in range(x, x + w))
+
+
+def test_candidates_and_choices(spark):
+    verdict = lambda text, kind, w, h, sound=False: one(spark, rc.candidate_verdict(F.col("t"), F.lit(kind), F.lit(w), F.lit(h), F.lit(100), F.lit(450), F.lit(sound)), t=text)
+    assert verdict("OK", "speech", 8, 30) == "too small" and verdict("12", "speech", 30, 30) == "no letters"
+    assert verdict("BOOM", "art", 30, 30, True) == "sound" and verdict("BOOM", "speech", 30, 30, True) == "kept"
+    assert verdict("CITY HOSPITAL", "sign", 120, 20) == "sign" and verdict("CITY HOSPITAL", "sign", 30, 20) == "kept" and verdict("To the hospital!", "sign", 120, 20) == "kept"
+    assert verdict("XY", "sign", 120, 20) == "background"
+    pick = lambda a, b, agrees: one(spark, rc.better_base(F.col("x"), F.col("y"), F.lit(a), F.lit(b), F.lit(agrees)), x="own", y="other")
+    assert [pick(10, 20, True).text, pick(20, 20, True).text, pick(10, 20, False).source, pick(10, 20, None).source] == ["other", "own", "own", "own"]
 
 
 def test_sentence_rules(spark):
