@@ -119,3 +119,29 @@ def chord_width(offset: Column, half: Column, width: Column, margin: float = 0.9
     """The width that a rounded shape leaves at a row ``offset`` from its middle."""
     n = F.least(F.lit(1.0), F.abs(offset) / F.greatest(F.lit(1), half))
     return width * margin * F.sqrt(F.greatest(F.lit(0.12), 1 - n * n))
+
+
+def contained_shape(box: Box, page_width: int, page_height: int) -> Column:
+    """(points, is_rectangle): what stands for a contour that has run out into the art around a text box.
+
+    A box three times as long in one direction as in the other gets a rectangle around it, others
+    an ellipse of 61 points. Cosines are whole millionths and halves go to even places, so that
+    points do not depend on the engine."""
+    w, h = F.greatest(F.lit(10), box.width), F.greatest(F.lit(10), box.height)
+    cx, cy = F.floor((box.x0 + box.x1) / 2), F.floor((box.y0 + box.y1) / 2)
+    hold = lambda v, most: F.greatest(F.lit(0), F.least(F.lit(most - 1), v)).cast("int")
+    point = lambda x, y: F.array(hold(x, page_width), hold(y, page_height))
+    x0, y0, x1, y1 = box.x0 - 18, box.y0 - 12, box.x1 + 18, box.y1 + 12
+    rectangle = F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1))
+    rx = F.greatest(F.lit(15), F.least(F.floor(w * 0.58), F.floor(box.width / 2) + 15))
+    ry = F.greatest(F.lit(12), F.least(F.floor(h * 0.62), F.floor(box.height / 2) + 12))
+    millionths = lambda v: F.floor(v * 1_000_000 + 0.5)
+
+    def on(middle: Column, radius: Column, v: Column) -> Column:
+        total = middle * 1_000_000 + radius * millionths(v)
+        near = F.floor((total + 500_000) / 1_000_000)
+        return near - F.when((F.pmod(total, F.lit(1_000_000)) == 500_000) & (near % 2 != 0), 1).otherwise(0)
+
+    ellipse = F.transform(F.sequence(F.lit(0), F.lit(360), F.lit(6)), lambda a: point(on(cx, rx, F.cos(F.radians(a))), on(cy, ry, F.sin(F.radians(a)))))
+    long = (w >= 3 * h) | (h >= 3 * w)
+    return F.struct(F.when(long, rectangle).otherwise(ellipse).alias("points"), long.alias("is_rectangle"))

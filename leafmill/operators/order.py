@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.grouped import Rows, grouped
@@ -13,13 +13,15 @@ def assign_panels(items: DataFrame, panels: DataFrame) -> DataFrame:
 
     ``panels`` is a page layout of fixed size (panel_idx, px0, py0, px1, py1)."""
     cx2, cy2 = F.col("x0") + F.col("x1"), F.col("y0") + F.col("y1")
-    inside = cx2.between(2 * F.col("px0"), 2 * F.col("px1")) & cy2.between(2 * F.col("py0"), 2 * F.col("py1"))
-    far = F.pow(F.col("px0") + F.col("px1") - cx2, 2) + F.pow(F.col("py0") + F.col("py1") - cy2, 2)
-    rank = F.struct((~inside).cast("int").alias("out"), F.when(inside, 0.0).otherwise(far).alias("far"), "panel_idx")
     layout = panels.agg(F.array_sort(F.collect_list(F.struct("panel_idx", "px0", "py0", "px1", "py1"))).alias("layout"))
     # the layout is one small row: each item picks among its panels without meeting other items
-    picked = items.join(F.broadcast(layout)).withColumn("p", F.explode("layout")).select(*items.columns, "p.*")
-    return picked.groupBy(*items.columns).agg(F.min(rank).alias("r")).select(*items.columns, F.col("r.panel_idx").alias("panel_idx"))
+
+    def rank(p) -> Column:
+        inside = cx2.between(2 * p["px0"], 2 * p["px1"]) & cy2.between(2 * p["py0"], 2 * p["py1"])
+        far = F.pow(p["px0"] + p["px1"] - cx2, 2) + F.pow(p["py0"] + p["py1"] - cy2, 2)
+        return F.struct((~inside).cast("int").alias("out"), F.when(inside, 0.0).otherwise(far).alias("far"), p["panel_idx"].alias("panel_idx"))
+
+    return items.join(F.broadcast(layout)).select(*items.columns, F.array_min(F.transform("layout", rank))["panel_idx"].alias("panel_idx"))
 
 
 def row_major(boxes: list[tuple], overlap: float) -> list[int]:
@@ -77,6 +79,33 @@ def page_reading_order(items: DataFrame, panels: DataFrame) -> DataFrame:
     return placed.select("page_id", "seq", "panel_idx", "place", index.alias("reading_index"))
 
 
+def baseline_order(items: DataFrame, share: float = 0.45, least: float = 8.0) -> DataFrame:
+    """(page_id, seq, row, place): rows of lines that share a baseline, read from the left.
+
+    Lines come by the height of their middle; a line joins the first row whose mean middle is nearer
+    than ``share`` of the page's median line height. The mean moves as lines join, so each page is
+    one group of its (few) lines."""
+
+    def order(rows: Rows) -> Rows:
+        heights = sorted(max(1, b - a) for a, b in zip(rows["y0"], rows["y1"]))
+        n = len(heights)
+        near = max(least, share * (heights[n // 2] if n % 2 else (heights[n // 2 - 1] + heights[n // 2]) / 2))
+        bands: list[list] = []  # [sum of middles, members]
+        middle = [(a + b) / 2 for a, b in zip(rows["y0"], rows["y1"])]
+        for i in sorted(range(n), key=lambda i: middle[i]):
+            home = next((x for x in bands if abs(middle[i] - x[0] / len(x[1])) < near), None)
+            if home is None:
+                bands.append([middle[i], [i]])
+            else:
+                home[0] += middle[i]
+                home[1].append(i)
+        bands.sort(key=lambda x: x[0] / len(x[1]))
+        at = [(r, i) for r, x in enumerate(bands, 1) for i in sorted(x[1], key=lambda i: rows["x0"][i])]
+        return {c: [rows[c][i] for _, i in at] for c in ("page_id", "seq")} | {"row": [r for r, _ in at], "place": list(range(1, n + 1))}
+
+    return grouped(items.select("page_id", "seq", "x0", "y0", "x1", "y1"), ["page_id"], ["seq"], order, "page_id long, seq int, row int, place int")
+
+
 def banded(items: DataFrame, band: int) -> DataFrame:
     """Places 1..N on each page by bands of ``band`` pixels, then from the left."""
     order = Window.partitionBy("page_id").orderBy(F.floor(F.col("y0") / band), "x0", "seq")

@@ -40,10 +40,11 @@ def rules(constriction: float = 0.65, margin: float = 12.0, tolerance: float = 3
     return (
         Rule("sfx_false_positive", "ocr_filtering", lambda: dark() | banner() | (~tint() & (c("mean_saturation") > 85) & (c("bright_ratio") < 0.15)), drop=True),
         Rule("diamond_rule_line_split", "line_pairing", lambda: (c("gap_y") <= c("max_dy")) & (c("gap_x") > 0) & (c("c_dist") <= F.greatest(c("wider_half") * c("tolerance"), c("max_dx"))), {"allow_connection": lambda: F.lit(True)}),
+        Rule("background_art_leak", "contour_extraction", lambda: c("misplaced") | c("low_solidity") | (c("ratio_to_text") > c("effective_ratio_cap")) | (c("border_touch") & (c("ratio_to_roi") > c("roi_leak_ratio"))), {"contour": lambda: c("contained")["points"], "is_rectangular_fill": lambda: c("contained")["is_rectangle"]}),
         Rule("earpiece_rect_misclassification", "bubble_inpainting", lambda: (c("z_order") == 0) & (c("shape_type") == "rectangle"), {"shape_type": lambda: F.lit("oval")}),
         Rule("empty_fragment", "bubble_validation", lambda: F.trim(F.coalesce("original_text", F.lit(""))) == "", drop=True),
         Rule("sliver_too_small_for_text", "fragment_processing", lambda: (F.length(F.trim("text")) >= 8) & ((c("area") < 1200) | (c("h") < 15) | (c("w") < 25)), {"quality_warning": lambda: F.lit("sliver_too_small_for_text")}, "flag_for_review"),
-        Rule("residual_ink_under_lettering", "post_clean", lambda: c("residual_ink_count") > 30),
+        Rule("residual_ink_under_lettering", "post_clean", lambda: c("residual_ink_count") > 30, {"needs_second_pass": lambda: F.lit(True)}),
         Rule("conjoined_bubble_constriction_split", "bubble_segmentation", lambda: ((c("constriction_ratio") <= 0.88) | c("is_multi_lobe")) & c("has_split_lines"), {"is_split": lambda: F.lit(True)}),
         Rule("caption_shape_destruction", "bubble_inpainting", lambda: (c("fill_ratio") < 0.94) & ((c("shape_type") == "rectangle") | c("is_rectangular_fill")), {"shape_type": lambda: F.lit("shaped_caption"), "is_rectangular_fill": lambda: F.lit(False)}),
         Rule("touching_bubbles_merged", "bubble_review_edit", lambda: (c("has_split_lines") & (c("constriction_ratio") <= constriction)) | c("is_touching_merged"), {"is_split": lambda: F.lit(True)}),

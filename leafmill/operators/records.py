@@ -127,3 +127,61 @@ def neck(profile: Column, most: float) -> Column:
     at = q + F.array_position(middle, low).cast("int")
     ratio = F.floor(1000 * low / F.greatest(F.lit(1), F.least(left, right))).cast("long")
     return F.when((q > 0) & (ratio <= int(1000 * most)), F.struct(at.alias("at"), ratio.alias("ratio")))
+
+
+def image_statistics(pixels: DataFrame, key: list[str], bright: int = 170, dark: int = 130) -> DataFrame:
+    """Statistics of images whose pixels are rows (key, v): n, mean, median, p75, std, max_val, n_bright, n_dark.
+
+    The deviation is taken from whole-number sums, so that it does not depend on their order."""
+    v, n = F.col("v").cast("long"), F.count("v")
+    spread = F.sqrt((n * F.sum(v * v) - F.sum(v) * F.sum(v)).cast("double")) / n
+    return pixels.groupBy(*key).agg(n.alias("n"), (F.sum(v) / n).alias("mean"), F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.75).alias("p75"), spread.alias("std"), F.max("v").alias("max_val"), F.count_if(v > bright).alias("n_bright"), F.count_if(v < dark).alias("n_dark"))
+
+
+# Marks and words of speech, and what signs of places end on.
+SPEECH_MARKS = ('"', "'", "“", "”", "...", "…", "!", "?", ",", ";", ":")
+SPEECH_WORDS = (
+    "you i we he she they it are is was were am my your his her their our the this that not no to in on at by for with from and but or so if "
+    "what why how when where who yes yeah ok okay"
+).split()
+PLACES = "INSTITUTE|UNIVERSITY|HOSPITAL|LABORATORY|BUILDING|CENTER|TOWER|CORP|DEPARTMENT|POLICE|STATION|ACADEMY|AVENUE|STREET|BLVD|HIGH SCHOOL"
+SIGN = f"(?i)^(THE\\s+)?([A-Z0-9\\s-]+)?({PLACES})$"
+
+
+def reads_as_speech(text: Column) -> Column:
+    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9']+)"))
+    marked = F.lit(False)
+    for mark in SPEECH_MARKS:
+        marked = marked | text.contains(mark)
+    return marked | (F.size(words) >= 4) | F.exists(words, lambda w: w.isin(*SPEECH_WORDS))
+
+
+def candidate_verdict(text: Column, kind: Column, width: Column, height: Column, top: Column, page_height: Column, is_sound: Column, p90: Column | None = None) -> Column:
+    """Why a text candidate is no dialogue, the first rule that matches, else 'kept'.
+
+    ``kind`` is what the reader took it for; ``p90`` the brightness of its crop, where known."""
+    t = F.trim(text)
+    letters, aspect = F.length(F.regexp_replace(t, "[^a-zA-Z]+", "")), width / height
+    loose = ~reads_as_speech(t) & (kind != "speech")
+    small = loose & (letters < 4) & ((aspect >= 5) | ((top < F.floor(page_height * 0.05)) & (aspect >= 4)))
+    if p90 is not None:
+        small = small | (loose & (letters < 4) & (p90 < 100))
+    return (
+        F.when((width <= 10) | (height <= 10), "too small").when(letters < 1, "no letters")
+        .when(is_sound & ~kind.isin("speech", "caption", "thought"), "sound").when(loose & t.rlike(SIGN) & (aspect >= 3), "sign")
+        .when(small, "background").otherwise("kept")
+    )
+
+
+def fragments(lines: DataFrame, boxes: DataFrame, margin: int = 15) -> DataFrame:
+    """Each box (page_id, rect_idx, ...) with its lines in order: those whose middle is at most ``margin`` outside."""
+    b = boxes.select("page_id", "rect_idx", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
+    cx, cy = F.expr("(x0 + x1) div 2"), F.expr("(y0 + y1) div 2")
+    near = cx.between(F.col("r_x0") - margin, F.col("r_x1") + margin) & cy.between(F.col("r_y0") - margin, F.col("r_y1") + margin)
+    return lines.join(b, "page_id").where(near).groupBy("page_id", "rect_idx").agg(F.array_sort(F.collect_list("seq")).alias("lines"))
+
+
+def better_base(own: Column, other: Column, own_score: Column, other_score: Column, agrees: Column) -> Column:
+    """(text, source): the other translation where it agrees and is more natural, else the own one."""
+    wins = F.coalesce(agrees & (other_score > own_score), F.lit(False))
+    return F.struct(F.when(wins, other).otherwise(own).alias("text"), F.when(wins, "other").otherwise("own").alias("source"))

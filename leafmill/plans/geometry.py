@@ -196,13 +196,33 @@ def signature_nearest(spark, sf):
     return mt.nearest_signature(e.select("id", "v"), known, least=-1e9).select("id", "name")
 
 
-@register()
+def _meets(a: str, b: str) -> dict[str, str]:
+    inter = f"(greatest(0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0)))"
+    return {"inter": inter, "area_a": f"(({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0))", "area_b": f"(({b}.x1 - {b}.x0) * ({b}.y1 - {b}.y0))"}
+
+
+_m = _meets("a", "x[1]")
+BOX = "'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1"
+
+
+@register(f"""WITH g AS (SELECT page_id, list([{{'seq': seq, {BOX}, 'k': seq % 3}}] ORDER BY conf_pct DESC, seq) AS xs FROM lines_v GROUP BY page_id),
+r AS (SELECT page_id, xs, list_reduce(xs, lambda kept, x: CASE WHEN len(list_filter(kept, lambda a: {_m['inter']} > 0
+  AND (100 * {_m['inter']} >= 40 * ({_m['area_a']} + {_m['area_b']} - {_m['inter']}) OR 100 * {_m['inter']} >= 65 * greatest(1, {_m['area_b']}) OR 100 * {_m['inter']} >= 65 * greatest(1, {_m['area_a']}))
+  AND NOT (a.k <> x[1].k AND 100 * {_m['inter']} < 88 * greatest(1, {_m['area_b']}) AND 100 * {_m['inter']} < 88 * greatest(1, {_m['area_a']})))) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept FROM g)
+SELECT page_id, x[1].seq AS seq, list_contains(list_transform(kept, lambda k: k.seq), x[1].seq) AS kept FROM (SELECT page_id, kept, unnest(xs) AS x FROM r)""")
 def nms_dedupe(spark, sf):
     lines = view(spark, sf, "lines_v")
     return mt.suppress(lines.withColumn("score", F.col("conf_pct")).withColumn("text_key", F.concat(F.lit("t"), F.col("seq") % 3)))
 
 
-@register()
+_OVER = f"100 * {_m['inter']} > 40 * greatest(1, {_m['area_a']} + {_m['area_b']} - {_m['inter']})"
+_AT = f"coalesce(list_position(list_transform(out, lambda a: {_OVER}), true), 0)"
+
+
+@register(f"""WITH g AS (SELECT page_id, list([{{'second': seq % 2 <> 0, {BOX}}}] ORDER BY seq % 2, seq) AS xs FROM lines_v GROUP BY page_id),
+r AS (SELECT page_id, list_reduce(xs, lambda out, x: CASE WHEN x[1].second AND {_AT} > 0 THEN list_transform(out, lambda o, i: CASE WHEN i = {_AT}
+  THEN {{'second': o.second, 'x0': least(o.x0, x[1].x0), 'y0': least(o.y0, x[1].y0), 'x1': greatest(o.x1, x[1].x1), 'y1': greatest(o.y1, x[1].y1)}} ELSE o END) ELSE list_concat(out, x) END) AS out FROM g)
+SELECT page_id, o.x0 AS x0, o.y0 AS y0, o.x1 AS x1, o.y1 AS y1 FROM (SELECT page_id, unnest(out) AS o FROM r)""")
 def envelope_merge(spark, sf):
     lines = view(spark, sf, "lines_v")
     return mt.merge_envelopes(lines.withColumn("pass", F.when(F.col("seq") % 2 == 0, 1).otherwise(2)))
@@ -218,7 +238,14 @@ def page_reading_order(spark, sf):
     return od.page_reading_order(view(spark, sf, "lines_v"), view(spark, sf, "panels_v"))
 
 
-@register()
+_FITS = "least(x[1].l[1].y1, l.y1) - greatest(x[1].l[1].y0, l.y0) > CAST(0.35 AS DOUBLE) * greatest(1, least(x[1].l[1].y1 - x[1].l[1].y0, l.y1 - l.y0)) AND x[1].l[1].x0 - l.x1 >= -15 AND x[1].l[1].x0 - l.x1 <= greatest(40, CAST(1.8 AS DOUBLE) * (x[1].l[1].y1 - x[1].l[1].y0))"
+_HOME = f"coalesce(list_position(list_transform(s[1].l, lambda l: {_FITS}), true), 0)"
+
+
+@register(f"""WITH g AS (SELECT page_id, list([{{'l': [{{{BOX}}}], 'o': [{{'seq': seq, 'line': 0}}]}}] ORDER BY y0, x0, seq) AS xs FROM lines_v GROUP BY page_id),
+r AS (SELECT page_id, list_reduce(xs, lambda s, x: [{{'l': CASE WHEN {_HOME} > 0 THEN list_transform(s[1].l, lambda w, i: CASE WHEN i = {_HOME} THEN x[1].l[1] ELSE w END) ELSE list_concat(s[1].l, x[1].l) END,
+  'o': list_concat(s[1].o, [{{'seq': x[1].o[1].seq, 'line': CAST(CASE WHEN {_HOME} > 0 THEN {_HOME} - 1 ELSE len(s[1].l) END AS INT)}}])}}]) AS s FROM g)
+SELECT page_id, o.seq AS seq, o.line AS line FROM (SELECT page_id, unnest(s[1].o) AS o FROM r)""")
 def words_to_lines(spark, sf):
     return ln.words_to_lines(view(spark, sf, "lines_v"))
 

@@ -2,15 +2,15 @@
 
 import random
 import re
+import statistics
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from leafmill.functions.similarity import Known, similarity
-from leafmill.llm import substring
+from leafmill.operators import order as od
 from leafmill.plans.catalog import QUERIES
 
 
@@ -108,18 +108,31 @@ def test_known_lines_are_found_as_by_full_comparison():
     assert seen == {True, False}
 
 
-def test_surroundings_with_32_equal_bits_are_no_copies(spark):
-    rng = np.random.default_rng(3)
-    letters = rng.integers(97, 123, (200_000, 80), dtype=np.uint8)
-    grams = substring.gram_hashes(letters[:, :20].reshape(-1))[::20] >> np.uint64(32)
-    letters[:, 30:50] = letters[int(np.argmin(grams)), :20]  # a sample in each text
-    n = len(letters)
-    rank = substring._rank(letters, np.zeros(n, np.int64), np.full(n, 80), np.full(n, 30))
-    half = rank.astype(np.uint64) >> np.uint64(32 if rank.itemsize == 8 else 0)
-    order = np.argsort(half, kind="stable")
-    same = np.flatnonzero(half[order][1:] == half[order][:-1])
-    assert len(same)
-    pairs = [(order[i], order[i + 1]) for i in same]
-    rows = [(2 * k + j, letters[i].tobytes().decode()) for k, pair in enumerate(pairs) for j, i in enumerate(pair)]
-    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == len(rows) and all(r.n_removed == 0 for r in got)
+def test_cross_check_by_similarity(spark, put):
+    sf = put(conversations=turns("One two. Three four.", "One two three four", "quite other words", "one two three four"))
+    got = {(r.bubble_id, r.pattern_name) for r in QUERIES["gate_translation_events"](spark, sf).collect()}
+    assert got == {(0, "translation_sentence_drop"), (1, "translation_cross_check_mismatch"), (2, "translation_cross_check_mismatch")}
+
+
+def test_baselines_against_plain_rows(spark):
+    rng = random.Random(3)
+    rows = [(p, i, rng.randint(0, 300), y := rng.randint(0, 200), 0, y + rng.randint(0, 40)) for p in range(12) for i in range(rng.randint(1, 25))]
+    rows = [(p, i, x0, y0, x0 + 30, y1) for p, i, x0, y0, _, y1 in rows]
+    got = {(r.page_id, r.seq): (r.row, r.place) for r in od.baseline_order(spark.createDataFrame(rows, "page_id long, seq int, x0 int, y0 int, x1 int, y1 int")).collect()}
+    for page in range(12):
+        own = [r for r in rows if r[0] == page]
+        near = max(8.0, 0.45 * float(statistics.median(max(1, r[5] - r[3]) for r in own)))
+        bands = []
+        for r in sorted(own, key=lambda r: (r[3] + r[5]) / 2):
+            middle = (r[3] + r[5]) / 2
+            home = [b for b in bands if abs(middle - statistics.fmean((x[3] + x[5]) / 2 for x in b)) < near][:1]
+            home[0].append(r) if home else bands.append([r])
+        bands.sort(key=lambda b: statistics.fmean((x[3] + x[5]) / 2 for x in b))
+        order = [(n, x[1]) for n, b in enumerate(bands, 1) for x in sorted(b, key=lambda x: x[2])]
+        assert [(got[page, s][0], got[page, s][1]) for _, s in order] == [(n, k) for k, (n, _) in enumerate(order, 1)]
+
+
+def test_equal_items_keep_their_panels(spark):
+    items = spark.createDataFrame([(1, 7, 0, 0, 10, 10), (1, 7, 0, 0, 10, 10), (1, 8, 500, 0, 510, 10)], "page_id long, seq int, x0 int, y0 int, x1 int, y1 int")
+    panels = spark.createDataFrame([(1, 0, 0, 390, 190), (2, 410, 0, 850, 190)], "panel_idx int, px0 int, py0 int, px1 int, py1 int")
+    assert sorted((r.seq, r.panel_idx) for r in od.assign_panels(items, panels).collect()) == [(7, 1), (7, 1), (8, 2)]
