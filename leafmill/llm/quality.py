@@ -112,23 +112,45 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+NAMES = ("n_words", "word_chars", "n_repeat_words", "n_stop_words", "n_letter_words", "n_echo_words")
+
+
+def _base_failed(of) -> Column:
+    return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > MAX_REPEAT_PERCENT * of("n_words"))
+
+
 def _judged(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """The columns of ``docs``, then all counts and the verdict."""
     flat = docs.withColumn("m", measures(F.col("text")))
     flat = flat.select(*docs.columns, "m.w.*", "m.n_symbols", "m.n_capitals", F.col("m.l.n").alias("n_lines"), F.col("m.l.dup").alias("n_dup_lines"))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    failed = F.array_compact(F.array(*[F.when(_broken(r), F.lit(r.name)) for r in rules]))
+    base = _base_failed(F.col)
+    failed = F.array_compact(F.array(*[F.when(_broken(r, F.col), F.lit(r.name)) for r in rules]))
     return flat.withColumn("base_failed", base).withColumn("failed", failed).withColumn("kept", ~base & (F.size(failed) == 0))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns; one narrow pass."""
-    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col("text").cast("string").alias("text"))
-    return _judged(whole, rules).where("kept").select("whole.*")
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns; one narrow pass.
+
+    The verdict is one expression over the struct of counts, bound once: a filter on columns
+    taken out of that struct would be pushed below them and count anew for each reference.
+    Null and empty texts fail the base rule; repeated rows are judged each; no rows give none."""
+
+    def verdict(m: Column) -> Column:
+        def of(name: str) -> Column:
+            if name in ("n_lines", "n_dup_lines"):
+                return m["l"]["n" if name == "n_lines" else "dup"]
+            return m["w"][name] if name in NAMES else m[name]
+
+        bad = _base_failed(of)
+        for rule in rules:
+            bad = bad | _broken(rule, of)
+        return ~bad
+
+    return docs.where(let(measures(F.col("text").cast("string")), verdict))
 
 
-def _broken(rule: Rule) -> Column:
-    top, bottom = F.col(rule.numerator), F.col(rule.denominator)
+def _broken(rule: Rule, of) -> Column:
+    top, bottom = of(rule.numerator), of(rule.denominator)
     out = F.lit(False)
     if rule.low is not None:
         out = out | (top < rule.low * bottom)
