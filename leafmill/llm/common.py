@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -44,7 +45,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -56,20 +59,28 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
-def delete_written(spark: SparkSession, df: DataFrame) -> None:
-    """Remove a table made by ``written`` that nothing reads any more."""
-    for uri in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+def delete_written(*tables: DataFrame) -> None:
+    """Remove tables made by ``written`` as soon as all that is read from them has been written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever is in their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once for a row, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about ``most`` bytes in a string column."""
+    """Cut a batch into runs of rows of about ``most`` bytes in a string column.
+
+    Behind each batch, memory that is no longer used goes back: workers stay for the next task."""
     n = batch.num_rows
     if not n:
         return
@@ -79,6 +90,16 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory of this worker process to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def text_lengths(column: pa.Array) -> np.ndarray:

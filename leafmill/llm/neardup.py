@@ -4,13 +4,18 @@ Each distinct set of word shingles has a signature of minwise values. A tree sta
 sets in one node; a node picks some signature places (by a hash of its path), and each set goes
 to one child for each picked place, named by the value it has there. Sets that are alike meet
 again and again, others part. A small node compares all its sets with each other; a larger one
-compares them with its smallest id and branches on; what is still large at the deepest level is
-compared exactly, leader by leader, until nothing in it can be linked any more. Independent
-trees are repeated to the wanted recall. Comparisons go first by a 128-bit sketch whose bound
-lies five standard deviations below the threshold, then every link is confirmed on full sets.
+compares them with its smallest id and branches on. Independent trees are repeated to the wanted
+recall. Nodes still large at the deepest level whose sets the links have made one component need
+nothing more; in the others, the sets outside of the node's largest component look for partners by
+their rarest shingles (a prefix filter, which loses nothing). Comparisons go first by a 128-bit
+sketch whose bound lies five standard deviations below the threshold, then every link is confirmed
+on full sets of 64-bit shingle hashes (two texts of 10,000 words meet by a wrong hash with 5e-12).
 
 With two places a node and trees = 8, a pair right at similarity 0.75 is missed by a tree with
 probability q = (1/4 + 3q/4)**2, q < 0.12, so by all trees with about 4e-8.
+
+Joins of tables that grow with the corpus are merge joins at every size: a broadcast that Spark
+chooses for a small input would not be there for a large one.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import delete_written, slices, written
+from leafmill.llm.common import delete_written, quoted, release, slices, written
 
 PLACES = 128
 #: Bits of a set's parity sketch: two sketches differ in at most as many bits as the sets in items.
@@ -166,16 +171,18 @@ def chosen_path_pairs(sets: DataFrame, threshold: int, trees: int, depth: int) -
     """Candidate pairs (a < b) of ``sets``, and (node, doc_id) of the nodes still large at the end."""
     rows = sets.select("doc_id", "n", "s1", "s2", F.explode(F.flatten(F.array(*[_children(F.lit(t).cast("long"), F.col("sig")) for t in range(trees)]))).alias("node"))
     small = sets.select("doc_id", "n", "s1", "s2", "sig")
-    pairs = None
+    levels, pairs = [], None
     for d in range(depth):
-        level = written(_level(rows, threshold), "nodes")
-        found = level.select(F.explode("partners").alias("a"), F.col("doc_id").alias("b"))
+        levels.append(written(_level(rows, threshold), "nodes"))
+        found = levels[-1].select(F.explode("partners").alias("a"), F.col("doc_id").alias("b"))
         pairs = found if pairs is None else pairs.unionByName(found)
-        large = level.where("large").select("node", "doc_id")
+        large = levels[-1].where("large").select("node", "doc_id")
         if d == depth - 1 or large.isEmpty():
-            return pairs.distinct(), large
-        rows = large.join(small, "doc_id").select("doc_id", "n", "s1", "s2", F.explode(_children(F.col("node"), F.col("sig"))).alias("node"))
-    raise ValueError("depth must be 1 at least")
+            break
+        rows = large.join(small.hint("merge"), "doc_id").select("doc_id", "n", "s1", "s2", F.explode(_children(F.col("node"), F.col("sig"))).alias("node"))
+    pairs, large = written(pairs.distinct(), "pairs"), written(large, "large")
+    delete_written(*levels)
+    return pairs, large
 
 
 def confirmed(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
@@ -184,31 +191,32 @@ def confirmed(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
     b = items.select(F.col("doc_id").alias("b"), F.col("items").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - both
-    return pairs.join(a, "a").join(b, "b").where(100 * both >= threshold * union).select("a", "b")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(100 * both >= threshold * union).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each linked id reaches.
 
     Alternates large and small stars; the edges of each turn are written to the shared folder,
-    and turns end when they no longer change. Hubs are joined by their minimum, not collected."""
+    and turns end when they no longer change. Smallest neighbours are written before they are
+    joined, so that the rows of a hub come straight from a shuffle and can be split over tasks."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     stamp = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        wide = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links")
+        wide = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         wide = written(wide, "links")
-        least = wide.groupBy("u").agg(F.min("v").alias("m"))
-        joined = wide.join(least, "u")
-        near = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = written(wide.groupBy("u").agg(F.min("v").alias("m")), "links")
+        near = wide.join(least.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         turned = written(near.distinct(), "links")
-        delete_written(edges.sparkSession, wide)
-        delete_written(edges.sparkSession, edges)
+        delete_written(edges, low, wide, least)
         edges = turned
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if stamp == now:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out.written_at = edges.written_at
+            return out
         stamp = now
 
 
@@ -223,22 +231,24 @@ def _rest(links: DataFrame, large: DataFrame, sets: DataFrame, items: DataFrame,
     labels = components(links)
     if large.isEmpty():
         return labels
+    named = labels.withColumnRenamed("id", "doc_id")
+    # one exchange by node serves all windows: how many of a node are of each component, and which is its main one
+    x = large.join(named.hint("merge"), "doc_id", "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("c")).repartition("node")
     node = Window.partitionBy("node")
-    x = large.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    kinds = x.groupBy("node", "c").agg(F.count("*").alias("n"))
-    kinds = kinds.withColumn("main", F.max(F.struct("n", (-F.col("c")).alias("neg"))).over(node)).where("-c != main.neg")
-    x = written(x.join(kinds.select("node", "c"), ["node", "c"], "left_semi").select("node", "doc_id"), "outside")
-    if x.isEmpty():
+    x = x.withColumn("kin", F.count("*").over(Window.partitionBy("node", "c")))
+    x = x.withColumn("main", F.max(F.struct("kin", (-F.col("c")).alias("neg"))).over(node)).withColumn("other", F.min("c").over(node) != F.max("c").over(node))
+    x = x.where("other").select("doc_id", (F.col("c") != -F.col("main.neg")).alias("looks"))
+    members = written(x.groupBy("doc_id").agg(F.max("looks").alias("looks")), "members")
+    if members.isEmpty():
+        delete_written(members)
         return labels
-    members = large.join(x.select("node").distinct(), "node", "left_semi").select("doc_id").distinct()
-    outside = x.select("doc_id").distinct().withColumn("looks", F.lit(True))
-    rows = items.join(members, "doc_id", "left_semi").join(sets.select("doc_id", "n", "s1", "s2"), "doc_id").join(outside, "doc_id", "left")
-    rows = rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    rows = items.join(members.hint("merge"), "doc_id").join(sets.select("doc_id", "n", "s1", "s2").hint("merge"), "doc_id")
+    rows = rows.join(named.hint("merge"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
     tokens = rows.select("doc_id", "n", "s1", "s2", "c", "looks", F.explode("items").alias("item"))
     tokens = tokens.withColumn("holding", F.count("*").over(Window.partitionBy("item")))
     tokens = tokens.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("holding", "item")))
     rare = tokens.where((F.col("holding") > 1) & (F.col("place") <= F.col("n") - F.expr(f"({threshold} * n + 99) div 100") + 1))
-    rare = rare.select("doc_id", "n", "s1", "s2", "c", "looks", "item", "place").join(items.select("doc_id", "odd"), "doc_id")
+    rare = rare.select("doc_id", "n", "s1", "s2", "c", "looks", "item", "place").join(items.select("doc_id", "odd").hint("merge"), "doc_id")
     rare = written(rare, "rare")
     names = ("n", "s1", "s2", "c", "place", "odd")
     mine, theirs = {c: F.col(c) for c in names}, {c: F.col(f"l_{c}") for c in names}
@@ -248,10 +258,15 @@ def _rest(links: DataFrame, large: DataFrame, sets: DataFrame, items: DataFrame,
     enough = (100 + threshold) * most >= threshold * (mine["n"] + theirs["n"])
     differ = sum((F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("l_odd", F.lit(i)))) for i in range(ODD_BITS // 64)), F.lit(0))
     close = (100 + threshold) * differ <= (100 - threshold) * (mine["n"] + theirs["n"])
-    met = left.join(rare, "item").where("c <> l_c").where(enough & _alike(threshold, mine, theirs)).where(close)
+    met = left.join(rare.hint("merge"), "item").where("c <> l_c").where(enough & _alike(threshold, mine, theirs)).where(close)
     new = written(met.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct(), "pairs")
     found = written(confirmed(new, items, threshold), "confirmed")
-    return labels if found.isEmpty() else components(links.unionByName(found))
+    if not found.isEmpty():
+        again = components(links.unionByName(found))
+        delete_written(labels)
+        labels = again
+    delete_written(members, rare, new, found)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, *, words_each: int = 5, threshold: int = 75, trees: int = 8, depth: int = 5) -> DataFrame:
@@ -262,30 +277,42 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, threshold: int = 75
 
     A null, empty or blank text has no shingles and is linked with nothing. A null id is linked
     with nothing, has a null component and is kept. Rows that share an id share its component.
-    Other columns are left out; an empty table gives no rows."""
+    Whole texts count, however long. Other columns are left out; an empty table gives no rows."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     features = written(rows.mapInArrow(_features(words_each), FEATURES), "features")
     linkable = features.where("n > 0 and doc_id is not null")
     classes = written(linkable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     # a representative's row; an id with several texts has a class for each
-    sets = linkable.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
+    sets = linkable.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")).hint("merge"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
     sets = written(sets.select("doc_id", "n", "s1", "s2", "sig"), "sets")
     pairs, large = chosen_path_pairs(sets, threshold, trees, depth)
-    pairs = written(pairs, "pairs")
+    release(spark)
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select("doc_id")).distinct()
-    items = written(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words_each), "doc_id long, items array<long>, odd array<long>"), "items")
+    items = written(rows.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words_each), "doc_id long, items array<long>, odd array<long>"), "items")
+    release(spark)
     links = written(confirmed(pairs, items, threshold), "confirmed")
     labels = _rest(links, large, sets, items, threshold)
-    out = features.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    found = F.coalesce("component", "rep", "doc_id")
-    component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), found).otherwise(F.col("doc_id"))
+    named = classes.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
+    told = features.select("doc_id", "n", "h1", "h2")
+    none = told.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component"))
+    met = told.where("n > 0").join(named.hint("merge"), ["h1", "h2", "n"], "left").select("doc_id", "n", "component").unionByName(none)
+    out = written(met, "components")
+    delete_written(features, classes, sets, pairs, large, items, links, labels)
+    release(spark)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one_each(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with all its columns, one document of each group of near-duplicates: the smallest id.
 
-    Rows that share an id are one document. Rows with a null id all stay."""
+    Of rows with the same id and text one stays; rows that share an id but not a text stay or go
+    together. Rows with a null id all stay."""
     kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(F.struct(*quoted(docs)).alias("row"))
+    same = Window.partitionBy("row.doc_id").orderBy("text_hash")
+    hashed = named.withColumn("text_hash", F.xxhash64("row.text"))
+    first = ~F.lag("text_hash").over(same).eqNullSafe(F.col("text_hash"))
+    named = hashed.withColumn("is_first", first).where("is_first").select(*[F.col(f"row.`{c}`") for c in docs.columns])
     return named.unionByName(docs.where("doc_id is null"))
