@@ -1,16 +1,19 @@
-"""Repeated substrings across documents, by content-sampled fingerprints; no suffix is sorted.
+"""Repeated substrings across documents by blockwise suffix sorting over a cover sample.
 
-A sample of positions is taken by content: of each run of ``length`` bytes, the place of its
-smallest gram hash. Equal runs hold the same sample at the same place, so only runs around
-samples that occur in two documents can be equal, and no other run is compared.
+The cover is chosen by content: of each run of ``length`` bytes, the place of its smallest gram
+hash is a sample (a string synchronising set). Like the places of a difference cover, equal runs
+hold a sample at the same distance from their start, so all suffixes are placed by the samples:
+a suffix that starts before a sample is told by the bytes up to it and the rank of the sample.
 (A positional difference cover has this property too, but samples three times as many places.)
 
-Samples are dealt to buckets by their gram and one bucket is sorted by gram hash at a time. Ties
-in the gram are resolved by the rank (a 64-bit hash) of the sample's whole surroundings: samples with
-equal surroundings need no further comparison, the smallest document has them first. Only one
-sample for each different surrounding is then compared with those of its gram, by two 64-bit
-hashes of each run.
-So the memory of a task is that of its bucket, and long copies cost nothing beyond the sort.
+First a pre-filter by fingerprints: samples are dealt to buckets by gram hash; those whose gram is
+in one document only drop out, and those that have the gram and the 64-bit hash of the
+surroundings (80 bytes) of a sample in a smaller document are copies of it. What is left, one
+sample for each different surrounding, is sorted by its real bytes, one bucket of grams at a time:
+as suffixes, with the longest common prefixes of neighbours, and backwards as prefixes. The ranks
+so found resolve all ``length - GRAM + 1`` suffixes around a sample without comparing them again:
+two of them agree if their samples' ranks lie in one stretch of common prefixes long enough, on
+either side. So the memory of a task is that of its bucket, and long ties cost nothing beyond the sort.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leafmill.llm.common import release, slices, utf8_bytes, written
+from leafmill.llm.common import delete_written, quoted, release, slices, utf8_bytes, written
 
 GRAM = 20
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -84,7 +88,7 @@ def cover_samples(data: np.ndarray, borders: np.ndarray, length: int) -> tuple[n
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = gram_hashes(data)
-    key = (h >> np.uint64(32)).astype(np.uint32)
+    key = np.maximum((h >> np.uint64(32)).astype(np.uint32), np.uint32(1))  # 0 stands for no run
     width = length - GRAM + 1
     low = _slide(key[: n - GRAM + 1], width, np.minimum)  # of the run that starts here
     valid = np.zeros(len(low) + 1, np.int32)  # runs inside of one text
@@ -263,19 +267,45 @@ def _columns(table: pa.Table):
     return doc, at.astype(np.int64), first, last, gram, rows
 
 
+def _ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the rows sorted by their bytes, and how many first bytes each sorted row
+    shares with the one before it."""
+    n, wide = rows.shape
+    padded = np.zeros((n, -(-wide // 8) * 8), np.uint8)
+    padded[:, :wide] = rows
+    order = np.lexsort(padded.view(">u8").T[::-1])
+    differ = padded[order[1:], :wide] != padded[order[:-1], :wide]
+    common = np.where(differ.any(1), differ.argmax(1), wide)
+    return order, np.append(0, common)
+
+
+def _stretch(order: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """For each row, the number of its stretch of sorted rows that share ``least`` first bytes."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < least) if least else 0
+    return out
+
+
 def _compare(length: int):
+    before = length - GRAM
+
     def compared(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         """The runs of some grams that are in an earlier document too."""
-        doc, at, first, last, gram, rows = _columns(pa.Table.from_batches(held))
+        doc, at, first, last, _, rows = _columns(pa.Table.from_batches(held))
+        ahead, back = _ranked(rows[:, before:]), _ranked(rows[:, before - 1 :: -1])
         found = [np.zeros((3, 0), np.int64)]
-        for ok, a, b, start in _runs(rows, at, first, last, gram, length):
-            order = np.lexsort((b, a))
-            a, b, own = a[order], b[order], doc[ok][order]
-            new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        for lead in range(before + 1):  # the run starts ``lead`` bytes before its sample
+            start = at - lead
+            ok = np.flatnonzero((start >= first) & (start + length <= last))
+            if not len(ok):
+                continue
+            key = (_stretch(*ahead, length - lead) * (len(doc) + 1) + _stretch(*back, lead))[ok]
+            order = np.argsort(key, kind="stable")
+            key, own, start = key[order], doc[ok][order], start[ok][order]
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             low = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(own))))
             later = own > low
-            start = start[order][later]
-            found.append(np.stack([own[later], start, start + length]))
+            found.append(np.stack([own[later], start[later], start[later] + length]))
         d, lo, hi = np.concatenate(found, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(lo), pa.array(hi)], ["doc_id", "lo", "hi"])
 
@@ -349,12 +379,11 @@ def _text_left(batches):
         return text[_kept(text, lo, hi)[0]].tobytes().decode("utf-8", "ignore")  # a cut character goes as a whole
 
     for part, out in _each_text(batches, each):
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string()), *part.columns[3:]], ["doc_id", "text", *part.schema.names[3:]])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), part.column(3)], ["text", "rest"])
 
 
-def repeated_spans(docs: DataFrame, *, length: int = 50, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, lo, hi): byte spans of ``docs`` (doc_id, text) covered by runs of ``length`` bytes
-    that also start in a document with a smaller id."""
+def _repeats(docs: DataFrame, length: int, bucket_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What ``repeated_spans`` returns, and the written tables that it still reads."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -367,31 +396,42 @@ def repeated_spans(docs: DataFrame, *, length: int = 50, bucket_bytes: int = BUC
     whole = found.where("whole").select("doc_id", (F.col("at") - before).cast("long").alias("lo"), (F.col("at") + length).cast("long").alias("hi"))
     asked = found.where("not whole").select("doc_id", "at", "gram")
     hot = written(asked.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram"), "hot")
+    used = [found, hot]
     schema = "gram long, doc_id long, at int, first int, last int, bytes binary"
     some_hot = not hot.isEmpty()
 
     def near(which: DataFrame) -> DataFrame:
         own = which.groupBy("doc_id").agg(F.collect_list(F.struct("at", "gram")).alias("asked"))
-        return rows.join(own, "doc_id").mapInArrow(_fetch(length), schema)
+        return rows.join(own.hint("merge"), "doc_id").mapInArrow(_fetch(length), schema)
 
-    calm = asked.join(hot, "gram", "left_anti") if some_hot else asked
+    calm = asked.join(hot.hint("merge"), "gram", "left_anti") if some_hot else asked
     out = whole.unionByName(near(calm).repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(length), "doc_id long, lo long, hi long"))
     if some_hot:
-        runs = written(near(asked.join(hot, "gram", "left_semi")).mapInArrow(_spread(length), "a long, b long, doc_id long, lo long"), "runs")
+        runs = written(near(asked.join(hot.hint("merge"), "gram", "left_semi")).mapInArrow(_spread(length), "a long, b long, doc_id long, lo long"), "runs")
+        used.append(runs)
         low = runs.groupBy("a", "b").agg(F.min("doc_id").alias("low"))
-        later = runs.join(low, ["a", "b"]).where("doc_id > low")
+        later = runs.join(low.hint("merge"), ["a", "b"]).where("doc_id > low")
         out = out.unionByName(later.select("doc_id", "lo", (F.col("lo") + length).alias("hi")))
-    return out
+    return out, used
+
+
+def repeated_spans(docs: DataFrame, *, length: int = 50, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, lo, hi): byte spans of ``docs`` (doc_id, text) covered by runs of ``length`` bytes
+    that also start in a document with a smaller id.
+
+    Null ids and texts shorter than ``length`` take part in nothing; no rows give none."""
+    return _repeats(docs, length, bucket_bytes)[0]
 
 
-def _marked(docs: DataFrame, length: int, *more: str) -> DataFrame:
-    spans = repeated_spans(docs, length=length)
+def _marked(docs: DataFrame, length: int, *more: Column) -> DataFrame:
+    spans, used = _repeats(docs, length, BUCKET_BYTES)
     own = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     del spans
+    delete_written(*used)
     release(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
     empty = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    return rows.join(own, "doc_id", "left").select("doc_id", "text", F.coalesce("spans", empty).alias("spans"), *more)
+    return rows.join(own.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("spans", empty).alias("spans"), *["rest"] * len(more))
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
@@ -403,16 +443,15 @@ def remove_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
 
     A null text is an empty one. A null id has no order: such a row keeps all and takes part in
     nothing. Repeated rows don't repeat each other (they are one document) and get one result
-    each; rows that share an id must share the text. Other columns are left out."""
+    each; rows that share an id must share the text. Whole texts count, however long. Other
+    columns are left out; no rows give none."""
     return _marked(docs, length).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
-    """``docs`` with all its columns and the texts left by ``remove_repeats``.
+    """``docs`` with all its columns, whatever their names, and the texts left by ``remove_repeats``.
 
     Where a cut parts a character, all of it goes, so that texts stay valid."""
-    more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    marked = _marked(docs, length, *more)
-    kinds = {f.name: f.dataType.simpleString() for f in marked.schema}
-    out = marked.mapInArrow(_text_left, ", ".join(f"`{c}` {kinds[c]}" for c in ["doc_id", "text", *more]))
-    return out.select(*docs.columns)
+    marked = _marked(docs, length, F.struct(*quoted(docs.drop("text"))).alias("rest"))
+    out = marked.mapInArrow(_text_left, T.StructType([T.StructField("text", T.StringType()), marked.schema["rest"]]))
+    return out.select(*["text" if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
