@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import written
+from leafmill.llm.common import delete_written, quoted, written
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -73,13 +73,16 @@ def slot_schedule(spark: SparkSession, sources: DataFrame, block_tokens: int) ->
     ranked = met.withColumn("local", local).join(per_chunk, ["k", "chunk"]).select(F.col("i").alias("slot"), "k", (F.col("earlier") + F.col("local")).alias("rank"))
     given = per_chunk.join(met.groupBy("k", "chunk").agg(F.count("*").alias("own")), ["k", "chunk"]).groupBy("k").agg(F.max(F.col("earlier") + F.col("own")).alias("given"))
     late = s.join(given, "k", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < slots")
-    late = late.select((F.col("all") + F.col("k")).alias("slot"), "k", F.explode(F.sequence(F.col("given"), F.col("slots") - 1)).alias("rank"))
+    late = late.select("k", (F.col("all") + F.col("upto") - F.col("slots")).alias("base"), F.explode(F.sequence(F.col("given"), F.col("slots") - 1)).alias("rank"))
+    late = late.select((F.col("base") + F.col("rank")).alias("slot"), "k", "rank")
     kept = ranked.join(s.select("k", "slots"), "k").where("rank < slots").select("slot", "k", "rank").unionByName(late)
     block = F.col("rank") % F.col("blocks")
     length = F.least(b.cast("long"), F.col("source_size") - block * block_tokens)
     last = (F.col("rank") == F.col("slots") - 1) & (F.col("rest") % block_tokens != 0)
     tokens = F.when(last, F.least(length, F.col("rest") % block_tokens)).otherwise(length)
-    return kept.join(s.select("k", "blocks", "slots", "rest", "source_size"), "k").select("slot", "k", "rank", block.alias("block"), tokens.alias("tokens"), (tokens < length).alias("cut"))
+    out = kept.join(s.select("k", "blocks", "slots", "rest", "source_size"), "k").select("slot", "k", "rank", block.alias("block"), tokens.alias("tokens"), (tokens < length).alias("cut"))
+    out.written_at = s.written_at
+    return out
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -87,18 +90,9 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"))
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block_tokens: int = 2048, seed: str = "mix") -> DataFrame:
-    """Mix ``docs`` (doc_id, text, source); returns doc_id, size, source_size, target and taken.
-
-    A document's size is its words; ``taken`` counts the words the mix takes of it, repeats
-    included. A source takes its target, rounded down, to the word; whole rounds of the source
-    repeat, so no document goes over ``most`` times its size. The order within a source is that
-    of a hash of the id, so reruns agree.
-
-    Null text has size 0 and nothing to take; a null source is a source of its own; null ids are
-    kept; repeated rows count each; without documents there are no rows. Other columns are left
-    out. The largest source is dealt over hash buckets, never over one task."""
-    spark = docs.sparkSession
+def _placed(docs: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Each document's place in its source (doc_id, k, size, source_size, target, start), the
+    sources with their targets, and the written tables that these read."""
     rows = written(sized(docs).withColumn("mark", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("bucket", F.substring("mark", 1, 3)), "sizes")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sources = source_targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most)
@@ -110,35 +104,66 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: in
     same = lambda a, b, *names: [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{x}")) for x in names]
     placed = placed.join(buckets.alias("b"), same("d", "b", "source", "bucket")).select("d.doc_id", "d.source", "d.size", (F.col("d.inside") + F.col("b.before")).alias("start")).alias("p")
     placed = placed.join(sources.alias("s"), same("p", "s", "source")).select("doc_id", "k", "size", "source_size", "target", "start")
-    used = slot_schedule(spark, sources, block_tokens).groupBy("k", "block").agg(F.count_if(~F.col("cut")).alias("times"), F.coalesce(F.max(F.when(F.col("cut"), F.col("tokens"))), F.lit(0)).alias("part"))
+    return placed, sources, [rows, sources]
+
+
+def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block_tokens: int = 2048, seed: str = "mix") -> DataFrame:
+    """Mix ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken and first_slot.
+
+    A document's size is its words; ``taken`` counts the words the mix takes of it, repeats
+    included, and ``first_slot`` is the first slot of the schedule that takes one (null if none).
+    A source takes its target, rounded down, to the word; whole rounds of the source repeat, so no
+    document goes over ``most`` times its size. The order within a source is that of a hash of the
+    id, so reruns agree.
+
+    Null text has size 0 and nothing to take; a null source is a source of its own; null ids are
+    kept; repeated rows count each; without documents there are no rows. Other columns are left
+    out. The largest source is dealt over hash buckets, never over one task."""
+    placed, sources, _ = _placed(docs, weights, most, seed)
+    plain = ~F.col("cut")
+    cut = lambda name: F.max(F.when(F.col("cut"), F.col(name)))
+    used = slot_schedule(docs.sparkSession, sources, block_tokens).groupBy("k", "block").agg(F.count_if(plain).alias("times"), F.coalesce(cut("tokens"), F.lit(0)).alias("part"), F.min(F.when(plain, F.col("slot"))).alias("slot"), cut("slot").alias("cut_slot"))
     # each document meets the blocks that it lies in
     first, final = F.expr(f"start div {block_tokens}"), F.expr(f"(start + size - 1) div {block_tokens}")
     spread = placed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(first, final)).otherwise(F.array(F.lit(None).cast("long")))))
     offset = F.col("block") * block_tokens
     lo, hi = F.greatest(F.col("start") - offset, F.lit(0)), F.least(F.col("start") + F.col("size") - offset, F.lit(block_tokens))
     share = F.col("times") * (hi - lo) + F.greatest(F.least(hi, F.col("part")) - lo, F.lit(0))
-    met = spread.join(used, ["k", "block"], "left").withColumn("share", F.coalesce(share, F.lit(0)).cast("long"))
+    slot = F.least("slot", F.when(F.col("part") > lo, F.col("cut_slot")))
+    met = spread.join(used, ["k", "block"], "left").withColumn("share", F.coalesce(share, F.lit(0)).cast("long")).withColumn("slot", slot)
     # ``start`` tells apart repeated rows that have words; those without are counted
-    whole = met.groupBy("doc_id", "k", "start", "size", "source_size", "target").agg(F.sum("share").alias("taken"), F.count("*").alias("n"))
+    whole = met.groupBy("doc_id", "k", "start", "size", "source_size", "target").agg(F.sum("share").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n"))
     copies = F.when(F.col("size") > 0, F.lit(1)).otherwise(F.col("n").cast("int"))
     whole = whole.withColumn("copies", copies)
-    return whole.select("doc_id", "size", "source_size", "target", "taken", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("one")).drop("one")
-
+    return whole.select("doc_id", "size", "source_size", "target", "taken", "first_slot", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("one")).drop("one")
 
-def apply_mix(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with all its columns as the mix takes them: a document once for each round that
-    reaches it (a round that ends inside of it takes it whole), not at all if none does.
 
-    Rows that share an id share what is taken of it."""
-    taken = mix_sources(docs, **how).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    times = written(taken.select(F.col("doc_id").alias("taken_id"), times.alias("times")).where("times > 0"), "taken")
-    met = docs.join(times, docs["doc_id"].eqNullSafe(times["taken_id"]))
-    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_round")).drop("_round")
+def apply_mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block_tokens: int = 2048, seed: str = "mix") -> DataFrame:
+    """``docs`` with all its columns, whatever their names, as the mix takes them, in slot order.
 
-
-def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: str = "mix") -> str:
-    """The same result as DuckDB SQL, in closed form: whole rounds, then the first words of one more."""
+    A document comes once for each round that reaches it (a round that ends inside of it takes it
+    whole) at the slot of the block it begins in; not at all if no round reaches it, or if it has
+    no words. Rows that share an id come together, where the first of them stands."""
+    spark = docs.sparkSession
+    placed, sources, used = _placed(docs, weights, most, seed)
+    slots = slot_schedule(spark, sources, block_tokens)
+    schedule = slots.select("k", "rank", "slot")
+    goal = F.floor("target").cast("long")
+    one = placed.where("size > 0").groupBy("doc_id").agg(F.min(F.struct("k", "start", "source_size", "target")).alias("x")).select("doc_id", "x.*")
+    rounds = F.expr("floor(target) div source_size") + F.when(F.col("start") < goal % F.col("source_size"), 1).otherwise(0)
+    blocks = F.ceil(F.col("source_size") / block_tokens)
+    turns = one.withColumn("rounds", rounds).where("rounds > 0").select("doc_id", "k", "start", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).alias("turn"))
+    turns = turns.select("doc_id", "k", "start", (F.col("turn") * F.col("blocks") + F.expr(f"start div {block_tokens}")).alias("rank"))
+    came = written(turns.join(schedule.hint("merge"), ["k", "rank"]).groupBy("doc_id").agg(F.collect_list(F.struct("slot", "start")).alias("slots")), "slots")
+    delete_written(*used, slots)
+    met = docs.select(F.struct(*quoted(docs)).alias("doc")).join(came.hint("merge"), F.col("doc.doc_id").eqNullSafe(came["doc_id"]))
+    rows = met.select("doc", F.explode("slots").alias("at"))
+    return rows.repartitionByRange("at.slot").sortWithinPartitions("at").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+
+
+def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block_tokens: int = 2048, seed: str = "mix") -> str:
+    """The same result as DuckDB SQL: words taken in closed form (whole rounds, then the first words
+    of one more), slots from the points themselves."""
     return f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
        md5('{seed}' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
@@ -150,9 +175,28 @@ c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY edge, k ROWS BETWEEN UNBOUNDED
 x AS (SELECT *, CAST(total - cap_before AS DOUBLE) / CAST(weight_here AS DOUBLE) >= edge AS stopped FROM c),
 l AS (SELECT *, CAST(total - coalesce(sum(cap) FILTER (WHERE stopped) OVER (), 0) AS DOUBLE) / CAST(sum(weight) FILTER (WHERE NOT stopped) OVER () AS DOUBLE) AS level FROM x),
 t AS (SELECT source, k, source_size, CASE WHEN stopped THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM l),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-        sum(d.size) OVER (PARTITION BY t.k ORDER BY d.mark, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+b AS (SELECT *, CAST(floor(target) AS BIGINT) AS goal, (source_size + {block_tokens - 1}) // {block_tokens} AS blocks FROM t WHERE source_size > 0 AND floor(target) > 0),
+r AS (SELECT *, goal // source_size AS rounds, goal % source_size AS rest FROM b),
+n AS (SELECT *, rounds * blocks + (rest + {block_tokens - 1}) // {block_tokens} AS slots FROM r),
+u AS (SELECT *, sum(slots) OVER (ORDER BY k) AS upto, sum(slots) OVER () AS all_slots FROM n),
+a AS (SELECT *, CAST(floor(CAST(upto - slots AS DOUBLE) / CAST(all_slots AS DOUBLE) * {CIRCLE}) AS BIGINT) AS lo,
+        CAST(floor(CAST(upto AS DOUBLE) / CAST(all_slots AS DOUBLE) * {CIRCLE}) AS BIGINT) AS hi FROM u),
+q AS (SELECT i, i % {PERIOD} * {GOLDEN} % {CIRCLE} AS x FROM (SELECT unnest(range(coalesce((SELECT CAST(max(all_slots) AS BIGINT) FROM a), 0))) AS i)),
+h AS (SELECT q.i AS slot, a.k, row_number() OVER (PARTITION BY a.k ORDER BY q.i) - 1 AS rank FROM q JOIN a ON q.x >= a.lo AND q.x < a.hi),
+e AS (SELECT h.slot, h.k, h.rank FROM h JOIN a USING (k) WHERE h.rank < a.slots
+      UNION ALL SELECT all_slots + upto - slots + rank, k, rank FROM (SELECT a.*, unnest(range(coalesce((SELECT count(*) FROM h WHERE h.k = a.k), 0), CAST(slots AS BIGINT))) AS rank FROM a)),
+g AS (SELECT e.k, e.slot, e.rank % a.blocks AS block, e.rank = a.slots - 1 AND a.rest % {block_tokens} <> 0 AS last_one,
+        least({block_tokens}, a.source_size - e.rank % a.blocks * {block_tokens}) AS length, a.rest % {block_tokens} AS part FROM e JOIN a USING (k)),
+v AS (SELECT k, block, min(slot) FILTER (WHERE NOT (last_one AND part < length)) AS slot,
+        max(slot) FILTER (WHERE last_one AND part < length) AS cut_slot, max(part) FILTER (WHERE last_one AND part < length) AS part FROM g GROUP BY k, block),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.k,
+        CAST(sum(d.size) OVER (PARTITION BY t.k ORDER BY d.mark, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS BIGINT) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT p.k, p.start, min(least(v.slot, CASE WHEN v.part > greatest(p.start - z.block * {block_tokens}, 0) THEN v.cut_slot END)) AS first_slot
+      FROM (SELECT k, start, size, unnest(range(start // {block_tokens}, (start + size - 1) // {block_tokens} + 1)) AS block FROM p WHERE size > 0) z
+      JOIN p USING (k, start) LEFT JOIN v ON v.k = z.k AND v.block = z.block WHERE p.size > 0 GROUP BY p.k, p.start)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(CASE WHEN size = 0 THEN 0 ELSE CAST(floor(target) AS BIGINT) // source_size * size
-    + greatest(least(start + size, CAST(floor(target) AS BIGINT) % source_size) - start, 0) END AS BIGINT) AS taken FROM p"""
+    + greatest(least(start + size, CAST(floor(target) AS BIGINT) % source_size) - start, 0) END AS BIGINT) AS taken,
+  CAST(CASE WHEN size > 0 THEN first_slot END AS BIGINT) AS first_slot
+FROM p LEFT JOIN f USING (k, start)"""
