@@ -3,8 +3,9 @@
 Pieces of equal length are interchangeable, so the algorithm works on counts by length (at most
 ``capacity`` numbers, whatever the corpus). A solution is a list of bin patterns, each with how
 many bins it fills. Crossover injects whole well-filled bins of one parent into the other,
-removes bins of the other whose pieces are then taken twice, and best-fits what they held.
-Islands evolve in parallel tasks and pass their best solutions on in a ring. The best plan is
+removes bins of the other whose pieces are then taken twice, and best-fits the displaced pieces
+into the bins that are open, then into new ones. Islands evolve in parallel tasks until nothing
+gets better or a lower bound is met, and pass their best solutions on in a ring. The best plan is
 then dealt to the pieces by their rank among pieces of the same length, in a distributed pass.
 """
 
@@ -108,6 +109,57 @@ def cost(plan: Plan, capacity: int) -> tuple[int, float]:
     return sum(m for _, m in plan), -sum(m * (filled(p) / capacity) ** 2 for p, m in plan)
 
 
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: long pieces need bins of their own, and what is left beside them has to fit.
+
+    For each k: pieces over ``capacity - k`` stand alone, those over half may take pieces of k or
+    more beside them, and these are shared out over the room that there is."""
+    lengths = sorted(s for s, n in counts.items() if n > 0)
+    best = -(-sum(s * counts[s] for s in lengths) // capacity)
+    for k in [0, *(s for s in lengths if 2 * s <= capacity)]:
+        alone = sum(counts[s] for s in lengths if s > capacity - k)
+        long = [s for s in lengths if 2 * s > capacity and s <= capacity - k]
+        room = sum((capacity - s) * counts[s] for s in long)
+        rest = sum(s * counts[s] for s in lengths if k <= s and 2 * s <= capacity)
+        best = max(best, alone + sum(counts[s] for s in long) + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
+def top_up(plan: Plan, left: dict[int, int], capacity: int) -> Plan:
+    """``plan`` with the pieces of ``left`` put into its open bins, the longest first and each where
+    the least room is that it fits in. Takes them out of ``left``."""
+    by_room: dict[int, dict[Pattern, int]] = {}
+    full: Plan = []
+
+    def add(pattern: Pattern, times: int) -> None:
+        room = capacity - filled(pattern)
+        if not room:
+            full.append((pattern, times))
+            return
+        if room not in by_room:
+            bisect.insort(rooms, room)
+        own = by_room.setdefault(room, {})
+        own[pattern] = own.get(pattern, 0) + times
+
+    rooms: list[int] = []
+    for pattern, times in plan:
+        add(pattern, times)
+    for s in sorted((s for s, n in left.items() if n > 0), reverse=True):
+        while left[s] and (at := bisect.bisect_left(rooms, s)) < len(rooms):
+            own = by_room[rooms[at]]
+            pattern, times = own.popitem()
+            if not own:
+                del by_room[rooms.pop(at)]
+            now = min(times, left[s])
+            left[s] -= now
+            held = dict(pattern)
+            held[s] = held.get(s, 0) + 1
+            add(tuple(sorted(held.items(), reverse=True)), now)
+            if times > now:
+                add(pattern, times - now)
+    return full + [(pattern, times) for own in by_room.values() for pattern, times in own.items()]
+
+
 def crossover(base: Plan, donor: Plan, counts: dict[int, int], capacity: int, rng: random.Random) -> Plan:
     """Inject well-filled bins of ``donor``; keep the bins of ``base`` without pieces taken twice; best-fit the rest."""
     left = dict(counts)
@@ -130,6 +182,7 @@ def crossover(base: Plan, donor: Plan, counts: dict[int, int], capacity: int, rn
         if filled(pattern) == capacity or rng.random() < 0.7:
             put(pattern, times)
     # open bins take displaced pieces first, best fit; what is left makes new bins
+    child = top_up(child, left, capacity) if rng.random() < 0.5 else child
     return merged(child + best_fit(left, capacity, rng, rng.choice((0.0, 0.0, 0.1, 0.3))))
 
 
@@ -151,27 +204,40 @@ def merged(plan: Plan) -> Plan:
     return list(out.items())
 
 
-def evolve(population: list[Plan], counts: dict[int, int], capacity: int, generations: int, size: int, rng: random.Random) -> list[Plan]:
-    bound = -(-sum(s * n for s, n in counts.items()) // capacity)
+def evolve(population: list[Plan], counts: dict[int, int], capacity: int, generations: int, size: int, rng: random.Random, patience: int = 80) -> list[Plan]:
+    """``size`` plans after at most ``generations``, fewer if the bound is met or the best one has
+    not become better for ``patience`` of them."""
+    bound = least_bins(counts, capacity)
     while len(population) < size:
         population.append(best_fit(counts, capacity, rng, 0.0 if not population else rng.uniform(0.02, 0.3)))
-    rank = lambda p: cost(p, capacity)
-    population.sort(key=rank)
-    for _ in range(generations):
-        if rank(population[0])[0] <= bound:
+        if cost(population[-1], capacity)[0] <= bound:
+            return [population[-1]]
+    ranked = sorted(((cost(p, capacity), i, p) for i, p in enumerate(population)), key=lambda x: x[:2])
+    still = 0
+    for turn in range(generations):
+        if ranked[0][0][0] <= bound or still >= patience:
             break
-        a, b = rng.sample(population, 2)
+        (_, _, a), (_, _, b) = rng.sample(ranked, 2)
         child = crossover(a, b, counts, capacity, rng) if rng.random() < 0.7 else mutate(a, counts, capacity, rng)
-        population = sorted([*population, child], key=rank)[:size]
-    return population
+        before = ranked[0][0]
+        known = {x[0] for x in ranked}
+        of_child = cost(child, capacity)
+        if of_child not in known:  # copies would crowd out other plans
+            ranked = sorted([*ranked, (of_child, size + turn, child)], key=lambda x: x[:2])[:size]
+        still = 0 if ranked[0][0] < before else still + 1
+    return [p for _, _, p in ranked]
 
 
-def plan_bins(spark, counts: dict[int, int], capacity: int, *, islands: int = 4, rounds: int = 2, generations: int = 12, population: int = 5, seed: int = 7) -> Plan:
+def plan_bins(spark, counts: dict[int, int], capacity: int, *, islands: int = 4, rounds: int = 3, generations: int = 300, population: int = 6, seed: int = 7) -> Plan:
     """The best plan of ``islands`` populations after ``rounds`` with migration of the elite.
 
-    What passes through the driver is bounded: each plan has a few patterns a length at most."""
-    state = [(i, pickle.dumps([])) for i in range(islands)]
-    best: Plan = []
+    What passes through the driver is bounded: each plan has a few patterns a length at most. A plan
+    that meets the lower bound is taken at once."""
+    bound = least_bins(counts, capacity)
+    best = best_fit(counts, capacity, random.Random(seed))
+    if cost(best, capacity)[0] <= bound:
+        return best
+    state = [(i, pickle.dumps([best])) for i in range(islands)]
     for turn in range(rounds):
 
         def run(frames, turn=turn):
@@ -183,10 +249,12 @@ def plan_bins(spark, counts: dict[int, int], capacity: int, *, islands: int = 4,
 
         frame = spark.createDataFrame(state, "island int, state binary").repartition(islands)
         grown = {r["island"]: pickle.loads(bytes(r["state"])) for r in frame.mapInPandas(run, "island int, state binary").collect()}
+        before = cost(best, capacity)
         best = min((p for ps in grown.values() for p in ps), key=lambda p: cost(p, capacity))
-        if cost(best, capacity)[0] <= -(-sum(s * n for s, n in counts.items()) // capacity):
+        if cost(best, capacity)[0] <= bound or cost(best, capacity) == before:
             break
-        state = [(i, pickle.dumps([*grown[i][:-1], grown[(i - 1) % islands][0]])) for i in range(islands)]
+        elite = [min(grown[i], key=lambda p: cost(p, capacity)) for i in range(islands)]
+        state = [(i, pickle.dumps([*grown[i][: population - 1], elite[(i - 1) % islands]])) for i in range(islands)]
     return best
 
 
@@ -259,12 +327,13 @@ def _places(plan: Plan, capacity: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, islands: int = 4, rounds: int = 2, generations: int = 12) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, islands: int = 4, rounds: int = 3, generations: int = 300) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into as few sequences of ``capacity`` tokens as can be found.
 
     A document is its ids and ``end_id``; a longer one is cut into pieces of ``capacity``, the
-    first piece taking what is over. Null text is an empty one. Repeated rows are packed each;
-    null ids are kept; other columns are left out; no documents make no rows.
+    first piece taking what is over. Null text is an empty one; whole texts count, however long.
+    Repeated rows are packed each; null ids are kept; other columns are left out; no documents make
+    no rows.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
     spark = docs.sparkSession
