@@ -23,9 +23,7 @@ from leafmill.llm.common import written
 
 #: Bounds of what the driver gathers: vectors for the codebooks, queries for the measurement, centroids a half.
 FIT_VECTORS, PROBE_QUERIES, MOST_CENTROIDS = 20_000, 64, 512
-#: Vectors of a cell that one task holds together; a larger cell is dealt to several.
-CELL_ROWS = 20_000
-#: Vectors in a part of the index, on average.
+#: Vectors in a part of the index, which one task holds together; a cell of over twice that is dealt to several.
 PART_ROWS = 4_000
 
 
@@ -46,7 +44,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _codebook(x: np.ndarray, k: int, turns: int = 8) -> np.ndarray:
-    """Lloyd's algorithm; a centroid without vectors moves to the worst served one."""
+    """Lloyd's algorithm; a centroid without vectors moves to one of the worst served points."""
     centers = x[:k].copy()
     for _ in range(turns):
         d = (centers**2).sum(1) - 2 * x @ centers.T
@@ -56,9 +54,13 @@ def _codebook(x: np.ndarray, k: int, turns: int = 8) -> np.ndarray:
         np.add.at(total, near, x)
         full = count > 0
         centers[full] = total[full] / count[full, None]
-        if not full.all():
-            worst = np.argsort(-d[np.arange(len(x)), near])[: int((~full).sum())]
-            centers[~full][: len(worst)] = x[worst]
+        empty = np.flatnonzero(~full)
+        if len(empty):
+            far = d[np.arange(len(x)), near] + (x**2).sum(1)
+            worst = np.argsort(-far, kind="stable")[: 8 * len(empty)]
+            _, first = np.unique(x[worst], axis=0, return_index=True)  # different points only
+            worst = worst[np.sort(first)][: len(empty)]
+            centers[empty[: len(worst)]] = x[worst]
     return centers
 
 
@@ -127,21 +129,47 @@ def _brute(probe: np.ndarray, own: np.ndarray, k: int, width: int):
     return run
 
 
-def _asked(books, counts, width, enough, parts):
-    """For each query and part of the index, the cells to look into there."""
+def _parts(counts: np.ndarray, books: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first part of each cell, over how many parts it is dealt, number of parts).
+
+    The centroids of either half are put into groups of neighbours; cells of a pair of groups lie
+    next to each other, and runs of cells with PART_ROWS vectors make a part. So what a query
+    visits is in few parts, however many there are."""
+    held = np.flatnonzero(counts)
+    groups = max(1, round((counts.sum() / PART_ROWS) ** 0.5))
+    near = []
+    for book in books:
+        coarse = _codebook(book, min(groups, len(book)))
+        near.append(((coarse**2).sum(1) - 2 * book @ coarse.T).argmin(1))
+    a, b = held // len(books[1]), held % len(books[1])
+    held = held[np.lexsort((b, a, near[1][b], near[0][a]))]
+    first, copies = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32)
+    part, room = -1, 0
+    for cell, n in zip(held.tolist(), counts[held].tolist()):
+        if n > room or n > 2 * PART_ROWS:
+            part, room = part + 1, PART_ROWS
+        first[cell] = part
+        if n > 2 * PART_ROWS:
+            copies[cell] = -(-n // PART_ROWS)
+            part += int(copies[cell]) - 1
+            room = 0
+        room -= n
+    return first, copies, part + 1
+
+
+def _asked(books, counts, width, enough, first, copies):
+    """For each query and part of the index that it visits, the cells to look into there."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             d1, d2 = _distances(_unit(_matrix(batch.column(1), width)), books)
-            rows, part, cells, salt = [], [], [], []
+            rows, part, cells = [], [], []
             for i in range(batch.num_rows):
                 mine = np.array(walk(d1[i], d2[i], counts, enough), np.int64)
-                copies = -(-counts[mine] // CELL_ROWS)
-                wide = np.repeat(mine, copies)
-                salts = np.arange(len(wide)) - np.repeat(np.cumsum(copies) - copies, copies)
-                at = _part(wide, salts, parts)
+                wide = np.repeat(mine, copies[mine])
+                at = first[wide] + np.arange(len(wide)) - np.repeat(np.cumsum(copies[mine]) - copies[mine], copies[mine])
                 order = np.argsort(at, kind="stable")
                 at, wide = at[order], wide[order]
                 cut = np.flatnonzero(np.diff(at, prepend=-1))
@@ -154,17 +182,13 @@ def _asked(books, counts, width, enough, parts):
     return run
 
 
-def _part(cell: np.ndarray, salt: np.ndarray, parts: int) -> np.ndarray:
-    return ((cell * 2654435761 + salt * 40503) % (1 << 31)) % parts
-
-
-def _dealt(counts, parts):
+def _dealt(first, copies):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 cell, uid = batch.column(3).to_numpy(), batch.column(0).to_numpy()
-                salt = uid % np.maximum(-(-counts[cell] // CELL_ROWS), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(_part(cell, salt, parts).astype(np.int32)), *batch.columns], ["part", *batch.schema.names])
+                part = first[cell] + uid % copies[cell]
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *batch.columns], ["part", *batch.schema.names])
 
     return run
 
@@ -199,7 +223,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 5, recall: floa
 
     Null vectors, zero vectors, vectors with a null, NaN or infinite component and rows without
     an id take no part; nor do vectors of another length than the most frequent one. Repeated
-    rows are one. The codebooks are fitted on at most FIT_VECTORS vectors (smallest hashes); all
+    rows are one; other columns are left out; without vectors or queries there are no rows. The codebooks are fitted on at most FIT_VECTORS vectors (smallest hashes); all
     are indexed. ``recall`` is aimed at on at most PROBE_QUERIES queries, as measured."""
     spark = vectors.sparkSession
     rows = written(_valid(vectors), "vectors")
@@ -243,9 +267,9 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 5, recall: floa
         need += upto[mine["cell"].to_numpy(np.int64)].tolist()
     enough = max(int(np.quantile(need, recall, method="higher")) if need else 0, 64 * k)
 
-    parts = max(1, -(-n // PART_ROWS))  # by the vectors alone: a query gets k + 1 rows from each part it visits
-    left = queries.repartition(parts).mapInArrow(_asked(books, counts, width, enough, parts), "part int, uid long, v array<double>, cells array<long>")
-    right = index.mapInArrow(_dealt(counts, parts), f"part int, {schema}").select("part", "uid", "v", "cell")
+    first, copies, parts = _parts(counts, books)
+    left = queries.repartition(parts).mapInArrow(_asked(books, counts, width, enough, first, copies), "part int, uid long, v array<double>, cells array<long>")
+    right = index.mapInArrow(_dealt(first, copies), f"part int, {schema}").select("part", "uid", "v", "cell")
     met = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(_rerank(k + 1), "query long, uid long, score double")
     top = met.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "uid"))).where(F.col("r") <= k + 1)
     named = top.join(index.select("uid", "ids"), "uid").select("query", "score", F.explode("ids").alias("vec_id"))
