@@ -3,12 +3,17 @@
 Each page becomes a tree; for every node characters and tags are counted, in links and in all,
 and give its link-adjusted characters-per-tag. The densest node's path from the body sets the
 threshold; of the nodes that reach it, the one whose children's densities have the largest sum
-holds the text. What is marked as no part of an article (menus, adverts, comments, ...) is
-left out before, so it adds to no density.
+holds the text.
+
+Names of elements, classes, ids and roles only weigh in: a part named as a menu, an advert, a
+comment and so on has no density and stays out of the text, unless most of the page's unlinked
+text is in it. Names that negate such a word or join it to another one ("with-sidebar",
+"social-science") halve a part's density; it is left out only if its text is mostly links.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -22,7 +27,9 @@ from leafmill.llm.common import slices
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-LEFT_OUT = frozenset("script style template noscript nav footer aside form button select option datalist textarea title head iframe noembed noframes xmp svg math object audio video canvas map dialog menu fieldset input label".split())
+LEFT_OUT = frozenset("script style template noscript nav footer aside form button select option datalist textarea title head iframe noembed noframes xmp svg audio video canvas map input".split())
+#: Of these, what may as well wrap a whole page.
+MAY_WRAP = frozenset("nav footer aside form".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option optgroup".split())
 CLOSES_P = BLOCK - frozenset("body caption html legend option optgroup tbody td tfoot th thead tr".split())
 #: An opening tag ends these open ones, up to the nearest of the others.
@@ -45,6 +52,15 @@ MARKS = frozenset(
 )
 COMMENTS = frozenset("comment comments disqus respond reply replies".split())
 TOP_MARKS = frozenset({"header", "banner"})
+# Words that say nothing by themselves next to a mark, and words that turn it round.
+PLAIN = frozenset(
+    "area bar block body bottom box button buttons card center col column container content desktop end entry fixed floating form global grid group head header "
+    "heading hidden icon icons id img inner inline item items label large layout left level line link links list lists main mobile module open outer page pane panel "
+    "post posts primary region right row secondary section side single site slot small start sticky story stories strip text thread title toggle tool tools top unit user view web wide wp wrap wrapper zone".split()
+)
+NEGATIONS = frozenset("with without no not non has have hide disable disabled off is".split())
+#: How a doubtful name weighs; the share of links above which such a part goes.
+DOUBT, MOSTLY_LINKS = 0.5, 0.5
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/a-zA-Z][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -52,81 +68,115 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "marks", "hidden", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "marks", "doubt", "hidden", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag, parent, marks=frozenset(), hidden=False):
-        self.tag, self.parent, self.marks, self.hidden = tag, parent, marks, hidden
+    def __init__(self, tag, parent, marks=frozenset(), doubt=False, hidden=False):
+        self.tag, self.parent, self.marks, self.doubt, self.hidden = tag, parent, marks, doubt, hidden
         self.parts: list = []  # texts and nodes in page order
 
 
+class _Open:
+    """The open elements, with their places by tag, so that no end tag has to climb."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, []
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK and node.tag != "p":
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside of it."""
+        while len(self.nodes) > place:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK and tag != "p":
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        place = self.last((tag,))
+        # an inline end does not close a block
+        if place and (tag in BLOCK or not self.blocks or self.blocks[-1] < place):
+            self.cut(place)
+
+    def end(self, which: frozenset, limit: int) -> None:
+        """Close the outermost of ``which`` that is open behind ``limit``."""
+        found = [p[at] for p in map(self.places.get, which) if p and (at := bisect.bisect_right(p, limit)) < len(p)]
+        if found:
+            self.cut(min(found))
+
+
 def parse(source: str) -> Node:
     """A tree of the page; tags that are never closed end with what holds them."""
-    root = at = Node("#root", None)
+    root = Node("#root", None)
+    opened = _Open(root)
     done, n = 0, len(source)
     while done < n:
         m = _TOKEN.search(source, done)
         if m is None:
-            at.parts.append(html.unescape(source[done:]))
+            opened.nodes[-1].parts.append(html.unescape(source[done:]))
             break
         if m.start() > done:
-            at.parts.append(html.unescape(source[done : m.start()]))
+            opened.nodes[-1].parts.append(html.unescape(source[done : m.start()]))
         done = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         if m[1] or m[4]:
-            at = _closed(at, tag)
+            opened.close(tag)
             continue
         if tag in CLOSES_P:
-            at = _ended(at, frozenset({"p"}), BLOCK)
+            opened.end(_P, opened.blocks[-1] if opened.blocks else 0)
         if tag in ENDS:
-            at = _ended(at, *ENDS[tag])
-        marks, hidden = _marks(m[3] or m[6] or "")
-        node = Node(tag, at, marks, hidden)
+            which, until = ENDS[tag]
+            opened.end(which, opened.last(until))
+        at = opened.nodes[-1]
+        node = Node(tag, at, *_marks(m[3] or m[6] or ""))
         at.parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, done)
             done = end.end() if end else n
         elif tag not in VOID:
-            at = node
+            opened.push(node)
     return root
 
 
-def _closed(at: Node, tag: str) -> Node:
-    node = at
-    while node.parent is not None:
-        if node.tag == tag:
-            return node.parent
-        if tag not in BLOCK and node.tag in BLOCK and node.tag != "p":
-            break  # an inline end does not close a block
-        node = node.parent
-    return at
+_P = frozenset({"p"})
 
 
-def _ended(at: Node, which: frozenset, until: frozenset) -> Node:
-    node, out = at, at
-    while node.parent is not None:
-        if node.tag in which:
-            out = node.parent
-        elif node.tag in until:
-            break
-        node = node.parent
-    return out
+def named(names: str) -> tuple[frozenset, bool]:
+    """(marks, doubt) of class names: marks that are meant, and whether one is only part of a name."""
+    marks, doubt = set(), False
+    for name in names.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        found = [w for w in words if w in MARKS or w in TOP_MARKS]
+        if not found:
+            continue
+        if words[0] in NEGATIONS or not all(w in MARKS or w in TOP_MARKS or w in PLAIN or len(w) < 3 for w in words):
+            doubt = True
+        else:
+            marks.update(found)
+    return frozenset(marks), doubt
 
 
-def _marks(attributes: str) -> tuple[frozenset, bool]:
+def _marks(attributes: str) -> tuple[frozenset, bool, bool]:
     if not attributes.strip(" /\n\t\r"):
-        return frozenset(), False
-    words, hidden = [], False
+        return frozenset(), False, False
+    names, hidden = [], False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "id", "role"):
-            words += [w.lower() for w in _WORD.findall("".join(values))]
+            names.append("".join(values))
         elif name == "hidden" or name == "aria-hidden" and "true" in values:
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", "".join(values), re.I):
             hidden = True
-    return frozenset(words), hidden
+    return *named(" ".join(names)), hidden
 
 
 def _nodes(root: Node) -> list[Node]:
@@ -139,28 +189,77 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
+def _left_out(node: Node) -> bool:
+    return node.tag in LEFT_OUT and node.tag not in MAY_WRAP
+
+
+def _unlinked(nodes: list[Node]) -> dict[int, int]:
+    """Characters of each node that can be read and lie in no link."""
+    out: dict[int, int] = {}
+    for node in reversed(nodes):
+        own = sum(len(x.strip()) if isinstance(x, str) else out[id(x)] for x in node.parts)
+        out[id(node)] = 0 if node.tag == "a" or node.hidden or _left_out(node) else own
+    return out
+
+
 def _prune(root: Node) -> None:
-    """Leave out what is no part of an article, unless the article is inside of it."""
+    """Leave out what is named as no part of an article, unless the article is inside of it."""
     nodes = _nodes(root)
-    holds = set()
+    holds, inside = set(), set()  # an article or main; inside of one
     for node in nodes:
         if node.tag in ("article", "main") and not node.marks & COMMENTS:
             up = node
             while up is not None and id(up) not in holds:
                 holds.add(id(up))
                 up = up.parent
-    inside = set()  # of an article
-    for node in nodes:
         if node.parent is not None and (id(node.parent) in inside or node.parent.tag in ("article", "main")):
             inside.add(id(node))
+    free = _unlinked(nodes)
+    article = any(x.tag in ("article", "main") and not x.marks & COMMENTS and free[id(x)] for x in nodes)
+
+    def is_named(node: Node) -> bool:
         top = (node.tag == "header" or node.marks & TOP_MARKS) and id(node) not in inside
-        if node.hidden or node.tag in LEFT_OUT or (top or node.marks & MARKS) and node.tag not in ("html", "body") and (id(node) not in holds or node.marks & COMMENTS):
-            if node.hidden and id(node) in holds or node.tag in ("form", "fieldset", "label") and id(node) in holds:
-                continue
+        return node.tag not in ("html", "body", "article", "main") and bool(node.tag in MAY_WRAP or top or node.marks & MARKS) or node.tag in ("article", "main") and bool(node.marks & COMMENTS)
+
+    outermost: set[int] = set()
+    covered = set()
+    for node in nodes:
+        if node.parent is not None and id(node.parent) in covered:
+            covered.add(id(node))
+        elif is_named(node):
+            outermost.add(id(node))
+            covered.add(id(node))
+    rest = free[id(root)] - sum(free[i] for i in outermost)
+    gone = set()
+    for node in nodes:
+        if node.parent is not None and id(node.parent) in gone:
+            gone.add(id(node))
+            continue
+        out = _left_out(node) or node.hidden and id(node) not in holds
+        if not out and is_named(node) and (id(node) not in holds or node.marks & COMMENTS):
+            own = free[id(node)]
+            sure = node.marks & COMMENTS or node.tag in ("nav", "footer", "aside")
+            out = rest * (20 if sure else 3) >= own or 2 * own < free[id(root)] or article and id(node) not in inside
+            if not out:  # most of the page is in here: judge what it holds by what else it holds
+                rest += own - sum(free[id(x)] for x in _outer(node, is_named))
+        if out:
+            gone.add(id(node))
             node.parts = []
             node.tag = "#out" if node.tag not in BLOCK else "#block"
 
 
+def _outer(top: Node, is_named) -> list[Node]:
+    """The outermost named nodes below ``top``."""
+    out, stack = [], [x for x in top.parts if isinstance(x, Node)]
+    while stack:
+        node = stack.pop()
+        if is_named(node):
+            out.append(node)
+        else:
+            stack.extend(x for x in node.parts if isinstance(x, Node))
+    return out
+
+
 def _measure(root: Node) -> list[Node]:
     nodes = _nodes(root)
     for node in reversed(nodes):
@@ -176,7 +275,7 @@ def _measure(root: Node) -> list[Node]:
         c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
         plain = max(c - node.link_chars, 1)
         base = math.log(c / plain * node.link_chars + ratio * c + math.e)
-        node.density = c / t * math.log(max(c / lc * t / lt, 1.0), max(base, 1.0001)) if c else 0.0
+        node.density = (DOUBT if node.doubt else 1.0) * c / t * math.log(max(c / lc * t / lt, 1.0), max(base, 1.0001)) if c else 0.0
     for node in nodes:
         node.total = sum(x.density for x in node.parts if isinstance(x, Node))
     return nodes
@@ -224,6 +323,8 @@ def block_text(node: Node) -> str:
             now = []
         elif isinstance(x, str):
             now.append(x)
+        elif x.doubt and x is not node and x.link_chars > MOSTLY_LINKS * x.chars:
+            now.append(" ")
         else:
             cut = x.tag in BLOCK or x.tag == "#block"
             if x.tag in ("br", "#out"):
@@ -252,6 +353,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """The main text of each whole page of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     Null or empty html, or a page without text, has an empty one. Null ids and urls are kept,
-    repeated rows are read each; other columns are left out. One narrow pass without a shuffle."""
+    repeated rows are read each; other columns are left out; no rows give none. Whole pages are
+    read, however long, in time that grows with their length. One narrow pass without a shuffle."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
