@@ -7,6 +7,7 @@ are those of the library on the whole text; texts where that is not certain go t
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +44,21 @@ class TextEncoder:
         #: Byte-level tokens carry the space before a word; else white space is dropped.
         self.keeps_space = kind == "ByteLevel"
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo = Memo(self._encode if self.keeps_space else self._words, half=350_000)
+        normal = self.library.normalizer
+        self.lowers = normal is not None and normal.normalize_str("ABXYZ") == "abxyz"
+        self.memo = Memo(self._encode if self.keeps_space else self._words, half=250_000)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, names: list[str]) -> list[bytes]:
-        """Ids of words where white space is dropped and all is made small. A mark behind a letter is
-        a pre-token of its own, and ASCII capitals read as small letters: many new words are known."""
+        """Ids of words where white space is dropped. A mark behind a letter is a pre-token of its own,
+        and where all is made small ASCII capitals read as small letters: many new words are known."""
         out: list = [None] * len(names)
         plain, derived, stems, tails = [], [], [], []
         for i, name in enumerate(names):
-            stem, tail = (name.lower() if name.isascii() and "<|" not in name else name), ""
-            if len(stem) > 2 and stem[-1] in ",." and stem[-2].isalpha():
+            stem, tail = (name.lower() if self.lowers and name.isascii() and "<|" not in name else name), ""
+            if len(stem) > 2 and stem[-1] in ",." and stem[-2].lower().isalpha():  # some letters gain marks when made small
                 stem, tail = stem[:-1], stem[-1]
             if stem == name:
                 plain.append(i)
