@@ -1,6 +1,7 @@
 """Plain restatements of what the corpus operators must return."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -79,3 +80,26 @@ def targets(sizes: dict, weights=(5, 2, 1), most=3):
         left -= sum(out[s] for s in stopped)
         free -= set(stopped)
     return out
+
+
+def density(node, body):
+    """Composite text density of a node, from counts made anew by recursion."""
+
+    def counts(x, in_link=False):
+        chars = tags = link_chars = link_tags = 0
+        link = in_link or x.tag == "a"
+        for y in x.parts:
+            if isinstance(y, str):
+                chars += len(y.strip())
+                link_chars += link * len(y.strip())
+            else:
+                c, t, lc, lt = counts(y, link)
+                chars, tags, link_chars, link_tags = chars + c, tags + t + 1, link_chars + lc, link_tags + lt + (y.tag == "a")
+        return chars, tags, link_chars, link_tags
+
+    c, t, lc, lt = counts(node)
+    if not c:
+        return 0.0
+    whole, _, linked, _ = counts(body)
+    base = math.log(c / max(c - lc, 1) * lc + linked / max(whole, 1) * c + math.e)
+    return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0), max(base, 1.0001))

@@ -1,5 +1,6 @@
 """The corpus operators against plain restatements: test tables, odd rows, empty tables, skewed groups."""
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -14,7 +15,7 @@ from leafmill.llm import ann, htmltext, licenses, mixing, neardup, packing, qual
 from leafmill.llm.tokens import TextEncoder
 from tests.llm import brute
 
-DOC = "doc_id long, text string, source string, n_bytes long, kept string, start string"  # names that results have too
+DOC = "doc_id long, text string, source string, n_bytes long, kept string, start string, times int, spans string, slot long, `rest.x` string"  # names that results and steps have too
 PROSE = "the quick brown fox jumps over a lazy dog and then it sleeps in the warm evening sun near our old house by the river".split()
 
 
@@ -28,7 +29,7 @@ def odd_rows():
     words = base.split()
     near = [" ".join(w if rng.random() > 0.03 else "changed" for w in words) for _ in range(12)]
     texts = [None, "", " \n\t ", "one two three", "One TWO three", base, base, base + "\n", *near, "é中😀 " * 40, "x" * 400, "x" * 400 + "tail", base[:200] + prose(rng, 60), prose(rng, 3000), "a  b   c \n\n  d  ", "<|endoftext|> <s> hi", "\x1c\x85\xa0  end  "]
-    rows = [(i * 3 + 1, t, f"s{i % 3}" if i % 5 else None, 7, "x", "y") for i, t in enumerate(texts)]
+    rows = [(i * 3 + 1, t, f"s{i % 3}" if i % 5 else None, 7, "x", "y", 1, "z", 3, "q") for i, t in enumerate(texts)]
     return rows + [rows[5]]  # a repeated row
 
 
@@ -77,6 +78,14 @@ def test_near_duplicates_in_one_large_group(spark):
     assert kept.columns == ["doc_id", "text", "more"] and sorted(r.doc_id for r in kept.collect()) == sorted(set(parts.values()))
 
 
+def test_one_stays_of_equal_rows_only(spark):
+    rng = random.Random(2)
+    a, b = prose(rng, 60), prose(rng, 60)
+    df = spark.createDataFrame([(1, a), (1, a), (2, a + " more"), (3, b), (3, prose(rng, 50)), (None, a), (None, a), (4, None), (4, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, (r.text or "")[:5]) for r in neardup.keep_one_each(df).collect())
+    assert [d for d, _ in got] == [0, 0, 1, 3, 3, 4]
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.id: r.component for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -97,6 +106,49 @@ def test_repeated_substrings(which, hot, request, monkeypatch):
         assert r.text == want[r.doc_id][4].decode(errors="ignore")
 
 
+def test_surroundings_with_32_equal_bits_are_no_copies(spark):
+    rng = np.random.default_rng(3)
+    letters = rng.integers(97, 123, (200_000, 80), dtype=np.uint8)
+    grams = substring.gram_hashes(letters[:, :20].reshape(-1))[::20] >> np.uint64(32)
+    letters[:, 30:50] = letters[int(np.argmin(grams)), :20]  # a sample in each text
+    n = len(letters)
+    rank = substring._rank(letters, np.zeros(n, np.int64), np.full(n, 80), np.full(n, 30))
+    half = rank.astype(np.uint64) >> np.uint64(32 if rank.itemsize == 8 else 0)
+    order = np.argsort(half, kind="stable")
+    same = np.flatnonzero(half[order][1:] == half[order][:-1])
+    assert len(same)
+    pairs = [(order[i], order[i + 1]) for i in same]
+    rows = [(2 * k + j, letters[i].tobytes().decode()) for k, pair in enumerate(pairs) for j, i in enumerate(pair)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.n_removed == 0 for r in got)
+
+
+def test_repeats_are_told_by_their_bytes(monkeypatch, documents):
+    """Fingerprints only choose what is compared: with grams that mostly collide, results are the same."""
+    monkeypatch.setattr(substring, "gram_hashes", lambda data: np.ones(len(data), np.uint64) << np.uint64(33))
+    texts = ["".join(random.Random(i // 2).choice("ab") for _ in range(90 + i)) for i in range(12)]
+    data, borders = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    places, grams = substring.cover_samples(data, borders, 50)
+    rows, first, last = substring.surroundings(data, borders, places, 50)
+    text = np.searchsorted(borders, places, "right") - 1
+    start = borders[text]
+    names = ["gram", "doc_id", "at", "first", "last", "bytes"]
+    columns = [grams.view(np.int64), text, (places - start).astype(np.int32), (first - start).astype(np.int32), (last - start).astype(np.int32), [r.tobytes() for r in rows]]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+    covered = defaultdict(set)
+    for out in substring._compare(50)([batch]):
+        for d, lo, hi in zip(*(out.column(i).to_pylist() for i in range(3))):
+            covered[d].update(range(lo, hi))
+    want = brute.cuts(dict(enumerate(texts)))
+    assert {d: len(covered[d]) for d in want} == {d: w[1] for d, w in want.items()}
+
+
+def test_each_run_has_a_sample(monkeypatch):
+    monkeypatch.setattr(substring, "gram_hashes", lambda data: np.zeros(len(data), np.uint64))
+    places, _ = substring.cover_samples(np.zeros(80, np.uint8), np.array([0, 80]), 50)
+    assert all(any(s <= p <= s + 30 for p in places) for s in range(31))
+
+
 def test_quality_rules(odd, documents):
     for df in (odd, documents):
         texts = texts_of(df)
@@ -132,12 +184,60 @@ def test_mixing(odd, documents):
         assert {r.source_size for r in rows} == set(size.values())
 
 
-def test_mix_takes_effect(documents):
-    taken = {r.doc_id: r for r in mixing.mix_sources(documents).collect()}
-    got = defaultdict(int)
-    for r in mixing.apply_mix(documents).select("doc_id").collect():
-        got[r.doc_id] += 1
-    assert all(got[d] == (-(-r.taken // r.size) if r.size else 0) for d, r in taken.items())
+def test_mix_takes_effect(odd, documents):
+    for df in (documents, odd):
+        rows = mixing.mix_sources(df).collect()
+        size, taken = defaultdict(int), defaultdict(int)
+        for r in rows:
+            size[r.doc_id], taken[r.doc_id] = size[r.doc_id] + r.size, taken[r.doc_id] + r.taken
+        got, times = mixing.apply_mix(df), defaultdict(int)
+        assert got.columns == df.columns
+        for r in got.select("doc_id").collect():
+            times[r.doc_id] += 1
+        repeated = [r.doc_id for r in rows if [x.doc_id for x in rows].count(r.doc_id) > 1]
+        assert all(times[d] == (-(-taken[d] // size[d]) if size[d] else 0) for d in size if d not in repeated)
+
+
+def test_mix_follows_the_points(spark, documents):
+    """First slots, and the order in which documents come, from the golden-ratio points stated plainly."""
+    block = 64
+    rows = {r.doc_id: r for r in mixing.mix_sources(documents, block_tokens=block).collect()}
+    order = sorted({r.source for r in documents.collect()}, key=lambda s: (s is None, s or ""))
+    source = {r.doc_id: order.index(r.source) for r in documents.collect()}
+    target, total, places, sizes = {}, defaultdict(int), {}, defaultdict(int)
+    mark = {d: hashlib.md5(f"mix{d}".encode()).hexdigest() for d in rows}
+    for d in sorted(rows, key=lambda d: (mark[d], d)):
+        k = source[d]
+        places[d], target[k] = sizes[k], int(rows[d].target)
+        sizes[k] += rows[d].size
+    slots = {k: target[k] // sizes[k] * -(-sizes[k] // block) + -(-(target[k] % sizes[k]) // block) for k in sizes if sizes[k] and target[k]}
+    ks, n = sorted(slots), sum(slots.values())
+    edges = np.cumsum([0, *(slots[k] for k in ks)])
+    at, schedule = defaultdict(int), {}
+    borders = [int(float(e) / n * mixing.CIRCLE) for e in edges]
+    for i in range(n):
+        k = ks[int(np.searchsorted(borders, i * mixing.GOLDEN % mixing.CIRCLE, "right")) - 1]
+        if at[k] < slots[k]:
+            schedule[k, at[k]] = i
+        at[k] += 1
+    for j, k in enumerate(ks):
+        for rank in range(at[k], slots[k]):
+            schedule[k, rank] = n + int(edges[j]) + rank
+    assert len(set(schedule.values())) == n
+    for d, r in rows.items():
+        k, found = source[d], []
+        for rank in range(slots.get(k, 0) if r.size else 0):
+            blocks = -(-sizes[k] // block)
+            lo = rank % blocks * block
+            hi = min(lo + block, sizes[k])
+            if rank == slots[k] - 1 and target[k] % sizes[k]:
+                hi = min(hi, target[k] % sizes[k]) if target[k] % sizes[k] > lo else hi
+            if lo < places[d] + r.size and places[d] < hi:
+                found.append(schedule[k, rank])
+        assert r.first_slot == min(found, default=None), d
+    came = [r.doc_id for r in mixing.apply_mix(documents, block_tokens=block).collect()]
+    want = sorted((schedule[source[d], turn * -(-sizes[source[d]] // block) + places[d] // block], places[d], d) for d, r in rows.items() for turn in range(-(-r.taken // r.size) if r.size else 0))
+    assert came == [d for _, _, d in want]
 
 
 def test_schedule_is_even(spark):
@@ -167,6 +267,53 @@ def test_encoder_is_the_library(name, documents):
     assert all(ids[a:b].tolist() == w.ids for a, b, w in zip(borders[:-1], borders[1:], want))
 
 
+def test_encoder_reads_its_normaliser(tmp_path):
+    """A vocabulary that does not lower-case keeps capitals apart."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    plain = json.loads(open(path("word_bpe_49k.json")).read())
+    plain["normalizer"] = None
+    place = str(tmp_path / "cased.json")
+    with open(place, "w") as f:
+        json.dump(plain, f)
+    texts = ["Hello WORLD, said A man. İ. ok", "tHe the THE, The."]
+    want = Tokenizer.from_file(place).encode_batch(texts, add_special_tokens=False)
+    ids, borders = TextEncoder(place).encode(pa.array(texts, pa.string()))
+    assert all(ids[a:b].tolist() == w.ids for a, b, w in zip(borders[:-1], borders[1:], want))
+
+
+def test_very_long_texts(spark, monkeypatch):
+    from leafmill.llm import common
+
+    monkeypatch.setattr(common, "SLICE_BYTES", 1000)
+    rng = random.Random(4)
+    df = spark.createDataFrame([(1, "y" * 60_000), (2, prose(rng, 4000)), (3, "a"), (None, "z z")], "doc_id long, text string")
+    for name, end, run in (("word_bpe_49k.json", 1, lambda d: tokenorc.token_orc_round_trip(d, path("word_bpe_49k.json"), 1)),):
+        _, ids = library_ids(df.where("doc_id is not null"), name, end)
+        got = {r.doc_id: r for r in run(df).collect()}
+        assert [(got[i].n_tokens, got[i].ids_crc32) for i in (1, 2, 3)] == [(len(x), crc(x)) for x in ids]
+    packed = packing.pack_documents(df, path("byte_bpe_50k.json")).collect()
+    _, ids = library_ids(df.where("doc_id is not null"), "byte_bpe_50k.json", 2)
+    assert [sum(r.length for r in packed if r.doc_id == i) for i in (1, 2, 3)] == [len(x) for x in ids]
+    counts = {r.doc_id: r.n_tokens for r in tokencount.token_counts(df, path("piece_bpe_32k.model")).collect()}
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    assert counts[1] == len(library.encode("y" * 60_000)) and counts[None] == len(library.encode("z z"))
+
+
+def test_token_orc_in_several_files_a_task(spark, odd, monkeypatch):
+    monkeypatch.setattr(tokenorc, "TASK_BYTES", 2000)
+    want = sorted(tuple(r) for r in tokenorc.token_orc_round_trip(odd, path("word_bpe_49k.json"), 1).collect())
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 2)
+    try:
+        assert sorted(tuple(r) for r in tokenorc.token_orc_round_trip(odd, path("word_bpe_49k.json"), 1).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
 def library_ids(df, name, end):
     from tokenizers import Tokenizer
 
@@ -231,6 +378,69 @@ def test_packing_is_near_the_bound():
         assert packing.cost(plan, 1024)[0] <= bound * (1.02 if high != 700 else 1.1)
 
 
+def fewest(pieces, capacity):
+    """The exact optimum: pieces one by one into each open bin that has room, or a new one."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= pieces[i]}:
+            at = rooms.index(room)
+            place(i + 1, [*rooms[:at], room - pieces[i], *rooms[at + 1 :]])
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+def counted(pieces):
+    return {s: pieces.count(s) for s in set(pieces)}
+
+
+def test_packing_meets_the_optimum_of_small_cases():
+    rng, apart = random.Random(8), 0
+    for _ in range(60):
+        pieces = sorted((rng.randint(8, 70) for _ in range(rng.randint(1, 11))), reverse=True)
+        want = fewest(pieces, 100)
+        assert packing.least_bins(counted(pieces), 100) <= want
+        got = packing.cost(packing.evolve([], counted(pieces), 100, 200, 6, rng)[0], 100)[0]
+        assert got >= want
+        apart += got - want
+    assert apart <= 1
+
+
+def held(plan):
+    out = defaultdict(int)
+    for pattern, times in plan:
+        for s, k in pattern:
+            out[s] += k * times
+    return dict(out)
+
+
+def test_crossover_fills_open_bins():
+    left = {40: 3, 15: 1, 90: 1}
+    plan = packing.top_up([(((60, 1),), 2), (((80, 1),), 1)], left, 100)
+    assert sorted(plan) == [(((60, 1), (40, 1)), 2), (((80, 1), (15, 1)), 1)] and left == {40: 1, 15: 0, 90: 1}
+    rng = random.Random(3)
+    counts = counted([rng.randint(200, 520) for _ in range(600)])
+    a, b = (packing.best_fit(counts, 1024, rng, skip) for skip in (0.0, 0.2))
+    for _ in range(20):
+        child = packing.crossover(a, b, counts, 1024, rng)
+        assert held(child) == counts and all(packing.filled(p) <= 1024 for p, _ in child)
+
+
+def test_packing_goes_on_while_it_gets_better():
+    rng = random.Random(1)
+    counts = counted([rng.randint(200, 520) for _ in range(3000)])
+    plan = packing.evolve([], counts, 1024, 1500, 16, random.Random(3), 250)[0]
+    assert held(plan) == counts and packing.cost(plan, 1024)[0] <= 1090
+
+
 def test_token_counts(odd, documents):
     import sentencepiece
 
@@ -288,6 +498,64 @@ def test_html(spark, sf):
     assert all(r.text and "track(" not in r.text and "©" not in r.text for r in pages)
 
 
+ARTICLE = "<h1>Title here</h1><p>" + "This is the article, with many words in it. " * 5 + "</p><p>" + "Its second paragraph goes on for a while. " * 4 + "</p>"
+SAID = "I disagree with all of that, at length. "
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><nav><a href=x>a</a></nav><div class='with-sidebar'>{}</div></body>",
+        "<div class='content no-comments'>{}</div>",
+        "<body class='nav-open'><div id=wrap class=sidebar><div class=ad>Buy now</div>{}<div class=comments><p>" + SAID * 9 + "</p></div></div><footer>(c)</footer></body>",
+        "<body><form id=f><div class='sidebar-right'><a>l</a> side text</div><div>{}</div></form></body>",
+        "<body><div class=post>{}</div><section id=comments><h2>Comments</h2><article class=comment><p>" + SAID * 40 + "</p></article></section></body>",
+        "<body><div class=cookie-notice><p>We use cookies on this site for many reasons.</p></div><div class=menu-bar><a>x</a></div>{}<div class='related-posts'><a>More</a> to read</div></body>",
+    ],
+)
+def test_html_named_parts(page):
+    text = htmltext.extract(page.format(ARTICLE))
+    assert text == htmltext.extract(f"<article>{ARTICLE}</article>") and "while." in text
+
+
+def test_html_keeps_what_articles_hold():
+    assert htmltext.extract("<article><p>We need <math><mi>x</mi></math> here, <object>this</object> <label>too</label></p></article>") == "We need x here, this too"
+    page = "<div class=post><p>" + "Other paragraph text. " * 5 + "</p><div class='social-science'><p>" + "Studies of society say so. " * 6 + "</p></div><div class='share-kit9x'><a>this</a><a>that</a></div></div>"
+    text = htmltext.extract(page)
+    assert "Studies of society" in text and "Other paragraph" in text and "this" not in text
+
+
+def test_html_densities_are_those_of_a_plain_restatement():
+    rng = random.Random(6)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return "".join(rng.choice("abc ") for _ in range(rng.randint(0, 40)))
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in (rng.choice(["div", "section", "a", "b", "i"]) for _ in range(rng.randint(1, 4))))
+
+    for _ in range(40):
+        root = htmltext.parse(f"<body>{tree(4)}</body>")
+        nodes = htmltext._measure(root)
+        body = next(x for x in nodes if x.tag == "body")
+        for node in nodes:
+            assert node.density == pytest.approx(brute.density(node, body)) and node.total == pytest.approx(sum(brute.density(x, body) for x in node.parts if not isinstance(x, str)))
+
+
+def test_html_odd_rows(spark):
+    df = spark.createDataFrame([(None, None, "<p>one</p>", 1), (1, "u", "<p>one</p>", 1), (1, "u", "<p>one</p>", 1), (2, "u", "<p>" + "word " * 200_000 + "</p>", 1)], "page_id long, url string, html string, n_chars int")
+    got = sorted(((r.page_id or 0, r.text[:3], r.n_chars) for r in htmltext.main_text(df).collect()))
+    assert got == [(0, "one", 3), (1, "one", 3), (1, "one", 3), (2, "wor", 999_999)]
+
+
+def test_html_end_tags_do_not_climb():
+    import time
+
+    began = time.time()
+    for bad in ("<div>" * 20_000 + "</section>" * 20_000, "<span>" * 20_000 + "<p>x" * 20_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000):
+        htmltext.extract(bad)
+    assert time.time() - began < 6
+
+
 def test_html_scales_with_the_page():
     import time
 
@@ -307,6 +575,22 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_licenses_are_inherited_from_several_depths(spark):
+    rows = [(1000, "Released under the MIT License.", "a"), (1003, "x", "a"), (1050, "Licensed under CC BY 4.0.", "a"), (1051, "x", "a"), (1101, "Released under the ISC License.", "a"), (1102, "x" * 300_000, "a"), (2001, None, "a"), (1003, "x", "b"), (1003, "x", "b"), (7, "x", None), (None, "Released under the MIT License.", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = licenses.document_licenses(df).collect()
+    assert len(got) == len(rows)
+    told = {r.path: (r.license, r.license_dir) for r in got}
+    assert told["a/d1/p20/1003"] == ("CC-BY-4.0", "a/d1") and told["a/d1/p21/1051"] == ("CC-BY-4.0", "a/d1") and told["a/d1/p22/1102"] == ("ISC", "a/d1/p22")
+    assert told["a/d2/p40/2001"] == ("MIT", "a") and told["b/d1/p20/1003"] == (None, None) and told["none/d0/p0/7"] == (None, None)
+
+
+@pytest.mark.parametrize("name, line", [("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies."), ("EPL-2.0", "Eclipse Public License - v 2.0"), ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE, Version 2.1, February 1999"), ("Unlicense", "This is free and unencumbered software released into the public domain.")])
+def test_more_licenses(spark, name, line):
+    df = spark.createDataFrame([("r/x.c", f"/* code */\n{line}\nint x;")], "path string, text string")
+    assert licenses.scan_licenses(df).first().own_license == name
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int, rank int")
 
@@ -338,6 +622,53 @@ def test_neighbours(spark):
     assert sorted(r.vec_id for r in few) == [1, 2]
 
 
+def test_codebooks_use_all_centroids():
+    x = np.vstack([np.zeros((40, 3)), np.arange(150).reshape(50, 3) / 10.0])
+    book = ann._codebook(x, 16)
+    assert len(np.unique(book, axis=0)) == 16
+    assert len(np.unique(((book**2).sum(1) - 2 * x @ book.T).argmin(1))) >= 14
+
+
+def test_parts_hold_neighbours():
+    """However many parts there are, the cells near a query lie in a few of them; large cells are dealt out."""
+    rng, seen = np.random.default_rng(2), {}
+    for n in (40_000, 160_000):
+        k = max(8, int((n / 3) ** 0.5))
+        books = [rng.normal(size=(k, 2)), rng.normal(size=(k, 2))]
+        counts = np.zeros(k * k, np.int64)
+        counts[rng.integers(0, k * k, n)] += 1
+        counts[:] = 3
+        counts[5] = 50_000
+        first, copies, parts = ann._parts(counts, books)
+        assert copies[5] == -(-50_000 // ann.PART_ROWS) and first.max() < parts
+        held = np.bincount(first, counts, minlength=parts)
+        assert max(held[p] for p in range(parts) if p != first[5]) <= 2 * ann.PART_ROWS
+        visits = []
+        for q in range(0, k, 7):
+            near = [((b - b[q]) ** 2).sum(1) for b in books]
+            visits.append(len(np.unique(first[ann.walk(near[0], near[1], counts, 400)])))
+        seen[n] = np.mean(visits)
+    assert seen[160_000] < 8
+
+
+def test_neighbours_recall_on_a_larger_table(spark):
+    """Recall of the query as it is registered, against brute force."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, m = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = defaultdict(set)
+    for r in queries.QUERIES["op5_nearest_neighbours"](spark, sf).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = m @ m[q]
+        s[q] = -9
+        best = ids[np.lexsort((ids, -s.round(12)))[:5]]
+        hits, total = hits + len(got[ids[q]] & set(best.tolist())), total + 5
+    assert hits >= 0.9 * total
+
+
 def test_walk_is_by_distance():
     rng = np.random.default_rng(3)
     a, b, counts = rng.random(9), rng.random(7), rng.integers(0, 3, 63)

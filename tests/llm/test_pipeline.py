@@ -1,5 +1,6 @@
 """The pipeline against its stages restated plainly."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -35,3 +36,39 @@ def test_stages(spark, sf):
     first = Counter(r.doc_id for r in packed if r.piece == 0)
     assert first == times
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
+
+
+def test_odd_rows_go_through(spark, tmp_path):
+    """Null, empty and very long texts, repeated rows and ids, ties, columns with the names of results."""
+    from tests.llm.test_operators import DOC, odd_rows, prose
+
+    rng = random.Random(3)
+    long = prose(rng, 30_000)
+    rows = [*odd_rows(), *[(900 + i, prose(rng, 80), "s1", 7, "x", "y", 1, "z", 3, "q") for i in range(5)], (None, prose(rng, 70), None, 7, "x", "y", 1, "z", 3, "q"), (990, long, "s2", 7, "x", "y", 1, "z", 3, "q"), (991, long, "s2", 7, "x", "y", 1, "z", 3, "q")]
+    place = str(tmp_path / "sf")
+    spark.createDataFrame(rows, DOC).write.parquet(f"{place}/documents.parquet")
+    docs = spark.read.parquet(f"{place}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, place)
+        assert out.columns == docs.columns and out.schema["rest.x"].dataType == docs.schema["rest.x"].dataType, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        ids = [r.doc_id for r in docs.collect()]
+        assert None in ids and 990 in ids and (name == "quality_rules" or 991 not in ids)
+    assert corpus_pipeline.run(spark, place).count() > 0
+    spark.createDataFrame([], DOC).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_working_tables_go(spark, sf):
+    import os
+
+    from leafmill.llm.common import shared_dir
+
+    def held():
+        return {x for x in os.listdir(shared_dir(spark).removeprefix("file://")) if x.startswith("leafmill-")}
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = held()
+        stage(spark, docs, sf).count()
+        assert len(held() - before) <= 1
