@@ -139,3 +139,45 @@ def fuzzy_unique(texts: list[str], threshold: float = 0.65) -> list[bool]:
         if new:
             kept.append(text)
     return out
+
+
+# Short words of speech that are never taken for sounds.
+NEVER_SOUNDS = "OH NO GO HUH AH UH UM HA HEH HEY NOW YES WHY STOP WAIT HELP RUN AHKK AHK ARGH URGH AAAH GAHH".split()
+_BARE = re.compile(r"[^A-Z]")
+
+
+def sounds_like(word: str, sounds: list[str], common: frozenset[str]) -> bool:
+    """Whether a word in capitals is a sound effect: by name, with letters drawn out, as part of a
+    longer one, or by a likeness of 0.8."""
+    bare = _BARE.sub("", word)
+    if not bare or bare in NEVER_SOUNDS:
+        return False
+    if bare in sounds:
+        return True
+    if bare in common or word in common:
+        return False
+    once = lambda w: re.sub(r"(.)\1+", r"\1", w)
+    if any(once(s) == once(bare) or len(s) >= 4 and (s in bare or len(bare) >= 4 and bare in s) for s in sounds):
+        return True
+    return bool(difflib.get_close_matches(bare, sounds, n=1, cutoff=0.80))
+
+
+def sounding(sounds: list[str], common: list[str]):
+    """For arrays of words in capitals: (all, some) of them sound effects. Words are judged once a worker."""
+    known, told = frozenset(common), {}
+
+    @pandas_udf(T.StructType([T.StructField("all", T.BooleanType()), T.StructField("some", T.BooleanType())]))
+    def judge(arrays: pd.Series) -> pd.DataFrame:
+        rows = []
+        if len(told) > 200_000:
+            told.clear()
+        for words in arrays:
+            flags = []
+            for w in words if words is not None else ():
+                if w not in told:
+                    told[w] = sounds_like(w, sounds, known)
+                flags.append(told[w])
+            rows.append((bool(flags) and all(flags), any(flags) and len(flags) <= 2 and not any(w in known for w in words)))
+        return pd.DataFrame(rows, columns=["all", "some"])
+
+    return judge

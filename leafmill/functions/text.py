@@ -47,8 +47,10 @@ def plausible_word(word: Column) -> Column:
     return (F.length(w) >= 2) & ~one & (vowels > 0) & ~((F.length(w) > 6) & (100 * vowels < 12 * F.length(w))) & ~w.rlike("[B-DF-HJ-NP-TV-XZb-df-hj-np-tv-xz]{5,}")
 
 
-def junk_reason(text: Column, confidence: Column, sounds: list[str], watermarks: list[str], vocabulary: list[str], on_paper: Column | None = None) -> Column:
-    """Why a line is no dialogue; the first rule that matches, else 'valid'."""
+def junk_reason(text: Column, confidence: Column, sounds: list[str], watermarks: list[str], vocabulary: list[str], on_paper: Column | None = None, sounding=None) -> Column:
+    """Why a line is no dialogue; the first rule that matches, else 'valid'.
+
+    ``sounding`` (see ``similarity.sounding``) judges words that are only like sounds, too."""
     t = F.trim(text)
     words = F.regexp_extract_all(F.upper(t), F.lit("([A-Z']+)"))
     bare = F.filter(F.transform(words, lambda w: F.replace(w, F.lit("'"), F.lit(""))), lambda w: w != "")
@@ -59,9 +61,12 @@ def junk_reason(text: Column, confidence: Column, sounds: list[str], watermarks:
     marks = _any(*[F.upper(t).contains(w.upper()) for w in watermarks])
     sure = (confidence >= 0.25) if on_paper is None else (confidence >= 0.25) | on_paper
     known = F.exists(bare, lambda w: w.isin(*vocabulary) | (sure & plausible_word(w)) | w.isin("A", "I"))
+    loose = sounding(F.filter(F.split(F.regexp_replace(F.upper(t), "[^A-Z0-9\\s]", " "), "\\s+"), lambda w: w != "")) if sounding else None
+    first = F.when(t == "", "empty").when((F.size(bare) > 0) & F.forall(bare, lambda w: w.isin(*sounds)), "sfx").when(confidence < 0.12, "low_conf")
+    if sounding:
+        first = first.when(loose["all"], "sfx").when(loose["some"], "sfx_partial")
     return (
-        F.when(t == "", "empty").when((F.size(bare) > 0) & F.forall(bare, lambda w: w.isin(*sounds)), "sfx").when(confidence < 0.12, "low_conf")
-        .when(marks, "watermark").when(letters < 2, "too few letters").when((alnum == 0) | (5 * symbols > 6 * alnum), "abnormal symbol ratio")
+        first.when(marks, "watermark").when(letters < 2, "too few letters").when((alnum == 0) | (5 * symbols > 6 * alnum), "abnormal symbol ratio")
         .when((F.size(tokens) >= 3) & (5 * single >= 3 * F.size(tokens)), "fragmented tokens").when(~known, "no valid word").otherwise("valid")
     )
 

@@ -39,10 +39,17 @@ def placeholder(term: Column) -> Column:
 
 
 def expanded_terms(terms: DataFrame) -> DataFrame:
-    """One row a pattern: each term and its other names, with the term's placeholder, longest first."""
+    """One row a pattern: each term and its other names, with the term's placeholder, longest first.
+
+    Places are counted within each length, and lengths are shifted by sums over one row a length, so
+    that no task sees all patterns."""
     names = F.explode(F.array_distinct(F.concat(F.array("source_term"), F.coalesce("aliases", F.array().cast("array<string>")))))
-    x = terms.select("seq", "source_term", "canonical", names.alias("name"))
-    return x.select("seq", "source_term", "canonical", "name", placeholder(F.col("source_term")).alias("placeholder"), F.row_number().over(Window.partitionBy().orderBy(F.length("name").desc(), "seq", "name")).alias("place"))
+    x = terms.select("seq", "source_term", "canonical", names.alias("name")).withColumn("size", F.length("name"))
+    sizes = x.groupBy("size").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("size", F.coalesce(before, F.lit(0)).alias("before"))
+    x = x.withColumn("inside", F.row_number().over(Window.partitionBy("size").orderBy("seq", "name"))).join(sizes, "size")
+    return x.select("seq", "source_term", "canonical", "name", placeholder(F.col("source_term")).alias("placeholder"), (F.col("before") + F.col("inside")).cast("int").alias("place"))
 
 
 def term_hash(pairs: DataFrame) -> DataFrame:
@@ -84,13 +91,12 @@ def like_case(seen: str, wanted: str) -> str:
     return wanted.capitalize() if seen[:1].isupper() else wanted
 
 
-def enforcement(glossary: dict[str, str]):
-    """An Arrow-batched function that puts the glossary's terms for its keys, longest key first, in the case found."""
-    items = sorted(((k, v) for k, v in glossary.items() if k and v), key=lambda kv: -len(kv[0]))
+def case_keeping(rules: list[tuple[str, str]]):
+    """An Arrow-batched function that applies (pattern, word) rules in order, each word in the case of what it replaces."""
 
     @pandas_udf(T.StringType())
     def apply(texts: pd.Series) -> pd.Series:
-        compiled = [(re.compile(rf"\b{re.escape(k)}\b", re.I), v) for k, v in items]
+        compiled = [(re.compile(p, re.I), v) for p, v in rules]
 
         def one(text):
             for pattern, wanted in compiled:
@@ -102,6 +108,12 @@ def enforcement(glossary: dict[str, str]):
     return apply
 
 
+def enforcement(glossary: dict[str, str]):
+    """A function that puts the glossary's terms for its keys, longest key first, in the case found."""
+    items = sorted(((k, v) for k, v in glossary.items() if k and v), key=lambda kv: -len(kv[0]))
+    return case_keeping([(rf"\b{re.escape(k)}\b", v) for k, v in items])
+
+
 def masking(terms: list[tuple[str, str]]):
     """(mask, unmask) functions: names become placeholders that translation leaves alone, and back."""
     order = sorted(terms, key=lambda t: -len(t[0]))
@@ -140,11 +152,21 @@ def sound_matches(words: DataFrame, sounds: DataFrame) -> DataFrame:
     return words.join(best, "word").select("id", "word", F.col("m.kind").alias("kind"), (-F.col("m.neg")).alias("confidence"))
 
 
+#: Tokens of items that tasks hold as an index.
+MOST_POSTINGS = 2_000_000
+
+
 def token_overlaps(docs: DataFrame, items: DataFrame, step: int = 256) -> DataFrame:
     """(doc_id, item_id, shared, together) of each document (doc_id, ts) and item (item_id, bs) with a common token.
 
-    ``ts`` and ``bs`` hold distinct tokens. The items are a small table: every task has them as an
-    inverted index, and the common tokens of a pair are counted over its postings."""
+    ``ts`` and ``bs`` hold distinct tokens. Up to MOST_POSTINGS tokens of items, every task has them
+    as an inverted index, and the common tokens of a pair are counted over its postings; more items
+    are joined token by token."""
+    size = items.agg(F.coalesce(F.sum(F.size("bs")), F.lit(0)).alias("n")).first()["n"]
+    if size > MOST_POSTINGS:
+        a, b = docs.select("doc_id", F.size("ts").alias("n_a"), F.explode("ts").alias("token")), items.select("item_id", F.size("bs").alias("n_b"), F.explode("bs").alias("token"))
+        met = a.join(b, "token").groupBy("doc_id", "item_id", "n_a", "n_b").agg(F.count("*").alias("shared"))
+        return met.select(F.col("doc_id").cast("long"), F.col("item_id").cast("long"), "shared", (F.col("n_a") + F.col("n_b") - F.col("shared")).cast("long").alias("together"))
     held = items.select("item_id", "bs").collect()
     n = len(held)
     postings: dict[str, list[int]] = {}

@@ -98,13 +98,21 @@ def seam_dedupe(first: DataFrame, second: DataFrame, dx: int = 25, dy: int = 18)
     return first.unionByName(b.join(a, same & close, "left_anti").drop("band"))
 
 
+#: Signatures that are held together; more are met block by block.
+BLOCK_SIGNATURES = 4096
+
+
 def nearest_signature(queries: DataFrame, signatures: DataFrame, most: float = 160.0, least: float = 0.5) -> DataFrame:
     """The signature nearest to each query colour vector, and its confidence; below ``least`` none.
 
-    ``signatures`` (name, v) is a table of known characters: one row of a bounded array."""
-    known = signatures.agg(F.array_sort(F.collect_list(F.struct("name", F.col("v").alias("s")))).alias("known"))
-    x = queries.join(F.broadcast(known)).withColumn("k", F.explode("known")).select(*queries.columns, F.col("k.name").alias("name"), colour_distance(F.col("v"), F.col("k.s")).alias("d"))
-    best = x.groupBy("id").agg(F.min(F.struct("d", "name")).alias("m")).select("id", "m.*")
+    ``signatures`` (name, v) are dealt to blocks of bounded size, one row each; a query meets a row a
+    block. Where there is one block it is broadcast."""
+    n = signatures.count()
+    block = F.pmod(F.xxhash64("name"), F.lit(max(1, -(-n // BLOCK_SIGNATURES))))
+    known = signatures.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("name", F.col("v").alias("s")))).alias("known")).drop("block")
+    x = queries.crossJoin(F.broadcast(known) if n <= BLOCK_SIGNATURES else known)
+    x = x.select("id", F.array_min(F.transform("known", lambda k: F.struct(colour_distance(F.col("v"), k["s"]).alias("d"), k["name"].alias("name")))).alias("m"))
+    best = x.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.*")
     conf = F.greatest(F.lit(0.0), 1 - F.col("d") / most)
     return best.select("id", F.when(conf >= least, F.col("name")).alias("name"), conf.alias("conf"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions import sounds as sound
+from leafmill.functions.geometry import coerced
+
 
 def rescaled(contour: Column, sx: float, sy: float) -> Column:
     """A polygon in another page size; coordinates are rounded half to even."""
@@ -185,3 +188,18 @@ def better_base(own: Column, other: Column, own_score: Column, other_score: Colu
     """(text, source): the other translation where it agrees and is more natural, else the own one."""
     wins = F.coalesce(agrees & (other_score > own_score), F.lit(False))
     return F.struct(F.when(wins, other).otherwise(own).alias("text"), F.when(wins, "other").otherwise("own").alias("source"))
+
+
+def completed(items: DataFrame) -> DataFrame:
+    """Items with what they lack: a box of usual size, the clean text from the original one, and the kind
+    of a text that is a sound effect (exact matches of the dictionary)."""
+    box = coerced()
+    text = F.coalesce(first_text(F.col("clean_text"), F.col("original_text")), F.lit(""))
+    return items.withColumns({"x1": box.x1, "y1": box.y1, "clean_text": text}).withColumn("sfx_category", _kinds()[sound.letters_of(F.upper("clean_text"))]).withColumn("is_sfx", F.col("sfx_category").isNotNull())
+
+
+def _kinds() -> Column:
+    first: dict[str, str] = {}
+    for name, kind, _, _ in sound.dictionary():
+        first.setdefault(name, kind)
+    return F.create_map(*[F.lit(x) for pair in first.items() for x in pair])

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from leafmill.plans import gates, geometry, records, texts, voices  # noqa: F401
+from leafmill.plans import gates, geometry, records, shelves, texts, voices  # noqa: F401
 from leafmill.plans.registry import ORACLES, QUERIES  # noqa: F401

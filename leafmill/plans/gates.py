@@ -180,6 +180,18 @@ def baseline_order(spark, sf):
     return od.baseline_order(view(spark, sf, "lines_v"))
 
 
+@register(f"WITH {PIXELS} SELECT vec_id, i, v FROM px WHERE light ORDER BY v DESC, vec_id, i LIMIT 12")
+def deepest_defects_topk(spark, sf):
+    return _pixels(spark, sf).where("light").select("vec_id", "i", "v").orderBy(F.desc("v"), "vec_id", "i").limit(12)
+
+
+@register("SELECT user_id, peak, rank() OVER (ORDER BY peak DESC) AS place FROM (SELECT user_id, max(value) AS peak FROM events GROUP BY 1) QUALIFY place <= 20")
+def processes_by_peak(spark, sf):
+    # a bounded report over one row a process
+    peaks = table(spark, sf, "events").groupBy("user_id").agg(F.max("value").alias("peak"))
+    return peaks.withColumn("place", F.rank().over(Window.orderBy(F.desc("peak")))).where("place <= 20")
+
+
 # ---- lettering ----
 
 

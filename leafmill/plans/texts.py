@@ -66,6 +66,19 @@ def junk_reason(spark, sf):
     return x.select("conv_id", "turn", "i", tx.junk_reason(F.col("body"), conf, SOUND_WORDS, WATERMARKS, VOCABULARY).alias("reason"))
 
 
+@register()
+def junk_reason_fuzzy(spark, sf):
+    x = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", tx.SENTENCE_END)).alias("i", "body"))
+    judge = similarity.sounding(SOUND_WORDS, VOCABULARY)
+    return x.select("conv_id", "turn", (F.col("i") + 1).cast("long").alias("i"), tx.junk_reason(F.col("body"), F.lit(0.9), SOUND_WORDS, WATERMARKS, VOCABULARY, sounding=judge).alias("reason"))
+
+
+@register(f"""SELECT page_id, bubble_id, t = '' OR (length(kt) >= 2 AND ks = kt) AS untranslated FROM (SELECT page_id, bubble_id, trim(coalesce(target_text, '')) AS t,
+  lower(regexp_replace(coalesce(source_text, ''), '[^A-Za-z0-9]+', '', 'g')) AS ks, lower(regexp_replace(coalesce(target_text, ''), '[^A-Za-z0-9]+', '', 'g')) AS kt FROM turn_pairs_v)""")
+def untranslated_flags(spark, sf):
+    return view(spark, sf, "turn_pairs_v").select("page_id", "bubble_id", tx.untranslated(F.col("source_text"), F.col("target_text")).alias("untranslated"))
+
+
 @register("""SELECT w, length(x) >= 2 AND length(replace(x, x[1], '')) > 0 AND regexp_matches(x, '[AEIOUY]') AND NOT (length(x) > 6 AND 100 * length(regexp_replace(x, '[^AEIOUY]+', '', 'g')) < 12 * length(x))
   AND NOT regexp_matches(x, '[B-DF-HJ-NP-TV-XZ]{5,}') AS plausible, n FROM
   (SELECT w, regexp_replace(upper(replace(w, 'ß', 'SS')), '[^A-Z]+', '', 'g') AS x, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(trim(text), '\\s+')) AS w FROM documents) GROUP BY w)""")

@@ -38,3 +38,18 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(ROOT, top / "tree" / ROOT.name, ignore=shutil.ignore_patterns("__pycache__"))
     spark.sparkContext.addPyFile(shutil.make_archive(str(top / ROOT.name), "zip", top / "tree"))
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where the session has none and runs on one machine (tests) a local folder is set up."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    made = os.path.join(tempfile.gettempdir(), f"leafmill-{os.getpid()}")
+    os.makedirs(made, exist_ok=True)
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made

@@ -69,14 +69,28 @@ def seeded(profiles: DataFrame, seeds: DataFrame, key: str = "name") -> DataFram
     return p.join(s, cond, "left").select(F.col(f"p.{key}").alias(key), *map(filled, fields)).unionByName(s.join(p, cond, "left_anti").select(key, *fields))
 
 
+def _grams(text: Column) -> Column:
+    """All runs of one to three characters."""
+    at = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(at(1), at(2), at(3)))
+
+
 def alias_lookup(names: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The profile of each spoken ``name``: by its key, else by substring of its name or by an alias; the first in store order."""
-    asked = F.lower(F.trim(F.col("n.asked")))
-    own = F.lower(F.trim(F.col("p.name")))
-    exact = own == asked
-    loose = F.contains(own, asked) | F.contains(asked, own) | F.exists(F.coalesce("p.aliases", F.array().cast("array<string>")), lambda a: F.lower(F.trim(a)) == asked)
-    met = names.alias("n").join(F.broadcast(profiles.alias("p")), exact | ((asked != "") & loose))  # a store of fixed size
-    best = met.groupBy("n.asked").agg(F.min(F.struct(F.when(exact, 0).otherwise(1).alias("rank"), "p.seq", "p.name")).alias("m"))
+    """The profile of each spoken ``name``: by its key, else by substring of its name or by an alias; the first in store order.
+
+    A name that is part of another one starts with one of its runs of three characters (or is
+    shorter), so candidates meet by equal keys, whatever the size of the store."""
+    asked = names.select("asked", F.lower(F.trim("asked")).alias("a")).distinct()
+    own = profiles.select("seq", "name", F.lower(F.trim("name")).alias("o"))
+    start = lambda c: F.substr(F.col(c), F.lit(1), F.lit(3))
+    others = profiles.select("seq", "name", F.explode(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))).alias("a"))
+    inside = asked.where("a != ''").withColumn("g", start("a")).join(own.withColumn("g", F.explode(_grams(F.col("o")))), "g").where(F.contains("o", "a"))
+    around = asked.withColumn("g", F.explode(_grams(F.col("a")))).join(own.withColumn("g", start("o")), "g").where(F.contains("a", "o"))
+    exact = asked.join(own, F.col("a") == F.col("o"))
+    rank = F.when(F.col("a") == F.col("o"), 0).otherwise(1).alias("rank")
+    met = inside.select("asked", rank, "seq", "name").unionByName(around.select("asked", rank, "seq", "name")).unionByName(exact.select("asked", rank, "seq", "name"))
+    met = met.unionByName(others.where("a != ''").join(asked, "a").select("asked", F.lit(1).alias("rank"), "seq", "name"))
+    best = met.groupBy("asked").agg(F.min(F.struct("rank", "seq", "name")).alias("m"))
     return names.join(best.select("asked", F.col("m.name").alias("profile")), "asked", "left")
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from leafmill.functions import emphasis as em
 from leafmill.functions import lettering as lt
 from leafmill.functions import sounds as sd
+from leafmill.functions import similarity as similarity_
 from leafmill.functions import text as tx
 from leafmill.functions.similarity import fuzzy_unique, similarity
+from leafmill.operators import cascades as cc
 from leafmill.operators import lexicon as lx
 from leafmill.operators import quality as qa
 from leafmill.operators import records as rc
@@ -117,6 +119,35 @@ def test_junk(spark, text, conf, reason):
     assert one(spark, tx.junk_reason(F.col("t"), F.col("c"), ["BOOM"], ["readall"], ["HELLO"]), t=text, c=conf) == reason
 
 
+def test_sounds_that_are_only_alike():
+    judge = lambda w: similarity_.sounds_like(w, ["BOOM", "CRASH", "THWIP"], frozenset(["ROOM", "THE"]))
+    assert [judge(w) for w in ("BOOM", "BOOOOM", "KRBOOMX", "CRASHE", "CRUSH", "ROOM", "NO", "TABLE", "12")] == [True, True, True, True, True, False, False, False, False]
+
+
+def test_junk_with_likeness(spark):
+    judge = similarity_.sounding(["BOOM", "CRASH"], ["THE", "ROOM"])
+    why = lambda t: one(spark, tx.junk_reason(F.col("t"), F.lit(0.9), ["BOOM"], ["readall"], ["THE", "ROOM"], sounding=judge), t=t)
+    assert [why(t) for t in ("boooom crush", "crush hello", "the room", "")] == ["sfx", "sfx_partial", "valid", "empty"]
+
+
+RULES = [("^GOT\\s+IT[!.]*$", "tushundim."), ("THE\\s+NATURE$", "...")]
+
+
+def test_cascades(spark):
+    ready = lambda t: one(spark, cc.source_ready(F.col("t"), [("\\bdoc ock\\b", "XNAME_DOC_OCK_X")]), t=t)
+    assert ready("# I can’t see Doc Ock; he's gone_") == "I cannot see XNAME_DOC_OCK_X, he is gone."
+    assert ready("Bod/i and iti, STOPI now youl") == "Body! and it!, STOP! now you!" and ready(" ") == ""
+    told = lambda t, s, **k: one(spark, cc.naturalised(F.col("t"), F.col("s"), RULES, [("\\bsevgidan\\b", "sehrdan")], **k), t=t, s=s)
+    assert told("boshqa gap", "...Got it!") == "TUSHUNDIM." and told("Got it", "something") == "TUSHUNDIM."
+    assert told("Hey, sevgidan qo‘rq _", "x") == "HOY, SEHRDAN QO'RQ." and told("...so'zning", "x") == "...SO'Z HAQIDA." and told("hayvonning!", "x") == "...MAXLUQ TABIATI HAQIDA!"
+    assert told("Buni olib kelganingiz uchunmi", "--for bringing this back?") == "BUNI OLIB KELGANIM UCHUNMI" and told("kelganingiz uchun", "for bringing", first_person=F.lit(False)) == "KELGANINGIZ UCHUN"
+    assert told("spider-manmanman keldi", "x") == "O'RGIMCHAK-ODAM KELDI" and told("salom", "x", persona=lambda c: F.concat(c, F.lit(", do'st"))) == "SALOM, DO'ST" and told("", " ") == ""
+    mended = lambda t: one(spark, cc.typing_mended(F.col("t"), [("\\balbata\\b", "albatta")]), t=t)
+    assert [mended(t) for t in ("Albata  shunchaki Shunchaki", "ALBATA", "albata")] == ["Albatta shunchaki", "ALBATTA", "albatta"]
+    table = spark.createDataFrame([(2, "b", "y"), (1, "a", "x")], "seq int, pattern string, replacement string")
+    assert cc.rule_table(table) == [("a", "x"), ("b", "y")]
+
+
 def test_review_and_residue(spark):
     residue = tx.residue_tokens(F.col("b"), ["BRAIN", "FINK"], ["OK"], ["NING", "NI", "I", "A"])
     assert one(spark, residue, b="bu BRAINI va FINK-A OK XNAME_DOC_X") == ["XNAME_DOC_X", "BRAINI"]
