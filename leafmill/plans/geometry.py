@@ -228,12 +228,34 @@ def envelope_merge(spark, sf):
     return mt.merge_envelopes(lines.withColumn("pass", F.when(F.col("seq") % 2 == 0, 1).otherwise(2)))
 
 
-@register()
+def _reading_sql(items: str, key: str) -> str:
+    """Rows by overlap in height, the pull-up to its fixpoint, then places: as recursive SQL over ``items``."""
+    span, over = "least(w.b - w.t, x[1].b - x[1].t)", "greatest(0, least(w.b, x[1].b) - greatest(w.t, x[1].t))"
+    home = f"coalesce(list_position(list_transform(rows, lambda w: {span} > 0 AND 4 * {over} >= {span}), true), 0)"
+    inside = "q.x0 >= list_min(list_transform({w}.m, lambda z: z.x0)) AND q.x1 <= list_max(list_transform({w}.m, lambda z: z.x1)) AND q.y0 < {w}.b + 25"
+    later = "flatten(list_transform(rows[{i} + 1:], lambda o: o.m))"
+    first = f"list_position(list_transform(rows, lambda w, i: len(list_filter({later.format(i='i')}, lambda q: {inside.format(w='w')})) > 0), true)"
+    pulled = f"list_filter({later.format(i='r')}, lambda q: {inside.format(w='rows[r]')})"
+    return f"""g AS (SELECT {key}, list([{{'t': y0, 'b': y1, 'm': [{{'seq': seq, {BOX}}}]}}] ORDER BY y0, seq) AS xs FROM {items} GROUP BY {key}),
+b AS (SELECT {key}, list_reduce(xs, lambda rows, x: CASE WHEN {home} > 0 THEN list_transform(rows, lambda w, i: CASE WHEN i = {home}
+  THEN {{'t': least(w.t, x[1].t), 'b': greatest(w.b, x[1].b), 'm': list_concat(w.m, x[1].m)}} ELSE w END) ELSE list_concat(rows, x) END) AS rows FROM g),
+st AS (SELECT {key}, rows FROM b UNION ALL SELECT {key}, list_filter(list_transform(rows, lambda w, i: CASE WHEN i < r THEN w WHEN i = r
+  THEN {{'t': least(w.t, list_min(list_transform(ps, lambda q: q.y0))), 'b': greatest(w.b, list_max(list_transform(ps, lambda q: q.y1))), 'm': list_concat(w.m, ps)}}
+  ELSE {{'t': w.t, 'b': w.b, 'm': list_filter(w.m, lambda q: NOT list_contains(list_transform(ps, lambda z: z.seq), q.seq))}} END), lambda w: len(w.m) > 0)
+  FROM (SELECT *, {pulled} AS ps FROM (SELECT *, {first} AS r FROM st) WHERE r IS NOT NULL)),
+e AS (SELECT {key}, unnest(rows) AS w, unnest(range(1, len(rows) + 1)) AS born FROM st WHERE {first} IS NULL),
+o AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY w.t, born) AS spot, w FROM e),
+i AS (SELECT {key}, spot, unnest(w.m) AS q, unnest(range(1, len(w.m) + 1)) AS k FROM o),
+placed_rows AS (SELECT {key}, q.seq AS seq, CAST(row_number() OVER (PARTITION BY {key} ORDER BY spot, q.x0, q.y0, k) AS INT) AS place FROM i)"""
+
+
+@register(f"WITH RECURSIVE {_reading_sql('lines_v', 'page_id')} SELECT page_id, seq, place FROM placed_rows")
 def row_major_order(spark, sf):
     return od.reading_order(view(spark, sf, "lines_v"), ["page_id"])
 
 
-@register()
+@register(f"""WITH RECURSIVE {PANEL_SQL}, {_reading_sql('placed', 'page_id, panel_idx')}
+SELECT page_id, seq, panel_idx, place, row_number() OVER (PARTITION BY page_id ORDER BY panel_idx, place) AS reading_index FROM placed_rows""")
 def page_reading_order(spark, sf):
     return od.page_reading_order(view(spark, sf, "lines_v"), view(spark, sf, "panels_v"))
 

@@ -426,7 +426,16 @@ def stressed_source_words(spark, sf):
     return view(spark, sf, "turn_pairs_v").select("page_id", "bubble_id", em.stressed_words(F.col("source_text")).alias("stressed"))
 
 
-@register()
+_BRIDGE = "MAP {" + ", ".join(f"'{w}': [{', '.join(repr(t) if chr(39) not in t else chr(39) + t.replace(chr(39), chr(39) * 2) + chr(39) for t in to)}]" for w, to in em.BRIDGES.items()) + "}"
+
+
+@register(f"""WITH x AS (SELECT page_id, bubble_id, {STRESSED_SQL} AS stressed, list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '') AS ws FROM (SELECT page_id, bubble_id, coalesce(source_text, '') AS s, coalesce(target_text, '') AS t FROM turn_pairs_v)),
+y AS (SELECT *, ' ' || array_to_string(list_transform(ws, lambda w: lower(regexp_replace(w, '[^{em.LETTER}''-]+', '', 'g'))), ' ') || ' ' AS joined, flatten(list_transform(stressed, lambda w: coalesce({_BRIDGE}[w], [w]))) AS wanted FROM x),
+z AS (SELECT *, list_filter(list_transform(wanted, lambda c: {{'at': instr(joined, ' ' || c || ' '), 'n': len(string_split(c, ' '))}}), lambda p: p.at > 0)[1] AS hit FROM y),
+h AS (SELECT *, length(joined[1:hit.at]) - length(replace(joined[1:hit.at], ' ', '')) AS place FROM z)
+SELECT page_id, bubble_id, CASE WHEN hit IS NOT NULL THEN array_to_string(list_transform(ws, lambda w, i: CASE WHEN hit.n = 1 AND i = place THEN CASE WHEN w[1:2] = '**' AND w[-2:] = '**' THEN w
+  WHEN regexp_matches(w, '{em.WORD.replace(chr(39), chr(39) * 2)}') THEN regexp_replace(w, '{em.WORD.replace(chr(39), chr(39) * 2)}', '\\1**\\2**\\3') ELSE '**' || w || '**' END
+  WHEN hit.n > 1 AND i = place THEN regexp_replace(w, '{em.OPENERS.replace(chr(39), chr(39) * 2)}', '\\1**') WHEN hit.n > 1 AND i = place + hit.n - 1 THEN regexp_replace(w, '{em.CLOSERS.replace(chr(39), chr(39) * 2)}', '**\\1') ELSE w END), ' ') END AS projected FROM h""")
 def emphasis_projection(spark, sf):
     x = view(spark, sf, "turn_pairs_v")
     return x.select("page_id", "bubble_id", em.projected(F.col("source_text"), F.col("target_text")).alias("projected"))
