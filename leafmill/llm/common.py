@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,27 +13,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.session import shared_folder
+
 #: Text bytes that one step inside an Arrow worker looks at together.
 SLICE_BYTES = 6_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+#: Bytes of a batch on its way to a Python worker.
+BATCH_BYTES = 6_000_000
+
 
-    Only where the session has none (tests on one machine) a local folder is set up."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    made = os.path.join(tempfile.gettempdir(), f"leafmill-{os.getpid()}")
-    os.makedirs(made, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+def bounded(spark: SparkSession) -> None:
+    """Have rows go to Python workers in batches of bounded bytes, not only of 10,000 rows: texts
+    may be long, and both sides hold a batch whole. Holds for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/leafmill-{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/leafmill-{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

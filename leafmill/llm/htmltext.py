@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import slices
+from leafmill.llm.common import bounded, slices
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -355,5 +355,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     Null or empty html, or a page without text, has an empty one. Null ids and urls are kept,
     repeated rows are read each; other columns are left out; no rows give none. Whole pages are
     read, however long, in time that grows with their length. One narrow pass without a shuffle."""
+    bounded(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

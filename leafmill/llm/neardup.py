@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import delete_written, quoted, release, slices, written
+from leafmill.llm.common import bounded, delete_written, quoted, release, slices, written
 
 PLACES = 128
 #: Bits of a set's parity sketch: two sketches differ in at most as many bits as the sets in items.
@@ -279,6 +279,7 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 5, threshold: int = 75
     with nothing, has a null component and is kept. Rows that share an id share its component.
     Whole texts count, however long. Other columns are left out; an empty table gives no rows."""
     spark = docs.sparkSession
+    bounded(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     features = written(rows.mapInArrow(_features(words_each), FEATURES), "features")
     linkable = features.where("n > 0 and doc_id is not null")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import slices, written
+from leafmill.llm.common import bounded, slices, written
 from leafmill.llm.tokens import encoder
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
@@ -337,6 +337,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
     spark = docs.sparkSession
+    bounded(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pieces = written(rows.mapInArrow(_cut(tokenizer_path, end_id, capacity), PIECES), "pieces")
     groups = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))

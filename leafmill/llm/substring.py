@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import delete_written, quoted, release, slices, utf8_bytes, written
+from leafmill.llm.common import bounded, delete_written, quoted, release, slices, utf8_bytes, written
 
 GRAM = 20
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -385,6 +385,7 @@ def _text_left(batches):
 def _repeats(docs: DataFrame, length: int, bucket_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
     """What ``repeated_spans`` returns, and the written tables that it still reads."""
     spark = docs.sparkSession
+    bounded(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Memo, gather, slices, text_lengths
+from leafmill.llm.common import Memo, bounded, gather, slices, text_lengths
 
 SPACE = "▁"
 _loaded: dict[str, "PrefixCounter"] = {}
@@ -200,6 +200,7 @@ def token_counts(docs: DataFrame, model_path: str, *, budget: int = 4096, store:
 
     A null text is an empty one with no tokens. Repeated rows and null ids are counted like any
     row; other columns are left out. One narrow pass, without a shuffle."""
+    bounded(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_tokens array<int>" * store
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counted(model_path, budget, store), schema)
 

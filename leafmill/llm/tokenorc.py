@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import new_path, slices, written
+from leafmill.llm.common import bounded, new_path, slices, written
 from leafmill.llm.tokens import encoder
 
 STORED = "doc_id long, part int, part_start long, ids array<int>"
@@ -51,6 +51,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     are encoded, to a task for each TASK_BYTES of them. A task's rows carry its number and their
     place in it, so they may lie in several files."""
     spark = docs.sparkSession
+    bounded(spark)
     if not files:
         total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("n")).first()["n"]
         files = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
