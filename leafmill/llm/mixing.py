@@ -117,7 +117,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: in
     id, so reruns agree.
 
     Null text has size 0 and nothing to take; a null source is a source of its own; null ids are
-    kept; repeated rows count each; without documents there are no rows. Other columns are left
+    kept; repeated rows count each; whole texts count, however long; without documents there are no rows. Other columns are left
     out. The largest source is dealt over hash buckets, never over one task."""
     placed, sources, _ = _placed(docs, weights, most, seed)
     plain = ~F.col("cut")

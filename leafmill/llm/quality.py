@@ -105,7 +105,8 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     every rule holds) and ``failed``, the names of the rules that don't hold.
 
     A null or empty text has no words, so it fails the base rule. Null ids and repeated rows are
-    judged each for itself; other columns are left out."""
+    judged each for itself; whole texts count, however long; other columns are left out; no rows
+    give none."""
     return _judged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rules).select("doc_id", *VERDICT)
 
 

@@ -199,7 +199,8 @@ def token_counts(docs: DataFrame, model_path: str, *, budget: int = 4096, store:
     characters (see ``tokens_of_prefix`` and ``longest_prefix``).
 
     A null text is an empty one with no tokens. Repeated rows and null ids are counted like any
-    row; other columns are left out. One narrow pass, without a shuffle."""
+    row; whole texts count, however long; other columns are left out; no rows give none. One narrow
+    pass, without a shuffle."""
     bounded(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_tokens array<int>" * store
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counted(model_path, budget, store), schema)
