@@ -131,13 +131,12 @@ def meaningful_edit(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def fuzzy_unique(texts: list[str], threshold: float = 0.65) -> list[bool]:
     """Which texts are added, in order, if none that was added before is so similar."""
-    kept: list[str] = []
+    kept = Known(threshold)
     out = []
-    for text in texts:
-        new = bool(text and text.strip()) and all(similarity(text, k) < threshold for k in kept)
-        out.append(new)
-        if new:
-            kept.append(text)
+    for i, text in enumerate(texts):
+        out.append(bool(text and text.strip()) and not kept.similar(text))
+        if out[-1]:
+            kept[str(i)] = text
     return out
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from leafmill.functions.similarity import Known, similarity
+from leafmill.functions.similarity import Known, fuzzy_unique, similarity
 from leafmill.operators import order as od
 from leafmill.plans.catalog import QUERIES
 
@@ -108,6 +108,17 @@ def test_known_lines_are_found_as_by_full_comparison():
     assert seen == {True, False}
 
 
+def test_unique_facts_are_found_as_by_full_comparison():
+    rng = random.Random(7)
+    words = "he is a doctor likes trains and the old house by sea no one".split()
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(300)] + ["", "  ", "He is a Doctor!"]
+    kept, want = [], []
+    for text in texts:
+        want.append(bool(text.strip()) and all(similarity(text, k) < 0.65 for k in kept))
+        kept += [text] * want[-1]
+    assert fuzzy_unique(texts) == want and any(want) and not all(want)
+
+
 def test_cross_check_by_similarity(spark, put):
     sf = put(conversations=turns("One two. Three four.", "One two three four", "quite other words", "one two three four"))
     got = {(r.bubble_id, r.pattern_name) for r in QUERIES["gate_translation_events"](spark, sf).collect()}
