@@ -52,6 +52,9 @@ NAMES = [
     ("\\bSpideymi\\b", "O'rgimchakmi"), ("\\bo['’`]?rgimchak\\s+odam\\b", "O'rgimchak-Odam"), ("O['’`]?rgimchak[-\\s]+Odam(man)+\\b", "O'rgimchak-Odam"), ("\\borqaga\\s+orqaga\\b", "orqaga"),
 ]
 BEASTS = ("hayvon", "maxluq", "yirtqich")
+#: What a speaker answers for is said in the first person; endings said twice are said once.
+OWN_DEED = [("(?i)(\\w+)ganingiz\\s+uchun(mi)?\\b", "$1ganim uchun$2")]
+DOUBLED = [("(?i)Spider-Man(man)+\\b", "Spider-Man"), ("(?i)([a-z]+)(man){2,}\\b", "$1man")]
 
 
 def rule_table(rules: DataFrame) -> Rules:
@@ -115,6 +118,10 @@ def lettered(text: Column) -> Column:
     return F.upper(tx.plain_apostrophes(F.trim(text)))
 
 
+def interjection_steps() -> Rules:
+    return [(f"(?i)\\b{p}", r) for p, r in INTERJECTIONS]
+
+
 def target_steps(calques: Rules) -> Rules:
     """The steps over a translation that is no idiom, up to the names."""
     return [("(?i)^['\"`´‘ʼ]+ni\\b", "uni"), ("\\s*_+[\\s._]*$", "."), *any_case(calques)]
@@ -134,13 +141,11 @@ def naturalised(text: Column, source: Column, idioms: Rules, calques: Rules, *,
     about = F.when(F.lower(stem).isin(*BEASTS), "maxluq tabiati").otherwise(stem)
     said = F.concat(F.when(lead == "", "...").otherwise(lead), about, F.lit(" haqida"), F.when(trail == "", ".").otherwise(trail))
     out = F.when(out.rlike(loose), said).otherwise(out)
-    own = [("(?i)(\\w+)ganingiz\\s+uchun(mi)?\\b", "$1ganim uchun$2")]
     answers = F.coalesce(source, F.lit("")).rlike("(?i)\\bfor\\s+\\w+ing\\b")
     if first_person is not None:
         answers = answers & F.coalesce(first_person, F.lit(False))
-    out = F.when(answers, fold(out, own)).otherwise(out)
-    out = fold(out, [(f"(?i)\\b{p}", r) for p, r in INTERJECTIONS])
-    out = fold(out, [("(?i)Spider-Man(man)+\\b", "Spider-Man"), ("(?i)([a-z]+)(man){2,}\\b", "$1man")])
+    out = F.when(answers, fold(out, OWN_DEED)).otherwise(out)
+    out = fold(fold(out, interjection_steps()), DOUBLED)
     out = persona(out) if persona else out
     out = lettered(fold(out, any_case(NAMES)))
     blank = (F.trim(F.coalesce(text, F.lit(""))) == "") & (F.trim(F.coalesce(source, F.lit(""))) == "")
