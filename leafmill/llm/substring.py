@@ -409,8 +409,9 @@ def _repeats(docs: DataFrame, length: int, bucket_bytes: int) -> tuple[DataFrame
     out = whole.unionByName(near(calm).repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(length), "doc_id long, lo long, hi long"))
     if some_hot:
         runs = written(near(asked.join(hot.hint("merge"), "gram", "left_semi")).mapInArrow(_spread(length), "a long, b long, doc_id long, lo long"), "runs")
-        used.append(runs)
-        low = runs.groupBy("a", "b").agg(F.min("doc_id").alias("low"))
+        # written, so that the rows of a frequent run come straight from a shuffle and can be split over tasks
+        low = written(runs.groupBy("a", "b").agg(F.min("doc_id").alias("low")), "low")
+        used += [runs, low]
         later = runs.join(low.hint("merge"), ["a", "b"]).where("doc_id > low")
         out = out.unionByName(later.select("doc_id", "lo", (F.col("lo") + length).alias("hi")))
     return out, used
