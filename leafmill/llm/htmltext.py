@@ -7,7 +7,7 @@ holds the text.
 
 Names of elements, classes, ids and roles only weigh in: a part named as a menu, an advert, a
 comment and so on has no density and stays out of the text, unless most of the page's unlinked
-text is in it. Names that negate such a word or join it to another one ("with-sidebar",
+text is in it. Names that negate such a word or put another one behind it ("with-sidebar",
 "social-science") halve a part's density; it is left out only if its text is mostly links.
 """
 
@@ -55,8 +55,8 @@ TOP_MARKS = frozenset({"header", "banner"})
 # Words that say nothing by themselves next to a mark, and words that turn it round.
 PLAIN = frozenset(
     "area bar block body bottom box button buttons card center col column container content desktop end entry fixed floating form global grid group head header "
-    "heading hidden icon icons id img inner inline item items label large layout left level line link links list lists main mobile module open outer page pane panel "
-    "post posts primary region right row secondary section side single site slot small start sticky story stories strip text thread title toggle tool tools top unit user view web wide wp wrap wrapper zone".split()
+    "heading hidden icon icons id img inner inline item items label large layout left level line link links list lists main mobile open outer page pane panel "
+    "component css module post posts primary region right root row secondary section side single site slot small start sticky story stories strip text thread title toggle tool tools top unit user view web wide wp wrap wrapper zone".split()
 )
 NEGATIONS = frozenset("with without no not non has have hide disable disabled off is".split())
 #: How a doubtful name weighs; the share of links above which such a part goes.
@@ -150,17 +150,21 @@ _P = frozenset({"p"})
 
 
 def named(names: str) -> tuple[frozenset, bool]:
-    """(marks, doubt) of class names: marks that are meant, and whether one is only part of a name."""
+    """(marks, doubt) of class names: marks that are meant, and whether one is only part of a name.
+
+    A name is what its last word of weight says ("reader-comments"); a mark before another word
+    ("social-science"), or behind a negation ("with-sidebar", "page-no-comments"), is in doubt."""
     marks, doubt = set(), False
     for name in names.split():
         words = [w.lower() for w in _WORD.findall(name)]
-        found = [w for w in words if w in MARKS or w in TOP_MARKS]
-        if not found:
+        places = [i for i, w in enumerate(words) if w in MARKS or w in TOP_MARKS]
+        if not places:
             continue
-        if words[0] in NEGATIONS or not all(w in MARKS or w in TOP_MARKS or w in PLAIN or len(w) < 3 for w in words):
+        weighty = [w for w in words if w in MARKS or w in TOP_MARKS or w not in PLAIN and len(w) > 2]
+        if any(w in NEGATIONS for w in words[: places[-1]]) or weighty[-1] not in MARKS and weighty[-1] not in TOP_MARKS:
             doubt = True
         else:
-            marks.update(found)
+            marks.update(words[i] for i in places)
     return frozenset(marks), doubt
 
 

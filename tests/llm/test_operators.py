@@ -518,6 +518,14 @@ def test_html_named_parts(page):
     assert text == htmltext.extract(f"<article>{ARTICLE}</article>") and "while." in text
 
 
+def test_html_names():
+    sure = ["ad", "adBox", "site-footer__inner", "reader-comments", "nyt-comments", "sidebar_3kd9x", "Comments_root__xKq2z", "comment-list", "cookie-notice", "main menu"]
+    assert all(htmltext.named(x)[0] for x in sure) and not any(htmltext.named(x)[1] for x in sure)
+    doubtful = ["with-sidebar", "no-comments", "page-no-sidebar", "social-science", "form-of-government", "comment-free", "has-ads"]
+    assert all(htmltext.named(x) == (frozenset(), True) for x in doubtful)
+    assert all(htmltext.named(x) == (frozenset(), False) for x in ("content", "post body", "address", "loading"))
+
+
 def test_html_keeps_what_articles_hold():
     assert htmltext.extract("<article><p>We need <math><mi>x</mi></math> here, <object>this</object> <label>too</label></p></article>") == "We need x here, this too"
     page = "<div class=post><p>" + "Other paragraph text. " * 5 + "</p><div class='social-science'><p>" + "Studies of society say so. " * 6 + "</p></div><div class='share-kit9x'><a>this</a><a>that</a></div></div>"
