@@ -217,3 +217,14 @@ def inscribed_rectangle(spark, sf):
     rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice(cells, 8 * y + 1, F.lit(8)))
     x = table(spark, sf, "embeddings").select("vec_id", lettering.inscribed_rectangle(rows).alias("r"))
     return x.select("vec_id", (F.col("r.w") * F.col("r.h")).alias("area"))
+
+
+@register()
+def page_panels(spark, sf):
+    from leafmill.functions.pages import panels_of
+
+    cells = F.transform("embedding", lambda x: F.least(F.lit(255), F.floor(F.abs(x) * 1024)) < 190)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice(cells, 8 * y + 1, F.lit(8)))
+    cut = panels_of(share=0.75, least=2, thick=1)
+    x = table(spark, sf, "embeddings").select("vec_id", F.posexplode(cut(rows)).alias("place", "p"))
+    return x.select("vec_id", "place", "p.*")

@@ -106,3 +106,50 @@ def test_masks(spark):
     runs = od.mask_runs(df, ["k"], 2)
     assert sorted((r.start, r.end) for r in runs.collect()) == [(0, 3), (9, 11)]
     assert [(r.seg_start, r.seg_end) for r in od.content_segments(runs, ["k"], 12, 2).collect()] == [(3, 9)]
+
+
+def pieces_by_definition(mask, box, depth, share, low, thick):
+    """The cut restated by recursion over plain lists."""
+    x0, y0, x1, y1 = box
+    if depth == 5 or x1 - x0 < int(low * 1.5) or y1 - y0 < int(low * 1.5):
+        return [box]
+    lines = ([sum(mask[y][x0:x1]) / (x1 - x0) >= share for y in range(y0, y1)], [sum(mask[y][x] for y in range(y0, y1)) / (y1 - y0) >= share for x in range(x0, x1)])
+    for axis, line in enumerate(lines):
+        segments, prev, i = [], 0, 0
+        while i < len(line):
+            j = i
+            while j < len(line) and line[j]:
+                j += 1
+            if j - i >= thick:
+                segments, prev = [*segments, (prev, i)], j
+            i = max(j, i + 1)
+        segments = [(a, b) for a, b in [*segments, (prev, len(line))] if b - a >= low]
+        if len(segments) > 1:
+            boxes = [(x0, y0 + a, x1, y0 + b) if axis == 0 else (x0 + a, y0, x0 + b, y1) for a, b in segments]
+            return [p for b in boxes for p in pieces_by_definition(mask, b, depth + 1, share, low, thick)]
+    return [box]
+
+
+def test_panels_of_a_page(spark):
+    import random
+
+    import numpy as np
+
+    from leafmill.functions.pages import cut_panels, panels_of
+
+    page = np.zeros((300, 200), bool)
+    page[140:150], page[:140, 95:105] = True, True
+    assert cut_panels(page) == [(0, 0, 95, 140), (105, 0, 200, 140), (0, 150, 200, 300)]
+    assert cut_panels(np.ones((60, 60), bool)) == [(0, 0, 60, 60)]
+    rng = random.Random(4)
+    for _ in range(60):
+        mask = [[rng.random() < 0.6 for _ in range(14)] for _ in range(12)]
+        for _ in range(rng.randint(0, 3)):
+            mask[rng.randrange(12)] = [True] * 14
+            column = rng.randrange(14)
+            for row in mask:
+                row[column] = True
+        want = [p for p in pieces_by_definition(mask, (0, 0, 14, 12), 0, 0.8, 2, 1) if p[2] - p[0] >= 2 and p[3] - p[1] >= 2]
+        assert cut_panels(np.array(mask), share=0.8, least=2, thick=1) == (want or [(0, 0, 14, 12)])
+    df = spark.createDataFrame([([[True, False], [False, False]],), ([],), (None,)], "m array<array<boolean>>")
+    assert [len(r[0]) for r in df.select(panels_of(least=1, thick=1)("m")).collect()] == [1, 0, 0]
