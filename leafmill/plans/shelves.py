@@ -152,7 +152,8 @@ def sentence_splits(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", *[F.size(F.split("text", p)).cast("long").alias(f"n_{name}") for name, p in tx.SPLITS.items()])
 
 
-@register()
+@register("""WITH p AS (SELECT conv_id, turn, string_split(regexp_replace(text, '([.!?…])([ \t]+)', '\\1' || chr(1) || '\\2' || chr(2), 'g'), chr(1)) AS ps FROM conversations)
+SELECT conv_id, turn, array_to_string(list_transform(ps, lambda x, i: CASE WHEN i = 1 THEN x ELSE CASE WHEN regexp_matches(ps[i - 1], '([A-Z]|(^|[^\\p{L}\\p{N}_])(Dr|Mr|Ms|vs|Mrs|Prof))\\.$') THEN string_split(x, chr(2))[1] ELSE chr(10) END || string_split(x, chr(2))[2] END), '') AS lines FROM p""")
 def sentence_lines(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.sentence_lines(F.col("text")).alias("lines"))
 

@@ -441,7 +441,16 @@ def emphasis_projection(spark, sf):
     return x.select("page_id", "bubble_id", em.projected(F.col("source_text"), F.col("target_text")).alias("projected"))
 
 
-@register()
+_APO = "''’ʻʼ`"
+_HEAD = f"^([^{em.LETTER}]*)([{em.LETTER}{_APO}-]*[{em.LETTER}][{_APO}]?)([^{em.LETTER}]*)$"
+
+
+@register(f"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM documents), h AS (SELECT word, regexp_extract(word, '{_HEAD}', 1) AS lead, regexp_extract(word, '{_HEAD}', 2) AS body, regexp_extract(word, '{_HEAD}', 3) AS tail FROM w),
+u AS (SELECT *, regexp_extract_all(body, '[oOgG][{_APO}]|[sScC][hH]|[nN][gG]|[{_APO}]|.') AS us FROM h),
+v AS (SELECT *, list_filter(range(1, len(us) + 1), lambda i: regexp_matches(us[i], '^([aeiouAEIOU]|[oO][{_APO}])$')) AS vs FROM u),
+c AS (SELECT *, list_transform(range(1, len(vs)), lambda k: vs[k] + CASE WHEN vs[k + 1] - vs[k] = 1 THEN 0 WHEN regexp_matches(us[vs[k] + 1], '^[{_APO}]$') THEN 1 ELSE least(vs[k + 1] - vs[k] - 2, 2) END) AS cuts FROM v),
+e AS (SELECT *, list_concat([0], cuts) AS starts, list_concat(cuts, [len(us)]) AS ends FROM c)
+SELECT word, CASE WHEN length(body) < 3 THEN [word] ELSE list_transform(starts, lambda a, i: CASE WHEN i = 1 THEN lead ELSE '' END || array_to_string(us[a + 1:ends[i]], '') || CASE WHEN i = len(starts) THEN tail ELSE '' END) END AS syllables FROM e""")
 def syllables(spark, sf):
     words = table(spark, sf, "documents").select(F.explode(F.split("text", "\\s+")).alias("word")).distinct()
     return words.select("word", lettering.syllables_of("word").alias("syllables"))
