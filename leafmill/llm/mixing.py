@@ -130,7 +130,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: in
     lo, hi = F.greatest(F.col("start") - offset, F.lit(0)), F.least(F.col("start") + F.col("size") - offset, F.lit(block_tokens))
     share = F.col("times") * (hi - lo) + F.greatest(F.least(hi, F.col("part")) - lo, F.lit(0))
     slot = F.least("slot", F.when(F.col("part") > lo, F.col("cut_slot")))
-    met = spread.join(used, ["k", "block"], "left").withColumn("share", F.coalesce(share, F.lit(0)).cast("long")).withColumn("slot", slot)
+    met = spread.join(used.hint("merge"), ["k", "block"], "left").withColumn("share", F.coalesce(share, F.lit(0)).cast("long")).withColumn("slot", slot)
     # ``start`` tells apart repeated rows that have words; those without are counted
     whole = met.groupBy("doc_id", "k", "start", "size", "source_size", "target").agg(F.sum("share").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n"))
     copies = F.when(F.col("size") > 0, F.lit(1)).otherwise(F.col("n").cast("int"))
