@@ -270,11 +270,14 @@ def quota_status(spark, sf):
     return st.quota_status(usage, spark.createDataFrame(CAPS, "service string, cap int"), period)
 
 
-@register("""WITH RECURSIVE r AS (SELECT user_id AS key, strftime(ts, '%Y-%m-%d') AS period, event_id AS seq, event_id % 7 + 1 AS amount FROM events),
+ADMITTED_SQL = """WITH RECURSIVE r AS (SELECT user_id AS key, strftime(ts, '%Y-%m-%d') AS period, event_id AS seq, event_id % 7 + 1 AS amount FROM events),
 o AS (SELECT *, row_number() OVER (PARTITION BY key, period ORDER BY seq) AS i FROM r),
 f AS (SELECT key, period, seq, amount, i, amount <= 8 AS admitted, CASE WHEN amount <= 8 THEN amount ELSE 0 END AS used FROM o WHERE i = 1
   UNION ALL SELECT o.key, o.period, o.seq, o.amount, o.i, f.used + o.amount <= 8, f.used + CASE WHEN f.used + o.amount <= 8 THEN o.amount ELSE 0 END FROM f JOIN o ON o.key = f.key AND o.period = f.period AND o.i = f.i + 1)
-SELECT key, period, seq, amount, admitted FROM f""")
+SELECT key, period, seq, amount, admitted FROM f"""
+
+
+@register(ADMITTED_SQL)
 def quota_admission(spark, sf):
     r = table(spark, sf, "events").select(F.col("user_id").alias("key"), st.period_key(F.col("ts"), "daily").alias("period"), F.col("event_id").alias("seq"), (F.col("event_id") % 7 + 1).alias("amount"))
     return st.admit(r, 8)
