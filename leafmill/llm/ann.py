@@ -14,12 +14,11 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import written
+from leafmill.llm.common import bounded, written
 
 #: Bounds of what the driver gathers: vectors for the codebooks, queries for the measurement, centroids a half.
 FIT_VECTORS, PROBE_QUERIES, MOST_CENTROIDS = 20_000, 64, 512
@@ -193,24 +192,52 @@ def _dealt(first, copies):
     return run
 
 
-def _rerank(k: int):
-    def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(index):
-            index = index.sort_values("cell", kind="stable")
-            cells, at = np.unique(index["cell"].to_numpy(), return_index=True)
-            ends = np.append(at[1:], len(index))
-            place = {c: (a, b) for c, a, b in zip(cells.tolist(), at.tolist(), ends.tolist())}
-            v, ids, q = np.stack(index["v"].to_numpy()), index["uid"].to_numpy(), np.stack(queries["v"].to_numpy())
-            norms, own = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
-            for i, mine in enumerate(queries["cells"]):
-                found = [np.arange(*place[c]) for c in mine.tolist() if c in place]
-                if found:
-                    found = np.concatenate(found)
-                    scores = v[found] @ q[i] / (norms[found] * own[i])
-                    best = _best(scores, ids[found], k)
-                    out.append(pd.DataFrame({"query": queries["uid"].iloc[i], "uid": ids[found][best], "score": scores[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "uid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+def _built(held: list[tuple]):
+    """A part of the index as arrays in the order of its cells, and where each cell lies."""
+    ids, v, cells = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(cells, kind="stable")
+    ids, v, cells = ids[order], v[order], cells[order]
+    names, at = np.unique(cells, return_index=True)
+    place = dict(zip(names.tolist(), zip(at.tolist(), [*at[1:].tolist(), len(cells)])))
+    return ids, v, np.linalg.norm(v, axis=1), place
+
+
+def _ranked(asked: pa.RecordBatch, index, k: int, width: int) -> pa.RecordBatch:
+    """The k best of a part for each query, by the exact measure, among the cells that it looks into."""
+    ids, v, norms, place = index
+    names, q = asked.column(2).to_numpy(), _matrix(asked.column(3), width)
+    own = np.linalg.norm(q, axis=1)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i, mine in enumerate(asked.column(4).to_pylist()):
+        found = [np.arange(*place[c]) for c in mine if c in place]
+        if found:
+            found = np.concatenate(found)
+            scores = v[found] @ q[i] / (norms[found] * own[i])
+            best = _best(scores, ids[found], k)
+            out.append((np.full(len(best), names[i]), ids[found][best], scores[best]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query", "uid", "score"])
+
+
+def _search(k: int, width: int):
+    """Rows come by part, its vectors (kind 0) before its queries (kind 1): a task holds one part of
+    the index and a batch of queries, however many there are."""
+
+    def run(batches):
+        part, held, index = None, [], None
+        for batch in batches:
+            parts, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = (np.flatnonzero((parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(parts)]):
+                if a == b:
+                    continue
+                piece = batch.slice(a, b - a)
+                if parts[a] != part:
+                    part, held, index = parts[a], [], None
+                if kinds[a] == 0:
+                    held.append((piece.column(2).to_numpy(), _matrix(piece.column(3), width), piece.column(4).flatten().to_numpy()))
+                elif held:
+                    index = index or _built(held)
+                    yield _ranked(piece, index, k, width)
 
     return run
 
@@ -224,8 +251,10 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 5, recall: floa
     Null vectors, zero vectors, vectors with a null, NaN or infinite component and rows without
     an id take no part; nor do vectors of another length than the most frequent one. Repeated
     rows are one; other columns are left out; without vectors or queries there are no rows. The codebooks are fitted on at most FIT_VECTORS vectors (smallest hashes); all
-    are indexed. ``recall`` is aimed at on at most PROBE_QUERIES queries, as measured."""
+    are indexed. ``recall`` is aimed at on at most PROBE_QUERIES queries, as measured; vectors
+    without any structure need a third of all to be visited for 0.96."""
     spark = vectors.sparkSession
+    bounded(spark)
     rows = written(_valid(vectors), "vectors")
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     result = "query_id long, rank int, vec_id long, score double"
@@ -269,8 +298,10 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 5, recall: floa
 
     first, copies, parts = _parts(counts, books)
     left = queries.repartition(parts).mapInArrow(_asked(books, counts, width, enough, first, copies), "part int, uid long, v array<double>, cells array<long>")
-    right = index.mapInArrow(_dealt(first, copies), f"part int, {schema}").select("part", "uid", "v", "cell")
-    met = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(_rerank(k + 1), "query long, uid long, score double")
+    left = left.select("part", F.lit(1).alias("kind"), "uid", "v", "cells")
+    right = index.mapInArrow(_dealt(first, copies), f"part int, {schema}").select("part", F.lit(0).alias("kind"), "uid", "v", F.array("cell").alias("cells"))
+    both = right.unionByName(left).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    met = both.mapInArrow(_search(k + 1, width), "query long, uid long, score double")
     top = met.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "uid"))).where(F.col("r") <= k + 1)
     named = top.join(index.select("uid", "ids"), "uid").select("query", "score", F.explode("ids").alias("vec_id"))
     flat = named.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))), 1, k + 1).alias("found"))
