@@ -31,6 +31,7 @@ BRIDGES = {
 }
 GLUE = ("i", "a", "an", "the", "in", "on", "at")
 
+# Letters, bold text, a word with marks around it, marks that open and close.
 LETTER = "\\p{L}\\p{N}_"
 BOLD = "\\*\\*[^*\\s].*?\\*\\*"
 BOLD_INSIDE = "\\*\\*([^*]+)\\*\\*"

@@ -52,9 +52,13 @@ NAMES = [
     ("\\bSpideymi\\b", "O'rgimchakmi"), ("\\bo['’`]?rgimchak\\s+odam\\b", "O'rgimchak-Odam"), ("O['’`]?rgimchak[-\\s]+Odam(man)+\\b", "O'rgimchak-Odam"), ("\\borqaga\\s+orqaga\\b", "orqaga"),
 ]
 BEASTS = ("hayvon", "maxluq", "yirtqich")
-#: What a speaker answers for is said in the first person; endings said twice are said once.
+# Patterns of translations: a loose genitive, a deed that the speaker answers for and how
+# it is said in the first person, endings said twice, marks that readers of letters leave behind.
+LOOSE_GENITIVE = "(?i)^(\\.\\.\\.?|--)?\\s*([a-zA-Zʻʼ'`]+)ning([!.:_—\\s]*)$"
+DEED = "(?i)\\bfor\\s+\\w+ing\\b"
 OWN_DEED = [("(?i)(\\w+)ganingiz\\s+uchun(mi)?\\b", "$1ganim uchun$2")]
 DOUBLED = [("(?i)Spider-Man(man)+\\b", "Spider-Man"), ("(?i)([a-z]+)(man){2,}\\b", "$1man")]
+LEFT_BEHIND = [("(?i)^['\"`´‘ʼ]+ni\\b", "uni"), ("\\s*_+[\\s._]*$", ".")]
 
 
 def rule_table(rules: DataFrame) -> Rules:
@@ -124,7 +128,7 @@ def interjection_steps() -> Rules:
 
 def target_steps(calques: Rules) -> Rules:
     """The steps over a translation that is no idiom, up to the names."""
-    return [("(?i)^['\"`´‘ʼ]+ni\\b", "uni"), ("\\s*_+[\\s._]*$", "."), *any_case(calques)]
+    return [*LEFT_BEHIND, *any_case(calques)]
 
 
 def naturalised(text: Column, source: Column, idioms: Rules, calques: Rules, *, unmask: Column | None = None, first_person: Column | None = None, persona=None) -> Column:
@@ -136,12 +140,11 @@ def naturalised(text: Column, source: Column, idioms: Rules, calques: Rules, *,
     for what they did. Null and blank texts with a blank source give an empty text."""
     start = F.trim(F.coalesce(unmask if unmask is not None else text, F.lit("")))
     out = fold(start, target_steps(calques))
-    loose = "(?i)^(\\.\\.\\.?|--)?\\s*([a-zA-Zʻʼ'`]+)ning([!.:_—\\s]*)$"
-    lead, stem, trail = (F.regexp_extract(out, loose, i) for i in (1, 2, 3))
+    lead, stem, trail = (F.regexp_extract(out, LOOSE_GENITIVE, i) for i in (1, 2, 3))
     about = F.when(F.lower(stem).isin(*BEASTS), "maxluq tabiati").otherwise(stem)
     said = F.concat(F.when(lead == "", "...").otherwise(lead), about, F.lit(" haqida"), F.when(trail == "", ".").otherwise(trail))
-    out = F.when(out.rlike(loose), said).otherwise(out)
-    answers = F.coalesce(source, F.lit("")).rlike("(?i)\\bfor\\s+\\w+ing\\b")
+    out = F.when(out.rlike(LOOSE_GENITIVE), said).otherwise(out)
+    answers = F.coalesce(source, F.lit("")).rlike(DEED)
     if first_person is not None:
         answers = answers & F.coalesce(first_person, F.lit(False))
     out = F.when(answers, fold(out, OWN_DEED)).otherwise(out)

@@ -200,13 +200,13 @@ def _idiom_sql(line: str) -> str:
 
 
 _lettered = lambda x: f"upper(replace({APOSTROPHES.format(f'trim({x})')}, 'ß', 'SS'))"
-_LOOSE = "(?i)^(\\.\\.\\.?|--)?\\s*([a-zA-Zʻʼ''`]+)ning([!.:_—\\s]*)$"
+_LOOSE = cc.LOOSE_GENITIVE.replace("'", "''")
 
 
 @register(f"""WITH a AS (SELECT page_id, bubble_id, source_text AS s, target_text AS t, {cc.sql_fold("trim(coalesce(target_text, ''))", cc.target_steps(CALQUES))} AS x FROM turn_pairs_v),
 b AS (SELECT *, regexp_extract(x, '{_LOOSE}', 1) AS lead, regexp_extract(x, '{_LOOSE}', 2) AS stem, regexp_extract(x, '{_LOOSE}', 3) AS trail FROM a),
 c AS (SELECT *, CASE WHEN regexp_matches(x, '{_LOOSE}') THEN CASE WHEN lead = '' THEN '...' ELSE lead END || CASE WHEN lower(stem) IN ({_in(cc.BEASTS)}) THEN 'maxluq tabiati' ELSE stem END || ' haqida' || CASE WHEN trail = '' THEN '.' ELSE trail END ELSE x END AS y FROM b),
-d AS (SELECT *, CASE WHEN regexp_matches(coalesce(s, ''), '(?i)\\bfor\\s+\\w+ing\\b') THEN {cc.sql_fold('y', cc.OWN_DEED)} ELSE y END AS z FROM c),
+d AS (SELECT *, CASE WHEN regexp_matches(coalesce(s, ''), '{cc.DEED}') THEN {cc.sql_fold('y', cc.OWN_DEED)} ELSE y END AS z FROM c),
 e AS (SELECT *, {cc.sql_fold(cc.sql_fold('z', cc.interjection_steps()), cc.DOUBLED)} AS w FROM d)
 SELECT page_id, bubble_id, CASE WHEN trim(coalesce(t, '')) = '' AND trim(coalesce(s, '')) = '' THEN '' ELSE coalesce({_lettered(_idiom_sql('s'))}, {_lettered(_idiom_sql('t'))}, {_lettered(cc.sql_fold('w', cc.any_case(cc.NAMES)))}) END AS text FROM e""")
 def naturalised(spark, sf):
