@@ -62,10 +62,10 @@ def test_odd_rows_go_through(spark, tmp_path):
 def test_working_tables_go(spark, sf):
     import os
 
-    from leafmill.llm.common import shared_dir
+    from leafmill.session import shared_folder
 
     def held():
-        return {x for x in os.listdir(shared_dir(spark).removeprefix("file://")) if x.startswith("leafmill-")}
+        return {x for x in os.listdir(shared_folder(spark).removeprefix("file://")) if x.startswith("leafmill-")}
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
