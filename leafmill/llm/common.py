@@ -75,7 +75,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``most`` bytes in a string column.
 
-    Behind each batch, memory that is no longer used goes back: workers stay for the next task."""
+    Every now and then memory that is no longer used goes back: workers stay for the next task."""
+    global _read
     n = batch.num_rows
     if not n:
         return
@@ -85,7 +86,15 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
-    give_back()
+    _read += int(lengths.sum())
+    if _read > GIVE_BACK_BYTES:
+        _read = 0
+        give_back()
+
+
+#: Text bytes between two returns of free memory, and how many this worker has read since the last.
+GIVE_BACK_BYTES = 40_000_000
+_read = 0
 
 
 def give_back() -> None:
