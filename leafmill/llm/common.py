@@ -72,10 +72,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, between: int = 0) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``most`` bytes in a string column.
 
-    Every now and then memory that is no longer used goes back: workers stay for the next task."""
+    Memory that is no longer used goes back behind each batch, or when ``between`` bytes have been
+    read: workers stay for the next task, and what they hold adds up."""
     global _read
     n = batch.num_rows
     if not n:
@@ -87,13 +88,12 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         if b > a:
             yield batch.slice(a, b - a)
     _read += int(lengths.sum())
-    if _read > GIVE_BACK_BYTES:
+    if _read >= between:
         _read = 0
         give_back()
 
 
-#: Text bytes between two returns of free memory, and how many this worker has read since the last.
-GIVE_BACK_BYTES = 40_000_000
+#: Bytes that this worker has read since it last gave memory back.
 _read = 0
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import bounded, delete_written, quoted, release, slices, utf8_bytes, written
+from leafmill.llm.common import bounded, delete_written, give_back, quoted, release, slices, utf8_bytes, written
 
 GRAM = 20
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -211,6 +211,7 @@ def _sort_buckets(batches):
             if b != bucket and held:
                 yield from compared(held)
                 held = []
+                give_back()
             bucket = b
             if told:
                 yield from out(_unpack([records.as_py()]), True)
@@ -218,6 +219,8 @@ def _sort_buckets(batches):
                 held.append(records.as_py())
     if held:
         yield from compared(held)
+    held.clear()
+    give_back()
 
 
 def _fetch(length: int):
@@ -323,6 +326,8 @@ def _compare(length: int):
                 rows, last = rows + b - a, grams[b - 1]
         if held:
             yield compared(held)
+        held.clear()
+        give_back()
 
     return run
 

@@ -177,7 +177,7 @@ def _counted(path: str, budget: int, store: bool):
     def run(batches):
         told = counter(path)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, between=40_000_000):
                 texts = part.column(1)
                 tokens, fit, _, _ = told.count(texts, budget)
                 columns = [part.column(0), pa.array(text_lengths(texts)), pa.array(tokens), pa.array(tokens > budget), pa.array(fit)]
