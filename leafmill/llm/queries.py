@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import licenses, mixing, quality, resampling
+from leafmill.llm import licenses, mixing, quality, resampling, vectorcodes
 
 
 def _path(name: str) -> str:
@@ -86,6 +86,12 @@ def op12_importance_resampling(spark, sf_dir):
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), most=1, buckets=10_000, percent=10, least_words=20, seed="2024")
 
 
+def op13_vector_codes(spark, sf_dir):
+    from leafmill.llm.vectorcodes import compress
+
+    return compress(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_duplicates": op2_near_duplicates,
@@ -97,7 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_orc": op8_token_orc,
     "op9_token_counts": op9_token_counts,
     "op10_repeated_substrings": op10_repeated_substrings,
+    "op13_vector_codes": op13_vector_codes,
     "op12_importance_resampling": op12_importance_resampling,
 }
 
-ORACLES: dict[str, str] = {"op4_license_scan": licenses.oracle(), "op6_source_mix": mixing.oracle(), "op7_quality_rules": quality.oracle(), "op12_importance_resampling": resampling.oracle()}
+ORACLES: dict[str, str] = {"op4_license_scan": licenses.oracle(), "op6_source_mix": mixing.oracle(), "op7_quality_rules": quality.oracle(), "op12_importance_resampling": resampling.oracle(), "op13_vector_codes": vectorcodes.oracle()}
