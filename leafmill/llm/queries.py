@@ -92,6 +92,12 @@ def op13_vector_codes(spark, sf_dir):
     return compress(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
 
+def op11_toxicity(spark, sf_dir):
+    from leafmill.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_duplicates": op2_near_duplicates,
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_orc": op8_token_orc,
     "op9_token_counts": op9_token_counts,
     "op10_repeated_substrings": op10_repeated_substrings,
+    "op11_toxicity": op11_toxicity,
     "op13_vector_codes": op13_vector_codes,
     "op12_importance_resampling": op12_importance_resampling,
 }
