@@ -24,6 +24,10 @@ VIEWS = {
   CAST((o_custkey * 29) % 500 AS INT) AS x0, CAST((o_orderkey * 31) % 300 AS INT) AS y0,
   CAST((o_custkey * 29) % 500 AS INT) + 120 + CAST(o_custkey % 80 AS INT) AS x1,
   CAST((o_orderkey * 31) % 300 AS INT) + 60 + CAST(o_custkey % 40 AS INT) AS y1 FROM {orders}""",
+    # outlines of one to three lobes, one above (or, across, beside) the other: half widths a, necks n1 and n2
+    "outlines_v": """SELECT page_id, across, m, a, CASE WHEN page_id % 3 = 0 THEN a ELSE 15 + k % 50 END AS n1, CASE WHEN page_id % 4 < 2 THEN a - 15 ELSE 20 + k % 40 END AS n2
+  FROM (SELECT o_orderkey AS page_id, o_orderkey % 2 = 1 AS across, CAST(o_custkey AS INT) AS k, CAST(100 + (o_custkey * 29) % 80 AS INT) AS a,
+    CAST(CASE WHEN o_orderkey % 2 = 1 THEN 180 + o_custkey % 60 ELSE 250 + o_custkey % 300 END AS INT) AS m FROM {orders})""",
     "panels_v": """SELECT * FROM (VALUES (1,0,0,390,190),(2,410,0,850,190),(3,0,210,390,450),(4,410,210,850,450))
   AS t(panel_idx, px0, py0, px1, py1)""",
     "terms_v": """SELECT p_partkey AS seq, lower(trim(p_name)) AS source_term, p_type AS canonical,
