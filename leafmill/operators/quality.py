@@ -46,7 +46,7 @@ def rules(constriction: float = 0.65, margin: float = 12.0, tolerance: float = 3
         Rule("sliver_too_small_for_text", "fragment_processing", lambda: (F.length(F.trim("text")) >= 8) & ((c("area") < 1200) | (c("h") < 15) | (c("w") < 25)), {"quality_warning": lambda: F.lit("sliver_too_small_for_text")}, "flag_for_review"),
         Rule("residual_ink_under_lettering", "post_clean", lambda: c("residual_ink_count") > 30, {"needs_second_pass": lambda: F.lit(True)}),
         Rule("conjoined_bubble_constriction_split", "bubble_segmentation", lambda: ((c("constriction_ratio") <= 0.88) | c("is_multi_lobe")) & c("has_split_lines"), {"is_split": lambda: F.lit(True)}),
-        Rule("caption_shape_destruction", "bubble_inpainting", lambda: (c("fill_ratio") < 0.94) & ((c("shape_type") == "rectangle") | c("is_rectangular_fill")), {"shape_type": lambda: F.lit("shaped_caption"), "is_rectangular_fill": lambda: F.lit(False)}),
+        Rule("caption_shape_destruction", "bubble_inpainting", lambda: ((c("fill_ratio") < 0.94) | (c("corners") > 5)) & ((c("shape_type") == "rectangle") | c("is_rectangular_fill")), {"shape_type": lambda: F.lit("shaped_caption"), "is_rectangular_fill": lambda: F.lit(False)}),
         Rule("touching_bubbles_merged", "bubble_review_edit", lambda: (c("has_split_lines") & (c("constriction_ratio") <= constriction)) | c("is_touching_merged"), {"is_split": lambda: F.lit(True)}),
         Rule("clipped_bubble_edge", "bubble_review_edit", lambda: (c("text_contour_margin") < margin) | c("is_clipped_edge"), {"suggested_tolerance": lambda: F.lit(tolerance), "is_expanded": lambda: F.lit(True)}),
         Rule("tinted_spectral_bubble_preservation", "bubble_inpainting", lambda: c("is_tinted") | c("bg_is_tinted") | c("text_is_spectral") | F.exists(F.coalesce("tint", F.array().cast("array<int>")), lambda v: v != 255), {"is_tinted": lambda: F.lit(True)}),
@@ -56,6 +56,9 @@ def rules(constriction: float = 0.65, margin: float = 12.0, tolerance: float = 3
     )
 
 
+#: Measures that a record may lack, and what then holds.
+OPTIONAL = {"corners": 4}
+
 EVENT = "array<struct<pattern_name:string,stage:string,severity:string,action_taken:string>>"
 
 
@@ -63,7 +66,8 @@ def apply_stage(df: DataFrame, stage: str, registry: tuple[Rule, ...] | None = N
     """``df`` after all rules of ``stage``, with ``events`` and ``dropped`` added.
 
     A rule whose condition is null does not hit. Updates that name a missing column add it."""
-    out = df.withColumn("events", F.array().cast(EVENT)).withColumn("dropped", F.lit(False))
+    added = {name: F.lit(value) for name, value in OPTIONAL.items() if name not in df.columns}
+    out = df.withColumns({**added, "events": F.array().cast(EVENT), "dropped": F.lit(False)})
     for r in registry or rules():
         if r.stage != stage:
             continue
@@ -77,7 +81,7 @@ def apply_stage(df: DataFrame, stage: str, registry: tuple[Rule, ...] | None = N
         if r.drop:
             updates["dropped"] = F.col("dropped") | F.col("_hit")
         out = out.withColumns(updates).drop("_hit")
-    return out
+    return out.drop(*added)
 
 
 def event_log(applied: DataFrame, *key: str) -> DataFrame:

@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import lettering
+from leafmill.functions import polygons as pg
 from leafmill.functions import sounds as sd
 from leafmill.functions import text as tx
 from leafmill.functions.geometry import Box, contained_shape
 from leafmill.operators import order as od
 from leafmill.operators import quality as qa
 from leafmill.operators import records as rc
+from leafmill.plans import outlines as ol
 from leafmill.plans.registry import register
 from leafmill.sources.tables import table, view
 
@@ -114,10 +116,11 @@ _on = lambda middle, radius, v: f"({middle} * 1000000 + {radius} * {v})"  # noqa
 _near = lambda t: f"CAST(floor(({t} + 500000) / 1000000) AS BIGINT) - CASE WHEN (({t} % 1000000) + 1000000) % 1000000 = 500000 AND CAST(floor(({t} + 500000) / 1000000) AS BIGINT) % 2 <> 0 THEN 1 ELSE 0 END"
 
 
-@register(f"""WITH c AS (SELECT r.page_id, r.rect_idx, r.x0, r.y0, r.x1, r.y1, (r.x1 - r.x0) * (r.y1 - r.y0) AS area, CAST(coalesce(sum(greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0, least(l.y1, r.y1) - greatest(l.y0, r.y0))), 0) AS BIGINT) AS inter
+@register(f"""WITH rings AS (SELECT page_id, {ol.ring_sql()} AS ring FROM outlines_v), {ol.MEASURES}, o AS (SELECT page_id, plain.area AS filled, plain.area / hull_area AS solidity FROM plain JOIN hulls USING (page_id)),
+c AS (SELECT r.page_id, r.rect_idx, r.x0, r.y0, r.x1, r.y1, (r.x1 - r.x0) * (r.y1 - r.y0) AS area, CAST(coalesce(sum(greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0, least(l.y1, r.y1) - greatest(l.y0, r.y0))), 0) AS BIGINT) AS inter
   FROM rects_v r LEFT JOIN lines_v l ON l.page_id = r.page_id GROUP BY ALL),
-h AS (SELECT *, CAST(inter AS DOUBLE) / area < CAST(0.02 AS DOUBLE) OR CAST(area AS DOUBLE) / greatest(1, inter) > 30 OR (x0 <= 40 AND CAST(area AS DOUBLE) / 340000 > CAST(0.05 AS DOUBLE)) AS hit,
-  greatest(10, x1 - x0) AS w, greatest(10, y1 - y0) AS hh, (x0 + x1) // 2 AS cx, (y0 + y1) // 2 AS cy FROM c),
+h AS (SELECT *, CAST(inter AS DOUBLE) / area < CAST(0.02 AS DOUBLE) OR (filled > CAST(1.5 AS DOUBLE) * area AND solidity < CAST(0.8 AS DOUBLE)) OR CAST(area AS DOUBLE) / greatest(1, inter) > 30 OR (x0 <= 40 AND CAST(area AS DOUBLE) / 340000 > CAST(0.05 AS DOUBLE)) AS hit,
+  greatest(10, x1 - x0) AS w, greatest(10, y1 - y0) AS hh, (x0 + x1) // 2 AS cx, (y0 + y1) // 2 AS cy FROM c JOIN o USING (page_id)),
 g AS (SELECT *, w >= 3 * hh OR hh >= 3 * w AS long, greatest(15, least(CAST(floor(w * CAST(0.58 AS DOUBLE)) AS BIGINT), (x1 - x0) // 2 + 15)) AS rx, greatest(12, least(CAST(floor(hh * CAST(0.62 AS DOUBLE)) AS BIGINT), (y1 - y0) // 2 + 12)) AS ry FROM h),
 pts AS (SELECT *, CASE WHEN long THEN [[x0 - 18, y0 - 12], [x1 + 18, y0 - 12], [x1 + 18, y1 + 12], [x0 - 18, y1 + 12]]
   ELSE list_transform({COSINES}, lambda q: [{_near(_on('cx', 'rx', 'CAST(q[1] AS BIGINT)'))}, {_near(_on('cy', 'ry', 'CAST(q[2] AS BIGINT)'))}]) END AS ps FROM g)
@@ -126,7 +129,9 @@ def gate_contour_extraction(spark, sf):
     lines = view(spark, sf, "lines_v").select("page_id", *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
     box, line = Box.of(), Box.of("l_")
     x = view(spark, sf, "rects_v").join(lines, "page_id", "left").groupBy("page_id", "rect_idx", "x0", "y0", "x1", "y1").agg(F.coalesce(F.sum(line.intersection(box)), F.lit(0)).alias("inter"))
-    x = x.withColumns({"misplaced": F.col("inter") / box.area < 0.02, "low_solidity": F.lit(False), "ratio_to_text": box.area / F.greatest(F.lit(1), F.col("inter")), "effective_ratio_cap": F.lit(30.0), "border_touch": box.x0 <= 40, "ratio_to_roi": box.area / 340_000, "roi_leak_ratio": F.lit(0.05), "contained": contained_shape(box, 850, 450)})
+    outline = view(spark, sf, "outlines_v").select("page_id", ol.outline_ring().alias("ring"))
+    x = pg.bound(x.join(outline, "page_id"), filled=pg.area(F.col("ring")), solidity=pg.solidity(F.col("ring"))).drop("ring")
+    x = x.withColumns({"misplaced": F.col("inter") / box.area < 0.02, "low_solidity": (F.col("filled") > 1.5 * box.area) & (F.col("solidity") < 0.8), "ratio_to_text": box.area / F.greatest(F.lit(1), F.col("inter")), "effective_ratio_cap": F.lit(30.0), "border_touch": box.x0 <= 40, "ratio_to_roi": box.area / 340_000, "roi_leak_ratio": F.lit(0.05), "contained": contained_shape(box, 850, 450)})
     done = qa.apply_stage(x, "contour_extraction")
     return done.select("page_id", "rect_idx", (F.size("events") > 0).alias("hit"), F.array_join(F.transform("contour", lambda p: F.concat_ws(" ", p[0], p[1])), ",").alias("contour"))
 
@@ -228,3 +233,28 @@ def page_panels(spark, sf):
     cut = panels_of(share=0.75, least=2, thick=1)
     x = table(spark, sf, "embeddings").select("vec_id", F.posexplode(cut(rows)).alias("place", "p"))
     return x.select("vec_id", "place", "p.*")
+
+
+# captions: rectangles whose corners are cut by c, some with a spike of height h on top
+CAPTION = [("x0 + c", "y0"), ("x0 + c + 20", "y0"), ("x0 + c + 25", "y0 - h"), ("x0 + c + 30", "y0"), ("x1 - c", "y0"), ("x1", "y0 + c"), ("x1", "y1 - c"), ("x1 - c", "y1"), ("x0 + c", "y1"), ("x0", "y1 - c"), ("x0", "y0 + c")]
+CAPTIONS = "SELECT r.*, CAST(5 * (r.page_id % 6) AS INT) AS c, CASE WHEN r.page_id % 4 = 1 THEN 40 ELSE 0 END AS h FROM rects_v r"
+CAPTION_RINGS = f"rings AS (SELECT page_id, [{', '.join(f'[{x}, {y}]' for x, y in CAPTION)}] AS ring FROM ({CAPTIONS}))"
+
+
+@register(f"""WITH RECURSIVE {CAPTION_RINGS}, {ol.MEASURES}, {ol.CORNERS},
+i AS (SELECT r.page_id, count(l.seq) AS n_inside FROM rects_v r LEFT JOIN lines_v l ON l.page_id = r.page_id AND l.x0 + l.x1 BETWEEN 2 * r.x0 AND 2 * r.x1 AND l.y0 + l.y1 BETWEEN 2 * r.y0 AND 2 * r.y1 GROUP BY r.page_id),
+f AS (SELECT page_id, area / greatest(1, (x1 - x0) * (y1 - y0)) AS fill_ratio, n_corners, n_inside FROM plain JOIN cornered USING (page_id) JOIN i USING (page_id)),
+t AS (SELECT *, n_inside > 0 OR fill_ratio >= CAST(0.9 AS DOUBLE) AS blunt, fill_ratio < CAST(0.94 AS DOUBLE) OR n_corners > 5 AS shaped FROM f)
+SELECT page_id, fill_ratio, CAST(n_corners AS INT) AS n_corners, CASE WHEN blunt AND shaped THEN 'shaped_caption' WHEN fill_ratio >= CAST(0.9 AS DOUBLE) THEN 'rectangle' ELSE 'polygon' END AS shape_type, n_inside > 0 AND NOT shaped AS is_rectangular_fill, blunt AND shaped AS hit FROM t""")
+def gate_caption_shapes(spark, sf):
+    """Captions with wings or spikes are no blunt rectangles: areas and corners of their outlines tell."""
+    lines = view(spark, sf, "lines_v").select("page_id", "seq", (F.col("x0") + F.col("x1")).alias("lx"), (F.col("y0") + F.col("y1")).alias("ly"))
+    rects = view(spark, sf, "rects_v").withColumns({"c": (5 * (F.col("page_id") % 6)).cast("int"), "h": F.when(F.col("page_id") % 4 == 1, 40).otherwise(0)})
+    met = rects.alias("r").join(lines.alias("l"), (F.col("l.page_id") == F.col("r.page_id")) & F.col("lx").between(2 * F.col("x0"), 2 * F.col("x1")) & F.col("ly").between(2 * F.col("y0"), 2 * F.col("y1")), "left")
+    x = met.groupBy(*[F.col(f"r.{c}") for c in rects.columns]).agg(F.count("seq").alias("n_inside"))
+    x = x.withColumn("ring", F.array(*[F.array(F.expr(a), F.expr(b)) for a, b in CAPTION]).cast("array<array<double>>"))
+    x = pg.bound(x, around=pg.box(F.col("ring")), filled=pg.area(F.col("ring")), corners=pg.corners(F.col("ring")))
+    x = x.withColumn("fill_ratio", F.col("filled") / F.greatest(F.lit(1.0), (F.col("around.x1") - F.col("around.x0")) * (F.col("around.y1") - F.col("around.y0"))))
+    x = x.withColumns({"z_order": F.lit(1), "shape_type": F.when(F.col("fill_ratio") >= 0.9, "rectangle").otherwise("polygon"), "is_rectangular_fill": F.col("n_inside") > 0, "is_tinted": F.lit(False), "bg_is_tinted": F.lit(False), "text_is_spectral": F.lit(False), "tint": F.lit(None).cast("array<int>")})
+    done = qa.apply_stage(x, "bubble_inpainting")
+    return done.select("page_id", "fill_ratio", F.col("corners").alias("n_corners"), "shape_type", "is_rectangular_fill", (F.size("events") > 0).alias("hit"))

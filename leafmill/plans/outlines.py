@@ -27,7 +27,7 @@ def ring_sql(first: int = 0, last: int = 8) -> str:
     return f"[{', '.join(f'[{x}, {y}]' for x, y in _points(first, last))}]"
 
 
-def _ring(first: int = 0, last: int = 8):
+def outline_ring(first: int = 0, last: int = 8):
     return F.array(*[F.array(F.expr(x), F.expr(y)) for x, y in _points(first, last)]).cast("array<array<double>>")
 
 
@@ -59,7 +59,7 @@ cornered AS (SELECT page_id, count(DISTINCT s % k) AS n_corners FROM span WHERE
 @register(f"""WITH RECURSIVE rings AS (SELECT page_id, {ring_sql()} AS ring FROM outlines_v), {MEASURES}, {CORNERS}
 SELECT page_id, n_points, area, perimeter, hull_area, area / hull_area AS solidity, CAST(n_corners AS INT) AS n_corners FROM plain JOIN hulls USING (page_id) JOIN cornered USING (page_id)""")
 def polygon_measures(spark, sf):
-    x = view(spark, sf, "outlines_v").select("page_id", _ring().alias("ring"))
+    x = view(spark, sf, "outlines_v").select("page_id", outline_ring().alias("ring"))
     x = pg.bound(x, area=pg.area(F.col("ring")), perimeter=pg.perimeter(F.col("ring")), hull_area=pg.area(pg.points_of(pg.hull(F.col("ring")))))
     return x.select("page_id", F.size("ring").cast("long").alias("n_points"), "area", "perimeter", "hull_area", (F.col("area") / F.col("hull_area")).alias("solidity"), pg.corners(F.col("ring")).alias("n_corners"))
 
@@ -74,13 +74,13 @@ t AS (SELECT page_id, seq, arg_max(lobe, [far, -lobe]) AS lobe, max(far) AS far
 SELECT q.page_id, q.seq, CASE WHEN far >= -225 THEN lobe END AS lobe, CASE WHEN far >= -225 THEN sign(far) * sqrt(abs(far)) + 0.0 END AS distance FROM q LEFT JOIN t USING (page_id, seq)""")
 def lines_to_lobes(spark, sf):
     o = view(spark, sf, "outlines_v")
-    lobes = o.select("page_id", F.posexplode(F.array(*[_ring(*x) for x in LOBES])).alias("k", "ring")).select("page_id", (F.col("k") + 1).alias("lobe"), "ring")
+    lobes = o.select("page_id", F.posexplode(F.array(*[outline_ring(*x) for x in LOBES])).alias("k", "ring")).select("page_id", (F.col("k") + 1).alias("lobe"), "ring")
     return lb.lines_to_lobes(view(spark, sf, "lines_v"), lobes)
 
 
 def _shapes(spark, sf):
     lines = view(spark, sf, "lines_v").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x0", "y0", "x1", "y1"))).alias("lines"))
-    return view(spark, sf, "outlines_v").select("page_id", _ring().alias("ring")).join(lines, "page_id")
+    return view(spark, sf, "outlines_v").select("page_id", outline_ring().alias("ring")).join(lines, "page_id")
 
 
 @register()
