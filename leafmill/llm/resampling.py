@@ -49,6 +49,11 @@ class WordTrie:
         self.states: list[int] = []
         self.levels = [_Level(self, not i) for i in range(most)]
 
+    def clear(self) -> None:
+        self.states.clear()
+        for level in self.levels:
+            level.clear()
+
     def walk(self, words: list[bytes]) -> list[int]:
         """The nodes of all runs: those of one word first, then those of two, ..."""
         nodes = list(map(self.levels[0].__getitem__, words))
@@ -85,7 +90,8 @@ def _totals(most: int, buckets: int):
                         count = new
                     if len(trie.states) > MOST_NODES:
                         empty()
-                        trie, count = WordTrie(most), np.zeros(0, np.int64)
+                        trie.clear()
+                        count = np.zeros(0, np.int64)
         empty()
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["bucket", "n"])
@@ -123,7 +129,8 @@ def _scored(most: int, gain: np.ndarray):
                     n_runs.append(len(nodes))
                     weight.append(int(held[nodes].sum()) if nodes else 0)
                     if len(trie.states) > MOST_NODES:
-                        trie, held = WordTrie(most), np.zeros(0, np.int64)
+                        trie.clear()
+                        held = np.zeros(0, np.int64)
                 columns = [part.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_runs, weight))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_features", "weight"])
 

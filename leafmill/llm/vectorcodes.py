@@ -162,13 +162,13 @@ def compress(vectors: DataFrame, *, parts: int = 16, entries: int = 64, rounds:
     rows = written(table.select("row", "vec_id", "label").join(by_row.hint("merge"), "row", "left"), "coded")
 
     # errors of labels join back the same way
-    label = [F.col("label").isNull().alias("none"), F.col("label").alias("of")]
-    sums = written(rows.groupBy(*label).agg(F.sum("error").alias("label_error"), F.count("*").alias("weight")), "labels")
-    hot = sums.where(F.col("weight") > least).select("none", "of", F.ceil(F.col("weight") / least).alias("copies"))
-    same = F.col("l.none") & F.col("r.none") | F.col("l.of").eqNullSafe(F.col("r.of"))
-    told = rows.select("row", "vec_id", "code", "error", *label).alias("l").join(F.broadcast(hot).alias("r"), same, "left")
+    label = F.col("label").alias("of")
+    sums = written(rows.groupBy(label).agg(F.sum("error").alias("label_error"), F.count("*").alias("weight")), "labels")
+    hot = sums.where(F.col("weight") > least).select("of", F.ceil(F.col("weight") / least).alias("copies"))
+    same = F.col("l.of").eqNullSafe(F.col("r.of"))
+    told = rows.select("row", "vec_id", "code", "error", label).alias("l").join(F.broadcast(hot).alias("r"), same, "left")
     told = told.select("l.*", _dealt(F.col("row"), F.col("copies")).alias("salt")).alias("l")
-    spreads = sums.select("none", "of", "label_error", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt")).hint("merge").alias("r")
+    spreads = sums.select("of", "label_error", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt")).hint("merge").alias("r")
     whole = told.join(spreads, F.col("l.of").eqNullSafe(F.col("r.of")) & (F.col("l.salt") == F.col("r.salt")))
     out = written(whole.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256")), "compressed")
     delete_written(table, distinct, coded, rows, sums)
