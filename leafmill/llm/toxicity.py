@@ -26,8 +26,9 @@ from leafmill.llm.common import bounded, delete_written, slices, utf8_bytes, wri
 FIT_TOXIC, FIT_CLEAN = 10_000, 20_000
 #: Features that get weights, and the bits of the buckets that choose them.
 FEATURES, BITS = 1024, 22
-#: A feature must stand in so many sampled toxic documents.
-LEAST_TOXIC = 3
+#: A feature must stand in so many sampled toxic documents, and tell the labels apart by so many
+#: standard deviations of chance.
+LEAST_TOXIC, LEAST_Z = 3, 4.0
 #: Features are runs of so many bytes of the lower-case text, at most 8, all but letters as spaces.
 RUNS = (4, 6, 8)
 PAD = " " * max(RUNS)
@@ -209,7 +210,8 @@ def train(docs: DataFrame, labels: DataFrame) -> NoisyOr | None:
         counts = sample.mapInArrow(_counted, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         gap = F.col("toxic") / n[1] - F.col("clean") / n[0]
         both = (F.col("toxic") + F.col("clean")) / (n[1] + n[0])
-        best = counts.where((F.col("toxic") >= min(LEAST_TOXIC, n[1])) & (gap > 0)).orderBy((gap / F.sqrt(both * (1 - both) + 1e-9)).desc(), "bucket").limit(FEATURES)
+        z = gap / F.sqrt((both * (1 - both) + 1e-9) * (1 / n[1] + 1 / n[0]))
+        best = counts.where((F.col("toxic") >= min(LEAST_TOXIC, n[1])) & (z >= LEAST_Z)).orderBy(z.desc(), "bucket").limit(FEATURES)
         chosen = np.array([r.bucket for r in best.select("bucket").collect()], np.int64)
         runs = sample.where("toxic = 1").mapInArrow(_runs_in(chosen), "bucket long, run long, n long").groupBy("bucket", "run").agg(F.sum("n").alias("n"))
         runs = runs.groupBy("bucket").agg(F.max_by("run", F.struct("n", "run")).alias("run"))  # the commonest of each bucket
