@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from leafmill.plans import gates, geometry, outlines, records, shelves, streams, texts, voices  # noqa: F401
+from leafmill.plans import gates, geometry, masked, outlines, records, shelves, streams, texts, voices  # noqa: F401
 from leafmill.plans.registry import ORACLES, QUERIES  # noqa: F401
