@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -108,31 +109,141 @@ def case_keeping(rules: list[tuple[str, str]]):
     return apply
 
 
-def enforcement(glossary: dict[str, str]):
-    """A function that puts the glossary's terms for its keys, longest key first, in the case found."""
-    items = sorted(((k, v) for k, v in glossary.items() if k and v), key=lambda kv: -len(kv[0]))
-    return case_keeping([(rf"\b{re.escape(k)}\b", v) for k, v in items])
-
-
-def masking(terms: list[tuple[str, str]]):
-    """(mask, unmask) functions: names become placeholders that translation leaves alone, and back."""
-    order = sorted(terms, key=lambda t: -len(t[0]))
+#: Letters of terms that one automaton holds; a larger dictionary is applied in parts, the longest terms first.
+MOST_LETTERS = 20_000_000
+
+
+def small(text: str) -> str:
+    """``text`` in small letters, place by place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _word(text: str, i: int) -> bool:
+    return 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+
+
+class Dictionary:
+    """Terms in an Aho-Corasick automaton: all whole-word matches of a text in one walk over it."""
+
+    def __init__(self, terms: list[str]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            if term not in self.automaton:  # the first of equal terms holds
+                self.automaton.add_word(term, (i, len(term)))
+        self.automaton.make_automaton()
+
+    def matches(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, term) of the matches that stay, in order: longer terms first, then earlier
+        terms, then places from left to right; what overlaps one that stays goes."""
+        if not len(self.automaton):
+            return []
+        found = []
+        for last, (i, n) in self.automaton.iter(text):
+            a, b = last + 1 - n, last + 1
+            if _word(text, a - 1) != _word(text, a) and _word(text, b - 1) != _word(text, b):
+                found.append((-n, i, a, b))
+        if len(found) > 1:
+            found.sort()
+        taken, out = bytearray(len(text)) if len(found) > 1 else None, []
+        for _, i, a, b in found:
+            if taken is not None:
+                if any(taken[a:b]):
+                    continue
+                taken[a:b] = b"\1" * (b - a)
+            out.append((a, b, i))
+        return sorted(out)
+
+    def replaced(self, text: str, low: str, word: Callable[[int, str], str]) -> str:
+        """``text`` with ``word(term, what was there)`` for each match in ``low``."""
+        parts, end = [], 0
+        for a, b, i in self.matches(low):
+            parts += [text[end:a], word(i, text[a:b])]
+            end = b
+        return "".join([*parts, text[end:]]) if parts else text
+
+
+def _in_parts(terms: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+    """Terms, longest first, in parts of at most MOST_LETTERS letters."""
+    parts, room = [[]], MOST_LETTERS
+    for t in sorted(terms, key=lambda t: -len(t[0])):
+        if len(t[0]) > room and parts[-1]:
+            parts.append([])
+            room = MOST_LETTERS
+        parts[-1].append(t)
+        room -= len(t[0])
+    return parts
+
+
+def _replacing(spark: SparkSession, terms: list[tuple[str, str]], fold: Callable[[str], str], word: Callable[[str, str], str]):
+    """A function that replaces terms (in small letters) in texts, longest terms first.
+
+    The automata are built once and broadcast, each of bounded size; a worker holds one copy."""
+    parts = [(spark.sparkContext.broadcast((Dictionary([t for t, _ in part]), [w for _, w in part]))) for part in _in_parts(terms) if part]
 
     @pandas_udf(T.StringType())
-    def mask(texts: pd.Series) -> pd.Series:
-        patterns = [(re.compile(r"\b" + re.escape(n).replace(r"\-", r"[\-\s]?") + r"\b", re.I), p) for n, p in order]
+    def apply(texts: pd.Series) -> pd.Series:
+        held = [p.value for p in parts]
 
         def one(text):
-            for pattern, mark in patterns:
-                text = pattern.sub(mark, text)
+            for dictionary, words in held:
+                text = dictionary.replaced(text, fold(text), lambda i, seen, words=words: word(words[i], seen))
             return text
 
         return texts.map(one, na_action="ignore")
 
+    return apply
+
+
+def enforcement(glossary: dict[str, str], spark: SparkSession | None = None):
+    """A function that puts the glossary's terms for its whole-word keys, longest key first, in the case found.
+
+    Time goes with the text and what is found in it, not with the number of keys. What a
+    replacement makes together with its neighbours is not looked at again."""
+    items = [(small(k), v) for k, v in glossary.items() if k and v]
+    return _replacing(spark or SparkSession.active(), items, small, lambda wanted, seen: like_case(seen, wanted))
+
+
+def spellings(term: str) -> list[str]:
+    """A term with each hyphen as it is, as a space, or left out."""
+    out = [""]
+    for i, part in enumerate(term.split("-")):
+        out = [o + mark + part for o in out for mark in (["-", " ", ""] if i else [""])]
+    return out
+
+
+def blanks(text: str) -> str:
+    """Small letters, and any white space as a space."""
+    return re.sub(r"\s", " ", small(text))
+
+
+# How placeholders come back from translation, and the names they stood for; names that
+# translation and reading spoil, and how they are written.
+MUTATED = [(r"XNAME_M[AJ]Y?OR[A-Z0-9_]*_X", "Mer J. Jona Jeymson"), (r"XNAME_SPIDER[A-Z0-9_]*_X", "O'rgimchak-Odam"), (r"XNAME_OCTAVIUS[A-Z0-9_]*_X", "Otto Oktavius"), (r"XNAME_DOCTOR_OCTOPUS[A-Z0-9_]*_X", "Doktor Oktopus")]
+SPOILED = [(r"\bJamison\b", "Jeymson"), (r"\bJeymison\b", "Jeymson"), (r"\bGoldamon\b", "Goldman"), (r"\bGoldmanmanman\b", "Goldman"), (r"\bRuta\s+Goldman\b", "Rut Goldman"), (r"\bJonasi\b", "Jona"), (r"\bJonay\b", "Jona"), (r"\bXotiriq\b", "Xotira"), (r"\bO['’]?rgimchak[\-\s](?:yigit|bola|odam)\b", "O'rgimchak-Odam")]
+
+
+def masking(terms: list[tuple[str, str]], spark: SparkSession | None = None):
+    """(mask, unmask) functions: names become placeholders that translation leaves alone, and back.
+
+    A hyphen of a name may be a space or missing. Back come first the placeholders as they were,
+    in any case, then those that translation has changed, then names that it has spoilt."""
+    mask = _replacing(spark or SparkSession.active(), [(s, p) for n, p in terms for s in dict.fromkeys(spellings(blanks(n)))], blanks, lambda mark, seen: mark)
+
     @pandas_udf(T.StringType())
     def unmask(texts: pd.Series, canonical: pd.Series) -> pd.Series:
-        back = dict(canonical.iloc[0]) if len(canonical) else {}
-        return texts.map(lambda t: re.sub(r"XNAME_[A-Z0-9_]+?_X", lambda m: back.get(m[0].upper(), m[0]), t, flags=re.I), na_action="ignore")
+        changed = [(re.compile(p, re.I), v) for p, v in (*MUTATED, *SPOILED)]
+
+        def one(text, back):
+            back = dict(back)
+            text = re.sub(r"XNAME_[A-Z0-9_]+?_X", lambda m: back.get(m[0].upper(), m[0]), text, flags=re.I)
+            for pattern, name in changed:
+                text = pattern.sub(name, text)
+            return text
+
+        return pd.Series([None if t is None else one(t, b) for t, b in zip(texts, canonical)], dtype=object)
 
     return mask, unmask
 

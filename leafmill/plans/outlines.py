@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafmill.functions import lettering
 from leafmill.functions import polygons as pg
 from leafmill.operators import lobes as lb
+from leafmill.operators import masks as mk
 from leafmill.plans.registry import register
-from leafmill.sources.tables import view
+from leafmill.sources.tables import table, view
 
 # half widths of an outline at nine levels
 HALVES = ("a - 40", "a", "a", "n1", "a - 10", "a - 10", "n2", "a - 20", "a - 60")
@@ -87,3 +89,18 @@ def _shapes(spark, sf):
 def split_lobes(spark, sf):
     x = lb.split_lobes(_shapes(spark, sf))
     return x.select("page_id", "lobe", F.size("ring").alias("n_points"), pg.area(F.col("ring")).alias("area"), F.array_join(F.transform("lines", lambda s: s["seq"].cast("string")), " ").alias("lines"))
+
+
+@register()
+def fitted_text(spark, sf):
+    """What is said in a conversation, set into the outline of its page at the largest size that fits.
+
+    Null size and lines where no size does."""
+    said = table(spark, sf, "conversations").select(F.col("conv_id").alias("page_id"), "turn", "text")
+    rings = view(spark, sf, "outlines_v").join(said.select("page_id").distinct(), "page_id", "left_semi").select("page_id", outline_ring().alias("ring"))
+    # the widest run of each row, from top to bottom
+    rows = mk.from_rings(rings, ["page_id"], 450).groupBy("page_id", "row").agg(F.max(F.struct((F.col("e") - F.col("s")).alias("n"), (-F.col("s")).alias("at"))).alias("best"))
+    rows = rows.select("page_id", "row", (-F.col("best.at")).alias("s"), (F.col("best.n") - F.col("best.at")).alias("e"))
+    free = rows.groupBy("page_id").agg(F.min("row").alias("top"), F.transform(F.array_sort(F.collect_list(F.struct("row", "s", "e"))), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"))).alias("spans"))
+    x = said.join(free, "page_id").withColumn("f", lettering.fitting()("text", "top", "spans"))
+    return x.select(F.col("page_id").alias("conv_id"), "turn", F.col("f.size").alias("size"), F.transform("f.lines", lambda s: F.concat_ws(" ", s["x"], s["y"], s["text"])).alias("lines"))

@@ -366,6 +366,15 @@ def glossary_case_enforce(spark, sf):
     return table(spark, sf, "documents").select("doc_id", lx.enforcement({"the": "ul", "thing": "narsa", "of the": "uning"})("text").alias("text"))
 
 
+@register(f"""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM benchmark), d AS (SELECT map(list(w), list(reverse(w))) AS m FROM w WHERE length(w) >= 3),
+t AS (SELECT doc_id, list_transform({TOKENS.format('text')}, lambda x: CASE WHEN m[lower(x)] IS NULL THEN x WHEN x = upper(x) THEN upper(m[lower(x)]) WHEN x = lower(x) THEN m[lower(x)] ELSE upper(m[lower(x)][1]) || m[lower(x)][2:] END) AS xs FROM documents, d)
+SELECT doc_id, array_to_string(xs, '') AS text FROM t""")
+def glossary_large(spark, sf):
+    """All words of the benchmark as a glossary, over all documents."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct().where(F.length("w") >= 3)
+    return table(spark, sf, "documents").select("doc_id", lx.enforcement({r.w: r.w[::-1] for r in words.collect()}, spark)("text").alias("text"))
+
+
 FOLDS = [("the the ", "the "), ("[ \\t]{2,}", " "), ("(?i)of of ", "of ")]
 
 
