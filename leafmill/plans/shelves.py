@@ -17,6 +17,7 @@ from leafmill.plans.registry import register
 from leafmill.session import shared_folder
 from leafmill.sources import stores as ss
 from leafmill.sources.tables import table, view
+from leafmill.sources.versions import VersionedStore
 
 # ---- stores: written to the shared folder as the store keeps them, then read back ----
 
@@ -82,6 +83,25 @@ def store_migrated(spark, sf):
     return spark.read.parquet(path).select("page", "bubble_id")
 
 
+# a store of 16 buckets, by the hash of the key: all parts by name, then a second version with a few of them
+_BUCKET = "CAST('0x' || substr(md5({}), 1, 6) AS BIGINT) % 16"
+
+
+@register(f"""WITH a AS (SELECT lower(trim(p_name)) || ' ' || p_size AS term, p_brand AS canonical, p_partkey AS seq FROM part),
+v1 AS (SELECT term, arg_max(canonical, seq) AS canonical FROM a GROUP BY term), v2 AS (SELECT term, 'new ' || arg_max(canonical, seq) AS canonical FROM a WHERE seq % 150 = 7 GROUP BY term),
+t AS (SELECT DISTINCT {_BUCKET.format('term')} AS b FROM v2)
+SELECT v1.term, coalesce(v2.canonical, v1.canonical) AS canonical, v1.canonical AS canonical_before, {_BUCKET.format('v1.term')} IN (SELECT b FROM t) AS read_again FROM v1 LEFT JOIN v2 USING (term)""")
+def store_versions(spark, sf):
+    """Both versions of a store, and what a holder of the first one has to read again."""
+    p = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_size").alias("term"), F.col("p_brand").alias("canonical"), F.col("p_partkey").alias("seq"))
+    store = VersionedStore(spark, _place(spark, "versions"), "term string, canonical string", "term", buckets=16)
+    first = store.upsert(p, "seq")
+    store.upsert(p.where("seq % 150 = 7").withColumn("canonical", F.concat(F.lit("new "), "canonical")), "seq")
+    again = store.changed(first).select("term", F.lit(True).alias("read_again"))
+    before = store.read(first).withColumnRenamed("canonical", "canonical_before")
+    return store.read().join(before, "term").join(again, "term", "left").select("term", "canonical", "canonical_before", F.coalesce("read_again", F.lit(False)).alias("read_again"))
+
+
 @register("""WITH a AS (SELECT DISTINCT lower(substr(c_mktsegment, 1, 1 + c_custkey % 4)) AS asked FROM customer), p AS (SELECT DISTINCT c_mktsegment AS name FROM customer),
 s AS (SELECT name, row_number() OVER (ORDER BY name) AS seq FROM p), m AS (SELECT asked, name, row_number() OVER (PARTITION BY asked ORDER BY CASE WHEN lower(name) = asked THEN 0 ELSE 1 END, seq) AS r FROM a JOIN s ON contains(lower(name), asked) OR contains(asked, lower(name)))
 SELECT asked, name AS profile FROM a LEFT JOIN (SELECT * FROM m WHERE r = 1) USING (asked)""")

@@ -24,14 +24,15 @@ def _drained(stream: DataFrame, mode: str, label: str) -> DataFrame:
     """What a stream has written when all its input is read: its last state in complete mode, else all appended rows."""
     spark = stream.sparkSession
     path = f"{shared_folder(spark)}/leafmill-stream-{label}-{uuid.uuid4().hex}"
-    last = "overwrite" if mode == "complete" else "append"
+    ledger = se.Ledger(spark, path)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode(last).parquet(f"{path}/rows")
+        ledger.write(epoch, {"rows": batch})
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    rows = ledger.read("rows", stream.schema)
+    return rows.where(F.col("batch") == (ledger.batches() or [0])[-1]).drop("batch") if mode == "complete" else rows.drop("batch")
 
 
 @register("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS total FROM events GROUP BY 1, 2")
@@ -58,4 +59,17 @@ def stream_fan_out(spark, sf):
     edits = _stream(spark, sf).select(F.col("user_id").alias("page_id"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("tool"))
     path = f"{shared_folder(spark)}/leafmill-stream-edits-{uuid.uuid4().hex}"
     se.fan_out(edits, f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out/events").groupBy("page_id", "pattern_name").agg(F.count("*").alias("n"))
+    return se.Ledger(spark, f"{path}/out").read("events", se.EDIT_EVENTS).groupBy("page_id", "pattern_name").agg(F.count("*").alias("n"))
+
+
+@register(ADMITTED_SQL)
+def stream_quota_by_period(spark, sf):
+    """Quota admission with state that goes when its day is over."""
+    asked = _stream(spark, sf).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 7 + 1).alias("amount"), "ts")
+    setting, store = se.TIMED_STORE
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, store)
+    try:
+        return _drained(se.admitted_by_period(asked, 8), "append", "periods")
+    finally:
+        spark.conf.set(setting, before)

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -35,7 +37,7 @@ def admitted(requests: DataFrame, cap: int) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
-        for frame in [pd.concat(list(frames)).sort_values("seq")]:
+        for frame in [pd.concat([f[["seq", "amount"]] for f in frames]).sort_values("seq")]:
             flags = []
             for amount in frame["amount"].tolist():
                 fits = used + amount <= cap
@@ -47,11 +49,113 @@ def admitted(requests: DataFrame, cap: int) -> DataFrame:
     return requests.groupBy("key", "period").applyInPandasWithState(step, "key long, period string, seq long, amount long, admitted boolean", "used long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: The state store that timers and typed state need.
+TIMED_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Quota(StatefulProcessor):
+    """What a key has used in a period; forgotten by a timer when the period is over.
+
+    Of a micro-batch only numbers of the order and the amount are held, sixteen bytes a request."""
+
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.used = handle, handle.getValueState("used", "used long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seqs, amounts, end = [], [], None
+        for frame in rows:
+            seqs.append(frame["seq"].to_numpy(np.int64))
+            amounts.append(frame["amount"].to_numpy(np.int64))
+            end = int(frame["period_end"].iloc[0])
+        seq, amount = np.concatenate(seqs), np.concatenate(amounts)
+        order = np.argsort(seq, kind="stable")
+        held = self.used.get()
+        used, flags = held[0] if held else 0, np.zeros(len(seq), bool)
+        for i in order.tolist():
+            if used + int(amount[i]) <= self.cap:
+                used += int(amount[i])
+                flags[i] = True
+        if not held and end > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(end)
+        self.used.update((used,))
+        yield pd.DataFrame({"key": key[0], "period": key[1], "seq": seq[order], "amount": amount[order], "admitted": flags[order]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.used.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def admitted_by_period(requests: DataFrame, cap: int, period: str = "day", late: str = "1 day") -> DataFrame:
+    """Requests (key, seq, amount, ts) with their period and ``admitted``, as ``operators.state.admit``.
+
+    Each key starts anew when the period ("day" or "month", in UTC) turns; the state of a period
+    goes when the watermark, ``late`` behind the newest request, has passed its end. The session
+    must use TIMED_STORE."""
+    begin = F.date_trunc(period, "ts")
+    after = F.add_months(begin, 1).cast("timestamp") if period == "month" else begin + F.expr("INTERVAL 1 DAY")
+    x = requests.withWatermark("ts", late).select("key", F.date_format("ts", "yyyy-MM" if period == "month" else "yyyy-MM-dd").alias("period"), "seq", "amount", F.unix_millis(after).alias("period_end"), "ts")
+    return x.groupBy("key", "period").transformWithStateInPandas(Quota(cap), "key long, period string, seq long, amount long, admitted boolean", "Append", "EventTime")
+
+
+class Ledger:
+    """Tables that a stream writes each micro-batch to exactly once, in one folder.
+
+    A batch goes to a folder of its own for each table; then one small file names the batch as done.
+    Readers see only batches that are named. A batch that is run again finds its name and writes
+    nothing; one that broke off before has no name, so its folders are written over."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _done(self, epoch: int):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/done/{epoch}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def write(self, epoch: int, tables: dict[str, DataFrame]) -> bool:
+        """Whether the batch was written now; not if it had been before."""
+        files, name = self._done(epoch)
+        if files.exists(name):
+            return False
+        for table, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{table}/batch={epoch}")
+        files.create(name, True).close()
+        return True
+
+    def batches(self) -> list[int]:
+        files, path = self._done(0)
+        top = path.getParent()
+        return sorted(int(s.getPath().getName()) for s in files.listStatus(top)) if files.exists(top) else []
+
+    def read(self, table: str, schema) -> DataFrame:
+        """All rows of the named batches, with ``batch``: the order in which they arrived."""
+        found = [f"{self.folder}/{table}/batch={b}" for b in self.batches()]
+        if not found:
+            return self.spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
+        x = self.spark.read.schema(schema).parquet(*found)
+        return x.withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), "/batch=([0-9]+)/", 1).cast("long"))
+
+
+EDIT_EVENTS = "page_id long, pattern_name string"
+
+
+def edit_tables(batch: DataFrame) -> dict[str, DataFrame]:
+    """A batch of edits as the log and the events that they raise."""
+    return {"edits": batch, "events": batch.where("tool is not null").select("page_id", F.concat(F.lit("manual_"), "tool").alias("pattern_name"))}
+
+
 def fan_out(stream: DataFrame, folder: str, checkpoint: str):
-    """Append a stream of edits to the log and, of the same micro-batch, the events they raise."""
+    """Write a stream of edits to the log and, of the same micro-batch, the events they raise, once each."""
+    ledger = Ledger(stream.sparkSession, folder)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(f"{folder}/edits")
-        batch.where("tool is not null").select("page_id", F.concat(F.lit("manual_"), "tool").alias("pattern_name")).write.mode("append").parquet(f"{folder}/events")
+        rows = batch.persist()  # both tables from one reading of the batch
+        ledger.write(epoch, edit_tables(rows))
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
