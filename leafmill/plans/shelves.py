@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import emphasis as em
 from leafmill.functions import sounds as sd
 from leafmill.functions import text as tx
+from leafmill.functions.tables import register_tables
 from leafmill.operators import cascades as cc
 from leafmill.operators import records as rc
 from leafmill.operators import state as st
@@ -249,3 +250,20 @@ def stress_marks(spark, sf):
     x = view(spark, sf, "turn_pairs_v")
     capital = F.filter(F.split(F.coalesce("source_text", F.lit("")), "\\s+", -1), lambda w: (F.upper(w) == w) & (F.lower(w) != w))
     return x.select("page_id", "bubble_id", F.size(capital).cast("long").alias("n_capitals"), F.coalesce("target_text", F.lit("")).rlike(em.BOLD).alias("has_bold"))
+
+
+_SAID = "SELECT conv_id, turn, role, i, trim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS sentence FROM (SELECT conv_id, turn, role, unnest(ps) AS part, unnest(range(len(ps))) AS i FROM (SELECT conv_id, turn, role, regexp_split_to_array(text, '[.!?…]+') AS ps FROM conversations))"
+
+
+@register(f"WITH s AS ({_SAID}) SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS INT) AS n, sentence FROM s WHERE sentence <> ''")
+def sentence_table(spark, sf):
+    """Each conversation's sentences, numbered through, by the table function over a partitioned table."""
+    register_tables(spark)
+    return spark.sql("SELECT * FROM split_sentences(TABLE(SELECT * FROM {said}) PARTITION BY (conv_id) ORDER BY (turn), 'text')", said=table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+@register(f"WITH s AS ({_SAID}) SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS INT) AS n, length(sentence) AS letters FROM s WHERE sentence <> ''")
+def sentence_lengths(spark, sf):
+    """The same by a lateral join with the function of one text."""
+    register_tables(spark)
+    return spark.sql("SELECT conv_id, turn, n, CAST(length(sentence) AS BIGINT) AS letters FROM {said}, LATERAL sentences_of(text)", said=table(spark, sf, "conversations"))
