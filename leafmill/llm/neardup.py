@@ -224,10 +224,12 @@ def _rest(links: DataFrame, large: DataFrame, sets: DataFrame, items: DataFrame,
     """Components after comparing what the large nodes hold, exactly.
 
     A node whose sets are one component already needs nothing. In the others, each set outside of
-    the node's largest component still looks for partners. Two sets that reach the threshold share
-    one of their rarest shingles: all but ``threshold`` percent of a set, and one more, taken from
-    the rare end of a common order. Sets that nothing links are mostly told apart by shingles of
-    their own, so few candidates are left, whatever the size of the node."""
+    the node's largest component still looks for partners. In a common order, rare shingles first,
+    two sets of n <= m shingles that reach a threshold t share t / (1 + t) * (n + m) of them or
+    more, so the first one they share lies among the first n - 2 t / (1 + t) * n + 1 of the smaller
+    set and among the first m - t * m + 1 of the other. Each pair is therefore sought with one side
+    cut down to its ``first`` shingles: what a template gives to all its documents is not among
+    these unless it is nearly enough for a link by itself, so its holders don't all meet."""
     labels = components(links)
     if large.isEmpty():
         return labels
@@ -248,17 +250,21 @@ def _rest(links: DataFrame, large: DataFrame, sets: DataFrame, items: DataFrame,
     tokens = tokens.withColumn("holding", F.count("*").over(Window.partitionBy("item")))
     tokens = tokens.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("holding", "item")))
     rare = tokens.where((F.col("holding") > 1) & (F.col("place") <= F.col("n") - F.expr(f"({threshold} * n + 99) div 100") + 1))
-    rare = rare.select("doc_id", "n", "s1", "s2", "c", "looks", "item", "place").join(items.select("doc_id", "odd").hint("merge"), "doc_id")
+    first = F.col("place") <= F.col("n") - F.expr(f"({2 * threshold} * n + {99 + threshold}) div {100 + threshold}") + 1
+    rare = rare.select("doc_id", "n", "s1", "s2", "c", "looks", "item", "place", first.alias("first")).join(items.select("doc_id", "odd").hint("merge"), "doc_id")
     rare = written(rare, "rare")
     names = ("n", "s1", "s2", "c", "place", "odd")
     mine, theirs = {c: F.col(c) for c in names}, {c: F.col(f"l_{c}") for c in names}
-    left = rare.where("looks").select("item", F.col("doc_id").alias("leader"), *[F.col(c).alias(f"l_{c}") for c in names])
+    left = rare.where("looks").select("item", F.col("doc_id").alias("leader"), F.col("first").alias("l_first"), *[F.col(c).alias(f"l_{c}") for c in names])
     # sets of one component need no link; what can still be shared from here on must reach the threshold
     most = F.least(mine["place"], theirs["place"]) + F.least(mine["n"] - mine["place"], theirs["n"] - theirs["place"])
     enough = (100 + threshold) * most >= threshold * (mine["n"] + theirs["n"])
     differ = sum((F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("l_odd", F.lit(i)))) for i in range(ODD_BITS // 64)), F.lit(0))
     close = (100 + threshold) * differ <= (100 - threshold) * (mine["n"] + theirs["n"])
-    met = left.join(rare.hint("merge"), "item").where("c <> l_c").where(enough & _alike(threshold, mine, theirs)).where(close)
+    near = (F.col("c") != F.col("l_c")) & enough & _alike(threshold, mine, theirs) & close
+    smaller = left.where("l_first").join(rare.hint("merge"), "item").where("l_n <= n").where(near)
+    larger = left.join(rare.where("first").hint("merge"), "item").where("l_n > n").where(near)
+    met = smaller.select("doc_id", "leader").unionByName(larger.select("doc_id", "leader"))
     new = written(met.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct(), "pairs")
     found = written(confirmed(new, items, threshold), "confirmed")
     if not found.isEmpty():

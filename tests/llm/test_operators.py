@@ -78,6 +78,40 @@ def test_near_duplicates_in_one_large_group(spark):
     assert kept.columns == ["doc_id", "text", "more"] and sorted(r.doc_id for r in kept.collect()) == sorted(set(parts.values()))
 
 
+def template_rows(rng, n, shared, own):
+    """Documents that share a template of ``shared`` words and have ``own`` words each, some in near copies."""
+    base = [f"t{i}" for i in range(shared)]
+    texts = [" ".join([*base, *(f"d{i}w{j}" for j in range(own + rng.randint(0, 6)))]) for i in range(n)]
+    return texts + [t + " more" for t in texts[:5]]
+
+
+@pytest.mark.parametrize("shared, own", [(130, 24), (100, 60), (60, 15)])
+def test_documents_of_one_template(spark, shared, own):
+    texts = dict(enumerate(template_rows(random.Random(shared), 120, shared, own)))
+    parts, _ = brute.components(texts)
+    got = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), trees=2, depth=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == parts
+
+
+def test_holders_of_a_template_do_not_all_meet(spark, monkeypatch):
+    """Rows that the joins of the remainder give, before any filter, grow with the documents."""
+    seen = []
+
+    def counted(df, label, real=neardup.written):
+        if label == "rare":
+            out = real(df, label)
+            at = out.groupBy("item").agg(F.count_if("looks").alias("l"), F.count_if(F.col("looks") & F.col("first")).alias("lf"), F.count("*").alias("r"), F.count_if("first").alias("rf"))
+            seen.append(at.agg(F.coalesce(F.sum(F.col("lf") * F.col("r") + F.col("l") * F.col("rf")), F.lit(0))).first()[0])
+            return out
+        return real(df, label)
+
+    monkeypatch.setattr(neardup, "written", counted)
+    for n in (100, 400):
+        texts = template_rows(random.Random(1), n, 130, 24)
+        neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), trees=2, depth=2).count()
+    assert len(seen) == 2 and seen[1] <= 5 * seen[0] + 1000
+
+
 def test_one_stays_of_equal_rows_only(spark):
     rng = random.Random(2)
     a, b = prose(rng, 60), prose(rng, 60)
