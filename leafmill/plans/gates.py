@@ -14,6 +14,7 @@ from leafmill.operators import order as od
 from leafmill.operators import quality as qa
 from leafmill.operators import records as rc
 from leafmill.plans import outlines as ol
+from leafmill.plans.geometry import LOBES_SQL, SIDES_SQL
 from leafmill.plans.registry import register
 from leafmill.sources.tables import table, view
 
@@ -258,3 +259,103 @@ def gate_caption_shapes(spark, sf):
     x = x.withColumns({"z_order": F.lit(1), "shape_type": F.when(F.col("fill_ratio") >= 0.9, "rectangle").otherwise("polygon"), "is_rectangular_fill": F.col("n_inside") > 0, "is_tinted": F.lit(False), "bg_is_tinted": F.lit(False), "text_is_spectral": F.lit(False), "tint": F.lit(None).cast("array<int>")})
     done = qa.apply_stage(x, "bubble_inpainting")
     return done.select("page_id", "fill_ratio", F.col("corners").alias("n_corners"), "shape_type", "is_rectangular_fill", (F.size("events") > 0).alias("hit"))
+
+
+# ---- clusters and lists as records of the rule engine ----
+
+
+def _gathered(spark, sf):
+    """A page's lines as one cluster and as its list of bubbles."""
+    lines = F.array_sort(F.collect_list(F.struct("seq", "x0", "y0", "x1", "y1")))
+    x = view(spark, sf, "lines_v").groupBy("page_id").agg(lines.alias("lines"))
+    order = F.array_sort(F.transform("lines", lambda s: F.struct(s["y0"].alias("y0"), s["x0"].alias("x0"), s["seq"].alias("id"))))
+    return x.withColumn("bubbles", order)
+
+
+def _sizes(clusters):
+    return F.array_join(F.transform(clusters, lambda x: F.size(x).cast("string")), " ")
+
+
+PARTED_SQL = f"""{SIDES_SQL.format(key='page_id', source='lines_v').strip()}, {LOBES_SQL.format(key='page_id', source='lines_v').strip()},
+c AS (SELECT page_id, count(*) AS n, sum(side) AS beside FROM sides GROUP BY page_id), f AS (SELECT page_id, count(*) AS n, sum(lobe) AS below FROM lobes GROUP BY page_id),
+i AS (SELECT page_id, bool_or(seq <> place) AS mixed, string_agg(CAST(seq AS VARCHAR), ' ' ORDER BY y0, x0, seq) AS reading FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y0, x0, seq) AS place FROM lines_v) GROUP BY page_id)"""
+
+
+@register(f"""WITH {PARTED_SQL} SELECT page_id, CASE WHEN beside > 0 THEN (c.n - beside) || ' ' || beside ELSE CAST(c.n AS VARCHAR) END AS columns, CASE WHEN below > 0 THEN (f.n - below) || ' ' || below ELSE CAST(f.n AS VARCHAR) END AS lobes,
+  array_to_string([x FOR x IN [CASE WHEN beside > 0 THEN 'adjacent_bubble_merging_cross_column' END, CASE WHEN below > 0 THEN 'figure8_double_lobed_bubble' END, CASE WHEN mixed THEN 'duplicate_bubble_id' END] IF x IS NOT NULL], ' ') AS events FROM c JOIN f USING (page_id) JOIN i USING (page_id)""")
+def gate_clusters(spark, sf):
+    """The three rules on clusters and lists, run as stages of the engine."""
+    x = qa.apply_stages(_gathered(spark, sf), ["line_clustering"]).withColumnsRenamed({"clusters": "columns", "events": "e1"}).drop("dropped")
+    x = qa.apply_stages(x, ["figure8_clustering", "bubble_list_indexing"])
+    names = F.array_join(F.transform(F.concat("e1", "events"), lambda e: e["pattern_name"]), " ")
+    return x.select("page_id", _sizes(F.coalesce("columns", F.array("lines"))).alias("columns"), _sizes(F.coalesce("clusters", F.array("lines"))).alias("lobes"), names.alias("events"))
+
+
+@register("""WITH r AS (SELECT event_id, user_id, event_type, TRY_CAST(value * 100 AS BIGINT) AS cents, CASE WHEN event_type = 'signup' THEN 0 ELSE event_id % 5 + 1 END AS share, CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(event_id % 40 AS VARCHAR) END AS said FROM events),
+j AS (SELECT event_id, unnest(['uneven_share', 'late_reading']) AS pattern_name, unnest([CASE WHEN share = 0 THEN 'error' WHEN user_id / CAST(share AS DOUBLE) > 3 THEN 'flag_for_review' END, CASE WHEN event_type = 'error' THEN 'error' WHEN TRY_CAST(said AS INT) > 30 THEN 'auto_fix' END]) AS severity FROM r)
+SELECT pattern_name, severity, CASE WHEN severity = 'error' THEN 'exception_in_gate' ELSE 'resolved' END AS action_taken, count(*) AS n FROM j WHERE severity IS NOT NULL GROUP BY ALL""")
+def gate_errors(spark, sf):
+    """Rules that break on some records (a share of nothing, a number that is none): errors are events, the others go on."""
+    made = (
+        qa.Rule("uneven_share", "sharing", lambda: F.col("user_id") / F.col("share") > 3, {"checked": lambda: F.lit(True)}, "flag_for_review", inputs=("user_id", "share")),
+        qa.Rule("late_reading", "sharing", lambda: F.col("said").cast("int") > 30, {"said": lambda: F.lit("30")}, inputs=("said",)),
+    )
+    e = table(spark, sf, "events")
+    share = F.when(F.col("event_type") == "signup", 0).otherwise(F.col("event_id") % 5 + 1)
+    said = F.when(F.col("event_type") == "error", "n/a").otherwise((F.col("event_id") % 40).cast("string"))
+    log = qa.event_log(qa.apply_stage(e.withColumns({"share": share, "said": said}), "sharing", made), "event_id")
+    return log.groupBy("pattern_name", "severity", "action_taken").agg(F.count("*").alias("n"))
+
+
+# One record a page with all that the rules look at, as SQL that both engines read; r is the page's
+# rectangle, n, lo, hi, wide and top are the number, least and most confidence, width and top of its lines.
+STATE = {
+    "mean_luminance": "lo + 70", "percentile_75": "hi + 85", "max_val": "hi + 100", "line_w": "x1 - x0", "line_h": "y1 - y0", "mean_saturation": "wide % 120", "sat_std": "wide % 50", "bright_ratio": "n / CAST(40 AS DOUBLE)",
+    "gap_x": "abs(x0 - top) % 60", "gap_y": "wide % 70", "c_dist": "CAST(wide % 90 AS DOUBLE)", "wider_half": "(x1 - x0) / CAST(2 AS DOUBLE)", "tolerance": "CAST(0.65 AS DOUBLE)", "max_dx": "CAST(30 AS DOUBLE)", "max_dy": "40",
+    "misplaced": "CAST(n AS DOUBLE) / 10 < 0.15", "low_solidity": "lo < 52", "ratio_to_text": "CAST((x1 - x0) * (y1 - y0) AS DOUBLE) / wide", "effective_ratio_cap": "CAST(90 AS DOUBLE)", "border_touch": "x0 <= 40", "ratio_to_roi": "CAST((x1 - x0) * (y1 - y0) AS DOUBLE) / 340000", "roi_leak_ratio": "CAST(0.05 AS DOUBLE)",
+    "z_order": "CASE WHEN top < y0 THEN 0 ELSE 1 END", "shape_type": "CASE WHEN x1 - x0 > 150 THEN 'rectangle' ELSE 'oval' END", "fill_ratio": "hi / CAST(104 AS DOUBLE)", "is_rectangular_fill": "n > 3", "is_tinted": "lo > 90", "bg_is_tinted": "FALSE", "text_is_spectral": "FALSE",
+    "original_text": "CASE WHEN n = 6 THEN ' ' ELSE 'said' END", "text": "CASE WHEN n > 2 THEN 'said in a few words' ELSE 'said' END", "w": "x1 - x0 - 100", "h": "(y1 - y0) / 4", "area": "(x1 - x0 - 100) * (y1 - y0) / 4",
+    "residual_ink_count": "wide % 60", "constriction_ratio": "lo / CAST(100 AS DOUBLE)", "is_multi_lobe": "n = 7", "has_split_lines": "n > 1", "is_touching_merged": "FALSE", "text_contour_margin": "CAST(top % 40 AS DOUBLE)", "is_clipped_edge": "FALSE",
+    "is_occluded": "top < y1", "top_rect_y1": "CASE WHEN top > 20 THEN top END", "y1_pos": "y1", "source_text": "'One. Two. Three.'", "target_text": "CASE WHEN n < 3 THEN 'Bir.' ELSE 'Bir. Ikki. Uch.' END", "cross_check_mismatch": "hi - lo > 35",
+}
+PAGE_STATE = "SELECT r.page_id, r.x0, r.y0, r.x1, r.y1, CAST(count(*) AS INT) AS n, min(l.conf_pct) AS lo, max(l.conf_pct) AS hi, CAST(sum(l.x1 - l.x0) AS INT) AS wide, min(l.y0) AS top FROM rects_v r JOIN lines_v l ON l.page_id = r.page_id GROUP BY r.page_id, r.x0, r.y0, r.x1, r.y1"
+ALL_STAGES = "ocr_filtering line_pairing line_clustering figure8_clustering contour_extraction bubble_segmentation bubble_validation fragment_processing bubble_inpainting post_clean bubble_list_indexing bubble_review_edit lettering translation_validation".split()
+# (stage, pattern, condition) in the order of the run; two of them drop the record
+_TINT = "(NOT banner AND mean_luminance >= 120 AND percentile_75 >= 155 AND max_val >= 160 AND (sat_std <= 22 OR sat_std <= CAST(0.4 AS DOUBLE) * greatest(1, mean_saturation)))"
+_LEAK = "misplaced OR low_solidity OR ratio_to_text > effective_ratio_cap OR (border_touch AND ratio_to_roi > roi_leak_ratio)"
+_LONG = "(greatest(10, line_w) >= 3 * greatest(10, line_h) OR greatest(10, line_h) >= 3 * greatest(10, line_w))"
+CONDITIONS = [
+    ("sfx_false_positive", f"dark OR banner OR (NOT {_TINT} AND mean_saturation > 85 AND bright_ratio < 0.15)"),
+    ("diamond_rule_line_split", "gap_y <= max_dy AND gap_x > 0 AND c_dist <= greatest(wider_half * tolerance, max_dx)"),
+    ("adjacent_bubble_merging_cross_column", "beside > 0"),
+    ("figure8_double_lobed_bubble", "below > 0"),
+    ("background_art_leak", _LEAK),
+    ("conjoined_bubble_constriction_split", "(constriction_ratio <= CAST(0.88 AS DOUBLE) OR is_multi_lobe) AND has_split_lines"),
+    ("empty_fragment", "trim(original_text) = ''"),
+    ("sliver_too_small_for_text", "length(text) >= 8 AND (area < 1200 OR h < 15 OR w < 25)"),
+    ("earpiece_rect_misclassification", "z_order = 0 AND shape_type = 'rectangle'"),
+    ("caption_shape_destruction", f"fill_ratio < CAST(0.94 AS DOUBLE) AND ((shape_type = 'rectangle' AND z_order <> 0) OR CASE WHEN {_LEAK} THEN {_LONG} ELSE is_rectangular_fill END)"),
+    ("tinted_spectral_bubble_preservation", "is_tinted"),
+    ("residual_ink_under_lettering", "residual_ink_count > 30"),
+    ("duplicate_bubble_id", "mixed"),
+    ("touching_bubbles_merged", "has_split_lines AND constriction_ratio <= CAST(0.65 AS DOUBLE)"),
+    ("clipped_bubble_edge", "text_contour_margin < 12"),
+    ("occluded_crescent_text_tuck", "is_occluded AND top_rect_y1 IS NOT NULL"),
+    ("translation_sentence_drop", "n < 3"),
+    ("translation_cross_check_mismatch", "cross_check_mismatch"),
+]
+
+
+@register(f"""WITH {PARTED_SQL}, p AS ({PAGE_STATE}), q AS (SELECT p.page_id, n, {', '.join(f'{v} AS {k}' for k, v in STATE.items())} FROM p),
+r AS (SELECT q.*, beside, below, mixed, mean_luminance < 140 AND percentile_75 < 180 AS dark, CAST(line_w AS DOUBLE) / greatest(1, line_h) >= 4 AND mean_saturation >= 60 AS banner FROM q JOIN c USING (page_id) JOIN f USING (page_id) JOIN i USING (page_id)),
+h AS (SELECT page_id, unnest([{', '.join(f"'{name}'" for name, _ in CONDITIONS)}]) AS pattern_name, unnest(range({len(CONDITIONS)})) AS k, unnest([{', '.join(f'coalesce({cond}, FALSE)' for _, cond in CONDITIONS)}]) AS hit FROM r),
+d AS (SELECT page_id, min(k) FILTER (WHERE hit AND pattern_name IN ('sfx_false_positive', 'empty_fragment')) AS gone_at FROM h GROUP BY page_id)
+SELECT h.page_id, string_agg(pattern_name, ' ' ORDER BY k) AS events, count(*) AS n_events, bool_or(pattern_name IN ('sfx_false_positive', 'empty_fragment')) AS dropped FROM h JOIN d USING (page_id) WHERE hit AND k <= coalesce(gone_at, 99) GROUP BY h.page_id""")
+def gate_all_stages(spark, sf):
+    """All fourteen stages over one record a page: the events of each, in order."""
+    lines, rects = view(spark, sf, "lines_v"), view(spark, sf, "rects_v")
+    x = spark.sql(PAGE_STATE.replace("rects_v", "{rects}").replace("lines_v", "{lines}"), rects=rects, lines=lines).withColumn("contained", contained_shape(Box.of(), 850, 450))
+    x = pg.bound(x.withColumn("tint", F.lit(None).cast("array<int>")), **{k: F.expr(v) for k, v in STATE.items()})
+    done = qa.apply_stages(x.join(_gathered(spark, sf), "page_id"), ALL_STAGES)
+    names = F.transform("events", lambda e: e["pattern_name"])
+    return done.where(F.size("events") > 0).select("page_id", F.array_join(names, " ").alias("events"), F.size("events").cast("long").alias("n_events"), "dropped")
