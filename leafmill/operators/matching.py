@@ -143,6 +143,23 @@ def suppress(boxes: DataFrame, iou: float = 0.40, contained: float = 0.65) -> Da
     return grouped(slim, ["page_id"], ["low", "seq"], greedy, "page_id long, seq int, kept boolean")
 
 
+def outer_panels(boxes: DataFrame, covered: int = 75) -> DataFrame:
+    """The boxes of a page (page_id, seq, box) with ``kept``: from the largest down, those of which no
+    kept one covers over ``covered`` percent. Equal sizes go by seq.
+
+    A fold over a page's sorted boxes, in the row that holds them."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    rows = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct((-area).alias("low"), "seq", "x0", "y0", "x1", "y1"))).alias("all"))
+
+    def over(a, b):
+        w, h = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
+        return F.greatest(w, F.lit(0)) * F.greatest(h, F.lit(0)) * 100 > -b["low"] * covered
+
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda held, b: F.when(F.exists(held, lambda a: over(a, b)), held).otherwise(F.array_append(held, b)))
+    rows = rows.select("page_id", "all", F.transform(kept, lambda b: b["seq"]).alias("kept"))
+    return rows.select("page_id", F.explode("all").alias("b"), "kept").select("page_id", "b.seq", F.array_contains("kept", F.col("b.seq")).alias("kept"))
+
+
 def merge_envelopes(boxes: DataFrame, iou: float = 0.4) -> DataFrame:
     """Second-pass boxes (pass = 2) widen the first box that they overlap, else are added.
 

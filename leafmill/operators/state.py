@@ -48,12 +48,17 @@ def locked_terms(entries: DataFrame) -> DataFrame:
     """The dictionary after registering ``entries`` (seq, source_term, ...) in order.
 
     A locked entry is never overwritten: the winner is the first locked one, else the last; the
-    first page stays that of the first registration."""
+    first page stays that of the first registration. Aliases, if there are any, are those of all
+    registrations that counted."""
     first_locked = F.min(F.when(F.col("locked"), F.col("seq"))).over(Window.partitionBy("source_term"))
     x = entries.withColumn("first_locked", first_locked).withColumn("first_seq", F.min("seq").over(Window.partitionBy("source_term")))
     x = x.withColumn("n", F.count("*").over(Window.partitionBy("source_term"))).where(F.coalesce(F.col("seq") <= F.col("first_locked"), F.lit(True)))
+    more = []
+    if "aliases" in x.columns:
+        x = x.withColumn("aliases", F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases").over(Window.partitionBy("source_term"))))))
+        more = ["aliases"]
     last = F.row_number().over(Window.partitionBy("source_term").orderBy(F.desc("seq")))
-    return x.withColumn("r", last).where("r = 1").select("source_term", "canonical", "entry_type", "method", "locked", "seq", "first_seq", "n")
+    return x.withColumn("r", last).where("r = 1").select("source_term", "canonical", "entry_type", "method", "locked", "seq", "first_seq", "n", *more)
 
 
 def latest(rows: DataFrame, key: str, version: list[str]) -> DataFrame:

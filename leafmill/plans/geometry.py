@@ -215,6 +215,13 @@ def nms_dedupe(spark, sf):
     return mt.suppress(lines.withColumn("score", F.col("conf_pct")).withColumn("text_key", F.concat(F.lit("t"), F.col("seq") % 3)))
 
 
+@register(f"""WITH g AS (SELECT page_id, list([{{'seq': seq, {BOX}}}] ORDER BY (x1 - x0) * (y1 - y0) DESC, seq) AS xs FROM lines_v GROUP BY page_id),
+r AS (SELECT page_id, xs, list_reduce(xs, lambda kept, x: CASE WHEN len(list_filter(kept, lambda a: 100 * {_m['inter']} > 75 * {_m['area_b']})) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept FROM g)
+SELECT page_id, x[1].seq AS seq, list_contains(list_transform(kept, lambda k: k.seq), x[1].seq) AS kept FROM (SELECT page_id, kept, unnest(xs) AS x FROM r)""")
+def panel_dedupe(spark, sf):
+    return mt.outer_panels(view(spark, sf, "lines_v"))
+
+
 _OVER = f"100 * {_m['inter']} > 40 * greatest(1, {_m['area_a']} + {_m['area_b']} - {_m['inter']})"
 _AT = f"coalesce(list_position(list_transform(out, lambda a: {_OVER}), true), 0)"
 

@@ -229,6 +229,14 @@ def lock_fold(spark, sf):
     return st.locked_terms(view(spark, sf, "terms_v"))
 
 
+@register("""WITH a AS (SELECT *, [lower(reason), entry_type] AS names FROM terms_v), x AS (SELECT *, min(CASE WHEN locked THEN seq END) OVER (PARTITION BY source_term) AS fl FROM a),
+c AS (SELECT source_term, seq, canonical, unnest(names) AS name FROM x WHERE fl IS NULL OR seq <= fl)
+SELECT source_term, arg_max(canonical, seq) AS canonical, string_agg(DISTINCT name, ',' ORDER BY name) AS aliases FROM c GROUP BY source_term""")
+def lock_fold_aliases(spark, sf):
+    t = view(spark, sf, "terms_v").withColumn("aliases", F.array_compact(F.array(F.lower("reason"), "entry_type")))
+    return st.locked_terms(t).select("source_term", "canonical", F.array_join("aliases", ",").alias("aliases"))
+
+
 # ---- events, quotas, audits ----
 
 
