@@ -98,21 +98,44 @@ def seam_dedupe(first: DataFrame, second: DataFrame, dx: int = 25, dy: int = 18)
     return first.unionByName(b.join(a, same & close, "left_anti").drop("band"))
 
 
-#: Signatures that are held together; more are met block by block.
-BLOCK_SIGNATURES = 4096
+#: Signatures that are held together, and those that stand for the cells around them where there are more.
+BLOCK_SIGNATURES, PIVOTS = 4096, 64
+
+
+def _with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a table of one row."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+def _nearest(v: str, known: str):
+    """(d, name) of the nearest of an array of (name, s), ties to the smaller name."""
+    return F.array_min(F.transform(known, lambda k: F.struct(colour_distance(F.col(v), k["s"]).alias("d"), k["name"].alias("name"))))
 
 
 def nearest_signature(queries: DataFrame, signatures: DataFrame, most: float = 160.0, least: float = 0.5) -> DataFrame:
     """The signature nearest to each query colour vector, and its confidence; below ``least`` none.
 
-    ``signatures`` (name, v) are dealt to blocks of bounded size, one row each; a query meets a row a
-    block. Where there is one block it is broadcast."""
+    Up to BLOCK_SIGNATURES of ``signatures`` (name, v), all are held by each task. More are dealt to
+    cells around PIVOTS of them: a query's distance to its nearest pivot bounds that to the nearest
+    signature, and by the triangle inequality only cells whose nearest member can be as close are
+    looked at, in blocks of bounded size."""
     n = signatures.count()
-    block = F.pmod(F.xxhash64("name"), F.lit(max(1, -(-n // BLOCK_SIGNATURES))))
-    known = signatures.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("name", F.col("v").alias("s")))).alias("known")).drop("block")
-    x = queries.crossJoin(F.broadcast(known) if n <= BLOCK_SIGNATURES else known)
-    x = x.select("id", F.array_min(F.transform("known", lambda k: F.struct(colour_distance(F.col("v"), k["s"]).alias("d"), k["name"].alias("name")))).alias("m"))
-    best = x.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.*")
+    pair = F.struct("name", F.col("v").alias("s"))
+    if n <= BLOCK_SIGNATURES:
+        best = _with_row(queries, signatures.agg(F.array_sort(F.collect_list(pair)).alias("known"))).select("id", _nearest("v", "known").alias("m")).select("id", "m.*")
+    else:
+        some = signatures.orderBy(F.xxhash64("name"), "name").limit(PIVOTS).agg(F.array_sort(F.collect_list(pair)).alias("pivots"))
+        placed = _with_row(signatures, some).withColumn("m", _nearest("v", "pivots")).select("name", "v", F.col("m.name").alias("cell"), F.col("m.d").alias("d"))
+        block = F.pmod(F.xxhash64("name"), F.lit(-(-n // BLOCK_SIGNATURES)))
+        blocks = placed.groupBy("cell", block.alias("block")).agg(F.array_sort(F.collect_list(pair)).alias("known")).drop("block")
+        reach = placed.groupBy("cell").agg(F.max("d").alias("reach")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "reach"))).alias("reach"))  # an entry a pivot
+        x = _with_row(_with_row(queries, some), reach)
+        far = F.transform("pivots", lambda k: F.struct(k["name"].alias("cell"), colour_distance(F.col("v"), k["s"]).alias("d")))
+        x = x.withColumn("far", far).withColumn("bound", F.array_min(F.transform("far", lambda f: f["d"])))
+        # a little slack, as distances are rounded
+        open_cells = F.filter("far", lambda f: f["d"] - F.element_at("reach", f["cell"]) <= F.col("bound") * (1 + 1e-9) + 1e-9)
+        x = x.select("id", "v", F.explode(F.transform(open_cells, lambda f: f["cell"])).alias("cell")).join(blocks, "cell").select("id", _nearest("v", "known").alias("m"))
+        best = x.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.*")
     conf = F.greatest(F.lit(0.0), 1 - F.col("d") / most)
     return best.select("id", F.when(conf >= least, F.col("name")).alias("name"), conf.alias("conf"))
 

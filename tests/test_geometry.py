@@ -153,3 +153,21 @@ def test_panels_of_a_page(spark):
         assert cut_panels(np.array(mask), share=0.8, least=2, thick=1) == (want or [(0, 0, 14, 12)])
     df = spark.createDataFrame([([[True, False], [False, False]],), ([],), (None,)], "m array<array<boolean>>")
     assert [len(r[0]) for r in df.select(panels_of(least=1, thick=1)("m")).collect()] == [1, 0, 0]
+
+
+def test_nearest_signatures_by_cells(spark, monkeypatch):
+    import math
+    import random
+
+    from leafmill.operators import matching
+
+    rng = random.Random(4)
+    point = lambda: [float(rng.randint(0, 60)) for _ in range(3)]
+    known = {f"s{i}": point() for i in range(120)}
+    asked = {i: point() for i in range(80)}
+    signatures, queries = spark.createDataFrame(list(known.items()), "name string, v array<double>"), spark.createDataFrame(list(asked.items()), "id int, v array<double>")
+    want = {i: min((math.dist(v, s), n) for n, s in known.items())[1] for i, v in asked.items()}
+    for block, pivots in ((4096, 64), (30, 8), (7, 1)):
+        monkeypatch.setattr(matching, "BLOCK_SIGNATURES", block)
+        monkeypatch.setattr(matching, "PIVOTS", pivots)
+        assert {r.id: r.name for r in matching.nearest_signature(queries, signatures, least=-1e9).collect()} == want
