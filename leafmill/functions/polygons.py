@@ -1,19 +1,23 @@
 """Column builders for polygons: rings of points as array<array<number>>, without a closing point.
 
-Folds over the edges of a ring. Distances are kept squared until the end, so that with whole
-coordinates what is compared is exact but for one division. Each builder takes columns, so the
-rings stay in their rows and nothing is shuffled.
+Simple sums are folds over the edges of a ring, which may stand inside lambdas; hulls, bends and
+corners are found for all rings of an Arrow batch at once. Distances are kept squared until the end,
+so that with whole coordinates what is compared is exact but for one division. Each builder takes
+columns, so the rings stay in their rows and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-INDEXED = "array<struct<x:double,y:double,i:int>>"
-SPANS = "array<struct<s:int,e:int>>"
+from leafmill.functions import ringarrays as ra
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,123 +84,94 @@ def signed_distance(ring: Column, x: Column, y: Column) -> Column:
     return let(signed_square(ring, x, y), lambda d: F.signum(d) * F.sqrt(F.abs(d)))
 
 
-def _cross(o: Column, a: Column, b: Column) -> Column:
-    return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
+RINGS = "array<array<double>>"
+_struct = lambda **kinds: T.StructType([T.StructField(k, v) for k, v in kinds.items()])
+REAL, WHOLE = T.DoubleType(), T.IntegerType()
 
 
-def _chain(points: Column) -> Column:
-    """One side of the hull: what is right of, or on, the way to the next point goes.
+@arrow_udf(T.ArrayType(_struct(x=REAL, y=REAL, i=WHOLE)))
+def _hulls(rings: pa.Array) -> pa.Array:
+    r = ra.Rings(rings)
+    ring, place = ra.hull_places(r)
+    x, y = r.point(ring, place)
+    return ra.lists(r, ring, pa.StructArray.from_arrays([pa.array(x), pa.array(y), pa.array(place.astype("int32"))], ["x", "y", "i"]))
 
-    The points that stay under a new one are those up to the last that turns left towards it."""
 
-    def step(held: Column, p: Column) -> Column:
-        turns = F.filter(F.sequence(F.lit(2), F.size(held)), lambda k: _cross(F.get(held, k - 2), F.get(held, k - 1), p) > 0)
-        stay = F.when(F.size(held) < 2, F.size(held)).otherwise(F.coalesce(F.array_max(turns), F.lit(1)))
-        return F.concat(F.slice(held, 1, stay), F.array(p))
+@arrow_udf(T.ArrayType(_struct(depth=REAL, far=WHOLE)))
+def _defects(rings: pa.Array) -> pa.Array:
+    r = ra.Rings(rings)
+    ring, depth, far = ra.bends(r)
+    return ra.lists(r, ring, pa.StructArray.from_arrays([pa.array(depth), pa.array(far.astype("int32"))], ["depth", "far"]))
 
-    return F.aggregate(points, F.array().cast(INDEXED), step)
 
+@arrow_udf(T.ArrayType(WHOLE))
+def _simplified(rings: pa.Array, tolerances: pa.Array) -> pa.Array:
+    r = ra.Rings(rings)
+    ring, place = ra.kept_places(r, tolerances.to_numpy(zero_copy_only=False))
+    return ra.lists(r, ring, pa.array(place.astype("int32")))
 
-def hull(ring: Column) -> Column:
-    """The convex hull by monotone chains: structs (x, y, i) with i the place in the ring.
 
-    Points on its sides are left out; fewer than three points in general position give a hull
-    without area."""
-    indexed = F.transform(ring, lambda p, i: F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y"), i.alias("i")))
+@arrow_udf(_struct(area=REAL, perimeter=REAL, hull_area=REAL, corners=WHOLE))
+def _measures(rings: pa.Array, shares: pa.Array) -> pa.Array:
+    r = ra.Rings(rings)
+    around = ra.perimeters(r)
+    ring, _ = ra.kept_places(r, around * shares.to_numpy(zero_copy_only=False))
+    found = [abs(ra.areas2(r)) / 2, around, ra.hull_areas(r), np.bincount(ring, minlength=len(r)).astype("int32")]
+    return pa.StructArray.from_arrays([pa.array(v) for v in found], ["area", "perimeter", "hull_area", "corners"], mask=r.nulls())
 
-    def sides(points: Column) -> Column:
-        inner = lambda c: F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))
-        return F.concat(inner(_chain(points)), inner(_chain(F.reverse(points))))
 
-    return let(F.array_sort(indexed), sides)
+@arrow_udf(REAL)
+def _signed_squares(rings: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
+    r = ra.Rings(rings)
+    x, y = (v.to_numpy(zero_copy_only=False) for v in (xs, ys))
+    return pa.array(ra.signed_squares(r, x, y), mask=~r.whole | ~np.isfinite(x + y))
 
 
-def points_of(indexed: Column) -> Column:
-    return F.transform(indexed, lambda p: F.array(p["x"], p["y"]))
+def measures(ring: Column, share: float = 0.02) -> Column:
+    """(area, perimeter, hull_area, corners at a tolerance of ``share`` of the perimeter) of a ring, in one pass.
 
+    Like ``hull``, ``defects``, ``simplified`` and ``squares`` for whole columns only, not inside lambdas."""
+    return _measures(ring.cast(RINGS), F.lit(share))
 
-def solidity(ring: Column) -> Column:
-    """The share of a ring's area in that of its convex hull; 1 without a hull area."""
-    return let(area(points_of(hull(ring))), lambda h: F.when(h > 0, area(ring) / h).otherwise(F.lit(1.0)))
 
+def squares(ring: Column, x: Column, y: Column) -> Column:
+    """``signed_square`` for whole columns: all rings of a batch at once."""
+    return _signed_squares(ring.cast(RINGS), x.cast("double"), y.cast("double"))
 
-def _point(ring: Column, i: Column) -> Column:
-    return F.get(ring, F.pmod(i, F.size(ring)))
 
+def hull(ring: Column) -> Column:
+    """The convex hull by monotone chains: structs (x, y, i) with i the place in the ring.
 
-def _off_line(ring: Column, s: Column, e: Column, i: Column) -> Column:
-    """Distance of point i from the line through points s and e (from s if they are one)."""
+    Points on its sides are left out; fewer than three points in general position give a hull
+    without area."""
+    return _hulls(ring.cast(RINGS))
 
-    def off(a: Column, b: Column, p: Column) -> Column:
-        dx, dy, px, py = b[0] - a[0], b[1] - a[1], p[0] - a[0], p[1] - a[1]
-        length = dx * dx + dy * dy
-        return F.when(length > 0, F.abs(dx * py - dy * px) / F.sqrt(length)).otherwise(F.sqrt(px * px + py * py))
 
-    return off(_point(ring, s), _point(ring, e), _point(ring, i))
+def points_of(indexed: Column) -> Column:
+    return F.transform(indexed, lambda p: F.array(p["x"], p["y"]))
 
 
-def _farthest(ring: Column, s: Column, e: Column) -> Column:
-    """(depth, -place) of the point between s and e that is farthest from their line; null without one."""
-    between = F.when(e - s > 1, F.sequence(s + 1, e - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_max(F.transform(between, lambda i: F.struct(_off_line(ring, s, e, i).alias("depth"), (-i).alias("place"))))
+def solidity(ring: Column) -> Column:
+    """The share of a ring's area in that of its convex hull; 1 without a hull area."""
+    return let(measures(ring), lambda m: F.when(m["hull_area"] > 0, m["area"] / m["hull_area"]).otherwise(F.lit(1.0)))
 
 
 def defects(ring: Column) -> Column:
     """Where a ring bends in from its hull: (depth, far) for each side of the hull with points under
     it, far being the place of the deepest one."""
-
-    def under(corners: Column) -> Column:
-        n = F.size(corners)
-        following = lambda k: F.when(k + 1 < n, F.get(corners, k + 1)).otherwise(F.get(corners, F.lit(0)) + F.size(ring))
-        deepest = F.transform(F.sequence(F.lit(0), n - 1), lambda k: _farthest(ring, F.get(corners, k), following(k)))
-        found = F.filter(deepest, lambda d: d.isNotNull())
-        return F.transform(found, lambda d: F.struct(d["depth"].alias("depth"), F.pmod(-d["place"], F.size(ring)).alias("far")))
-
-    return let(F.array_sort(F.transform(hull(ring), lambda p: p["i"])), under)
+    return _defects(ring.cast(RINGS))
 
 
 def simplified(ring: Column, tolerance: Column) -> Column:
     """The places of the points that Douglas and Peucker's rule keeps of a closed ring.
 
-    The ring is cut at the point farthest from its first one and at the point farthest from that.
-    Spans still to be looked at are on a stack, one of which each step of the fold takes."""
-    n = F.size(ring)
-
-    def farthest_from(i: Column) -> Column:
-        def square(j: Column) -> Column:
-            a, b = _point(ring, i), _point(ring, j)
-            return (b[0] - a[0]) * (b[0] - a[0]) + (b[1] - a[1]) * (b[1] - a[1])
-
-        return -F.array_max(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(square(j).cast("double").alias("d"), (-j).alias("j"))))["j"]
-
-    span = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
-
-    def walk(a: Column, b: Column) -> Column:
-        middle = a + F.pmod(b - a, n)
-
-        def step(state: Column, _: Column) -> Column:
-            top = F.get(state["todo"], F.lit(0))
-            rest = F.slice(state["todo"], 2, n * 2)
-
-            def cut(far: Column) -> Column:
-                deep = F.coalesce(far["depth"] > tolerance, F.lit(False))
-                todo = F.when(deep, F.concat(F.array(span(top["s"], -far["place"]), span(-far["place"], top["e"])), rest)).otherwise(rest)
-                kept = F.when(deep | top.isNull(), state["kept"]).otherwise(F.array_append(state["kept"], F.pmod(top["s"], n)))
-                return F.struct(todo.alias("todo"), kept.alias("kept"))
-
-            return let(_farthest(ring, top["s"], top["e"]), cut)
-
-        start = F.struct(F.array(span(a, middle), span(middle, a + n)).cast(SPANS).alias("todo"), F.array().cast("array<int>").alias("kept"))
-        # each step settles a span or cuts it; there are at most n spans in the end
-        return F.aggregate(F.sequence(F.lit(1), 2 * n), start, step, lambda s: F.array_sort(F.array_distinct(s["kept"])))
-
-    ends = let(farthest_from(F.lit(0)), lambda a: F.struct(a.alias("a"), farthest_from(a).alias("b")))
-    return F.when(n > 2, let(ends, lambda x: walk(x["a"], x["b"]))).otherwise(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
+    The ring is cut at the point farthest from its first one and at the point farthest from that."""
+    return _simplified(ring.cast(RINGS), tolerance.cast("double"))
 
 
 def corners(ring: Column, share: float = 0.02) -> Column:
     """How many corners a ring has at a tolerance of ``share`` of its perimeter."""
-    return let(perimeter(ring) * share, lambda t: F.size(simplified(ring, t)))
+    return measures(ring, share)["corners"]
 
 
 def plain_rectangle(ring: Column) -> Column:

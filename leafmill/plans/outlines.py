@@ -61,9 +61,10 @@ cornered AS (SELECT page_id, count(DISTINCT s % k) AS n_corners FROM span WHERE
 @register(f"""WITH RECURSIVE rings AS (SELECT page_id, {ring_sql()} AS ring FROM outlines_v), {MEASURES}, {CORNERS}
 SELECT page_id, n_points, area, perimeter, hull_area, area / hull_area AS solidity, CAST(n_corners AS INT) AS n_corners FROM plain JOIN hulls USING (page_id) JOIN cornered USING (page_id)""")
 def polygon_measures(spark, sf):
-    x = view(spark, sf, "outlines_v").select("page_id", outline_ring().alias("ring"))
-    x = pg.bound(x, area=pg.area(F.col("ring")), perimeter=pg.perimeter(F.col("ring")), hull_area=pg.area(pg.points_of(pg.hull(F.col("ring")))))
-    return x.select("page_id", F.size("ring").cast("long").alias("n_points"), "area", "perimeter", "hull_area", (F.col("area") / F.col("hull_area")).alias("solidity"), pg.corners(F.col("ring")).alias("n_corners"))
+    # dealt by page: the file of orders may be a single split
+    x = view(spark, sf, "outlines_v").repartition("page_id").select("page_id", outline_ring().alias("ring"))
+    x = x.select("page_id", F.size("ring").cast("long").alias("n_points"), pg.measures(F.col("ring")).alias("m"))
+    return x.select("page_id", "n_points", "m.area", "m.perimeter", "m.hull_area", (F.col("m.area") / F.col("m.hull_area")).alias("solidity"), F.col("m.corners").alias("n_corners"))
 
 
 @register(f"""WITH b AS (SELECT page_id, unnest([{', '.join(ring_sql(*x) for x in LOBES)}]) AS ring, unnest([1, 2, 3]) AS lobe FROM outlines_v),

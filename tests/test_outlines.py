@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,18 @@ def test_lines_go_to_the_nearest_lobe_within_reach(spark):
     lines = spark.createDataFrame(rows, "page_id long, seq int, x0 int, y0 int, x1 int, y1 int")
     got = {(r.page_id, r.seq): (r.lobe, r.distance) for r in lb.lines_to_lobes(lines, lobes).collect()}
     assert got == {(1, 1): (1, 25.0), (1, 2): (2, -2.0), (1, 3): (1, -5.0), (1, 4): (2, -14.0), (1, 5): (None, None), (2, 1): (None, None), (3, 1): (None, None)}
+
+
+def test_measures_of_many_large_rings(spark):
+    """Folds over arrays took seconds for one such ring."""
+    rng = random.Random(6)
+    rings = [star(rng, 200) for _ in range(300)]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate([*rings, None, []])], "i int, ring array<array<double>>")
+    began = time.time()
+    got = {r.i: r for r in frame.select("i", pg.measures(F.col("ring")).alias("m"), pg.defects(F.col("ring")).alias("d")).collect()}
+    assert time.time() - began < 60
+    assert got[300].m is None and got[300].d is None and got[301].m.corners == 0 and got[301].d == []
+    for i, ring in enumerate(rings[:20]):
+        m = got[i].m
+        assert m.area == area_of(ring) and m.hull_area == area_of([list(p) for p in sorted(hull_of(ring), key=lambda p: math.atan2(p[1] - 250, p[0] - 300))])
+        assert m.corners == len(kept_corners(ring, 0.02 * m.perimeter))
