@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.functions.polygons import let
+
 
 @dataclass(frozen=True)
 class Box:
@@ -135,13 +138,11 @@ def contained_shape(box: Box, page_width: int, page_height: int) -> Column:
     rectangle = F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1))
     rx = F.greatest(F.lit(15), F.least(F.floor(w * 0.58), F.floor(box.width / 2) + 15))
     ry = F.greatest(F.lit(12), F.least(F.floor(h * 0.62), F.floor(box.height / 2) + 12))
-    millionths = lambda v: F.floor(v * 1_000_000 + 0.5)
-
-    def on(middle: Column, radius: Column, v: Column) -> Column:
-        total = middle * 1_000_000 + radius * millionths(v)
-        near = F.floor((total + 500_000) / 1_000_000)
-        return near - F.when((F.pmod(total, F.lit(1_000_000)) == 500_000) & (near % 2 != 0), 1).otherwise(0)
+    millionths = lambda v: math.floor(v * 1_000_000 + 0.5)
+    ways = F.array(*[F.array(F.lit(millionths(math.cos(math.radians(a)))), F.lit(millionths(math.sin(math.radians(a))))) for a in range(0, 366, 6)]).cast("array<array<long>>")
 
-    ellipse = F.transform(F.sequence(F.lit(0), F.lit(360), F.lit(6)), lambda a: point(on(cx, rx, F.cos(F.radians(a))), on(cy, ry, F.sin(F.radians(a)))))
+    # rint takes halves to even places
+    on = lambda middle, radius, v: F.rint((middle * 1_000_000 + radius * v) / 1_000_000)
+    ellipse = let(F.struct(cx.alias("cx"), rx.alias("rx"), cy.alias("cy"), ry.alias("ry")), lambda e: F.transform(ways, lambda v: point(on(e["cx"], e["rx"], v[0]), on(e["cy"], e["ry"], v[1]))))
     long = (w >= 3 * h) | (h >= 3 * w)
     return F.struct(F.when(long, rectangle).otherwise(ellipse).alias("points"), long.alias("is_rectangle"))

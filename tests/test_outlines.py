@@ -211,7 +211,7 @@ def test_lines_go_to_the_nearest_lobe_within_reach(spark):
 def test_measures_of_many_large_rings(spark):
     """Folds over arrays took seconds for one such ring."""
     rng = random.Random(6)
-    rings = [star(rng, 200) for _ in range(300)]
+    rings = [[[float(v) for v in p] for p in star(rng, 200)] for _ in range(300)]
     frame = spark.createDataFrame([(i, r) for i, r in enumerate([*rings, None, []])], "i int, ring array<array<double>>")
     began = time.time()
     got = {r.i: r for r in frame.select("i", pg.measures(F.col("ring")).alias("m"), pg.defects(F.col("ring")).alias("d")).collect()}
@@ -221,3 +221,12 @@ def test_measures_of_many_large_rings(spark):
         m = got[i].m
         assert m.area == area_of(ring) and m.hull_area == area_of([list(p) for p in sorted(hull_of(ring), key=lambda p: math.atan2(p[1] - 250, p[0] - 300))])
         assert m.corners == len(kept_corners(ring, 0.02 * m.perimeter))
+
+
+@pytest.mark.parametrize("name", ["gate_contour_extraction", "lines_to_lobes", "split_lobes"])
+def test_rings_are_not_broadcast(spark, sf, name):
+    """Spark takes rings for a few bytes each: a broadcast of them ended the driver."""
+    from leafmill.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
