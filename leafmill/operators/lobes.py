@@ -30,8 +30,9 @@ def lines_to_lobes(lines: DataFrame, lobes: DataFrame, reach: int = REACH) -> Da
 
     Lobe and distance are null for lines that no lobe reaches. Only pages meet pages."""
     x, y = middle(F.struct("x0", "y0", "x1", "y1"))
-    held = lobes.select("page_id", "lobe", "ring")
-    met = lines.join(held, "page_id", "left").withColumn("far", pg.signed_square(F.col("ring"), x, y))
+    # Spark takes a ring for a few bytes, so it must not choose to broadcast them
+    held = lobes.select("page_id", "lobe", "ring").hint("merge")
+    met = lines.join(held, "page_id", "left").withColumn("far", pg.squares(F.col("ring"), x, y))
     best = met.groupBy("page_id", "seq").agg(F.max(F.struct("far", (-F.col("lobe")).alias("lobe"))).alias("best"))
     near = F.col("best.far") >= -(reach * reach)
     far = F.col("best.far")

@@ -76,14 +76,14 @@ s AS (SELECT page_id, seq, lobe, min(CASE WHEN len2 > 0 AND along BETWEEN 0 AND
 t AS (SELECT page_id, seq, arg_max(lobe, [far, -lobe]) AS lobe, max(far) AS far FROM s GROUP BY page_id, seq)
 SELECT q.page_id, q.seq, CASE WHEN far >= -225 THEN lobe END AS lobe, CASE WHEN far >= -225 THEN sign(far) * sqrt(abs(far)) + 0.0 END AS distance FROM q LEFT JOIN t USING (page_id, seq)""")
 def lines_to_lobes(spark, sf):
-    o = view(spark, sf, "outlines_v")
+    o = view(spark, sf, "outlines_v").repartition("page_id")  # rings are made where they are met
     lobes = o.select("page_id", F.posexplode(F.array(*[outline_ring(*x) for x in LOBES])).alias("k", "ring")).select("page_id", (F.col("k") + 1).alias("lobe"), "ring")
     return lb.lines_to_lobes(view(spark, sf, "lines_v"), lobes)
 
 
 def _shapes(spark, sf):
     lines = view(spark, sf, "lines_v").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x0", "y0", "x1", "y1"))).alias("lines"))
-    return view(spark, sf, "outlines_v").select("page_id", outline_ring().alias("ring")).join(lines, "page_id")
+    return view(spark, sf, "outlines_v").hint("merge").join(lines, "page_id").select("page_id", outline_ring().alias("ring"), "lines")
 
 
 @register()
