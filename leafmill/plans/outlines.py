@@ -103,5 +103,6 @@ def fitted_text(spark, sf):
     rows = mk.from_rings(rings, ["page_id"], 450).groupBy("page_id", "row").agg(F.max(F.struct((F.col("e") - F.col("s")).alias("n"), (-F.col("s")).alias("at"))).alias("best"))
     rows = rows.select("page_id", "row", (-F.col("best.at")).alias("s"), (F.col("best.n") - F.col("best.at")).alias("e"))
     free = rows.groupBy("page_id").agg(F.min("row").alias("top"), F.transform(F.array_sort(F.collect_list(F.struct("row", "s", "e"))), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"))).alias("spans"))
-    x = said.join(free, "page_id").withColumn("f", lettering.fitting()("text", "top", "spans"))
+    # hundreds of spans a page, which Spark takes for a few bytes: no broadcast of them
+    x = said.join(free.hint("merge"), "page_id").withColumn("f", lettering.fitting()("text", "top", "spans"))
     return x.select(F.col("page_id").alias("conv_id"), "turn", F.col("f.size").alias("size"), F.transform("f.lines", lambda s: F.concat_ws(" ", s["x"], s["y"], s["text"])).alias("lines"))
