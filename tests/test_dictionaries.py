@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import re
 import time
 
@@ -115,3 +116,10 @@ def test_a_fitted_text_has_the_largest_size(spark):
                 assert max(s for s, _ in rows) + 3 <= x and x + lt.measured(line, size) <= min(e for _, e in rows) - 3
     assert found > 20
     assert lt.fitted("", 0, [(0, 100)] * 50, range(10, 20)) is None and lt.fitted("word", 0, [], range(10, 20)) is None
+
+
+def test_words_too_few_for_their_rows_are_told_at_once():
+    began = time.time()
+    assert lt.breaks([3] * 15_000, 1, [18, 24] * 8_000) is None  # each row takes a word
+    assert lt.breaks([3] * 900, 1, [18, 24] * 150, 0.82)[-1] == 900 and lt.breaks([], 1, []) == [] and lt.breaks([1], 1, []) is None
+    assert time.time() - began < 20
