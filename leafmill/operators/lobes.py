@@ -42,15 +42,16 @@ def lines_to_lobes(lines: DataFrame, lobes: DataFrame, reach: int = REACH) -> Da
 def _crosses_text(lines: Column, p: Column, q: Column) -> Column:
     """Whether points along a chord, some four apart, lie in the core of a line's text."""
     length = F.sqrt((q[0] - p[0]) * (q[0] - p[0]) + (q[1] - p[1]) * (q[1] - p[1]))
-    n = F.greatest(F.lit(10), F.floor(length / 4).cast("int"))
-    between = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((p[0] + (q[0] - p[0]) * k / (n - 1)).alias("x"), (p[1] + (q[1] - p[1]) * k / (n - 1)).alias("y")))
+    along = lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((p[0] + (q[0] - p[0]) * k / (n - 1)).alias("x"), (p[1] + (q[1] - p[1]) * k / (n - 1)).alias("y")))
 
-    def inside(line: Column) -> Column:
+    def core(line: Column) -> Column:
         half = F.greatest(F.lit(3.0), F.greatest(F.lit(1), line["y1"] - line["y0"]) * 0.25)
         _, cy = middle(line)
-        return F.exists(between, lambda s: s["x"].between(line["x0"] + 4, line["x1"] - 4) & s["y"].between(cy - half, cy + half))
+        return F.struct((line["x0"] + 4).alias("x0"), (line["x1"] - 4).alias("x1"), (cy - half).alias("y0"), (cy + half).alias("y1"))
 
-    return F.exists(lines, inside)
+    # points and cores are computed once a chord, not once for each that they meet
+    met = lambda points: F.exists(F.transform(lines, core), lambda c: F.exists(points, lambda s: s["x"].between(c["x0"], c["x1"]) & s["y"].between(c["y0"], c["y1"])))
+    return pg.let(F.greatest(F.lit(10), F.floor(length / 4).cast("int")), lambda n: pg.let(along(n), met))
 
 
 def _lobe(ring: Column, i: Column, j: Column) -> tuple[Column, Column]:
@@ -84,8 +85,12 @@ def cut_at_neck(shapes: DataFrame, where: Column, glyph: float = 25.0, depth: fl
     small = F.least(width, height).cast("double")
 
     def pair(a: Column, b: Column, rank: Column) -> Column:
-        i, j = F.least(-a["place"], -b["place"]), F.greatest(-a["place"], -b["place"])
-        p, q = F.get(ring, i), F.get(ring, j)
+        places = F.struct(F.least(-a["place"], -b["place"]).alias("i"), F.greatest(-a["place"], -b["place"]).alias("j"), rank.alias("rank"))
+        ends = lambda w: F.struct(w["i"].alias("i"), w["j"].alias("j"), w["rank"].alias("rank"), F.get(ring, w["i"]).alias("p"), F.get(ring, w["j"]).alias("q"))
+        return pg.let(places, lambda w: pg.let(ends(w), chord))
+
+    def chord(ends: Column) -> Column:
+        i, j, p, q, rank = (ends[k] for k in ("i", "j", "p", "q", "rank"))
         one, two = _lobe(ring, i, j)
         length = F.sqrt((q[0] - p[0]) * (q[0] - p[0]) + (q[1] - p[1]) * (q[1] - p[1]))
         least = F.greatest(F.lit(4.0), F.least(F.lit(12.0), small * 0.15))
