@@ -127,6 +127,18 @@ def _signed_squares(rings: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
     return pa.array(ra.signed_squares(r, x, y), mask=~r.whole | ~np.isfinite(x + y))
 
 
+@arrow_udf(T.ArrayType(_struct(row=WHOLE, s=WHOLE, e=WHOLE)))
+def _runs(rings: pa.Array, heights: pa.Array) -> pa.Array:
+    r = ra.Rings(rings)
+    ring, *found = ra.runs(r, heights[0].as_py() if len(heights) else 0)
+    return ra.lists(r, ring, pa.StructArray.from_arrays([pa.array(v.astype("int32")) for v in found], ["row", "s", "e"]))
+
+
+def runs(ring: Column, height: int) -> Column:
+    """The runs (row, s, e) of the cells in rows 0 to ``height`` whose middles lie in a ring."""
+    return _runs(ring.cast(RINGS), F.lit(height))
+
+
 def measures(ring: Column, share: float = 0.02) -> Column:
     """(area, perimeter, hull_area, corners at a tolerance of ``share`` of the perimeter) of a ring, in one pass.
 

@@ -235,3 +235,23 @@ def signed_squares(r: Rings, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     far, odd = np.minimum.reduceat(near, first), np.add.reduceat(crosses.astype(np.int64), first) % 2 == 1
     out[rings] = np.where(odd, far, -far)
     return out
+
+
+def runs(r: Rings, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ring, row, s, e) of the cells of rows 0 to ``height`` whose middles lie in rings, by ring and row.
+
+    A row's middle line crosses the edges of a ring in an even number of places; cells between the
+    first and the second, the third and the fourth, ... are inside."""
+    of, k = _flat(np.where(r.whole, r.size, 0))
+    (ax, ay), (bx, by) = r.point(of, k), r.point(of, k + 1)
+    low, high = (np.clip(np.ceil(f(ay, by) - 0.5), 0, height).astype(np.int64) for f in (np.minimum, np.maximum))
+    edge, k = _flat(high - low)
+    row = low[edge] + k
+    y = row + 0.5
+    x = ax[edge] + (y - ay[edge]) * (bx[edge] - ax[edge]) / (by[edge] - ay[edge])
+    ring = of[edge]
+    order = np.lexsort((x, row, ring))
+    ring, row, cell = ring[order], row[order], np.maximum(0, np.ceil(x[order] - 0.5)).astype(np.int64)
+    ring, row, s, e = ring[::2], row[::2], cell[::2], cell[1::2]
+    some = s < e
+    return ring[some], row[some], s[some], e[some]

@@ -23,23 +23,8 @@ DUST_CELLS, DUST_SHARE, HOLE_CELLS = 120, 0.04, 1500
 def from_rings(shapes: DataFrame, key: list[str], height: int) -> DataFrame:
     """The runs of the cells whose middles lie in ``ring`` (array<array<double>>), in rows 0 to ``height``.
 
-    A row's middle line crosses the edges of the ring in an even number of places; cells between
-    the first and the second, the third and the fourth, ... are inside."""
-    ring = F.col("ring")
-    ys = F.transform(ring, lambda p: p[1])
-    first, last = F.greatest(F.lit(0), F.floor(F.array_min(ys)).cast("int")), F.least(F.lit(height - 1), F.ceil(F.array_max(ys)).cast("int"))
-    shapes = pg.bound(pg.bound(shapes.select(*key, "ring"), ring=ring), first=first, last=last)
-    spread = shapes.where("first <= last").select(*key, "ring", F.explode(F.sequence("first", "last")).alias("row")).withColumn("y", F.col("row") + 0.5)
-
-    def crossing(a: Column, b: Column) -> Column:
-        return F.when((a[1] > F.col("y")) != (b[1] > F.col("y")), a[0] + (F.col("y") - a[1]) * (b[0] - a[0]) / (b[1] - a[1]))
-
-    met = F.array_sort(F.array_compact(F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), crossing)))
-    spread = pg.bound(spread.select(*key, "row", "y", "ring"), xs=met).where(F.size("xs") > 1)
-    # the first cell whose middle is not left of the crossing
-    cell = lambda x: F.greatest(F.lit(0), F.ceil(x - 0.5)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(cell(F.get("xs", i)).alias("s"), cell(F.get("xs", i + 1)).alias("e")))
-    return joined(spread.select(*key, "row", F.inline(pairs)).where("s < e"), key)
+    The runs of a ring are found in its row, for all rings of a batch at once."""
+    return joined(shapes.select(*key, F.inline(pg.runs(F.col("ring"), height))), key)
 
 
 def from_boxes(boxes: DataFrame, key: list[str]) -> DataFrame:

@@ -13,7 +13,8 @@ KEY, HEIGHT = ["page_id"], 45
 
 
 def _outlines(spark, sf):
-    rings = view(spark, sf, "outlines_v").select("page_id", ol.outline_ring().alias("ring"))
+    # dealt by page before rings become runs: the file of orders may be a single split
+    rings = view(spark, sf, "outlines_v").repartition("page_id").select("page_id", ol.outline_ring().alias("ring"))
     return mk.from_rings(rings.withColumn("ring", F.transform("ring", lambda p: F.transform(p, lambda v: v / 10))), KEY, HEIGHT)
 
 

@@ -152,3 +152,12 @@ def test_a_selection_grows_up_to_its_barrier(spark):
     assert got == runs_of(block(0, 0, 15, 20))
     far = spark.createDataFrame([(1, 20, 5)], "k int, x int, y int")
     assert cells_by_key(mk.grow_selection(one(mask), one(field), one(wall), far, ["k"]))[1] == runs_of(mask)  # beyond the wall, and not near
+
+
+def test_runs_of_many_rings_at_once(spark):
+    """Odd rings among others: null, without points, outside of the rows, crossing itself."""
+    rings = [None, [], [[0.0, -9.0], [4.0, -9.0], [4.0, -2.0]], [[0.0, 0.0], [8.0, 0.0], [0.0, 4.0], [8.0, 4.0]], [[1.0, 1.0], [3.0, 1.0], [3.0, 50.0], [1.0, 50.0]]]
+    got = cells_by_key(mk.from_rings(spark.createDataFrame(list(enumerate(rings)), "k int, ring array<array<double>>"), ["k"], 3))
+    assert got == {3: [(0, 1, 7), (1, 3, 5), (2, 3, 5)], 4: [(1, 1, 3), (2, 1, 3)]}
+    plan = mk.from_rings(spark.createDataFrame([(1, rings[3])], "k int, ring array<array<double>>"), ["k"], 3)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan  # a fold a row took most of the time
