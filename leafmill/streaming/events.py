@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -30,23 +30,52 @@ def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 day") -> Da
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def admitted(requests: DataFrame, cap: int) -> DataFrame:
+#: Groups that the keys of a period are dealt to: a group is one call into Python and one state, however many keys it has.
+BUCKETS = 32
+
+#: Used by each key of a group, in two lists of one length.
+USED = "keys array<long>, used array<long>"
+GRANTED = "key long, period string, seq long, amount long, admitted boolean"
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
+
+
+def _granted(period: str, frames: Iterator[pd.DataFrame], held: tuple | None, cap: int) -> tuple[pd.DataFrame, tuple]:
+    """The requests of a group of keys with ``admitted``, and what its keys have used after them.
+
+    Each key is walked over by seq; ``held`` and what is returned are as USED."""
+    known = dict(zip(*held)) if held else {}
+    x = pd.concat([f[["key", "seq", "amount"]] for f in frames]).sort_values(["key", "seq"])  # stable; a null key comes last
+    flags, now, used, begun = [], None, 0, False
+    for key, amount in zip(x["key"].astype(object).where(x["key"].notna(), None).tolist(), x["amount"].tolist()):
+        if not begun or key != now:
+            if begun:
+                known[now] = used
+            now, begun = key, True
+            used = known.get(key, 0)
+        fits = used + amount <= cap
+        used += amount if fits else 0
+        flags.append(fits)
+    known[now] = used
+    done = pd.DataFrame({"key": x["key"], "period": period, "seq": x["seq"], "amount": x["amount"], "admitted": flags})
+    return done, ([None if k is None else int(k) for k in known], [int(v) for v in known.values()])
+
+
+def admitted(requests: DataFrame, cap: int, buckets: int = BUCKETS) -> DataFrame:
     """The stream form of ``operators.state.admit``: requests (key, period, seq, amount), in batch order by seq.
 
-    The state of a key and period is one number."""
+    The state of a key and period is one number; the keys of a period are held in ``buckets`` groups
+    (the same number as long as a checkpoint lives)."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        for frame in [pd.concat([f[["seq", "amount"]] for f in frames]).sort_values("seq")]:
-            flags = []
-            for amount in frame["amount"].tolist():
-                fits = used + amount <= cap
-                used += amount if fits else 0
-                flags.append(fits)
-            yield pd.DataFrame({"key": key[0], "period": key[1], "seq": frame["seq"], "amount": frame["amount"], "admitted": flags})
-        state.update((used,))
+        done, used = _granted(key[1], frames, state.get if state.exists else None, cap)
+        state.update(used)
+        yield done
 
-    return requests.groupBy("key", "period").applyInPandasWithState(step, "key long, period string, seq long, amount long, admitted boolean", "used long", "append", GroupStateTimeout.NoTimeout)
+    x = requests.select(_bucket(F.col("key"), buckets), "period", "key", "seq", "amount")
+    return x.groupBy("bucket", "period").applyInPandasWithState(step, GRANTED, USED, "append", GroupStateTimeout.NoTimeout)
 
 
 #: The state store that timers and typed state need.
@@ -91,16 +120,38 @@ class Quota(StatefulProcessor):
         pass
 
 
-def admitted_by_period(requests: DataFrame, cap: int, period: str = "day", late: str = "1 day") -> DataFrame:
+class SharedQuota(Quota):
+    """What the keys of a group have used in a period, as one state; forgotten by one timer."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.used = handle, handle.getValueState("used", USED)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = list(rows)
+        held = self.used.get()
+        done, used = _granted(key[1], frames, held, self.cap)
+        end = int(frames[0]["period_end"].iloc[0])
+        if not held and end > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(end)
+        self.used.update(used)
+        yield done
+
+
+def admitted_by_period(requests: DataFrame, cap: int, period: str = "day", late: str = "1 day", buckets: int | None = None) -> DataFrame:
     """Requests (key, seq, amount, ts) with their period and ``admitted``, as ``operators.state.admit``.
 
     Each key starts anew when the period ("day" or "month", in UTC) turns; the state of a period
     goes when the watermark, ``late`` behind the newest request, has passed its end. The session
-    must use TIMED_STORE."""
+    must use TIMED_STORE.
+
+    Each key has a state and a timer of its own, which costs some milliseconds a key and period; with
+    ``buckets`` the keys of a period share as many (the same number as long as a checkpoint lives)."""
     begin = F.date_trunc(period, "ts")
     after = F.add_months(begin, 1).cast("timestamp") if period == "month" else begin + F.expr("INTERVAL 1 DAY")
     x = requests.withWatermark("ts", late).select("key", F.date_format("ts", "yyyy-MM" if period == "month" else "yyyy-MM-dd").alias("period"), "seq", "amount", F.unix_millis(after).alias("period_end"), "ts")
-    return x.groupBy("key", "period").transformWithStateInPandas(Quota(cap), "key long, period string, seq long, amount long, admitted boolean", "Append", "EventTime")
+    if buckets:
+        return x.withColumn("bucket", _bucket(F.col("key"), buckets)).groupBy("bucket", "period").transformWithStateInPandas(SharedQuota(cap), GRANTED, "Append", "EventTime")
+    return x.groupBy("key", "period").transformWithStateInPandas(Quota(cap), GRANTED, "Append", "EventTime")
 
 
 class Ledger:
