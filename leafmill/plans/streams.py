@@ -70,6 +70,6 @@ def stream_quota_by_period(spark, sf):
     before = spark.conf.get(setting)
     spark.conf.set(setting, store)
     try:
-        return _drained(se.admitted_by_period(asked, 8), "append", "periods")
+        return _drained(se.admitted_by_period(asked, 8, buckets=se.BUCKETS), "append", "periods")
     finally:
         spark.conf.set(setting, before)
