@@ -20,11 +20,15 @@ def _beside(lines: DataFrame, rects: DataFrame, reach: int = 0) -> DataFrame:
     """Lines and rectangles (r_...) of a page that overlap in height, or lie at most ``reach`` apart.
 
     Both are dealt to horizontal bands of their page, so that a crowded page is not met all with
-    all; a pair is kept in its first common band."""
-    r = rects.select("page_id", "rect_idx", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
-    r, top = _in_bands(r, F.col("r_y0"), F.col("r_y1")), F.floor((F.col("y0") - reach) / BAND)
-    met = _in_bands(lines, F.col("y0") - reach, F.col("y1") + reach).join(r, ["page_id", "band"])
-    return met.where(F.col("band") == F.greatest(top, F.floor(F.col("r_y0") / BAND))).drop("band")
+    all; a pair is kept in its first common band. Rectangles lie by band in one row a page, so only
+    they are sent: lines stay where their page is, and bands of lines are made there."""
+    sides = ("rect_idx", "x0", "y0", "x1", "y1")
+    r = rects.select("page_id", F.struct(*[F.col(c).alias(c if c == "rect_idx" else f"r_{c}") for c in sides]).alias("r")).repartition("page_id")
+    r = _in_bands(r, F.col("r.r_y0"), F.col("r.r_y1")).groupBy("page_id", "band").agg(F.collect_list("r").alias("rs"))
+    r = r.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("band", "rs"))).alias("rects"))
+    met = _in_bands(lines.join(r, "page_id"), F.col("y0") - reach, F.col("y1") + reach).withColumn("r", F.explode(F.try_element_at("rects", F.col("band"))))
+    top = F.floor((F.col("y0") - reach) / BAND)
+    return met.where(F.col("band") == F.greatest(top, F.floor(F.col("r.r_y0") / BAND))).drop("band", "rects").select("*", "r.*").drop("r")
 
 
 def claim_lines(lines: DataFrame, rects: DataFrame, least: float = 0.5) -> DataFrame:
