@@ -40,11 +40,14 @@ def claim_lines(lines: DataFrame, rects: DataFrame, least: float = 0.5) -> DataF
 
 def nearest_rect(lines: DataFrame, rects: DataFrame, band: int = 40) -> DataFrame:
     """For lines without a claim: the nearest rectangle at most ``band`` away, the first of equals."""
-    free = lines.join(claim_lines(lines, rects), ["page_id", "seq"], "left_anti")
     line, rect = Box.of(), Box.of("r_")
     square = F.pow(line.gap_x(rect), 2) + F.pow(line.gap_y(rect), 2)
-    near = _beside(free, rects, band).withColumn("square", square.cast("long")).where(F.col("square") <= band * band)
-    return near.groupBy("page_id", "seq").agg(F.min(F.struct("square", "rect_idx")).alias("m")).select("page_id", "seq", F.col("m.rect_idx").alias("rect_idx"), F.col("m.square").alias("square_distance"))
+    # what holds half of a line overlaps it, so claims are among the pairs within the band
+    claim = F.coalesce(line.intersection(rect) >= 0.5 * F.greatest(F.lit(1), line.area), F.lit(False))
+    met = _beside(lines, rects, band).select("page_id", "seq", "rect_idx", claim.alias("claim"), square.cast("long").alias("square"))
+    nearest = F.min(F.when(F.col("square") <= band * band, F.struct("square", "rect_idx")))
+    near = met.groupBy("page_id", "seq").agg(nearest.alias("m"), F.max("claim").alias("claimed")).where("m is not null and not claimed")
+    return near.select("page_id", "seq", F.col("m.rect_idx").alias("rect_idx"), F.col("m.square").alias("square_distance"))
 
 
 def uncovered(rects: DataFrame, lines: DataFrame, least: float = 0.35) -> DataFrame:
