@@ -20,8 +20,8 @@ def _beside(lines: DataFrame, rects: DataFrame, reach: int = 0) -> DataFrame:
     """Lines and rectangles (r_...) of a page that overlap in height, or lie at most ``reach`` apart.
 
     Both are dealt to horizontal bands of their page, so that a crowded page is not met all with
-    all; a pair is kept in its first common band. Rectangles lie by band in one row a page, so only
-    they are sent: lines stay where their page is, and bands of lines are made there."""
+    all; a pair is kept in its first common band. Rectangles lie by band in one row a page, and
+    bands of lines are made where their page is: each line is sent at most once, by its page."""
     sides = ("rect_idx", "x0", "y0", "x1", "y1")
     r = rects.select("page_id", F.struct(*[F.col(c).alias(c if c == "rect_idx" else f"r_{c}") for c in sides]).alias("r")).repartition("page_id")
     r = _in_bands(r, F.col("r.r_y0"), F.col("r.r_y1")).groupBy("page_id", "band").agg(F.collect_list("r").alias("rs"))
