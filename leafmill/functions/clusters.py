@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
+from leafmill.functions import clusterarrays as ca
 from leafmill.functions.polygons import let
 
 
 def _by(lines: Column, *names: str) -> Column:
     keyed = F.transform(lines, lambda s: F.struct(*[s[n].alias(f"k{i}") for i, n in enumerate(names)], s.alias("line")))
-    return F.transform(F.array_sort(keyed), lambda k: k["line"])
+    return F.transform(F.sort_array(keyed), lambda k: k["line"])
 
 
-def column_cut(lines: Column, gap: int = 12) -> Column:
-    """Where the widest free vertical strip of at least ``gap`` lies, if each line falls wholly on one side
-    of it (with 5 pixels of slack) and both sides have some; else null."""
+def _parts(lists: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    lines = lists.flatten()
+    return np.repeat(np.arange(len(lists)), size), [ca.numbers(lines.field(name)) for name in names]
+
 
-    def step(state: Column, line: Column) -> Column:
-        free = line["x0"] - state["end"]
-        wider = F.coalesce((free >= gap) & (free > state["free"]), F.lit(False))
-        at = F.when(wider, F.floor((state["end"] + line["x0"]) / 2).cast("int")).otherwise(state["at"])
-        return F.struct(F.greatest(state["end"], line["x1"]).alias("end"), F.when(wider, free).otherwise(state["free"]).alias("free"), at.alias("at"))
+def _whole(values: np.ndarray) -> pa.Array:
+    none = np.isnan(values)
+    return pa.array(np.where(none, 0, values).astype("int32"), mask=none)
 
-    start = F.struct(F.lit(None).cast("int").alias("end"), F.lit(0).alias("free"), F.lit(None).cast("int").alias("at"))
 
-    def checked(at: Column) -> Column:
-        left, right = F.size(F.filter(lines, lambda s: s["x1"] <= at + 5)), F.size(F.filter(lines, lambda s: s["x0"] >= at - 5))
-        return F.when((left > 0) & (right > 0) & (left + right == F.size(lines)), at)
+@arrow_udf(T.IntegerType())
+def _column_cuts(lists: pa.Array, gaps: pa.Array) -> pa.Array:
+    group, (x0, x1, seq) = _parts(lists, "x0", "x1", "seq")
+    return _whole(ca.column_cuts(group, len(lists), x0, x1, seq, gaps[0].as_py() if len(gaps) else 0)[0])
 
-    return let(F.aggregate(_by(lines, "x0", "seq"), start, step, lambda s: s["at"]), checked)
+
+@arrow_udf(T.IntegerType())
+def _stacked_cuts(lists: pa.Array) -> pa.Array:
+    group, fields = _parts(lists, "x0", "y0", "x1", "y1", "seq")
+    return _whole(ca.stacked_cuts(group, len(lists), *fields)[0])
+
+
+def column_cut(lines: Column, gap: int = 12) -> Column:
+    """Where the widest free vertical strip of at least ``gap`` lies, if each line falls wholly on one side
+    of it (with 5 pixels of slack) and both sides have some; else null.
+
+    Like ``stacked_cut`` for whole columns only, not inside lambdas: all clusters of a batch at once."""
+    return _column_cuts(lines, F.lit(gap))
 
 
 def cut_columns(lines: Column, gap: int = 12) -> Column:
@@ -43,17 +61,7 @@ def stacked_cut(lines: Column) -> Column:
 
     In a tall narrow cluster the first gap of 25 below the second line counts, else the largest of
     at least 28, the first of equals."""
-
-    def found(rows: Column) -> Column:
-        n = F.size(rows)
-        ys = lambda name: F.transform(rows, lambda s: s[name])
-        h, w = F.array_max(ys("y1")) - F.array_min(ys("y0")), F.array_max(ys("x1")) - F.array_min(ys("x0"))
-        gaps = F.transform(F.sequence(F.lit(2), n - 1), lambda k: F.struct((F.get(rows, k)["y0"] - F.get(rows, k - 1)["y1"]).alias("gap"), (-k).alias("neg")))
-        tall = F.when((h >= 1.1 * w) & (h >= 130), F.array_min(F.transform(F.filter(gaps, lambda g: g["gap"] >= 25), lambda g: -g["neg"])))
-        wide = -F.array_max(F.filter(gaps, lambda g: g["gap"] >= 28))["neg"]
-        return F.when(n >= 4, F.coalesce(tall, wide))
-
-    return let(_by(lines, "y0", "seq"), lambda rows: F.when(F.size(rows) >= 4, found(rows)))
+    return _stacked_cuts(lines)
 
 
 def cut_stacked(lines: Column) -> Column:

@@ -36,8 +36,9 @@ def _col(name: str) -> Build:
     return lambda: F.col(name)
 
 
-# Thresholds are the record model's; learned ones can be given to ``rules``.
-def rules(constriction: float = 0.65, margin: float = 12.0, tolerance: float = 35.0) -> tuple[Rule, ...]:
+# Thresholds are the record model's; learned ones can be given to ``rules``. Where ``contained`` is given as an
+# expression and not as a column, only what is used of it is computed.
+def rules(constriction: float = 0.65, margin: float = 12.0, tolerance: float = 35.0, contained: Build = _col("contained")) -> tuple[Rule, ...]:
     c = F.col
     dark = lambda: (c("mean_luminance") < 140) & (c("percentile_75") < 180)
     banner = lambda: (c("line_w") / F.greatest(F.lit(1), c("line_h")) >= 4) & (c("mean_saturation") >= 60)
@@ -47,7 +48,7 @@ def rules(constriction: float = 0.65, margin: float = 12.0, tolerance: float = 3
         Rule("diamond_rule_line_split", "line_pairing", lambda: (c("gap_y") <= c("max_dy")) & (c("gap_x") > 0) & (c("c_dist") <= F.greatest(c("wider_half") * c("tolerance"), c("max_dx"))), {"allow_connection": lambda: F.lit(True)}),
         Rule("adjacent_bubble_merging_cross_column", "line_clustering", lambda: cl.column_cut(c("lines")).isNotNull(), {"clusters": lambda: cl.cut_columns(c("lines"))}),
         Rule("figure8_double_lobed_bubble", "figure8_clustering", lambda: cl.stacked_cut(c("lines")).isNotNull(), {"clusters": lambda: cl.cut_stacked(c("lines"))}),
-        Rule("background_art_leak", "contour_extraction", lambda: c("misplaced") | c("low_solidity") | (c("ratio_to_text") > c("effective_ratio_cap")) | (c("border_touch") & (c("ratio_to_roi") > c("roi_leak_ratio"))), {"contour": lambda: c("contained")["points"], "is_rectangular_fill": lambda: c("contained")["is_rectangle"]}),
+        Rule("background_art_leak", "contour_extraction", lambda: c("misplaced") | c("low_solidity") | (c("ratio_to_text") > c("effective_ratio_cap")) | (c("border_touch") & (c("ratio_to_roi") > c("roi_leak_ratio"))), {"contour": lambda: contained()["points"], "is_rectangular_fill": lambda: contained()["is_rectangle"]}),
         Rule("earpiece_rect_misclassification", "bubble_inpainting", lambda: (c("z_order") == 0) & (c("shape_type") == "rectangle"), {"shape_type": lambda: F.lit("oval")}),
         Rule("empty_fragment", "bubble_validation", lambda: F.trim(F.coalesce("original_text", F.lit(""))) == "", drop=True),
         Rule("duplicate_bubble_id", "bubble_list_indexing", lambda: cl.out_of_order(F.transform("bubbles", lambda b: b["id"])), {"bubbles": lambda: cl.renumbered(c("bubbles"))}),

@@ -71,3 +71,11 @@ def test_ids_and_stages(spark):
     assert got == {1: ([(1, 100), (2, 200), (3, 500)], ["duplicate_bubble_id"], False), 2: ([(1, 0), (2, 5)], ["empty_fragment"], True), 3: ([], [], False)}
     again = {r.i: [e.pattern_name for e in r.events] for r in qa.apply_stages(df, ["bubble_validation", "bubble_list_indexing"]).collect()}
     assert again == {1: ["duplicate_bubble_id"], 2: ["empty_fragment"], 3: []}
+
+
+def test_all_stages_read_lines_once_and_draw_no_ellipse(spark, sf):
+    from leafmill.plans.catalog import QUERIES
+
+    plan = QUERIES["gate_all_stages"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_linenumber") and plan.count("FileScan") == 2
+    assert "collect_list" in plan and "ObjectHashAggregate" not in plan and "rint" not in plan.lower()
