@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from leafmill.functions import clusterarrays as ca
 from leafmill.functions.geometry import Box
 from leafmill.operators.grouped import Rows, grouped
 
@@ -102,17 +106,63 @@ def split_stacked(clustered: DataFrame, key: list[str], with_text: bool = False)
 
 
 def cluster_lines(lines: DataFrame, with_text: bool = False) -> DataFrame:
-    """The whole clustering: pairs, components, columns, stacked lobes. Adds cluster, side, lobe."""
-    found = lines.join(page_components(lines, line_pairs(lines)), ["page_id", "seq"])
-    parted = split_columns(found, ["page_id", "cluster"]).drop("split_x")
-    return split_stacked(parted, ["page_id", "cluster", "side"], with_text)
+    """The whole clustering: pairs, components, columns, stacked lobes. Adds cluster, side, lobe.
+
+    A window asks for a page's lines to lie together, which moves none where they do already; a task
+    then clusters the whole pages of an Arrow batch at once and holds what is begun of the next."""
+    kept = lines.where("page_id IS NOT NULL AND seq IS NOT NULL")
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("cluster", "side", "lobe"))])
+    paged = kept.withColumn("_lines", F.count("*").over(Window.partitionBy("page_id")))
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            page = batch.column("page_id").to_numpy(zero_copy_only=False)
+            if not len(page):
+                continue
+            new = np.flatnonzero(page[1:] != page[:-1]) + 1
+            if held and held[-1].column("page_id")[-1].as_py() != page[0]:
+                yield _clustered(held)
+                held = []
+            if len(new):
+                yield _clustered([*held, batch.slice(0, new[-1])])
+                held = []
+            held.append(batch.slice(new[-1] if len(new) else 0))
+        if held:
+            yield _clustered(held)
+
+    parted = paged.mapInArrow(run, schema)
+    return split_stacked(parted.drop("lobe"), ["page_id", "cluster", "side"], True) if with_text else parted
+
+
+def _clustered(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Whole pages, each in one run of rows, with cluster, side and lobe in place of the number of lines."""
+    whole = pa.Table.from_batches(batches).drop_columns(["_lines"]).combine_chunks().to_batches()[0]
+    page = whole.column("page_id").to_numpy(zero_copy_only=False)
+    x0, y0, x1, y1 = (ca.numbers(whole.column(c)) for c in ("x0", "y0", "x1", "y1"))
+    seq = whole.column("seq").to_numpy(zero_copy_only=False)
+    group = np.cumsum(np.append(0, page[1:] != page[:-1]))
+    cluster = ca.components(group, x0, y0, x1, y1, seq, MAX_DX, MAX_DY, CENTER_TOLERANCE)
+    own = ca.numbered(group, cluster)
+    _, right = ca.column_cuts(own, own.max() + 1, x0, x1, seq)
+    own = ca.numbered(own, right)
+    _, lower = ca.stacked_cuts(own, own.max() + 1, x0, y0, x1, y1, seq)
+    added = [pa.array(v.astype("int32")) for v in (cluster, right, lower)]
+    return pa.RecordBatch.from_arrays([*whole.columns, *added], [*whole.schema.names, "cluster", "side", "lobe"])
 
 
 def envelopes(clustered: DataFrame, key: list[str], median: bool = True) -> DataFrame:
-    """Box, size and mean confidence of each cluster, with its members in reading order."""
-    seqs = F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "seq"))), lambda s: s["seq"])
-    out = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_lines"), F.avg("conf_pct").alias("mean_conf"), F.array_join(seqs.cast("array<string>"), ",").alias("members")]
-    return clustered.groupBy(*key).agg(*out, *([F.median(F.col("y1") - F.col("y0")).alias("median_height")] if median else []))
+    """Box, size and mean confidence of each cluster, with its members in reading order.
+
+    Lines are dealt by the first of ``key`` as they are, which sends less than gathered parts would."""
+    members = F.sort_array(F.collect_list(F.struct("y0", "x0", "seq", (F.col("y1") - F.col("y0")).alias("h"))))
+    out = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_lines"), F.avg("conf_pct").alias("mean_conf"), members.alias("members")]
+    x = clustered.repartition(key[0]).groupBy(*key).agg(*out)
+    if median:
+        heights = F.sort_array(F.filter(F.transform("members", lambda s: s["h"]), lambda h: h.isNotNull()))
+        n = F.size(heights)
+        x = x.withColumn("median_height", (F.get(heights, F.floor((n - 1) / 2).cast("int")) + F.get(heights, F.floor(n / 2).cast("int"))) / 2)
+    return x.withColumn("members", F.array_join(F.transform("members", lambda s: s["seq"].cast("string")), ","))
 
 
 def words_to_lines(words: DataFrame) -> DataFrame:

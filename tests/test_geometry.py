@@ -1,5 +1,7 @@
 """Line clusters, reading order and duplicates on cases with known results."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as geo
@@ -7,6 +9,7 @@ from leafmill.functions.lettering import largest_rectangle
 from leafmill.operators import lines as ln
 from leafmill.operators import matching as mt
 from leafmill.operators import order as od
+from leafmill.sources.tables import view
 
 LINE = "page_id long, seq int, x0 int, y0 int, x1 int, y1 int"
 
@@ -171,3 +174,43 @@ def test_nearest_signatures_by_cells(spark, monkeypatch):
         monkeypatch.setattr(matching, "BLOCK_SIGNATURES", block)
         monkeypatch.setattr(matching, "PIVOTS", pivots)
         assert {r.id: r.name for r in matching.nearest_signature(queries, signatures, least=-1e9).collect()} == want
+
+
+def _spread(spark):
+    """Pages of all sizes, a crowded one, and lines without a place, an end or a page."""
+    r = random.Random(3)
+    rows = []
+    for page, n in [(7, 700), *((p, p % 9 + 1) for p in range(20, 400))]:
+        for i in range(n):
+            x, y = r.randint(0, 600), r.randint(0, 400)
+            rows.append((page, i + 1, x, y, x + r.randint(20, 160), y + r.randint(5, 40), r.randint(50, 100)))
+    rows += [(900, 1, None, 10, None, 30, 9), (900, 2, 5, 12, None, 40, 9), (900, 3, 200, 14, 230, 30, 9), (901, 1, 5, None, 50, None, 9), (901, 2, 5, 10, 50, 30, 9), (None, 1, 1, 1, 9, 9, 9)]
+    r.shuffle(rows)
+    return spark.createDataFrame(rows, LINE + ", conf_pct int")
+
+
+def test_pages_of_a_batch_cluster_as_joins_and_windows_do(spark):
+    df = _spread(spark).repartition(3).cache()
+    found = df.join(ln.page_components(df, ln.line_pairs(df)), ["page_id", "seq"])
+    want = ln.split_stacked(ln.split_columns(found, ["page_id", "cluster"]).drop("split_x"), ["page_id", "cluster", "side"])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "10000"):  # pages go over several batches, and several in one
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = ln.cluster_lines(df).select(*want.columns)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert want.where("side = 1").count() and want.where("lobe = 1").count()
+
+
+def test_clustering_sends_lines_once(spark, sf):
+    plan = ln.cluster_lines(view(spark, sf, "lines_v"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort ") == 1
+
+
+def test_envelopes_have_the_median_of_heights(spark):
+    df = lines(spark, (1, 1, 9, 5), (1, 2, 9, 12), (1, 3, 9, 9), (1, 4, 9, 24)).withColumn("k", F.when(F.col("seq") < 4, 1).otherwise(2))
+    got = {(r.k, r.members, r.median_height) for r in ln.envelopes(df, ["page_id", "k"]).collect()}
+    assert got == {(1, "1,2,3", 6.0), (2, "4", 20.0)}
+    assert ln.envelopes(df.where("seq > 2"), ["page_id"]).first().median_height == 13.0
