@@ -13,22 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.session import shared_folder
+from leafmill.session import BATCH_BYTES, bounded, shared_folder  # noqa: F401
 
 #: Text bytes that one step inside an Arrow worker looks at together.
 SLICE_BYTES = 6_000_000
 
 
-#: Bytes of a batch on its way to a Python worker.
-BATCH_BYTES = 6_000_000
-
-
-def bounded(spark: SparkSession) -> None:
-    """Have rows go to Python workers in batches of bounded bytes, not only of 10,000 rows: texts
-    may be long, and both sides hold a batch whole. Holds for the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/leafmill-{label}-{uuid.uuid4().hex}"
 

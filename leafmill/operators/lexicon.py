@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from leafmill.functions import sounds as sound
+from leafmill.session import bounded
 
 # Kinds of entries, methods, and which methods a kind may use.
 ENTRY_TYPES = ("title", "character_name", "real_person", "term")
@@ -180,7 +181,9 @@ def _in_parts(terms: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
 def _replacing(spark: SparkSession, terms: list[tuple[str, str]], fold: Callable[[str], str], word: Callable[[str, str], str]):
     """A function that replaces terms (in small letters) in texts, longest terms first.
 
-    The automata are built once and broadcast, each of bounded size; a worker holds one copy."""
+    The automata are built once and broadcast, each of bounded size; a worker holds one copy. Texts
+    come to it in batches of bounded bytes."""
+    bounded(spark)
     parts = [(spark.sparkContext.broadcast((Dictionary([t for t, _ in part]), [w for _, w in part]))) for part in _in_parts(terms) if part]
 
     @pandas_udf(T.StringType())

@@ -13,6 +13,7 @@ from leafmill.operators import lexicon as lx
 from leafmill.operators import quality as qa
 from leafmill.operators import state as st
 from leafmill.plans.registry import register
+from leafmill.session import bounded
 from leafmill.sources.tables import table, view
 
 # ---- scans and sinks ----
@@ -395,6 +396,7 @@ def _folded_sql(flags: str) -> str:
 
 @register(f"SELECT doc_id, {_folded_sql('g')} AS native, {_folded_sql('gi')} AS compiled FROM documents")
 def rule_fold(spark, sf):
+    bounded(spark)
     return table(spark, sf, "documents").select("doc_id", lx.folded(F.col("text"), FOLDS).alias("native"), lx.rule_function(FOLDS)("text").alias("compiled"))
 
 

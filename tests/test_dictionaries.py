@@ -6,6 +6,8 @@ import time
 import re
 import time
 
+from pyspark.sql import functions as F
+
 from leafmill.functions import lettering as lt
 from leafmill.operators import lexicon as lx
 
@@ -123,3 +125,18 @@ def test_words_too_few_for_their_rows_are_told_at_once():
     assert lt.breaks([3] * 15_000, 1, [18, 24] * 8_000) is None  # each row takes a word
     assert lt.breaks([3] * 900, 1, [18, 24] * 150, 0.82)[-1] == 900 and lt.breaks([], 1, []) == [] and lt.breaks([1], 1, []) is None
     assert time.time() - began < 20
+
+
+def test_texts_reach_dictionaries_in_batches_of_bounded_bytes(spark):
+    from leafmill.session import BATCH_BYTES
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.unset(setting)
+    try:
+        rows = spark.range(40, numPartitions=1).select(F.repeat(F.lit("the thing "), 100_000).alias("t"))  # 40 MB in one part
+        done = rows.select(lx.enforcement({"thing": "narsa"}, spark)("t").alias("x"))
+        assert spark.conf.get(setting) == str(BATCH_BYTES)
+        assert done.where(F.length("x") == 1_000_000).count() == 40
+    finally:
+        spark.conf.set(setting, before)
