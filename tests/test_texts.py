@@ -1,6 +1,7 @@
 """Text rules, lexicon, lettering, the rule engine and keyed state on cases with known results."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,35 @@ def test_empty_inputs(spark):
 def test_word_edges_are_those_of_ascii_words(spark):
     assert one(spark, cc.source_ready(F.col("t")), t="imüch") == "I amüch" and one(spark, cc.source_ready(F.col("t")), t="limit") == "limit"
     assert one(spark, cc.naturalised(F.col("t"), F.lit(""), [], [("\\bon(on)+\\b", "on")]), t="ononè on") == "ONÈ ON"
+
+
+def test_words_are_judged_as_by_all_sounds_and_once_a_worker(spark, monkeypatch):
+    import difflib
+    import random
+
+    sounds, common = ["BOOM", "KA-BOOM", "CRASH", "THWIP", "ZIP", "SKRRR", "CRACKLE"], frozenset(["THE", "ROOM"])
+    once = lambda w: re.sub(r"(.)\1+", r"\1", w)
+
+    def plain(word):
+        bare = re.sub("[^A-Z]", "", word)
+        if not bare or bare in similarity_.NEVER_SOUNDS or bare not in sounds and (bare in common or word in common):
+            return False
+        if bare in sounds or any(once(s) == once(bare) or len(s) >= 4 and (s in bare or len(bare) >= 4 and bare in s) for s in sounds):
+            return True
+        return bool(difflib.get_close_matches(bare, sounds, n=1, cutoff=0.80))
+
+    r = random.Random(1)
+    words = ["", "7", "THE", "BOOOM", "KABOOM", "RACK", "RAC", "OH", "É", "BOOM" * 80]
+    for s in sounds * 150:
+        w = list(s)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice(["", "A", "O", "R", "MM", "9"])
+        words.append("".join(w))
+    want = [plain(w) for w in words]
+    assert [similarity_.sounds_like(w, sounds, common) for w in words] == want and 0 < sum(want) < len(words)
+    compared = []
+    real = difflib.get_close_matches
+    monkeypatch.setattr(difflib, "get_close_matches", lambda w, xs, **k: compared.append((w, len(xs))) or real(w, xs, **k))
+    for w in ("THING", "MOTHER", "CRUSH", "THING", "CRUSH"):
+        similarity_.sounds_like(w, sounds, common)
+    assert compared == [("CRUSH", 1)]
