@@ -128,9 +128,10 @@ def rule_coverage(spark, sf):
 SELECT l.page_id, l.seq, n.head, n.size, row_number() OVER (PARTITION BY l.page_id, l.cluster, l.side, l.lobe ORDER BY l.seq) AS lobe_index FROM lobes l JOIN n ON l.page_id = n.page_id AND l.cluster = n.cluster AND l.side = n.side AND l.lobe = n.lobe""")
 def cluster_join_back(spark, sf):
     key = ["page_id", "cluster", "side", "lobe"]
-    over = Window.partitionBy(*key)
+    over = Window.partitionBy(*key).orderBy("seq")
+    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the order of the numbers, so rows are sorted once
     x = ln.cluster_lines(view(spark, sf, "lines_v"))
-    return x.select("page_id", "seq", F.min("seq").over(over).alias("head"), F.count("*").over(over).alias("size"), F.row_number().over(over.orderBy("seq")).alias("lobe_index"))
+    return x.select("page_id", "seq", F.min("seq").over(whole).alias("head"), F.count("*").over(whole).alias("size"), F.row_number().over(over).alias("lobe_index"))
 
 
 @register("SELECT event_type, count(*) AS entries, count(DISTINCT props) AS keys, sum(length(coalesce(props, ''))) AS size FROM events GROUP BY 1")
