@@ -201,8 +201,11 @@ def facts(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def json_strings(text: Column, key: str) -> Column:
-    """The string values of ``key`` in a broken JSON text, in order."""
-    return F.regexp_extract_all(text, F.lit(f'"{key}"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)"'))
+    """The string values of ``key`` in a broken JSON text, in order.
+
+    The characters of a string are taken possessively: there is one way to read them, and a regular
+    expression that may go back keeps a frame of the stack for each."""
+    return F.regexp_extract_all(text, F.lit(f'"{key}"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*+)"'))
 
 
 def numbered(texts: Column) -> Column:

@@ -156,6 +156,13 @@ def test_review_and_residue(spark):
     assert [why("Hi there", "..."), why("Hi!", "hi"), why("A b. C d.", "bir"), why("Hi", "salom")] == ["empty", "identical", "sentence_drop", None]
 
 
+def test_strings_of_broken_json_may_be_long(spark):
+    """The stack ended at some thousands of characters; escapes and what has no end are read as before."""
+    long = 'a\\"b ' * 100_000
+    df = spark.createDataFrame([(f'[{{"text": "{long}"}}, {{"text" : "c\\\\"}}, {{"text": "cut',), ('"text": "", "text":"x\\',), ('"text": "a\\"',)], "j string")
+    assert [r[0] for r in df.select(tx.json_strings(F.col("j"), "text")).collect()] == [[long, "c\\\\"], [""], []]
+
+
 def test_json_repair(spark):
     assert one(spark, tx.clean_json(F.col("a")), a='text ```json\n{"a": [1, 2,],}\n``` more') == '{"a": [1, 2]}'
 
