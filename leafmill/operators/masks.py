@@ -3,16 +3,23 @@
 Set operations sweep over the ends of runs, row by row; connected parts are found by union-find
 over the runs of neighbouring rows; growth from seeds is a choice among connected parts. Masks of
 any number of shapes go through one plan, dealt by key and row, and no pixel is ever a row.
+
+Where a page's shapes fit into its row (``by_page``), runs are made and used up in a task, for many
+pages at once (``functions/maskarrays``): only the shapes are sent, by page, and nothing is written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions import maskarrays as ma
 from leafmill.functions import polygons as pg
+from leafmill.functions import ringarrays as ra
 from leafmill.operators.grouped import Rows, grouped
 from leafmill.sources.working import discard, settled
 
@@ -206,3 +213,64 @@ def scissors(mask: DataFrame, stroke: DataFrame, lines: DataFrame, key: list[str
     dealt = settled(asked.join(held, [*key, "seq"], "left").select(*key, "seq", F.when(F.col("n") == 1, F.col("side")).alias("side")), "dealt")
     discard(mask, cut)
     return verdicts, dealt
+
+
+#: Pages whose runs are held at once.
+PAGES = 1000
+
+
+def shapes_of(df: DataFrame, key: list[str], shape: Column, name: str) -> DataFrame:
+    """The shapes of ``df`` (rings, or structs of a box and what belongs to it) as a list a key.
+
+    What a shape is made of is sent, not the shape, unless the rows lie by key already."""
+    return df.repartition(*key).groupBy(*key).agg(F.collect_list(shape).alias(name))
+
+
+class Page:
+    """The shapes of some rows that came from ``shapes_of``, with ``group`` the number of the row."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.rows, self.n = rows, rows.num_rows
+
+    def _flat(self, name: str) -> tuple[np.ndarray, pa.Array]:
+        lists = self.rows.column(name)
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return np.repeat(np.arange(self.n), sizes), lists.flatten()
+
+    def rings(self, name: str, height: int, scale: int) -> ma.Runs:
+        """The mask of each row's rings, their points divided by ``scale``, in rows 0 to ``height``."""
+        group, rings = self._flat(name)
+        r = ra.Rings(rings)
+        r.x, r.y = r.x / scale, r.y / scale
+        ring, row, s, e = ra.runs(r, height)
+        return ma.joined(ma.Runs(group[ring], row, s, e))
+
+    def fields(self, name: str, *names: str) -> tuple[np.ndarray, ...]:
+        """The group of each struct of a list, and its fields as whole numbers; what has a null is left out."""
+        group, flat = self._flat(name)
+        whole = np.ones(len(flat), bool)
+        for c in names:
+            whole &= flat.field(c).is_valid().to_numpy(zero_copy_only=False)
+        kept = [flat.field(c).filter(pa.array(whole)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+        return group[whole], *kept
+
+
+def by_page(pages: DataFrame, key: list[str], each: Callable[[Page], dict], schema: str) -> DataFrame:
+    """``each`` of the pages of a task, some at once, as columns; its ``group`` tells whose key a row gets."""
+    types = dict(pages.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), schema])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                rows = batch.slice(at, PAGES)
+                out = each(Page(rows))
+                group = pa.array(out.pop("group"))
+                named = {k: rows.column(k).take(group) for k in key} | out
+                yield pa.RecordBatch.from_arrays([pa.array(v) if not isinstance(v, pa.Array) else v for v in named.values()], schema=target)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    target = to_arrow_schema(_parse_datatype_string(schema))
+    return pages.mapInArrow(run, schema)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from leafmill.functions import maskarrays as ma
 from leafmill.operators import masks as mk
 from leafmill.plans import outlines as ol
 from leafmill.plans.registry import register
@@ -13,14 +16,28 @@ KEY, HEIGHT = ["page_id"], 45
 
 
 def _outlines(spark, sf):
-    # dealt by page before rings become runs: the file of orders may be a single split
-    rings = view(spark, sf, "outlines_v").repartition("page_id").select("page_id", ol.outline_ring().alias("ring"))
-    return mk.from_rings(rings.withColumn("ring", F.transform("ring", lambda p: F.transform(p, lambda v: v / 10))), KEY, HEIGHT)
+    return mk.shapes_of(view(spark, sf, "outlines_v"), KEY, ol.outline_ring(), "rings").hint("merge")
 
 
-def _texts(spark, sf):
+def _lines(spark, sf, *more):
+    """The lines of each page, their boxes in cells; ``lines_v`` has them by page."""
     cell = lambda c: F.floor(F.col(c) / 10).cast("int").alias(c)
-    return mk.from_boxes(view(spark, sf, "lines_v").select("page_id", *[cell(c) for c in ("x0", "y0", "x1", "y1")]), KEY)
+    x = view(spark, sf, "lines_v").groupBy("page_id")
+    return x.agg(F.collect_list(F.struct(*[cell(c) for c in ("x0", "y0", "x1", "y1")], *more)).alias("lines")).hint("merge")
+
+
+def _of(page):
+    """Outlines and texts of pages."""
+    return page.rings("rings", HEIGHT, 10), ma.boxes(*page.fields("lines", "x0", "y0", "x1", "y1"))
+
+
+def _sizes(runs):
+    found = ma.sizes(runs)._asdict()
+    return found | {c: found[c].astype(np.int32) for c in ("x0", "y0", "x1", "y1")}
+
+
+SIZES = "cells long, runs long, x0 int, y0 int, x1 int, y1 int"
+OPS = {"both": lambda a, b: a & b, "outline_only": lambda a, b: a & ~b, "either": lambda a, b: a | b}
 
 
 # cells of both masks: a cell is inside if the row's middle line crosses an odd number of edges left of its middle
@@ -38,17 +55,25 @@ g AS (SELECT page_id, op, y, x, x - row_number() OVER (PARTITION BY page_id, op,
 SELECT page_id, op, count(*) AS cells, count(DISTINCT (y, island)) AS runs, CAST(min(x) AS INT) AS x0, CAST(min(y) AS INT) AS y0, CAST(max(x) + 1 AS INT) AS x1, CAST(max(y) + 1 AS INT) AS y1 FROM g GROUP BY page_id, op""")
 def mask_operations(spark, sf):
     """And, and-not and or of each page's outline and its text, from runs."""
-    x = mk.swept(_outlines(spark, sf), _texts(spark, sf), KEY)
-    ops = {"both": F.col("ina") & F.col("inb"), "outline_only": F.col("ina") & ~F.col("inb"), "either": F.lit(True)}
-    held = F.array_compact(F.array(*[F.when(keep, F.lit(op)) for op, keep in ops.items()]))
-    x = x.select(*KEY, "row", "s", "e", F.explode(held).alias("op"))
-    return mk.sizes(mk.joined(x, [*KEY, "op"]), [*KEY, "op"])
+    pages = _outlines(spark, sf).join(_lines(spark, sf), "page_id", "full")
+
+    def each(page):
+        pieces, ina, inb = ma.swept(*_of(page))
+        found = {op: _sizes(ma.joined(pieces.at(keep(ina, inb)))) for op, keep in OPS.items()}
+        out = {c: np.concatenate([x[c] for x in found.values()]) for c in found["both"]}
+        return {"group": out.pop("group"), "op": np.repeat(list(found), [len(x["group"]) for x in found.values()])} | out
 
+    return mk.by_page(pages, KEY, each, f"op string, {SIZES}")
 
-def _seeds(spark, sf):
+
+def _seed():
     """The cell right above the middle of each page's first line."""
-    x = view(spark, sf, "lines_v").where("seq = 1")
-    return x.select("page_id", F.floor((F.col("x0") + F.col("x1")) / 20).cast("int").alias("x"), (F.floor(F.col("y0") / 10) - 1).cast("int").alias("y"))
+    first = F.col("seq") == 1
+    return F.when(first, F.floor((F.col("x0") + F.col("x1")) / 20).cast("int")).alias("x"), F.when(first, (F.floor(F.col("y0") / 10) - 1).cast("int")).alias("y")
+
+
+def _seeds(page):
+    return ma.points(*page.fields("lines", "x", "y"))
 
 
 @register(f"""WITH RECURSIVE {CELLS}, f AS (SELECT page_id, y, x, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS island FROM a ANTI JOIN b USING (page_id, y, x)),
@@ -59,8 +84,14 @@ w AS (SELECT r.page_id, r.y, r.s, r.e FROM r JOIN z ON z.page_id = r.page_id AND
 SELECT page_id, CAST(sum(e - s) AS BIGINT) AS cells, count(*) AS runs FROM w GROUP BY page_id""")
 def region_reached(spark, sf):
     """What a seed above the first line reaches inside of the outline without crossing text."""
-    free = mk.without(_outlines(spark, sf), _texts(spark, sf), KEY)
-    return mk.sizes(mk.reached(free, _seeds(spark, sf), KEY), KEY).select("page_id", "cells", "runs")
+    pages = _lines(spark, sf, *_seed()).join(_outlines(spark, sf), "page_id")
+
+    def each(page):
+        outlines, texts = _of(page)
+        found = _sizes(ma.reached(ma.without(outlines, texts), _seeds(page)))
+        return {c: found[c] for c in ("group", "cells", "runs")}
+
+    return mk.by_page(pages, KEY, each, "cells long, runs long")
 
 
 @register()
@@ -68,19 +99,43 @@ def selection_grown(spark, sf):
     """The text masks, grown from the seeds over the outline up to the caption rectangle's border."""
     rects = view(spark, sf, "rects_v").select("page_id", *[F.floor(F.col(c) / 10).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
     side = [("x0", "y0", "x1", "y0 + 1"), ("x0", "y1 - 1", "x1", "y1"), ("x0", "y0", "x0 + 1", "y1"), ("x1 - 1", "y0", "x1", "y1")]
-    border = rects.select("page_id", F.inline(F.array(*[F.struct(*[F.expr(v).alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), box)]) for box in side])))
-    grown = mk.grow_selection(_texts(spark, sf), _outlines(spark, sf), mk.from_boxes(border, KEY), _seeds(spark, sf), KEY)
-    return mk.sizes(grown, KEY)
+    border = F.inline(F.array(*[F.struct(*[F.expr(v).alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), box)]) for box in side]))
+    rects = rects.repartition("page_id").select("page_id", border)
+    borders = mk.shapes_of(rects, KEY, F.struct("x0", "y0", "x1", "y1"), "borders").hint("merge")
+    pages = _lines(spark, sf, *_seed()).join(_outlines(spark, sf), "page_id", "left").join(borders, "page_id", "left")
+
+    def each(page):
+        outlines, texts = _of(page)
+        barrier = ma.boxes(*page.fields("borders", "x0", "y0", "x1", "y1"))
+        return _sizes(ma.grow_selection(texts, outlines, barrier, _seeds(page), mk.HOLE_CELLS))
+
+    return mk.by_page(pages, KEY, each, SIZES)
 
 
 @register()
 def scissors_cut(spark, sf):
     """Outlines cut by a stroke along the first line of the page, as far as that line goes."""
-    first = view(spark, sf, "lines_v").where("seq = 1")
+    cell = lambda c: F.floor(c / 10).cast("int")
     wide = F.when(F.col("page_id") % 2 == 0, F.lit(900)).otherwise(F.lit(0))  # on every other page the stroke goes all through
-    stroke = first.select("page_id", F.floor((F.col("x0") - wide) / 10).cast("int").alias("x0"), F.floor(F.col("y0") / 10).cast("int").alias("y0"), F.floor((F.col("x1") + wide) / 10).cast("int").alias("x1"), (F.floor(F.col("y0") / 10) + 1).cast("int").alias("y1"))
-    points = view(spark, sf, "lines_v").select("page_id", "seq", F.floor((F.col("x0") + F.col("x1")) / 20).cast("int").alias("x"), F.floor((F.col("y0") + F.col("y1")) / 20).cast("int").alias("y"))
-    verdicts, dealt = mk.scissors(_outlines(spark, sf), mk.from_boxes(stroke, KEY), points, KEY)
-    seqs = lambda side: F.array_join(F.array_sort(F.collect_list(F.when(side, F.col("seq")))), " ")
-    told = dealt.groupBy("page_id").agg(seqs(F.col("side") == 1).alias("first"), seqs(F.col("side") == 2).alias("second"), seqs(F.col("side").isNull()).alias("ambiguous"))
-    return verdicts.join(told, "page_id", "left")
+    stroke = F.when(F.col("seq") == 1, F.struct(cell(F.col("x0") - wide).alias("s"), cell(F.col("x1") + wide).alias("e"), cell(F.col("y0")).alias("row")))
+    # a line without a place lies on no mask, but is dealt
+    middle = [F.coalesce(F.floor((F.col(f"{c}0") + F.col(f"{c}1")) / 20).cast("int"), F.lit(-1000)).alias(c) for c in "xy"]
+    pages = _outlines(spark, sf).join(_lines(spark, sf, "seq", *middle, *[stroke[c].alias(c) for c in ("s", "e", "row")]), "page_id", "left")
+
+    def each(page):
+        outlines = page.rings("rings", HEIGHT, 10)
+        group, s, e, row = page.fields("lines", "s", "e", "row")
+        of, seq, x, y = page.fields("lines", "seq", "x", "y")
+        masks, cells, n, side = ma.scissors(outlines, ma.boxes(group, s, row, e, row + 1), ma.points(of, x, y), mk.DUST_CELLS, mk.DUST_SHARE)
+        verdict = np.select([cells < 50, n < 2, n > 2], ["too small", "not through", "too many"], "cut")
+        place = np.full(page.n, -1)
+        place[masks[verdict == "cut"]] = np.flatnonzero(verdict == "cut")
+        told = [[[] for _ in masks] for _ in range(3)]  # in both or neither, on the first side, on the second
+        for at, k, v in sorted(zip(place[of].tolist(), side.tolist(), seq.tolist())):
+            if at >= 0:
+                told[k][at].append(str(v))
+        some = [any(v) for v in zip(*told)]
+        seqs = {c: pa.array([" ".join(v) if on else None for v, on in zip(told[k], some)], pa.string()) for c, k in (("first", 1), ("second", 2), ("ambiguous", 0))}
+        return {"group": masks, "n_parts": n, "verdict": verdict} | seqs
+
+    return mk.by_page(pages, KEY, each, "n_parts long, verdict string, first string, second string, ambiguous string")
