@@ -10,6 +10,7 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 from leafmill.functions.clusterarrays import _joined as rooted
 
@@ -146,6 +147,16 @@ def sizes(runs: Runs) -> Sizes:
     return Sizes(r.group[first], np.add.reduceat(r.e - r.s, first), np.diff(np.append(first, len(r.s))), least(r.s), least(r.row), most(r.e), most(r.row) + 1)
 
 
+def widest(runs: Runs) -> dict:
+    """The first row of each group and its rows' widest runs (the leftmost of equals) as a list of (s, e)."""
+    r = runs.at(np.lexsort((runs.s, runs.s - runs.e, runs.row, runs.group)))
+    r = r.at(np.append(True, (np.diff(r.group) != 0) | (np.diff(r.row) != 0))[: len(r.s)])
+    first = np.flatnonzero(np.append(True, np.diff(r.group) != 0)[: len(r.s)])
+    spans = pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in (r.s, r.e)], ["s", "e"])
+    offsets = pa.array(np.append(first, len(r.s)).astype(np.int32))
+    return {"group": r.group[first], "top": r.row[first].astype(np.int32), "spans": pa.ListArray.from_arrays(offsets, spans)}
+
+
 def points(group: np.ndarray, x: np.ndarray, y: np.ndarray) -> Runs:
     return Runs(group, y, x, x + 1)
 

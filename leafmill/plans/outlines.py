@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import lettering
+from leafmill.functions import maskarrays as ma
 from leafmill.functions import polygons as pg
 from leafmill.operators import lobes as lb
 from leafmill.operators import masks as mk
@@ -98,11 +99,14 @@ def fitted_text(spark, sf):
 
     Null size and lines where no size does."""
     said = table(spark, sf, "conversations").select(F.col("conv_id").alias("page_id"), "turn", "text")
-    rings = view(spark, sf, "outlines_v").join(said.select("page_id").distinct(), "page_id", "left_semi").select("page_id", outline_ring().alias("ring"))
-    # the widest run of each row, from top to bottom
-    rows = mk.from_rings(rings, ["page_id"], 450).groupBy("page_id", "row").agg(F.max(F.struct((F.col("e") - F.col("s")).alias("n"), (-F.col("s")).alias("at"))).alias("best"))
-    rows = rows.select("page_id", "row", (-F.col("best.at")).alias("s"), (F.col("best.n") - F.col("best.at")).alias("e"))
-    free = rows.groupBy("page_id").agg(F.min("row").alias("top"), F.transform(F.array_sort(F.collect_list(F.struct("row", "s", "e"))), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"))).alias("spans"))
-    # hundreds of spans a page, which Spark takes for a few bytes: no broadcast of them
-    x = said.join(free.hint("merge"), "page_id").withColumn("f", lettering.fitting()("text", "top", "spans"))
+    rings = mk.shapes_of(view(spark, sf, "outlines_v").join(said.select("page_id").distinct(), "page_id", "left_semi"), ["page_id"], outline_ring(), "rings")
+
+    def each(page):
+        return ma.widest(page.rings("rings", 450, 1))
+
+    free = mk.by_page(rings, ["page_id"], each, "top int, spans array<struct<s:int,e:int>>")
+    # hundreds of spans a page, which Spark takes for a few bytes: no broadcast of them; and few bytes that
+    # take long, so the parts are not merged by their bytes
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = said.repartition(n, "page_id").join(free.repartition(n, "page_id").hint("merge"), "page_id").withColumn("f", lettering.fitting()("text", "top", "spans"))
     return x.select(F.col("page_id").alias("conv_id"), "turn", F.col("f.size").alias("size"), F.transform("f.lines", lambda s: F.concat_ws(" ", s["x"], s["y"], s["text"])).alias("lines"))
