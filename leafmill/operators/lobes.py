@@ -6,9 +6,13 @@ is the gathering of a page's lines before it.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
+from leafmill.functions import lobearrays as la
 from leafmill.functions import polygons as pg
 
 #: A line goes to a lobe that it lies in, or not farther than this outside of.
@@ -39,31 +43,26 @@ def lines_to_lobes(lines: DataFrame, lobes: DataFrame, reach: int = REACH) -> Da
     return best.select("page_id", "seq", F.when(near, -F.col("best.lobe")).alias("lobe"), F.when(near, F.signum(far) * F.sqrt(F.abs(far)) + 0.0).alias("distance"))
 
 
-def _crosses_text(lines: Column, p: Column, q: Column) -> Column:
-    """Whether points along a chord, some four apart, lie in the core of a line's text."""
-    length = F.sqrt((q[0] - p[0]) * (q[0] - p[0]) + (q[1] - p[1]) * (q[1] - p[1]))
-    along = lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((p[0] + (q[0] - p[0]) * k / (n - 1)).alias("x"), (p[1] + (q[1] - p[1]) * k / (n - 1)).alias("y")))
-
-    def core(line: Column) -> Column:
-        half = F.greatest(F.lit(3.0), F.greatest(F.lit(1), line["y1"] - line["y0"]) * 0.25)
-        _, cy = middle(line)
-        return F.struct((line["x0"] + 4).alias("x0"), (line["x1"] - 4).alias("x1"), (cy - half).alias("y0"), (cy + half).alias("y1"))
-
-    # points and cores are computed once a chord, not once for each that they meet
-    met = lambda points: F.exists(F.transform(lines, core), lambda c: F.exists(points, lambda s: s["x"].between(c["x0"], c["x1"]) & s["y"].between(c["y0"], c["y1"])))
-    return pg.let(F.greatest(F.lit(10), F.floor(length / 4).cast("int")), lambda n: pg.let(along(n), met))
-
-
 def _lobe(ring: Column, i: Column, j: Column) -> tuple[Column, Column]:
     """The two rings that the chord between places i < j leaves."""
     return F.slice(ring, i + 1, j - i + 1), F.concat(F.slice(ring, j + 1, F.size(ring) - j), F.slice(ring, 1, i + 1))
 
 
-def _stacked(lines: Column) -> Column:
-    """Whether lines rather lie above than beside each other."""
-    xs, ys = F.transform(lines, lambda s: middle(s)[0]), F.transform(lines, lambda s: middle(s)[1])
-    spread = lambda v: F.array_max(v) - F.array_min(v)
-    return spread(ys) >= spread(xs) * 0.8
+def _cuts(deep: float):
+    """A function of (ring, lines, where): the places (i, j) of the ends of the neck, whether the lobe
+    between them comes first, and the lobe (0, 1) of each line; null without a neck. All outlines of a
+    batch are looked at together."""
+
+    @arrow_udf("i int, j int, ahead boolean, side array<int>")
+    def find(rings: pa.Array, lines: pa.Array, where: pa.Array) -> pa.Array:
+        on = where.fill_null(False).to_numpy(zero_copy_only=False)
+        least = la.Least(LEAST_AREA, LEAST_POINTS, LEAST_LINES, LOBE_AREA, LOBE_SHARE)
+        i, j, ahead, side = la.cuts(rings, lines, on, deep, MOST_DEFECTS, least, WIDEST_NECK, REACH)
+        offsets = np.append(0, np.cumsum(lines.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        sides = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(side.astype("int32")))
+        return pa.StructArray.from_arrays([pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(ahead > 0), sides], ["i", "j", "ahead", "side"], mask=pa.array(i < 0))
+
+    return find
 
 
 def cut_at_neck(shapes: DataFrame, where: Column, glyph: float = 25.0, depth: float = 18.0) -> DataFrame:
@@ -75,59 +74,14 @@ def cut_at_neck(shapes: DataFrame, where: Column, glyph: float = 25.0, depth: fl
     size. Lines go to the lobe they lie in or are nearest to; if that leaves a lobe without a
     line, they are dealt in halves along the arrangement. Ties go to the deeper bends."""
     ring, lines = F.col("ring"), F.col("lines")
-    deep = max(8.0, min(depth, glyph * 0.45))
-    big = where & (F.size(ring) >= LEAST_POINTS) & (F.size(lines) >= LEAST_LINES)
-    bends = F.filter(pg.defects(ring), lambda d: d["depth"] >= deep)
-    bends = F.slice(F.reverse(F.array_sort(F.transform(bends, lambda d: F.struct(d["depth"].alias("depth"), (-d["far"]).alias("place"))))), 1, MOST_DEFECTS)
-    none = F.array().cast("array<struct<depth:double,place:int>>")
-    out = pg.bound(shapes, box=pg.box(ring), whole=pg.area(ring), bends=F.when(big, bends).otherwise(none), stacked=_stacked(lines))
-    width, height = F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0")
-    small = F.least(width, height).cast("double")
-
-    def pair(a: Column, b: Column, rank: Column) -> Column:
-        places = F.struct(F.least(-a["place"], -b["place"]).alias("i"), F.greatest(-a["place"], -b["place"]).alias("j"), rank.alias("rank"))
-        ends = lambda w: F.struct(w["i"].alias("i"), w["j"].alias("j"), w["rank"].alias("rank"), F.get(ring, w["i"]).alias("p"), F.get(ring, w["j"]).alias("q"))
-        return pg.let(places, lambda w: pg.let(ends(w), chord))
-
-    def chord(ends: Column) -> Column:
-        i, j, p, q, rank = (ends[k] for k in ("i", "j", "p", "q", "rank"))
-        one, two = _lobe(ring, i, j)
-        length = F.sqrt((q[0] - p[0]) * (q[0] - p[0]) + (q[1] - p[1]) * (q[1] - p[1]))
-        least = F.greatest(F.lit(4.0), F.least(F.lit(12.0), small * 0.15))
-        tilt = F.when(F.col("stacked"), F.abs(p[1] - q[1]) <= F.greatest(F.lit(55.0), height * 0.35)).otherwise(F.abs(p[0] - q[0]) <= F.greatest(F.lit(55.0), width * 0.35))
-        inside = pg.signed_square(ring, F.floor((p[0] + q[0]) / 2), F.floor((p[1] + q[1]) / 2)) >= 0
-        enough = F.greatest(F.lit(float(LOBE_AREA)), F.col("whole") * LOBE_SHARE)
-        fits = (length >= least) & (length < small * WIDEST_NECK) & tilt
-        fits = fits & (pg.area(one) >= enough) & (pg.area(two) >= enough) & inside
-        valid = F.when(fits, ~_crosses_text(lines, p, q)).otherwise(F.lit(False))
-        return F.when(valid, F.struct(length.alias("length"), rank.alias("rank"), i.alias("i"), j.alias("j")))
-
-    bends = F.col("bends")
-    tries = F.flatten(F.transform(bends, lambda a, m: F.transform(F.slice(bends, m + 2, F.size(bends)), lambda b, n: pair(a, b, m * MOST_DEFECTS + n))))
-    neck = F.when((F.col("whole") >= LEAST_AREA) & (F.size(bends) > 1), F.array_min(tries))
-    out = pg.bound(out, neck=neck)
+    boxes = F.transform(lines, lambda s: F.struct(*[s[c].cast("int").alias(c) for c in ("seq", "x0", "y0", "x1", "y1")]))
+    out = shapes.withColumn("neck", _cuts(max(8.0, min(depth, glyph * 0.45)))(ring.cast(pg.RINGS), boxes, where))
     one, two = _lobe(ring, F.col("neck.i"), F.col("neck.j"))
-    first = lambda r: F.struct(pg.box(r)["y0"].alias("y"), pg.box(r)["x0"].alias("x"))
-    ahead = first(one) <= first(two)
-    out = pg.bound(out, upper=F.when(ahead, one).otherwise(two), lower=F.when(ahead, two).otherwise(one))
-
-    def dealt(line: Column) -> Column:
-        x, y = middle(line)
-
-        def side(near: Column) -> Column:
-            one, two = near["one"], near["two"]
-            claim = F.greatest(one, two) >= -(REACH * REACH)
-            return F.struct(F.when(F.col("stacked"), y).otherwise(x).alias("at"), line["seq"].alias("seq"), F.when(one >= two, 0).otherwise(1).alias("to"), claim.alias("claim"), line.alias("line"))
-
-        return pg.let(F.struct(pg.signed_square(F.col("upper"), x, y).alias("one"), pg.signed_square(F.col("lower"), x, y).alias("two")), side)
-
-    out = pg.bound(out, dealt=F.when(F.col("neck").isNotNull(), F.array_sort(F.transform(lines, dealt))))
-    both = F.exists("dealt", lambda d: d["claim"] & (d["to"] == 0)) & F.exists("dealt", lambda d: d["claim"] & (d["to"] == 1))
-    half = F.ceil(F.size("dealt") / 2)
-    mine = lambda to: F.filter("dealt", lambda d, k: F.when(both, d["to"] == to).otherwise((k >= half).cast("int") == to))
-    piece = lambda r, to: F.struct(F.col(r).alias("ring"), _in_order(F.transform(mine(to), lambda d: d["line"])).alias("lines"))
-    pieces = F.when(F.col("neck").isNotNull(), F.array(piece("upper", 0), piece("lower", 1)))
-    return out.withColumn("pieces", pieces).drop("box", "whole", "bends", "stacked", "neck", "upper", "lower", "dealt")
+    mine = lambda to: F.filter(lines, lambda s, k: F.get(F.col("neck.side"), k) == to)
+    piece = lambda r, to: F.struct(r.alias("ring"), _in_order(mine(to)).alias("lines"))
+    upper, lower = F.when(F.col("neck.ahead"), one).otherwise(two), F.when(F.col("neck.ahead"), two).otherwise(one)
+    pieces = F.when(F.col("neck").isNotNull(), F.array(piece(upper, 0), piece(lower, 1)))
+    return out.withColumn("pieces", pieces).drop("neck")
 
 
 def _in_order(lines: Column) -> Column:
